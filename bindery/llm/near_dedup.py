@@ -7,7 +7,7 @@ are joined to connected components.
 
 A bucket of n documents costs n comparisons, not n squared: all members meet the bucket's most central member first. Only members
 that are then in another component than the centre are compared with the bucket's other members, in blocks of bounded size
-within one task, and only pairs that pass the posterior test leave it. No pair of candidates from different components is lost.
+within one task, and only documents with pairs that pass the posterior test leave it. No pair of candidates from different components is lost.
 
 Defined results: a null or empty text, or one of white space, has no shingles and links with nothing; with fewer words than a
 shingle has, the whole sequence is the one shingle. Rows with a null id take part in nothing: component null, kept. Repeated
@@ -40,7 +40,7 @@ class NearDedup:
     rows: int = 5
     miss: float = 1e-6
     batch: int = 32
-    block: int = 512
+    block: int = 256
 
     @property
     def length(self) -> int:
@@ -174,8 +174,12 @@ def _prune(p: NearDedup):
     return run
 
 
+_INVOLVED = "key long, doc_id long, comp long, rest array<long>"
+
+
 def _across(p: NearDedup):
-    """Pairs of a bucket's members that are in different components: queries against one block of the members."""
+    """Queries against one block of a bucket's members, for those in different components. Gives the documents that survive: one
+    row for each member of the block that has to be verified, and one for each query, with the members to verify it with."""
     least = p.least_matches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,7 +188,7 @@ def _across(p: NearDedup):
             comp, odd = group.column("comp").to_numpy(), group.column("odd").to_numpy(zero_copy_only=False)
             sig, band = _matrix(group.column("sig")), group.column("band")[0].as_py()
             target = np.flatnonzero(role == 1)
-            found_a, found_b = [], []
+            needed, asked, rest = np.zeros(len(ids), bool), [], []
             for q in np.flatnonzero(role == 0):
                 t = target[(comp[target] != comp[q]) & ((ids[target] > ids[q]) | ~odd[target])]
                 if not len(t):
@@ -194,10 +198,43 @@ def _across(p: NearDedup):
                 first = shared[:, band] & ~shared[:, :band].any(axis=1)  # a pair is compared in its first bucket only
                 t, equal = t[first], equal[first]
                 t = t[_alive(equal, least)]
-                found_a.append(np.full(len(t), ids[q]))
-                found_b.append(ids[t])
-            if found_a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found_a)), pa.array(np.concatenate(found_b))], names=["a", "b"])
+                if len(t):
+                    needed[t] = True
+                    asked.append(q)
+                    rest.append(ids[t])
+            if asked:
+                at = np.concatenate((np.flatnonzero(needed), asked))
+                key = mix(np.array([group.column("bucket")[0].as_py()], np.int64).view(np.uint64) + mix(np.array([group.column("block")[0].as_py() << 32 | group.column("chunk")[0].as_py()], np.uint64)))
+                lists = pa.array([*[None] * int(needed.sum()), *rest], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), key.view(np.int64)[0])), pa.array(ids[at]), pa.array(comp[at]), lists], names=["key", "doc_id", "comp", "rest"])
+
+    return run
+
+
+def _linked(x: np.ndarray, y: np.ndarray, p: NearDedup) -> bool:
+    if 100 * min(len(x), len(y)) < p.percent * max(len(x), len(y)):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= p.percent * (len(x) + len(y) - both)
+
+
+def _verify_blocks(p: NearDedup):
+    """Exact links of each query with what ``_across`` left; one link to a component will do."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in groups(batches, ["key"]):
+            ids, comp, rest = group.column("doc_id").to_pylist(), group.column("comp").to_pylist(), group.column("rest")
+            sets = dict(zip(ids, shingle_sets([x.as_buffer().to_pybytes() for x in group.column("text")], p.shingle), strict=True))
+            of, found = dict(zip(ids, comp, strict=True)), []
+            for i, doc in enumerate(ids):
+                done = set()
+                for other in rest[i].as_py() or ():
+                    if of[other] not in done and _linked(sets[doc], sets[other], p):
+                        done.add(of[other])
+                        found.append((doc, other))
+            if found:
+                a, b = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
 
@@ -211,9 +248,7 @@ def _verify(p: NearDedup):
                 for doc, column in zip(pair, ("text_a", "text_b"), strict=True):
                     if doc not in held:
                         held[doc] = shingle_sets([batch.column(column)[i].as_buffer().to_pybytes()], p.shingle)[0]
-                x, y = held[pair[0]], held[pair[1]]
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * both >= p.percent * (len(x) + len(y) - both):
+                if _linked(held[pair[0]], held[pair[1]], p):
                     good.append(i)
             keep = pa.array(good, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("a").take(keep), batch.column("b").take(keep)], names=["a", "b"])
@@ -267,14 +302,11 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
     pairs = pairs.join(sig.select(F.col("doc_id").alias("b"), F.col("sig").alias("sig_b")), "b").join(sig.select(F.col("doc_id").alias("a"), F.col("sig").alias("sig_a")), "a")
     pairs = pairs.mapInArrow(_prune(p), "a long, b long")
     wanted = scratch.save(rows.select("doc_id").distinct())
-    texts = scratch.save(docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        met = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-        met = met.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-        return scratch.save(met.mapInArrow(_verify(p), "a long, b long"))
+    texts = scratch.save(docs.filter("text is not null").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
 
-    links = verified(pairs)
+    met = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+    met = met.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    links = scratch.save(met.mapInArrow(_verify(p), "a long, b long"))
     comps = scratch.save(components(scratch, links))
 
     # members that the centre did not reach meet the other members
@@ -290,7 +322,8 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
     target = named.select(*fixed, spread(blocks).alias("block"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"), F.lit(1).alias("role"))
     query = named.filter("odd").select(*fixed, F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), spread(chunks).alias("chunk"), F.lit(0).alias("role"))
     met = target.unionByName(query).repartition("bucket", "block", "chunk").sortWithinPartitions("bucket", "block", "chunk")
-    more = verified(met.mapInArrow(_across(p), "a long, b long"))
+    involved = met.mapInArrow(_across(p), _INVOLVED).join(texts, "doc_id").repartition("key").sortWithinPartitions("key")
+    more = scratch.save(involved.mapInArrow(_verify_blocks(p), "a long, b long"))
     if not more.isEmpty():
         joined = comps.select(F.col("id").alias("a"), F.col("comp").alias("b")).unionByName(more)
         comps = scratch.save(components(scratch, joined))
