@@ -1,13 +1,13 @@
 """Line deduplication by a log-template tree. DataFrame functions only.
 
-Every line goes down a tree of fixed depth: its number of tokens, then its leading tokens. Tokens with a digit are variable fields
+Every line goes down a tree of fixed depth: its number of tokens (what single spaces separate), then its leading tokens. Tokens with a digit are variable fields
 and count as one wildcard everywhere. At a leaf that lines of several documents reach, the lines' tokens are compared by position:
 where one token prevails it is constant, elsewhere the position is a variable field. If enough positions are constant, lines that
 have all the constants share the leaf's template; any other line is its own template, wildcards included. A template that recurs in
 ``documents`` documents or more is dropped from all but its first place (the smallest id, then the smallest position), so that
 nothing vanishes from the corpus altogether.
 
-Near copies of one document would make all its lines recur. So documents are counted by sketch, the least hash of their words:
+Near copies of one document would make all its lines recur. So documents are counted by sketch, the least hash of the tokens of their lines:
 copies mostly share one. A template recurs if its sketches reach ``documents`` and also ``distinct`` times its documents.
 
 Counting is by pre-aggregated groups; leaves' positions are only taken apart for leaves that already recur.
@@ -27,7 +27,6 @@ from pyspark.sql import functions as F
 from .scratch import Scratch
 
 WILDCARD = "<*>"
-SPACES = r"[\x20\x09-\x0D]+"
 
 
 @dataclass(frozen=True)
@@ -44,31 +43,34 @@ class Templates:
 
 
 def lines(df: DataFrame, text_col: str, p: Templates) -> DataFrame:
-    """key, first id, position, leaf, masked line and sketch of every line that may be dropped."""
-    words = F.split(F.col("_text"), SPACES)
-    docs = df.select(F.col("_id"), F.col("_key"), F.col(text_col).alias("_text")).filter("_text is not null")
-    docs = docs.withColumn("_sketch", F.array_min(F.transform(words, lambda w: F.xxhash64(w))))
-    rows = docs.select("_id", "_key", "_sketch", F.posexplode(F.split("_text", "\n")).alias("_at", "_line"))
-    masked = F.when(F.col("_line").rlike("[0-9]"), F.regexp_replace("_line", r"[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+", WILDCARD)).otherwise(F.col("_line"))
-    rows = rows.withColumn("_tokens", F.split(F.trim(masked), SPACES)).filter(F.size("_tokens") >= p.least)
+    """id, key, sketch, position, leaf, masked line and tokens of every line that may be dropped."""
+    docs = df.select("_id", "_key", F.split(F.col(text_col), "\n").alias("_lines")).filter("_lines is not null")
+    rows = docs.select("_id", "_key", F.posexplode("_lines").alias("_at", "_line"))
+    masked = F.when(F.col("_line").rlike("[0-9]"), F.regexp_replace("_line", r"[^\x200-9]*+[0-9][^\x20]*+", WILDCARD)).otherwise(F.col("_line"))
+    rows = rows.withColumn("_tokens", F.split(F.trim(masked), " ")).filter(F.size("_tokens") >= p.least)
     leaf = F.xxhash64(F.size("_tokens"), F.slice("_tokens", 1, p.depth))
-    return rows.select("_id", "_key", "_sketch", "_at", leaf.alias("_leaf"), F.xxhash64("_tokens").alias("_masked"), "_tokens")
+    return rows.select("_id", "_key", "_at", leaf.alias("_leaf"), F.xxhash64("_tokens").alias("_masked"), "_tokens")
 
 
 def _recurring(rows: DataFrame, key: str, p: Templates) -> DataFrame:
-    """Keys that recur. Distinct pairs come first, so that only counts of one row a document are left to group."""
-    pairs = rows.groupBy(key, "_sketch").agg(F.min("_id").alias("_low"), F.approx_count_distinct("_key").alias("_docs"))
-    counts = pairs.groupBy(key).agg(F.count("*").alias("_sketches"), F.sum("_docs").alias("_docs"))
-    return counts.filter((F.col("_sketches") >= p.documents) & (F.col("_sketches") >= p.distinct * F.col("_docs"))).select(key)
+    """Keys that recur, each with its first place. Documents, then sketches are counted in groups that are summed beforehand."""
+    place = F.min(F.struct(F.col("_id").isNull().alias("_null"), "_id", "_at", "_key")).alias("_first")
+    docs = rows.groupBy(key, "_sketch", "_key").agg(place)
+    sketches = docs.groupBy(key, "_sketch").agg(F.count("*").alias("_docs"), F.min("_first").alias("_first"))
+    counts = sketches.groupBy(key).agg(F.count("*").alias("_sketches"), F.sum("_docs").alias("_docs"), F.min("_first").alias("_first"))
+    return counts.filter((F.col("_sketches") >= p.documents) & (F.col("_sketches") >= p.distinct * F.col("_docs"))).select(key, "_first")
 
 
 def dropped_lines(df: DataFrame, text_col: str, p: Templates, scratch: Scratch) -> DataFrame:
     """_key and _at of the lines that go."""
     found = lines(df, text_col, p)
-    rows = scratch.save(found.drop("_tokens"))
+    least = F.array_min(F.transform("_tokens", lambda w: F.xxhash64(w)))
+    rows = scratch.save(found.withColumn("_least", least).drop("_tokens"))
+    sketch = rows.groupBy("_key").agg(F.min("_least").alias("_sketch"))
+    rows = scratch.save(rows.drop("_least").join(sketch, "_key"))
     # leaves at which different lines of several documents meet
     leaves = rows.groupBy("_leaf", "_masked").agg(F.count("*").alias("_n")).groupBy("_leaf").agg(F.sum("_n").alias("_n"), F.count("*").alias("_kinds"))
-    leaves = scratch.save(leaves.filter((F.col("_kinds") > 1) & (F.col("_n") >= p.documents)).join(_recurring(rows, "_leaf", p), "_leaf"))
+    leaves = scratch.save(leaves.filter((F.col("_kinds") > 1) & (F.col("_n") >= p.documents)).join(_recurring(rows, "_leaf", p).select("_leaf"), "_leaf"))
     kinds = found.join(leaves.select("_leaf"), "_leaf", "left_semi").groupBy("_leaf", "_masked").agg(F.count("*").alias("_n"), F.first("_tokens").alias("_tokens"))
     kinds = scratch.save(kinds)
     tokens = kinds.select("_leaf", "_n", F.posexplode("_tokens").alias("_place", "_token")).groupBy("_leaf", "_place", "_token").agg(F.sum("_n").alias("_n"))
@@ -83,9 +85,7 @@ def dropped_lines(df: DataFrame, text_col: str, p: Templates, scratch: Scratch)
     general = met.filter(fits).select("_leaf", "_masked", F.col("_leaf").alias("_general"))
     rows = rows.join(general, ["_leaf", "_masked"], "left").withColumn("_template", F.when(F.col("_general").isNull(), F.col("_masked")).otherwise(F.xxhash64(F.col("_general"), F.lit("general"))))
     rows = scratch.save(rows.select("_id", "_key", "_sketch", "_at", "_template"))
-    often = _recurring(rows, "_template", p)
-    first = rows.groupBy("_template").agg(F.min(F.struct(F.col("_id").isNull().alias("_null"), "_id", "_at", "_key")).alias("_first"))
-    met = rows.join(often, "_template").join(first, "_template")
+    met = rows.join(_recurring(rows, "_template", p), "_template")
     return met.filter((F.col("_key") != F.col("_first._key")) | (F.col("_at") != F.col("_first._at"))).select("_key", "_at")
 
 
@@ -94,7 +94,7 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
     scratch = Scratch(df.sparkSession, "lines")
     keyed = df.withColumns({"_id": F.col(id_col), "_key": F.xxhash64(F.col(id_col), F.col(text_col))})
     gone = dropped_lines(keyed, text_col, params, scratch).groupBy("_key").agg(F.collect_set("_at").alias("_gone"))  # within one document
-    met = keyed.join(scratch.save(gone), "_key", "left")
+    met = keyed.join(scratch.save(gone).hint("merge"), "_key", "left")  # the list grows with the input: no broadcast
     kept = F.expr(f"array_join(filter(split(`{text_col}`, '\\n'), (x, i) -> not array_contains(_gone, i)), '\\n')")
     text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(kept)
     n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(F.split(text_col, "\n")))
