@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .scratch import Scratch
 
 RANKS = "byte_bpe_50k.tiktoken"
-CELL_ROWS = 50_000
+CELL_ROWS = 1_000
 
 
 @dataclass(frozen=True)
