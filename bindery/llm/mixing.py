@@ -26,7 +26,7 @@ WORDS = r"[^\x20\x09-\x0D]+"
 BITS = 24
 ONE = 1 << BITS
 #: Rows of a cell, on average at most.
-CELL_ROWS = 50_000
+CELL_ROWS = 1_000
 
 
 def targets(sizes: DataFrame, weights: Sequence[float], most: float) -> DataFrame:
