@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from .plans import books, relations, scalars  # noqa: F401  they register what they define
+from .plans.registry import QUERIES, SQL, Query
 
-from pyspark.sql import DataFrame, SparkSession
+FLAGSHIP = "reader_append_non_linear"
 
-FLAGSHIP = ""
 
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
