@@ -24,13 +24,13 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-        self.paths: dict[int, str] = {}
+        self.written = 0
 
     def save(self, df: DataFrame) -> DataFrame:
-        path = f"{self.root}/{len(self.paths)}"
+        path = f"{self.root}/{self.written}"
+        self.written += 1
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
         out._scratch_path = path  # noqa: SLF001
         return out
 
