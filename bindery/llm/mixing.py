@@ -83,7 +83,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
 def repeated(df: DataFrame, copies: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The rows of ``df`` as often as ``copies`` (doc_id, copies) says. ``df`` has one row for each id; a row without an id cannot be
     looked up and stays once."""
-    counts = copies.select(F.col("doc_id").alias("_id"), F.col("copies").alias("_copies"))
-    met = df.join(counts, F.col(id_col) == F.col("_id"), "left").withColumn("_copies", F.when(F.col(id_col).isNull(), 1).otherwise(F.col("_copies")))
-    met = met.filter("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
+    counts = copies.select(F.col("doc_id").alias("__mix_id"), F.col("copies").alias("__mix_copies"))
+    met = df.join(counts, F.col(id_col) == F.col("__mix_id"), "left").withColumn("__mix_copies", F.when(F.col(id_col).isNull(), 1).otherwise(F.col("__mix_copies")))
+    met = met.filter("__mix_copies > 0").withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_copies").cast("int"))))
     return met.select(*[F.col(f"`{c}`") for c in df.columns])
