@@ -7,8 +7,10 @@ have all the constants share the leaf's template; any other line is its own temp
 ``documents`` documents or more is dropped from all but its first place (the smallest id, then the smallest position), so that
 nothing vanishes from the corpus altogether.
 
-Near copies of one document would make all its lines recur. So documents are counted by sketch, the least hash of the tokens of their lines:
-copies mostly share one. A template recurs if its sketches reach ``documents`` and also ``distinct`` times its documents.
+Near copies of one document would make all its lines recur. So documents are told apart by sketches, the least hashes of their
+long words (short ones are in most documents) under ``SEEDS`` hash functions: near copies mostly share them, and what all documents
+with a line share, the line itself, can rule some functions but hardly all. A template recurs if by one function at least the
+documents have ``documents`` sketches or more, and ``distinct`` times as many as documents.
 
 Counting is by pre-aggregated groups; leaves' positions are only taken apart for leaves that already recur.
 
@@ -27,51 +29,63 @@ from pyspark.sql import functions as F
 from .scratch import Scratch
 
 WILDCARD = "<*>"
+SEEDS = (11, 22, 33)
 
 
 @dataclass(frozen=True)
 class Templates:
     """depth: leading tokens of the tree; least: tokens of a line that may be dropped; documents, distinct: when a template
-    recurs; prevails: share of a leaf's lines with a constant token; constant: share of constant positions in a template."""
+    recurs; rare: characters of a word that counts for sketches; prevails: share of a leaf's lines with a constant token; constant: share of constant positions in a template."""
 
     depth: int = 3
     least: int = 4
     documents: int = 3
     distinct: float = 0.2
+    rare: int = 8
     prevails: float = 0.9
     constant: float = 0.7
 
 
-def lines(df: DataFrame, text_col: str, p: Templates) -> DataFrame:
-    """id, key, sketch, position, leaf, masked line and tokens of every line that may be dropped."""
-    docs = df.select("_id", "_key", F.split(F.col(text_col), "\n").alias("_lines")).filter("_lines is not null")
-    rows = docs.select("_id", "_key", F.posexplode("_lines").alias("_at", "_line"))
-    masked = F.when(F.col("_line").rlike("[0-9]"), F.regexp_replace("_line", r"[^\x200-9]*+[0-9][^\x20]*+", WILDCARD)).otherwise(F.col("_line"))
-    rows = rows.withColumn("_tokens", F.split(F.trim(masked), " ")).filter(F.size("_tokens") >= p.least)
-    leaf = F.xxhash64(F.size("_tokens"), F.slice("_tokens", 1, p.depth))
-    return rows.select("_id", "_key", "_at", leaf.alias("_leaf"), F.xxhash64("_tokens").alias("_masked"), "_tokens")
+def lines(df: DataFrame, p: Templates) -> DataFrame:
+    """_id, _key, _at, _leaf, _masked (a hash) and _line (masked) of every line that may be dropped. Nothing is split into tokens."""
+    rows = df.filter("_text is not null").select("_id", "_key", F.posexplode(F.split("_text", "\n")).alias("_at", "_raw"))
+    rows = rows.withColumn("_raw", F.trim("_raw"))
+    masked = F.when(F.col("_raw").rlike("[0-9]"), F.regexp_replace("_raw", r"[^\x200-9]*+[0-9][^\x20]*+", WILDCARD)).otherwise(F.col("_raw"))
+    rows = rows.withColumn("_line", masked)
+    tokens = F.octet_length("_line") - F.octet_length(F.replace("_line", F.lit(" "))) + 1
+    rows = rows.withColumn("_n_tokens", tokens).filter(F.col("_n_tokens") >= p.least)
+    leaf = F.xxhash64("_n_tokens", F.substring_index("_line", " ", p.depth))
+    return rows.select("_id", "_key", "_at", leaf.alias("_leaf"), F.xxhash64("_line").alias("_masked"), "_line")
+
+
+def sketches(df: DataFrame, p: Templates) -> DataFrame:
+    """_key and the sketch of each document, an array with a value for each function."""
+    words = F.filter(F.split("_text", " "), lambda w: F.char_length(w) >= p.rare)
+    docs = df.filter("_text is not null").select("_key", "_text", words.alias("_words"))
+    least = lambda seed: F.coalesce(F.array_min(F.transform("_words", lambda w: F.xxhash64(w, F.lit(seed)))), F.xxhash64("_text"))
+    return docs.select("_key", F.array(*[least(seed) for seed in SEEDS]).alias("_sketch")).dropDuplicates(["_key"])
 
 
 def _recurring(rows: DataFrame, key: str, p: Templates) -> DataFrame:
-    """Keys that recur, each with its first place. Documents, then sketches are counted in groups that are summed beforehand."""
+    """Keys that recur, each with its first place. Rare keys go first; a key's documents are counted in groups summed beforehand."""
+    often = rows.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") >= p.documents).select(key)
     place = F.min(F.struct(F.col("_id").isNull().alias("_null"), "_id", "_at", "_key")).alias("_first")
-    docs = rows.groupBy(key, "_sketch", "_key").agg(place)
-    sketches = docs.groupBy(key, "_sketch").agg(F.count("*").alias("_docs"), F.min("_first").alias("_first"))
-    counts = sketches.groupBy(key).agg(F.count("*").alias("_sketches"), F.sum("_docs").alias("_docs"), F.min("_first").alias("_first"))
-    return counts.filter((F.col("_sketches") >= p.documents) & (F.col("_sketches") >= p.distinct * F.col("_docs"))).select(key, "_first")
-
-
-def dropped_lines(df: DataFrame, text_col: str, p: Templates, scratch: Scratch) -> DataFrame:
-    """_key and _at of the lines that go."""
-    found = lines(df, text_col, p)
-    least = F.array_min(F.transform("_tokens", lambda w: F.xxhash64(w)))
-    rows = scratch.save(found.withColumn("_least", least).drop("_tokens"))
-    sketch = rows.groupBy("_key").agg(F.min("_least").alias("_sketch"))
-    rows = scratch.save(rows.drop("_least").join(sketch, "_key"))
+    docs = rows.join(often, key, "left_semi").groupBy(key, "_key").agg(place, F.first("_sketch").alias("_sketch"))
+    kinds = [F.approx_count_distinct(F.get("_sketch", F.lit(k)), 0.03).alias(f"_d{k}") for k in range(len(SEEDS))]
+    counts = docs.groupBy(key).agg(F.count("*").alias("_docs"), F.min("_first").alias("_first"), *kinds)
+    most = F.greatest(*[F.col(f"_d{k}") for k in range(len(SEEDS))])
+    return counts.filter((most >= p.documents) & (most >= p.distinct * F.col("_docs"))).select(key, "_first")
+
+
+def dropped_lines(df: DataFrame, p: Templates, scratch: Scratch) -> DataFrame:
+    """_key and _at of the lines that go; df has _id, _key and _text."""
+    found = lines(df, p)
+    rows = scratch.save(found.drop("_line"))
+    rows = scratch.save(rows.join(scratch.save(sketches(df, p)), "_key"))
     # leaves at which different lines of several documents meet
     leaves = rows.groupBy("_leaf", "_masked").agg(F.count("*").alias("_n")).groupBy("_leaf").agg(F.sum("_n").alias("_n"), F.count("*").alias("_kinds"))
     leaves = scratch.save(leaves.filter((F.col("_kinds") > 1) & (F.col("_n") >= p.documents)).join(_recurring(rows, "_leaf", p).select("_leaf"), "_leaf"))
-    kinds = found.join(leaves.select("_leaf"), "_leaf", "left_semi").groupBy("_leaf", "_masked").agg(F.count("*").alias("_n"), F.first("_tokens").alias("_tokens"))
+    kinds = found.join(leaves.select("_leaf"), "_leaf", "left_semi").groupBy("_leaf", "_masked").agg(F.count("*").alias("_n"), F.first("_line").alias("_line")).withColumn("_tokens", F.split("_line", " ")).drop("_line")
     kinds = scratch.save(kinds)
     tokens = kinds.select("_leaf", "_n", F.posexplode("_tokens").alias("_place", "_token")).groupBy("_leaf", "_place", "_token").agg(F.sum("_n").alias("_n"))
     top = tokens.groupBy("_leaf", "_place").agg(F.max(F.struct("_n", "_token")).alias("_top"), F.sum("_n").alias("_all"))
@@ -92,12 +106,13 @@ def dropped_lines(df: DataFrame, text_col: str, p: Templates, scratch: Scratch)
 def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: Templates = Templates()) -> DataFrame:
     """``df`` with its text without dropped lines, and n_lines and n_dropped for each row."""
     scratch = Scratch(df.sparkSession, "lines")
-    keyed = df.withColumns({"_id": F.col(id_col), "_key": F.xxhash64(F.col(id_col), F.col(text_col))})
-    gone = dropped_lines(keyed, text_col, params, scratch).groupBy("_key").agg(F.collect_set("_at").alias("_gone"))  # within one document
-    met = keyed.join(scratch.save(gone).hint("merge"), "_key", "left")  # the list grows with the input: no broadcast
-    kept = F.expr(f"array_join(filter(split(`{text_col}`, '\\n'), (x, i) -> not array_contains(_gone, i)), '\\n')")
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(kept)
+    key = F.xxhash64(F.col(id_col), F.col(text_col))
+    narrow = df.select(F.col(id_col).alias("_id"), key.alias("_key"), F.col(text_col).alias("_text"))
+    gone = dropped_lines(narrow, params, scratch).groupBy(F.col("_key").alias("__line_key")).agg(F.collect_set("_at").alias("__line_gone"))  # within one document
+    met = df.withColumn("__line_key", key).join(scratch.save(gone).hint("merge"), "__line_key", "left")  # the list grows with the input: no broadcast
+    kept = F.expr(f"array_join(filter(split(`{text_col}`, '\\n'), (x, i) -> not array_contains(__line_gone, i)), '\\n')")
+    text = F.when(F.col("__line_gone").isNull(), F.col(text_col)).otherwise(kept)
     n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(F.split(text_col, "\n")))
-    out = met.withColumns({"n_lines": n_lines.cast("long"), "n_dropped": F.coalesce(F.size("_gone"), F.lit(0)).cast("long"), text_col: text})
+    out = met.withColumns({"n_lines": n_lines.cast("long"), "n_dropped": F.coalesce(F.size("__line_gone"), F.lit(0)).cast("long"), text_col: text})
     names = [c for c in df.columns if c not in ("n_lines", "n_dropped")]
     return out.select(*[F.col(f"`{c}`") for c in names], "n_lines", "n_dropped")
