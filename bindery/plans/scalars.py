@@ -82,7 +82,7 @@ def date_parse(s, d):
         WHEN 3 THEN {_DATE} || 'T' || strftime(ts, '%H:%M') || ':00+05:30' ELSE {_DATE} || 'T' || strftime(ts, '%H:%M:%S') || '-08:00' END AS shown FROM events"""
 )
 def date_time_parse(s, d):
-    return adapters.stamps(s, d).select("event_id", civil.show(civil.date_time(F.col("stamp"))).alias("shown"))
+    return adapters.stamps(s, d).select("event_id", civil.date_time(F.col("stamp")).alias("dt")).select("event_id", civil.show(F.col("dt")).alias("shown"))
 
 
 @query(f"SELECT event_id, CASE WHEN event_id % 5 IN (0, 4) THEN CAST(extract(hour FROM ts) AS INTEGER) END AS hour FROM events")
@@ -93,7 +93,7 @@ def time_parse(s, d):
 
 @query(f"SELECT event_id, {_DATE} || 'T' || strftime(ts, '%H:%M:%S') || 'Z' AS shown FROM events")
 def unix_to_civil(s, d):
-    return adapters.stamps(s, d).select("event_id", civil.show(civil.from_unix(F.unix_timestamp("ts"))).alias("shown"))
+    return adapters.stamps(s, d).select("event_id", civil.from_unix(F.unix_timestamp("ts")).alias("dt")).select("event_id", civil.show(F.col("dt")).alias("shown"))
 
 
 @query("SELECT o_orderkey, CAST(CASE WHEN o_orderkey % 3 = 2 THEN NULL ELSE o_orderkey % 7 END AS INTEGER) AS major, CAST(CASE o_orderkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 0 END AS INTEGER) AS minor FROM orders")
