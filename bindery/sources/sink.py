@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import posixpath
 import zipfile
+from datetime import UTC, datetime
 from urllib.parse import unquote
 
 import pandas as pd
@@ -150,6 +151,7 @@ def ncx_document(rows: list[dict], location: str, identifier: str) -> bytes:
 
     def points(path: tuple, name: str) -> None:
         nonlocal order
+        label = "nav-point" if name == "navPoint" else "page-target"
         for p in sorted(x for x in nodes if len(x) == len(path) + 1 and x[:-1] == path):
             ref = first(p)
             if ref is None:
@@ -157,7 +159,7 @@ def ncx_document(rows: list[dict], location: str, identifier: str) -> bytes:
             order += 1
             n = nodes[p]
             extra = [("type", n["kind"] or "normal")] if name == "pageTarget" else []
-            out.add(name, [("id", n["id"] or f"{name}-{order}"), *extra, ("playOrder", str(order)), *[a for a in _pairs(n["attributes"]) if a[0] != "playOrder"]], close=False)
+            out.add(name, [("id", n["id"] or f"{label}-{order}"), *extra, ("playOrder", str(order)), *[a for a in _pairs(n["attributes"]) if a[0] != "playOrder"]], close=False)
             out.add("navLabel", close=False)
             out.add("text", (), n["label"])
             out.end("navLabel")
@@ -178,21 +180,84 @@ def ncx_document(rows: list[dict], location: str, identifier: str) -> bytes:
     return out.bytes()
 
 
-def archive(package: dict, meta: list[dict], manifest: list[dict], spine: list[dict], toc: list[dict], resources: dict[str, bytes], compression: int = 6, generate_toc: bool = True, keep=lambda path: path.startswith("/META-INF/")) -> bytes:
-    """A zipped book; the mimetype is its first entry, stored."""
+def _has_event(m: dict, name: str | None) -> bool:
+    return next((v for k, v in _pairs(m["attributes"]) if k == "opf:event"), None) == name
+
+
+def completed_metadata(meta: list[dict], manifest: list[dict], old: bool, new: bool, now: str) -> list[dict]:
+    """With what a written book is to say: dates, the cover for readers of version 2, and, for a book of version 2 only, refinements
+    as attributes."""
+    roots = [m for m in meta if m["parent_node_id"] is None and m["owner"] == "metadata"]
+    blank = {"id": None, "refines": None, "language": None, "text_direction": "auto", "attributes": [], "parent_node_id": None, "owner": "metadata"}
+    out, at = list(meta), max((m["natural_order"] for m in meta), default=-1)
+
+    def add(**row) -> None:
+        nonlocal at
+        at += 1
+        out.append(blank | row | {"natural_order": at})
+
+    if not any(m["property"] == "dc:date" and (_has_event(m, "publication") or _has_event(m, None)) for m in roots):
+        add(kind="dc", property="dc:date", value=now)
+    if new and not any(m["property"] == "dcterms:modified" or m["property"] == "dc:date" and _has_event(m, "modification") for m in roots):
+        add(kind="meta3", property="dcterms:modified", value=now)
+    if old and not any(m["property"] == "cover" for m in roots):
+        cover = next((i for i in manifest if "cover-image" in (i["properties"] or "").split()), None)
+        if cover:
+            add(kind="meta2", property="cover", value=cover["id"])
+    if not new:
+        below: dict[str, list[tuple[str, str]]] = {}
+        for m in out:
+            if m["refines"] and m["property"] in ("file-as", "role", "authority", "term"):
+                below.setdefault(m["refines"], []).append((f"opf:{m['property']}", m["value"]))
+        kept = []
+        for m in out:
+            if m["kind"] == "meta3" or m["kind"] == "link":
+                continue
+            known = {k for k, _ in _pairs(m["attributes"])}
+            more = {k: v for k, v in reversed(below.get(m["id"] or "", [])) if k not in known}
+            kept.append(m | {"attributes": [*({"name": k, "value": v} for k, v in _pairs(m["attributes"])), *({"name": k, "value": v} for k, v in more.items())]})
+        out = kept
+    return out
+
+
+def _free(name: str, used: set[str]) -> str:
+    stem, dot, ending = name.rpartition(".")
+    k, new = 0, name
+    while new in used:
+        k += 1
+        new = f"{stem}{k}{dot}{ending}" if dot else f"{name}-{k}"
+    return new
+
+
+def archive(package: dict, meta: list[dict], manifest: list[dict], spine: list[dict], toc: list[dict], resources: dict[str, bytes], compression: int = 6, generate_toc: bool = True, targets: tuple[int, ...] = (2,), now: str = "", keep=lambda path: path.startswith("/META-INF/")) -> bytes:
+    """A zipped book; the mimetype is its first entry, stored. Its own version and ``targets`` say which navigation it gets: that of
+    version 2 in an NCX, that of version 3 in a nav document, in the items that are there or in new ones."""
+    major = package["major"] or 3
+    old, new = major == 2 or 2 in targets, major >= 3 or 3 in targets
     files = {unquote(i["href"]) for i in manifest}
     entries = {p: c for p, c in resources.items() if p in files or keep(p)}
+    manifest, package = list(manifest), dict(package)
     if generate_toc and toc:
         title = next((m["value"] for m in sorted(meta, key=lambda m: m["natural_order"]) if m["property"] == "dc:title"), "")
-        nav = next((i for i in manifest if "nav" in (i["properties"] or "").split()), None)
-        ncx = next((i for i in manifest if i["id"] == package["ncx_id"]), None)
-        if nav and any(r["root_version"] == 3 for r in toc):
-            entries[unquote(nav["href"])] = nav_document([r for r in toc if r["root_version"] == 3], nav["href"], title)
-        if ncx and any(r["root_version"] == 2 for r in toc):
+        of = lambda version: [r for r in toc if r["root_version"] == version]
+        blank = {"fallback": None, "media_overlay": None, "attributes": []}
+
+        def item(key: str, name: str, kind: str, properties: str) -> dict:
+            href = _free(f"{package['directory'].rstrip('/')}/{name}", {i["href"] for i in manifest})
+            row = blank | {"ord": len(manifest), "id": _free(key, {i["id"] for i in manifest}), "href": href, "media_type": kind, "properties": properties}
+            manifest.append(row)
+            return row
+
+        if new:
+            nav = next((i for i in manifest if "nav" in (i["properties"] or "").split()), None) or item("nav", "toc.xhtml", "application/xhtml+xml", "nav")
+            entries[unquote(nav["href"])] = nav_document(of(3) or of(2), nav["href"], title)
+        if old:
+            ncx = next((i for i in manifest if i["id"] == package["ncx_id"]), None) or item("ncx", "toc.ncx", "application/x-dtbncx+xml", "")
+            package["ncx_id"] = ncx["id"]
             uid = next((m["value"] for m in meta if m["property"] == "dc:identifier" and m["id"] == package["unique_identifier"]), "")
-            entries[unquote(ncx["href"])] = ncx_document([r for r in toc if r["root_version"] == 2], ncx["href"], uid)
+            entries[unquote(ncx["href"])] = ncx_document(of(2) or of(3), ncx["href"], uid)
     entries["/META-INF/container.xml"] = container_document(package["location"])
-    entries[package["location"]] = package_document(package, meta, manifest, spine)
+    entries[package["location"]] = package_document(package, completed_metadata(meta, manifest, old, new, now), manifest, spine)
     entries.pop("/mimetype", None)
     out = io.BytesIO()
     method = zipfile.ZIP_DEFLATED if compression else zipfile.ZIP_STORED
@@ -203,8 +268,9 @@ def archive(package: dict, meta: list[dict], manifest: list[dict], spine: list[d
     return out.getvalue()
 
 
-def write(corpus: Corpus, compression: int = 6, generate_toc: bool = True) -> DataFrame:
-    """(book_id, content): an archive for each book. Resources and rows of a book meet in one group; a book bounds its size."""
+def write(corpus: Corpus, compression: int = 6, generate_toc: bool = True, targets: tuple[int, ...] = (2,), now: str | None = None) -> DataFrame:
+    """(book_id, content): an archive for each book, dated ``now`` where it has no dates. Resources and rows of a book meet in one group; a book bounds its size."""
+    now = now or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     nest = lambda df, name: df.groupBy("book_id").agg(F.collect_list(F.struct(*[c for c in df.columns if c != "book_id"])).alias(name))
     met = corpus.package.select("book_id", F.struct(*[c for c in corpus.package.columns if c != "book_id"]).alias("package"))
     for name in ("meta", "manifest", "spine", "toc", "resources"):
@@ -214,7 +280,7 @@ def write(corpus: Corpus, compression: int = 6, generate_toc: bool = True) -> Da
         for batch in batches:
             rows = batch.to_dict("records")
             listed = lambda x: [] if x is None else list(x)
-            made = [archive(r["package"], *[listed(r[n]) for n in ("meta", "manifest", "spine", "toc")], {x["path"]: bytes(x["content"]) for x in listed(r["resources"])}, compression, generate_toc) for r in rows]
+            made = [archive(r["package"], *[listed(r[n]) for n in ("meta", "manifest", "spine", "toc")], {x["path"]: bytes(x["content"]) for x in listed(r["resources"])}, compression, generate_toc, targets, now) for r in rows]
             yield pd.DataFrame({"book_id": [r["book_id"] for r in rows], "content": made})
 
     return met.mapInPandas(run, "book_id string, content binary")
