@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
+from .skew import salted_semi
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Characters of the prefix.
@@ -32,7 +33,7 @@ def normalised(text: str | Column) -> Column:
 def _shared(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Rows whose keys another row has too."""
     counts = rows.groupBy(*keys).agg(F.count("*").alias("_n")).filter("_n > 1").drop("_n")
-    return rows.join(counts, keys, "left_semi")
+    return salted_semi(rows, counts, keys, "doc_id")
 
 
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: int = PREFIX, digest: bool = False) -> DataFrame:
