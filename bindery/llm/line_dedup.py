@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
+from .skew import salted_semi
 
 WILDCARD = "<*>"
 SEEDS = (11, 22, 33)
@@ -70,7 +71,7 @@ def _recurring(rows: DataFrame, key: str, p: Templates) -> DataFrame:
     """Keys that recur, each with its first place. Rare keys go first; a key's documents are counted in groups summed beforehand."""
     often = rows.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") >= p.documents).select(key)
     place = F.min(F.struct(F.col("_id").isNull().alias("_null"), "_id", "_at", "_key")).alias("_first")
-    docs = rows.join(often, key, "left_semi").groupBy(key, "_key").agg(place, F.first("_sketch").alias("_sketch"))
+    docs = salted_semi(rows, often, [key], "_key").groupBy(key, "_key").agg(place, F.first("_sketch").alias("_sketch"))
     kinds = [F.approx_count_distinct(F.get("_sketch", F.lit(k)), 0.03).alias(f"_d{k}") for k in range(len(SEEDS))]
     counts = docs.groupBy(key).agg(F.count("*").alias("_docs"), F.min("_first").alias("_first"), *kinds)
     most = F.greatest(*[F.col(f"_d{k}") for k in range(len(SEEDS))])
