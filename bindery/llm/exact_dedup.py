@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
-from .skew import salted_semi
+from .skew import salted_join, salted_semi
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Characters of the prefix.
@@ -48,7 +48,7 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
         open_ = df.select(*first, text.alias("_text")).join(keys, ["_length", "_prefix"], "left_semi").select("doc_id", "_length", "_prefix", F.sha2("_text", 256).alias("text_sha256"))
     same = open_.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).filter("group_size > 1")
     if not digest:
-        same = open_.join(same, "text_sha256").select("doc_id", "_length", "_prefix", "keep_id", "group_size").distinct()
-    out = rows.join(same, "text_sha256" if digest else ["doc_id", "_length", "_prefix"], "left")
+        same = salted_join(open_, same, ["text_sha256"], "doc_id", "inner").select("doc_id", "_length", "_prefix", "keep_id", "group_size").distinct()
+    out = salted_join(rows, same, ["text_sha256"], "doc_id", "left") if digest else rows.join(same, ["doc_id", "_length", "_prefix"], "left")
     keep = F.coalesce("keep_id", "doc_id")
     return out.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), *["text_sha256"] * digest)

@@ -8,8 +8,14 @@ from pyspark.sql import functions as F
 SALTS = 16
 
 
-def salted_semi(rows: DataFrame, kept: DataFrame, keys: list[str], by: str, salts: int = SALTS) -> DataFrame:
-    """Rows whose keys are in ``kept`` (one row for each key, repeated for each salt). Rows of one key go to as many tasks as there
-    are salts, by ``by``; a grouping by the keys that follows shuffles sums, as the salted partitioning cannot serve it."""
-    many = kept.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
-    return rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int")).join(many, [*keys, "_salt"], "left_semi").drop("_salt")
+def salted_join(rows: DataFrame, table: DataFrame, keys: list[str], by: str, how: str, salts: int = SALTS) -> DataFrame:
+    """``rows`` joined with ``table``, which has one row for each key and is repeated for each salt. Rows of one key go to as many
+    tasks as there are salts, by ``by``; a grouping by the keys that follows shuffles sums, as the salted partitioning cannot
+    serve it."""
+    many = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int")).join(many, [*keys, "_salt"], how).drop("_salt")
+
+
+def salted_semi(rows: DataFrame, kept: DataFrame, keys: list[str], by: str) -> DataFrame:
+    """Rows whose keys are in ``kept``."""
+    return salted_join(rows, kept.select(*keys), keys, by, "left_semi")
