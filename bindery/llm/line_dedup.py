@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
-from .skew import salted_semi
+from .skew import salted_join, salted_semi
 
 WILDCARD = "<*>"
 SEEDS = (11, 22, 33)
@@ -100,7 +100,7 @@ def dropped_lines(df: DataFrame, p: Templates, scratch: Scratch) -> DataFrame:
     general = met.filter(fits).select("_leaf", "_masked", F.col("_leaf").alias("_general"))
     rows = rows.join(general, ["_leaf", "_masked"], "left").withColumn("_template", F.when(F.col("_general").isNull(), F.col("_masked")).otherwise(F.xxhash64(F.col("_general"), F.lit("general"))))
     rows = scratch.save(rows.select("_id", "_key", "_sketch", "_at", "_template"))
-    met = rows.join(_recurring(rows, "_template", p), "_template")
+    met = salted_join(rows, _recurring(rows, "_template", p), ["_template"], "_key", "inner")
     return met.filter((F.col("_key") != F.col("_first._key")) | (F.col("_at") != F.col("_first._at"))).select("_key", "_at")
 
 
