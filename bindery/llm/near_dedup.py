@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from .arrow import U, groups, mix, slices, word_hashes
 from .scratch import Scratch
+from .skew import salted_join
 
 
 @dataclass(frozen=True)
@@ -292,11 +293,11 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
 
     rows = reps.select("doc_id", F.posexplode("bands").alias("band", "bucket"))
     sizes = rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    rows = scratch.save(rows.join(sizes, "bucket"))
+    rows = scratch.save(salted_join(rows, sizes, ["bucket"], "doc_id", "inner"))
     central = rows.groupBy("doc_id").agg(F.sum("n").alias("weight"))
     pivots = rows.join(central, "doc_id").groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("doc_id")).alias("id"))).alias("top"))
     pivots = scratch.save(pivots.select("bucket", (-F.col("top.id")).alias("pivot")))
-    pairs = rows.join(pivots, "bucket").filter("doc_id <> pivot").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct()
+    pairs = salted_join(rows, pivots, ["bucket"], "doc_id", "inner").filter("doc_id <> pivot").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct()
 
     sig = reps.select("doc_id", "sig")
     pairs = pairs.join(sig.select(F.col("doc_id").alias("b"), F.col("sig").alias("sig_b")), "b").join(sig.select(F.col("doc_id").alias("a"), F.col("sig").alias("sig_a")), "a")
@@ -312,10 +313,10 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
     # members that the centre did not reach meet the other members
     named = rows.filter("n > 2").join(comps.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
     main = pivots.join(comps.withColumnRenamed("id", "pivot"), "pivot", "left").select("bucket", "pivot", F.coalesce("comp", "pivot").alias("main"))
-    named = named.join(main, "bucket").select("bucket", "band", "doc_id", "comp", "n", "pivot", (F.col("comp") != F.col("main")).alias("odd"))
+    named = salted_join(named, main, ["bucket"], "doc_id", "inner").select("bucket", "band", "doc_id", "comp", "n", "pivot", (F.col("comp") != F.col("main")).alias("odd"))
     named = scratch.save(named.filter("doc_id <> pivot").drop("pivot"))
     odd = named.groupBy("bucket").agg(F.count_if("odd").alias("n_odd")).filter("n_odd > 0")
-    named = named.join(odd, "bucket").join(sig, "doc_id")
+    named = salted_join(named, odd, ["bucket"], "doc_id", "inner").join(sig, "doc_id")
     blocks, chunks = F.ceil(F.col("n") / p.block).cast("int"), F.ceil(F.col("n_odd") / p.block).cast("int")
     spread = lambda of: F.pmod(F.xxhash64("doc_id"), of).cast("int")
     fixed = ["bucket", "band", "doc_id", "comp", "odd", "sig"]
