@@ -265,9 +265,9 @@ def components(scratch: Scratch, edges: DataFrame, a: str = "a", b: str = "b") -
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = salted_join(both.filter("v > u"), low, ["u"], "v", "inner").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        met = large.join(low, "u")
+        met = salted_join(large, low, ["u"], "v", "inner")
         small = met.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(met.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         after = scratch.save(small)
         state = after.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.count_if(F.col("v") >= F.col("u"))).first()
