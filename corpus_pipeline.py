@@ -29,7 +29,8 @@ def line_templates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, one row of each document."""
     found = Scratch(spark, "kept").save(near_dedup.near_dedup(docs, params=near_dedup.NearDedup()))
-    out = docs.join(found.filter("not kept").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    gone = found.filter("not kept").select("doc_id").distinct().hint("merge")  # it grows with the input: no broadcast
+    out = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     if not found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
         out = out.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(out.filter("doc_id is null"))
     return out
