@@ -12,7 +12,7 @@ def salted_join(rows: DataFrame, table: DataFrame, keys: list[str], by: str, how
     """``rows`` joined with ``table``, which has one row for each key and is repeated for each salt. Rows of one key go to as many
     tasks as there are salts, by ``by``; a grouping by the keys that follows shuffles sums, as the salted partitioning cannot
     serve it."""
-    many = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    many = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).hint("merge")  # repeated rows compress so well that their size would be underrated
     return rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int")).join(many, [*keys, "_salt"], how).drop("_salt")
 
 
