@@ -2,8 +2,8 @@
 
 Heuristic labellers vote for or against each document or abstain. Expectation-maximisation over the counts of all vote patterns
 estimates each labeller's accuracy without any true label, and with it the posterior that a document is good. A linear model over
-hashed features learns the posterior of a bounded sample (``sample`` documents, those with the least hash of id) and scores every
-document; below ``threshold`` a document is rejected.
+hashed features learns the posterior of a bounded sample (``sample`` documents, those with the least hash of id), in one task, and
+scores every document; below ``threshold`` a document is rejected.
 
 Vote patterns are at most 3 to the number of labellers, at any size of the corpus.
 
@@ -251,6 +251,23 @@ def _filter(p: Quality, weights: np.ndarray, text_col: str):
     return run
 
 
+def _fitter(p: Quality, weak: WeakModel):
+    """Fits in the one task that has the sample, so that its texts never come to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, target = [], [np.empty(0)]
+        for batch in batches:
+            for _, part in slices(batch.column(0)):
+                w = Words(part)
+                some = np.flatnonzero(w.words)
+                texts.extend(part[i] for i in some)
+                target.append(weak.posterior(votes(w.statistics(), w.words)[some]))
+        weights = fit_linear(texts, np.concatenate(target), p)
+        yield pa.RecordBatch.from_arrays([pa.array([weights], pa.list_(pa.float64()))], names=["weights"])
+
+    return run
+
+
 def _narrow(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
@@ -261,10 +278,10 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: Q
     voted = Scratch(df.sparkSession, "quality").save(docs.mapInArrow(_vote, "doc_id long, votes long, n_words long"))
     counts = {r.votes: r.n for r in voted.filter("n_words > 0").groupBy("votes").agg(F.count("*").alias("n")).collect()}  # 3^8 rows at most
     weak = maximise(counts, p.rounds) if counts else WeakModel(0.5, np.full((2, len(LABELLERS), 3), 1 / 3))
-    chosen = voted.filter("n_words > 0 and doc_id is not null").select("doc_id", "votes", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(p.sample)
-    rows = docs.join(F.broadcast(chosen.select("doc_id", "votes")), "doc_id").select(F.col("text").cast("binary").alias("text"), "votes").toArrow()  # p.sample rows
-    texts = [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in rows.column("text")]
-    return fit_linear(texts, weak.posterior(rows.column("votes").to_numpy()) if texts else np.empty(0), p)
+    chosen = voted.filter("n_words > 0 and doc_id is not null").select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(p.sample).select("doc_id").distinct()
+    rows = docs.join(F.broadcast(chosen), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(p.sample)  # at most p.sample ids are broadcast
+    found = rows.select(F.col("text").cast("binary").alias("text")).mapInArrow(_fitter(p, weak), "weights array<double>").collect()  # one row of 2^bits + 1 numbers
+    return np.array(found[0].weights) if found else np.zeros((1 << p.bits) + 1)
 
 
 def classify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: Quality = Quality()) -> DataFrame:
