@@ -346,6 +346,22 @@ def test_quality(spark, odd):
     assert kept.columns == odd.columns and kept.count() == sum(r.kept for r in quality.classify(odd).collect())
 
 
+def test_quality_sample_is_bounded_and_stable(spark):
+    """One id on all rows neither enlarges the sample nor multiplies it; row order and partitions do not matter."""
+    p = quality.Quality(sample=20, bits=8)
+    rows = [(7, f"the river number {i} flows past a quiet town and its old mill" if i % 3 else f"@@ ## {i} $$ && !! ~~ %% ^^") for i in range(90)]
+    one = spark.createDataFrame(rows, "doc_id long, text string")
+    assert quality.classify(one, params=p).count() == 90
+    least = sorted(t for _, t in rows)[:20]
+    same = spark.createDataFrame([(7, t) for t in least], "doc_id long, text string")
+    weak = quality.WeakModel(0.5, np.full((2, len(quality.LABELLERS), 3), 1 / 3))
+    want = quality.fit_linear([t.encode() for t in least], np.full(20, 0.5), p)
+    got = same.selectExpr("cast(text as binary) AS text").coalesce(1).mapInArrow(quality._fitter(p, weak), "weights array<double>").collect()
+    assert np.allclose(got[0].weights, want)
+    a, b = quality.fit(one, params=p), quality.fit(one.repartition(5), params=p)
+    assert np.array_equal(a, b)
+
+
 def test_expectation_maximisation():
     r = np.random.default_rng(8)
     n, good = len(quality.LABELLERS), r.random(20_000) < 0.8
