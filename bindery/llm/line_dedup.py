@@ -7,10 +7,10 @@ have all the constants share the leaf's template; any other line is its own temp
 ``documents`` documents or more is dropped from all but its first place (the smallest id, then the smallest position), so that
 nothing vanishes from the corpus altogether.
 
-Near copies of one document would make all its lines recur. So documents are told apart by sketches, the least hashes of their
-long words (short ones are in most documents) under ``SEEDS`` hash functions: near copies mostly share them, and what all documents
-with a line share, the line itself, can rule some functions but hardly all. A template recurs if by one function at least the
-documents have ``documents`` sketches or more, and ``distinct`` times as many as documents.
+Near copies of one document would make all its lines recur. So documents are first put into classes of near copies, and a template
+recurs if it is in documents of ``documents`` classes or more, however many copies each class has. A document's sketch is the least
+hashes of its pairs of neighbouring words; documents that share a run of the sketch are linked if, by the sketches, less than
+``distinct`` of their pairs differ, and what is linked is one class.
 
 Counting is by pre-aggregated groups; leaves' positions are only taken apart for leaves that already recur.
 
@@ -26,23 +26,24 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .near_dedup import components
 from .scratch import Scratch
 from .skew import salted_join, salted_semi
 
 WILDCARD = "<*>"
-SEEDS = (11, 22, 33)
+#: Values of a sketch, and of a run that two sketches have to share before they are compared.
+SKETCH, RUN = 24, 4
 
 
 @dataclass(frozen=True)
 class Templates:
-    """depth: leading tokens of the tree; least: tokens of a line that may be dropped; documents, distinct: when a template
-    recurs; rare: characters of a word that counts for sketches; prevails: share of a leaf's lines with a constant token; constant: share of constant positions in a template."""
+    """depth: leading tokens of the tree; least: tokens of a line that may be dropped; documents: classes of documents in which a
+    template recurs; distinct: share of word pairs in which near copies differ at most; prevails: share of a leaf's lines with a constant token; constant: share of constant positions in a template."""
 
     depth: int = 3
     least: int = 4
     documents: int = 3
-    distinct: float = 0.2
-    rare: int = 8
+    distinct: float = 0.4
     prevails: float = 0.9
     constant: float = 0.7
 
@@ -59,33 +60,50 @@ def lines(df: DataFrame, p: Templates) -> DataFrame:
     return rows.select("_id", "_key", "_at", leaf.alias("_leaf"), F.xxhash64("_line").alias("_masked"), "_line")
 
 
-def sketches(df: DataFrame, p: Templates) -> DataFrame:
-    """_key and the sketch of each document, an array with a value for each function."""
-    words = F.filter(F.split("_text", " "), lambda w: F.char_length(w) >= p.rare)
-    docs = df.filter("_text is not null").select("_key", "_text", words.alias("_words"))
-    least = lambda seed: F.coalesce(F.array_min(F.transform("_words", lambda w: F.xxhash64(w, F.lit(seed)))), F.xxhash64("_text"))
-    return docs.select("_key", F.array(*[least(seed) for seed in SEEDS]).alias("_sketch")).dropDuplicates(["_key"])
-
-
-def _recurring(rows: DataFrame, key: str, p: Templates) -> DataFrame:
-    """Keys that recur, each with its first place. Rare keys go first; a key's documents are counted in groups summed beforehand."""
+def sketches(df: DataFrame) -> DataFrame:
+    """_key, _node (one for equal sketches) and _sketch of each document."""
+    docs = df.filter("_text is not null").select("_key", F.split(F.replace("_text", F.lit("\n"), F.lit(" ")), " ").alias("_words"), F.xxhash64("_text").alias("_whole"))
+    pairs = F.zip_with("_words", F.slice("_words", F.lit(2), F.size("_words")), lambda a, b: F.xxhash64(a, b))
+    docs = docs.select("_key", "_whole", ((8.0 * SKETCH / F.size("_words") - 1) * 2.0**63).alias("_bound"), pairs.alias("_pairs"))
+    low = F.filter("_pairs", lambda h: h.cast("double") <= F.col("_bound"))  # only spares sorting: far more than a sketch holds
+    docs = docs.select("_key", "_whole", F.slice(F.sort_array(F.array_distinct(low)), 1, SKETCH).alias("_sketch"))
+    docs = docs.withColumn("_sketch", F.when(F.size("_sketch") > 0, F.col("_sketch")).otherwise(F.array("_whole")))
+    return docs.select("_key", F.xxhash64("_sketch").alias("_node"), "_sketch").dropDuplicates(["_key"])
+
+
+def classes(df: DataFrame, p: Templates, scratch: Scratch) -> DataFrame:
+    """_key and _class of each document; near copies have one class."""
+    docs = scratch.save(sketches(df))
+    nodes = scratch.save(docs.groupBy("_node").agg(F.first("_sketch").alias("_sketch")))
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("_sketch") - (RUN - 1), F.lit(1))), lambda i: F.slice("_sketch", i, F.lit(RUN)))
+    rows = nodes.select("_node", F.explode(runs).alias("_run")).select("_node", F.xxhash64("_run").alias("_run"))
+    shared = rows.groupBy("_run").agg(F.count("*").alias("_n"), F.min("_node").alias("_other")).filter("_n > 1").drop("_n")
+    pairs = salted_join(rows, shared, ["_run"], "_node", "inner").filter("_node <> _other").select("_node", "_other").distinct()
+    met = pairs.join(nodes, "_node").join(nodes.select(F.col("_node").alias("_other"), F.col("_sketch").alias("_there")), "_other")
+    least = F.slice(F.sort_array(F.array_union("_sketch", "_there")), 1, SKETCH)
+    both = F.size(F.array_intersect(least, F.array_intersect("_sketch", "_there")))
+    links = met.filter(both >= (1 - p.distinct) * F.size(least)).select(F.col("_node").alias("a"), F.col("_other").alias("b"))
+    comps = components(scratch, links).select(F.col("id").alias("_node"), F.col("comp").alias("_class"))
+    return docs.select("_key", "_node").join(comps, "_node", "left").select("_key", F.coalesce("_class", "_node").alias("_class"))
+
+
+def _recurring(rows: DataFrame, key: str, kinds: DataFrame, p: Templates) -> DataFrame:
+    """Keys that recur, each with its first place. Rare keys go first; a key's classes are counted in groups summed beforehand."""
     often = rows.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") >= p.documents).select(key)
     place = F.min(F.struct(F.col("_id").isNull().alias("_null"), "_id", "_at", "_key")).alias("_first")
-    docs = salted_semi(rows, often, [key], "_key").groupBy(key, "_key").agg(place, F.first("_sketch").alias("_sketch"))
-    kinds = [F.approx_count_distinct(F.get("_sketch", F.lit(k)), 0.03).alias(f"_d{k}") for k in range(len(SEEDS))]
-    counts = docs.groupBy(key).agg(F.count("*").alias("_docs"), F.min("_first").alias("_first"), *kinds)
-    most = F.greatest(*[F.col(f"_d{k}") for k in range(len(SEEDS))])
-    return counts.filter((most >= p.documents) & (most >= p.distinct * F.col("_docs"))).select(key, "_first")
+    docs = salted_semi(rows, often, [key], "_key").groupBy(key, "_key").agg(place).join(kinds, "_key")
+    found = docs.groupBy(key, "_class").agg(F.min("_first").alias("_first")).groupBy(key).agg(F.count("*").alias("_kinds"), F.min("_first").alias("_first"))
+    return found.filter(F.col("_kinds") >= p.documents).select(key, "_first")
 
 
 def dropped_lines(df: DataFrame, p: Templates, scratch: Scratch) -> DataFrame:
     """_key and _at of the lines that go; df has _id, _key and _text."""
     found = lines(df, p)
     rows = scratch.save(found.drop("_line"))
-    rows = scratch.save(rows.join(scratch.save(sketches(df, p)), "_key"))
+    alike = scratch.save(classes(df, p, scratch))
     # leaves at which different lines of several documents meet
     leaves = rows.groupBy("_leaf", "_masked").agg(F.count("*").alias("_n")).groupBy("_leaf").agg(F.sum("_n").alias("_n"), F.count("*").alias("_kinds"))
-    leaves = scratch.save(leaves.filter((F.col("_kinds") > 1) & (F.col("_n") >= p.documents)).join(_recurring(rows, "_leaf", p).select("_leaf"), "_leaf"))
+    leaves = scratch.save(leaves.filter((F.col("_kinds") > 1) & (F.col("_n") >= p.documents)).join(_recurring(rows, "_leaf", alike, p).select("_leaf"), "_leaf"))
     kinds = found.join(leaves.select("_leaf"), "_leaf", "left_semi").groupBy("_leaf", "_masked").agg(F.count("*").alias("_n"), F.first("_line").alias("_line")).withColumn("_tokens", F.split("_line", " ")).drop("_line")
     kinds = scratch.save(kinds)
     tokens = kinds.select("_leaf", "_n", F.posexplode("_tokens").alias("_place", "_token")).groupBy("_leaf", "_place", "_token").agg(F.sum("_n").alias("_n"))
@@ -99,8 +117,8 @@ def dropped_lines(df: DataFrame, p: Templates, scratch: Scratch) -> DataFrame:
     fits = F.forall(F.map_entries("_fixed"), lambda e: F.get("_tokens", e["key"]) == e["value"])
     general = met.filter(fits).select("_leaf", "_masked", F.col("_leaf").alias("_general"))
     rows = rows.join(general, ["_leaf", "_masked"], "left").withColumn("_template", F.when(F.col("_general").isNull(), F.col("_masked")).otherwise(F.xxhash64(F.col("_general"), F.lit("general"))))
-    rows = scratch.save(rows.select("_id", "_key", "_sketch", "_at", "_template"))
-    met = salted_join(rows, _recurring(rows, "_template", p), ["_template"], "_key", "inner")
+    rows = scratch.save(rows.select("_id", "_key", "_at", "_template"))
+    met = salted_join(rows, _recurring(rows, "_template", alike, p), ["_template"], "_key", "inner")
     return met.filter((F.col("_key") != F.col("_first._key")) | (F.col("_at") != F.col("_first._at"))).select("_key", "_at")
 
 

@@ -334,6 +334,30 @@ def test_line_dedup_exact_lines(docs):
         assert all(tuple("<*>" if re.search("[0-9]", w) else w for w in x.strip(" ").split(" ")) in often for x in gone)
 
 
+def shared_line(n, copies, r, edits=0, own=80):
+    """A passage of 60 words in ``n`` different documents and in a group of near copies; and the passage."""
+    words = lambda k: ["".join(r.choice(list("abcdefghijklm"), int(r.integers(2, 12)))) for _ in range(k)]
+    passage, base, rows = " ".join(words(60)), words(300), []
+    for k in range(n):
+        rows.append((k, "\n".join([" ".join(words(own)), passage])))
+    for k in range(copies):
+        text = list(base)
+        for at in r.choice(300, edits, replace=False):
+            text[at] = words(1)[0]
+        rows.append((n + k, "\n".join([*(" ".join(text[i : i + 50]) for i in range(0, 300, 50)), passage])))
+    return rows, passage
+
+
+@pytest.mark.parametrize("n,copies,edits", [(10, 60, 0), (10, 60, 6), (30, 400, 3), (2, 40, 3)])
+def test_line_dedup_recall_beside_copies(spark, n, copies, edits):
+    """Production parameters: the passage goes wherever different documents have it, and no other line of the copies does."""
+    rows, passage = shared_line(n, copies, np.random.default_rng(11), edits)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {x.doc_id: x.text for x in line_dedup.line_dedup(df).collect()}
+    assert [i for i, t in rows if passage in out[i].split("\n")] == [0]
+    assert all(out[i] == "\n".join(x for x in t.split("\n") if x != passage) for i, t in rows if i)
+
+
 def test_quality(spark, odd):
     big = queries.documents(spark, "/root/testdata/sf0.01")
     out = quality.classify(big).withColumnRenamed("kept", "k").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").collect()
