@@ -10,7 +10,8 @@ nothing vanishes from the corpus altogether.
 Near copies of one document would make all its lines recur. So documents are first put into classes of near copies, and a template
 recurs if it is in documents of ``documents`` classes or more, however many copies each class has. A document's sketch is the least
 hashes of its pairs of neighbouring words; documents that share a run of the sketch are linked if, by the sketches, less than
-``distinct`` of their pairs differ, and what is linked is one class.
+``distinct`` of their pairs differ, and what is linked is one class. A line that is more than half of its document would make
+documents alike by itself: for such a line the document counts by what else is in it, sketched and classed in the same way.
 
 Counting is by pre-aggregated groups; leaves' positions are only taken apart for leaves that already recur.
 
@@ -23,7 +24,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .near_dedup import components
@@ -48,31 +49,39 @@ class Templates:
     constant: float = 0.7
 
 
+def _most(line: Column) -> Column:
+    """Whether a line is more than half of its document; at most one is."""
+    return 2 * F.octet_length(line) > F.octet_length("_text")
+
+
 def lines(df: DataFrame, p: Templates) -> DataFrame:
-    """_id, _key, _at, _leaf, _masked (a hash) and _line (masked) of every line that may be dropped. Nothing is split into tokens."""
-    rows = df.filter("_text is not null").select("_id", "_key", F.posexplode(F.split("_text", "\n")).alias("_at", "_raw"))
-    rows = rows.withColumn("_raw", F.trim("_raw"))
+    """_id, _key, _at, _most, _leaf, _masked (a hash) and _line (masked) of every line that may be dropped. Nothing is split into tokens."""
+    rows = df.filter("_text is not null").select("_id", "_key", "_text", F.posexplode(F.split("_text", "\n")).alias("_at", "_raw"))
+    rows = rows.withColumn("_raw", F.trim("_raw")).withColumn("_most", _most(F.col("_raw"))).drop("_text")
     masked = F.when(F.col("_raw").rlike("[0-9]"), F.regexp_replace("_raw", r"[^\x200-9]*+[0-9][^\x20]*+", WILDCARD)).otherwise(F.col("_raw"))
     rows = rows.withColumn("_line", masked)
     tokens = F.octet_length("_line") - F.octet_length(F.replace("_line", F.lit(" "))) + 1
     rows = rows.withColumn("_n_tokens", tokens).filter(F.col("_n_tokens") >= p.least)
     leaf = F.xxhash64("_n_tokens", F.substring_index("_line", " ", p.depth))
-    return rows.select("_id", "_key", "_at", leaf.alias("_leaf"), F.xxhash64("_line").alias("_masked"), "_line")
+    return rows.select("_id", "_key", "_at", "_most", leaf.alias("_leaf"), F.xxhash64("_line").alias("_masked"), "_line")
 
 
 def sketches(df: DataFrame) -> DataFrame:
-    """_key, _node (one for equal sketches) and _sketch of each document."""
-    docs = df.filter("_text is not null").select("_key", F.split(F.replace("_text", F.lit("\n"), F.lit(" ")), " ").alias("_words"), F.xxhash64("_text").alias("_whole"))
+    """_key, _most, _node (one for equal sketches) and _sketch of each document and, where _most, of it without its largest line."""
+    docs = df.filter("_text is not null").select("_key", F.lit(False).alias("_most"), "_text")
+    largest = docs.withColumn("_line", F.get(F.filter(F.transform(F.split("_text", "\n"), lambda x: F.trim(x)), _most), F.lit(0))).filter("_line is not null")
+    docs = docs.unionByName(largest.select("_key", F.lit(True).alias("_most"), F.trim(F.replace("_text", F.col("_line"), F.lit(""))).alias("_text")))
+    docs = docs.select("_key", "_most", F.split(F.replace("_text", F.lit("\n"), F.lit(" ")), " ").alias("_words"), F.xxhash64("_text").alias("_whole"))
     pairs = F.zip_with("_words", F.slice("_words", F.lit(2), F.size("_words")), lambda a, b: F.xxhash64(a, b))
-    docs = docs.select("_key", "_whole", ((8.0 * SKETCH / F.size("_words") - 1) * 2.0**63).alias("_bound"), pairs.alias("_pairs"))
+    docs = docs.select("_key", "_most", "_whole", ((8.0 * SKETCH / F.size("_words") - 1) * 2.0**63).alias("_bound"), pairs.alias("_pairs"))
     low = F.filter("_pairs", lambda h: h.cast("double") <= F.col("_bound"))  # only spares sorting: far more than a sketch holds
-    docs = docs.select("_key", "_whole", F.slice(F.sort_array(F.array_distinct(low)), 1, SKETCH).alias("_sketch"))
+    docs = docs.select("_key", "_most", "_whole", F.slice(F.sort_array(F.array_distinct(low)), 1, SKETCH).alias("_sketch"))
     docs = docs.withColumn("_sketch", F.when(F.size("_sketch") > 0, F.col("_sketch")).otherwise(F.array("_whole")))
-    return docs.select("_key", F.xxhash64("_sketch").alias("_node"), "_sketch").dropDuplicates(["_key"])
+    return docs.select("_key", "_most", F.xxhash64("_sketch").alias("_node"), "_sketch").dropDuplicates(["_key", "_most"])
 
 
 def classes(df: DataFrame, p: Templates, scratch: Scratch) -> DataFrame:
-    """_key and _class of each document; near copies have one class."""
+    """_key, _most and _class as of ``sketches``; near copies have one class."""
     docs = scratch.save(sketches(df))
     nodes = scratch.save(docs.groupBy("_node").agg(F.first("_sketch").alias("_sketch")))
     runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("_sketch") - (RUN - 1), F.lit(1))), lambda i: F.slice("_sketch", i, F.lit(RUN)))
@@ -84,14 +93,14 @@ def classes(df: DataFrame, p: Templates, scratch: Scratch) -> DataFrame:
     both = F.size(F.array_intersect(least, F.array_intersect("_sketch", "_there")))
     links = met.filter(both >= (1 - p.distinct) * F.size(least)).select(F.col("_node").alias("a"), F.col("_other").alias("b"))
     comps = components(scratch, links).select(F.col("id").alias("_node"), F.col("comp").alias("_class"))
-    return docs.select("_key", "_node").join(comps, "_node", "left").select("_key", F.coalesce("_class", "_node").alias("_class"))
+    return docs.select("_key", "_most", "_node").join(comps, "_node", "left").select("_key", "_most", F.coalesce("_class", "_node").alias("_class"))
 
 
 def _recurring(rows: DataFrame, key: str, kinds: DataFrame, p: Templates) -> DataFrame:
     """Keys that recur, each with its first place. Rare keys go first; a key's classes are counted in groups summed beforehand."""
     often = rows.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") >= p.documents).select(key)
     place = F.min(F.struct(F.col("_id").isNull().alias("_null"), "_id", "_at", "_key")).alias("_first")
-    docs = salted_semi(rows, often, [key], "_key").groupBy(key, "_key").agg(place).join(kinds, "_key")
+    docs = salted_semi(rows, often, [key], "_key").groupBy(key, "_key").agg(place, F.max("_most").alias("_most")).join(kinds, ["_key", "_most"])
     found = docs.groupBy(key, "_class").agg(F.min("_first").alias("_first")).groupBy(key).agg(F.count("*").alias("_kinds"), F.min("_first").alias("_first"))
     return found.filter(F.col("_kinds") >= p.documents).select(key, "_first")
 
@@ -117,7 +126,7 @@ def dropped_lines(df: DataFrame, p: Templates, scratch: Scratch) -> DataFrame:
     fits = F.forall(F.map_entries("_fixed"), lambda e: F.get("_tokens", e["key"]) == e["value"])
     general = met.filter(fits).select("_leaf", "_masked", F.col("_leaf").alias("_general"))
     rows = rows.join(general, ["_leaf", "_masked"], "left").withColumn("_template", F.when(F.col("_general").isNull(), F.col("_masked")).otherwise(F.xxhash64(F.col("_general"), F.lit("general"))))
-    rows = scratch.save(rows.select("_id", "_key", "_at", "_template"))
+    rows = scratch.save(rows.select("_id", "_key", "_at", "_most", "_template"))
     met = salted_join(rows, _recurring(rows, "_template", alike, p), ["_template"], "_key", "inner")
     return met.filter((F.col("_key") != F.col("_first._key")) | (F.col("_at") != F.col("_first._at"))).select("_key", "_at")
 

@@ -358,6 +358,19 @@ def test_line_dedup_recall_beside_copies(spark, n, copies, edits):
     assert all(out[i] == "\n".join(x for x in t.split("\n") if x != passage) for i, t in rows if i)
 
 
+@pytest.mark.parametrize("n", [3, 4, 5])
+@pytest.mark.parametrize("own", [4, 15, 40])
+def test_line_dedup_recall_in_short_documents(spark, n, own):
+    """A passage that is most of each document, in few documents; its copies with a word changed elsewhere are no documents."""
+    rows, passage = shared_line(n, 0, np.random.default_rng(n + own), own=own)
+    rest = " ".join(f"w{k}" for k in range(40))
+    rows += [(100 + k, f"{passage} in copies\n{rest}{'' if k % 2 else ' end'}") for k in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {x.doc_id: x.text for x in line_dedup.line_dedup(df).collect()}
+    assert [i for i, _ in rows if passage in out[i].split("\n")] == [0]
+    assert all(out[i] == t for i, t in rows if i >= 100)
+
+
 def test_quality(spark, odd):
     big = queries.documents(spark, "/root/testdata/sf0.01")
     out = quality.classify(big).withColumnRenamed("kept", "k").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").collect()
