@@ -1,7 +1,7 @@
 """Line deduplication by a log-template tree. DataFrame functions only.
 
-Every line goes down a tree of fixed depth: its number of tokens (what single spaces separate), then its leading tokens. Tokens with a digit are variable fields
-and count as one wildcard everywhere. At a leaf that lines of several documents reach, the lines' tokens are compared by position:
+Every line goes down a tree of fixed depth: its number of tokens (what white space separates), then its leading tokens. Tokens with a digit are variable fields
+and count as one wildcard everywhere; a line of fewer than ``general`` tokens is only compared as it is. At a leaf that lines of several documents reach, the lines' tokens are compared by position:
 where one token prevails it is constant, elsewhere the position is a variable field. If enough positions are constant, lines that
 have all the constants share the leaf's template; any other line is its own template, wildcards included. A template that recurs in
 ``documents`` documents or more is dropped from all but its first place (the smallest id, then the smallest position), so that
@@ -15,7 +15,7 @@ documents alike by itself: for such a line the document counts by what else is i
 
 Counting is by pre-aggregated groups; leaves' positions are only taken apart for leaves that already recur.
 
-Defined results: a null text stays null, an empty one empty, with no line dropped; lines of fewer than ``least`` tokens are never
+Defined results: a null text stays null, an empty one empty, with no line dropped; empty lines are never
 dropped; repeated rows count once and keep the same lines; an empty table gives an empty result; all of the input's columns are
 kept, whatever their names, except that an equally named output column replaces an input column.
 """
@@ -32,17 +32,22 @@ from .scratch import Scratch
 from .skew import salted_join, salted_semi
 
 WILDCARD = "<*>"
+#: White space but the line feed; more than one of a kind, or any other than the space, becomes one space.
+_BLANK = r"\x20\t\x0B-\r\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+BLANKS = rf"[{_BLANK}]{{2,}}|[{_BLANK.removeprefix(chr(92) + 'x20')}]"
 #: Values of a sketch, and of a run that two sketches have to share before they are compared.
 SKETCH, RUN = 24, 4
 
 
 @dataclass(frozen=True)
 class Templates:
-    """depth: leading tokens of the tree; least: tokens of a line that may be dropped; documents: classes of documents in which a
+    """depth: leading tokens of the tree; least: tokens of a line that may be dropped;
+    general: tokens of a line with variable fields; documents: classes of documents in which a
     template recurs; distinct: share of word pairs in which near copies differ at most; prevails: share of a leaf's lines with a constant token; constant: share of constant positions in a template."""
 
     depth: int = 3
-    least: int = 4
+    least: int = 1
+    general: int = 4
     documents: int = 3
     distinct: float = 0.4
     prevails: float = 0.9
@@ -58,10 +63,11 @@ def lines(df: DataFrame, p: Templates) -> DataFrame:
     """_id, _key, _at, _most, _leaf, _masked (a hash) and _line (masked) of every line that may be dropped. Nothing is split into tokens."""
     rows = df.filter("_text is not null").select("_id", "_key", "_text", F.posexplode(F.split("_text", "\n")).alias("_at", "_raw"))
     rows = rows.withColumn("_raw", F.trim("_raw")).withColumn("_most", _most(F.col("_raw"))).drop("_text")
-    masked = F.when(F.col("_raw").rlike("[0-9]"), F.regexp_replace("_raw", r"[^\x200-9]*+[0-9][^\x20]*+", WILDCARD)).otherwise(F.col("_raw"))
+    count = lambda line: F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "))) + 1
+    rows = rows.withColumn("_n_tokens", count(F.col("_raw"))).filter((F.col("_raw") != "") & (F.col("_n_tokens") >= p.least))
+    varies = (F.col("_n_tokens") >= p.general) & F.col("_raw").rlike("[0-9]")
+    masked = F.when(varies, F.regexp_replace("_raw", r"[^\x200-9]*+[0-9][^\x20]*+", WILDCARD)).otherwise(F.col("_raw"))
     rows = rows.withColumn("_line", masked)
-    tokens = F.octet_length("_line") - F.octet_length(F.replace("_line", F.lit(" "))) + 1
-    rows = rows.withColumn("_n_tokens", tokens).filter(F.col("_n_tokens") >= p.least)
     leaf = F.xxhash64("_n_tokens", F.substring_index("_line", " ", p.depth))
     return rows.select("_id", "_key", "_at", "_most", leaf.alias("_leaf"), F.xxhash64("_line").alias("_masked"), "_line")
 
@@ -107,6 +113,8 @@ def _recurring(rows: DataFrame, key: str, kinds: DataFrame, p: Templates) -> Dat
 
 def dropped_lines(df: DataFrame, p: Templates, scratch: Scratch) -> DataFrame:
     """_key and _at of the lines that go; df has _id, _key and _text."""
+    spaced = F.when(F.col("_text").rlike(BLANKS), F.regexp_replace("_text", BLANKS, " ")).otherwise(F.col("_text"))
+    df = df.withColumn("_text", spaced)
     found = lines(df, p)
     rows = scratch.save(found.drop("_line"))
     alike = scratch.save(classes(df, p, scratch))

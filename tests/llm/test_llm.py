@@ -371,6 +371,20 @@ def test_line_dedup_recall_in_short_documents(spark, n, own):
     assert all(out[i] == t for i, t in rows if i >= 100)
 
 
+def test_line_dedup_lines_of_few_tokens(spark):
+    """Exact lines of 1 to 3 tokens go, digits and all; tabs separate tokens, and white space does not tell lines apart."""
+    r = np.random.default_rng(12)
+    words = lambda n: " ".join("".join(r.choice(list("abcdefghij"), 6)) for _ in range(n))
+    often = ["Les.", "All rights reserved.", "目录没有空格的一行文字12", "name\tsize\tkind\towner", "see  the\u00a0index of names\r"]
+    rows = [(k, "\n".join([words(30), *often, f"Page {k}", "", f"{k}", f"row\t{k}\tof\tall", words(20)])) for k in range(6)]
+    rows.append((6, "\n".join([words(30), "name size kind owner", "see the index of names"])))
+    out = {x.doc_id: x for x in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[0].text == rows[0][1] and out[6].text == rows[6][1].split("\n")[0]
+    for k in range(1, 6):
+        own = rows[k][1].split("\n")
+        assert out[k].text.split("\n") == [own[0], f"Page {k}", "", f"{k}", own[-1]] and out[k].n_dropped == 6
+
+
 def test_quality(spark, odd):
     big = queries.documents(spark, "/root/testdata/sf0.01")
     out = quality.classify(big).withColumnRenamed("kept", "k").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").collect()
