@@ -1,9 +1,10 @@
 """Line deduplication by a log-template tree. DataFrame functions only.
 
 Every line goes down a tree of fixed depth: its number of tokens (what white space separates), then its leading tokens. Tokens with a digit are variable fields
-and count as one wildcard everywhere; a line of fewer than ``general`` tokens is only compared as it is. At a leaf that lines of several documents reach, the lines' tokens are compared by position:
-where one token prevails it is constant, elsewhere the position is a variable field. If enough positions are constant, lines that
-have all the constants share the leaf's template; any other line is its own template, wildcards included. A template that recurs in
+and count as one wildcard everywhere; a line of fewer than ``general`` tokens is only compared as it is. At a leaf where different lines meet, each line's tokens are ranked by the number of the leaf's
+different lines that have them at the same position. The least rank that ``constant`` of the positions reach tells constants from
+variable fields; lines with equal constants share a template, so that a leaf has as many templates as it needs, and lines of others do
+not matter. One constant at least must lie beyond the leading tokens; any other line is its own template, wildcards included. A template that recurs in
 ``documents`` documents or more is dropped from all but its first place (the smallest id, then the smallest position), so that
 nothing vanishes from the corpus altogether.
 
@@ -23,6 +24,8 @@ kept, whatever their names, except that an equally named output column replaces
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,8 +36,8 @@ from .skew import salted_join, salted_semi
 
 WILDCARD = "<*>"
 #: White space but the line feed; more than one of a kind, or any other than the space, becomes one space.
-_BLANK = r"\x20\t\x0B-\r\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
-BLANKS = rf"[{_BLANK}]{{2,}}|[{_BLANK.removeprefix(chr(92) + 'x20')}]"
+WIDE = r"[\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
+BLANKS = rf"[\x20\t\x0B-\r{WIDE[1:-1]}]{{2,}}|[\t\x0B-\r{WIDE[1:-1]}]"
 #: Values of a sketch, and of a run that two sketches have to share before they are compared.
 SKETCH, RUN = 24, 4
 
@@ -43,24 +46,35 @@ SKETCH, RUN = 24, 4
 class Templates:
     """depth: leading tokens of the tree; least: tokens of a line that may be dropped;
     general: tokens of a line with variable fields; documents: classes of documents in which a
-    template recurs; distinct: share of word pairs in which near copies differ at most; prevails: share of a leaf's lines with a constant token; constant: share of constant positions in a template."""
+    template recurs; distinct: share of word pairs in which near copies differ at most; constant: share of constant positions in a template."""
 
     depth: int = 3
     least: int = 1
     general: int = 4
     documents: int = 3
     distinct: float = 0.4
-    prevails: float = 0.9
     constant: float = 0.7
 
 
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """With a column that is computed once, however often and in whatever lambda it is used: projections do not pass a generator."""
+    return df.select(*[c for c in df.columns if c != name], F.explode(F.array(value)).alias(name))
+
+
+def spaced(df: DataFrame) -> DataFrame:
+    """_text with single spaces for all white space but line feeds."""
+    odd = [F.contains("_text", F.lit(x)) for x in ("  ", "\t", "\x0b", "\x0c", "\r")]
+    odd.append((F.octet_length("_text") != F.char_length("_text")) & F.col("_text").rlike(WIDE))
+    return _once(df, "_text", F.when(reduce(or_, odd), F.regexp_replace("_text", BLANKS, " ")).otherwise(F.col("_text")))
+
+
 def _most(line: Column) -> Column:
     """Whether a line is more than half of its document; at most one is."""
     return 2 * F.octet_length(line) > F.octet_length("_text")
 
 
 def lines(df: DataFrame, p: Templates) -> DataFrame:
-    """_id, _key, _at, _most, _leaf, _masked (a hash) and _line (masked) of every line that may be dropped. Nothing is split into tokens."""
+    """_id, _key, _at, _most, _general_too, _leaf, _masked (a hash) and _line (masked) of every line that may be dropped. Nothing is split into tokens."""
     rows = df.filter("_text is not null").select("_id", "_key", "_text", F.posexplode(F.split("_text", "\n")).alias("_at", "_raw"))
     rows = rows.withColumn("_raw", F.trim("_raw")).withColumn("_most", _most(F.col("_raw"))).drop("_text")
     count = lambda line: F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "))) + 1
@@ -69,7 +83,8 @@ def lines(df: DataFrame, p: Templates) -> DataFrame:
     masked = F.when(varies, F.regexp_replace("_raw", r"[^\x200-9]*+[0-9][^\x20]*+", WILDCARD)).otherwise(F.col("_raw"))
     rows = rows.withColumn("_line", masked)
     leaf = F.xxhash64("_n_tokens", F.substring_index("_line", " ", p.depth))
-    return rows.select("_id", "_key", "_at", "_most", leaf.alias("_leaf"), F.xxhash64("_line").alias("_masked"), "_line")
+    rows = rows.withColumn("_general_too", F.col("_n_tokens") >= p.general)
+    return rows.select("_id", "_key", "_at", "_most", "_general_too", leaf.alias("_leaf"), F.xxhash64("_line").alias("_masked"), "_line")
 
 
 def sketches(df: DataFrame) -> DataFrame:
@@ -77,10 +92,11 @@ def sketches(df: DataFrame) -> DataFrame:
     docs = df.filter("_text is not null").select("_key", F.lit(False).alias("_most"), "_text")
     largest = docs.withColumn("_line", F.get(F.filter(F.transform(F.split("_text", "\n"), lambda x: F.trim(x)), _most), F.lit(0))).filter("_line is not null")
     docs = docs.unionByName(largest.select("_key", F.lit(True).alias("_most"), F.trim(F.replace("_text", F.col("_line"), F.lit(""))).alias("_text")))
-    docs = docs.select("_key", "_most", F.split(F.replace("_text", F.lit("\n"), F.lit(" ")), " ").alias("_words"), F.xxhash64("_text").alias("_whole"))
+    docs = docs.withColumn("_whole", F.xxhash64("_text"))
+    docs = _once(docs, "_words", F.split(F.replace("_text", F.lit("\n"), F.lit(" ")), " ")).drop("_text")
     pairs = F.zip_with("_words", F.slice("_words", F.lit(2), F.size("_words")), lambda a, b: F.xxhash64(a, b))
-    docs = docs.select("_key", "_most", "_whole", ((8.0 * SKETCH / F.size("_words") - 1) * 2.0**63).alias("_bound"), pairs.alias("_pairs"))
-    low = F.filter("_pairs", lambda h: h.cast("double") <= F.col("_bound"))  # only spares sorting: far more than a sketch holds
+    docs = _once(docs, "_bound", (8.0 * SKETCH / F.size("_words") - 1) * 2.0**63)
+    low = F.filter(pairs, lambda h: h.cast("double") <= F.col("_bound"))  # only spares sorting: far more than a sketch holds
     docs = docs.select("_key", "_most", "_whole", F.slice(F.sort_array(F.array_distinct(low)), 1, SKETCH).alias("_sketch"))
     docs = docs.withColumn("_sketch", F.when(F.size("_sketch") > 0, F.col("_sketch")).otherwise(F.array("_whole")))
     return docs.select("_key", "_most", F.xxhash64("_sketch").alias("_node"), "_sketch").dropDuplicates(["_key", "_most"])
@@ -111,29 +127,34 @@ def _recurring(rows: DataFrame, key: str, kinds: DataFrame, p: Templates) -> Dat
     return found.filter(F.col("_kinds") >= p.documents).select(key, "_first")
 
 
+def templates(found: DataFrame, rows: DataFrame, p: Templates, scratch: Scratch) -> DataFrame:
+    """_leaf, _masked and _general (a hash) of the lines that share a template with another line."""
+    same = rows.filter("_general_too").groupBy("_leaf", "_masked").agg(F.count("*").alias("_n"))
+    leaves = same.groupBy("_leaf").agg(F.sum("_n").alias("_n"), F.count("*").alias("_kinds")).filter((F.col("_kinds") > 1) & (F.col("_n") >= p.documents))
+    leaves = scratch.save(leaves.select("_leaf"))
+    kinds = salted_semi(found.filter("_general_too"), leaves, ["_leaf"], "_masked").groupBy("_leaf", "_masked").agg(F.first("_line").alias("_line"))
+    tokens = scratch.save(kinds.select("_leaf", "_masked", F.posexplode(F.split("_line", " ")).alias("_place", "_token")))
+    tokens = tokens.select("_leaf", "_masked", "_place", F.xxhash64("_token").alias("_word"), (F.col("_token") == WILDCARD).alias("_wild"))
+    often = tokens.groupBy("_leaf", "_place", "_word").agg(F.count("*").alias("_lines"))
+    met = salted_join(tokens, often.filter("_lines > 1"), ["_leaf", "_place", "_word"], "_masked", "inner")
+    sizes = tokens.groupBy("_leaf").agg((F.max("_place") + 1).alias("_size"))  # all lines of a leaf have as many tokens
+    held = met.groupBy("_leaf", "_masked").agg(F.collect_list(F.struct("_lines", "_place", "_word", "_wild")).alias("_held"))
+    held = salted_join(held, sizes, ["_leaf"], "_masked", "inner")
+    needed = F.greatest(F.ceil(p.constant * F.col("_size")), F.lit(p.depth + 1)).cast("int")
+    held = held.withColumn("_least", F.get(F.sort_array("_held", False), needed - 1)["_lines"]).filter("_least is not null")
+    fixed = F.sort_array(F.transform(F.filter("_held", lambda t: t["_lines"] >= F.col("_least")), lambda t: F.struct(t["_place"], t["_word"], t["_wild"])))
+    held = held.select("_leaf", "_masked", fixed.alias("_fixed")).filter(F.exists("_fixed", lambda t: (t["_place"] >= p.depth) & ~t["_wild"]))
+    return held.select("_leaf", "_masked", F.xxhash64("_leaf", "_fixed", F.lit("general")).alias("_general"))
+
+
 def dropped_lines(df: DataFrame, p: Templates, scratch: Scratch) -> DataFrame:
     """_key and _at of the lines that go; df has _id, _key and _text."""
-    spaced = F.when(F.col("_text").rlike(BLANKS), F.regexp_replace("_text", BLANKS, " ")).otherwise(F.col("_text"))
-    df = df.withColumn("_text", spaced)
+    df = spaced(df)
     found = lines(df, p)
     rows = scratch.save(found.drop("_line"))
     alike = scratch.save(classes(df, p, scratch))
-    # leaves at which different lines of several documents meet
-    leaves = rows.groupBy("_leaf", "_masked").agg(F.count("*").alias("_n")).groupBy("_leaf").agg(F.sum("_n").alias("_n"), F.count("*").alias("_kinds"))
-    leaves = scratch.save(leaves.filter((F.col("_kinds") > 1) & (F.col("_n") >= p.documents)).join(_recurring(rows, "_leaf", alike, p).select("_leaf"), "_leaf"))
-    kinds = found.join(leaves.select("_leaf"), "_leaf", "left_semi").groupBy("_leaf", "_masked").agg(F.count("*").alias("_n"), F.first("_line").alias("_line")).withColumn("_tokens", F.split("_line", " ")).drop("_line")
-    kinds = scratch.save(kinds)
-    tokens = kinds.select("_leaf", "_n", F.posexplode("_tokens").alias("_place", "_token")).groupBy("_leaf", "_place", "_token").agg(F.sum("_n").alias("_n"))
-    top = tokens.groupBy("_leaf", "_place").agg(F.max(F.struct("_n", "_token")).alias("_top"), F.sum("_n").alias("_all"))
-    constant = F.col("_top._n") >= p.prevails * F.col("_all")
-    shape = top.withColumn("_c", constant).groupBy("_leaf").agg(
-        F.avg(F.col("_c").cast("double")).alias("_share"), F.map_from_entries(F.collect_list(F.when(F.col("_c"), F.struct("_place", "_top._token")))).alias("_fixed")
-    )
-    shape = shape.filter(F.col("_share") >= p.constant)
-    met = kinds.join(shape, "_leaf")
-    fits = F.forall(F.map_entries("_fixed"), lambda e: F.get("_tokens", e["key"]) == e["value"])
-    general = met.filter(fits).select("_leaf", "_masked", F.col("_leaf").alias("_general"))
-    rows = rows.join(general, ["_leaf", "_masked"], "left").withColumn("_template", F.when(F.col("_general").isNull(), F.col("_masked")).otherwise(F.xxhash64(F.col("_general"), F.lit("general"))))
+    general = templates(found, rows, p, scratch)
+    rows = rows.join(general, ["_leaf", "_masked"], "left").withColumn("_template", F.coalesce("_general", "_masked"))
     rows = scratch.save(rows.select("_id", "_key", "_at", "_most", "_template"))
     met = salted_join(rows, _recurring(rows, "_template", alike, p), ["_template"], "_key", "inner")
     return met.filter((F.col("_key") != F.col("_first._key")) | (F.col("_at") != F.col("_first._at"))).select("_key", "_at")

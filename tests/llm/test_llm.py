@@ -385,6 +385,21 @@ def test_line_dedup_lines_of_few_tokens(spark):
         assert out[k].text.split("\n") == [own[0], f"Page {k}", "", f"{k}", own[-1]] and out[k].n_dropped == 6
 
 
+def test_line_dedup_templates_among_other_lines(spark):
+    """Two templates with a free field in one leaf, among ten times as many other lines of it; lines that share only what leads stay."""
+    r = np.random.default_rng(13)
+    words = lambda n: " ".join("".join(r.choice(list("abcdefghij"), 7)) for _ in range(n))
+    rows = []
+    for k in range(12):
+        many = [f"This is a {words(7)}" for _ in range(10)]
+        rows.append((k, "\n".join([words(30), *many, f"This is a file kept by {words(1)} for the archive", f"This is a copy of {words(1)} sent with all notes", f"This is a {words(1)}"])))
+    out = {x.doc_id: x for x in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[0].text == rows[0][1]
+    for k in range(1, 12):
+        own = rows[k][1].split("\n")
+        assert out[k].text.split("\n") == [*own[:11], own[13]]
+
+
 def test_quality(spark, odd):
     big = queries.documents(spark, "/root/testdata/sf0.01")
     out = quality.classify(big).withColumnRenamed("kept", "k").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").collect()
