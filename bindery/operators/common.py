@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -50,3 +51,21 @@ def counted(books: DataFrame, df: DataFrame, key: str, name: str = "n") -> DataF
 def same_rows(a: DataFrame, b: DataFrame) -> bool:
     """Equality as bags."""
     return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+
+class Levels:
+    """Tables of the rounds of a walk, written to the shared folder, so that neither plans nor memory grow with the rounds."""
+
+    def __init__(self, df: DataFrame) -> None:
+        self.spark = df.sparkSession
+        top = self.spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints/bindery"
+        self.root, self.paths = f"{top.rstrip('/')}/walk-{uuid.uuid4().hex}", []
+
+    def save(self, df: DataFrame) -> DataFrame:
+        self.paths.append(f"{self.root}/{len(self.paths)}")
+        df.write.parquet(self.paths[-1])
+        return self.spark.read.schema(df.schema).parquet(self.paths[-1])
+
+    def all(self, df: DataFrame) -> DataFrame:
+        """All tables so far, of the schema of ``df``."""
+        return self.spark.read.schema(df.schema).parquet(*self.paths)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import href
 from . import manifest, toc
+from .common import Levels
 
 BOOK = "book_id"
 
@@ -43,17 +44,13 @@ def cleaned(items: DataFrame, spine: DataFrame, nodes: DataFrame) -> tuple[DataF
 
 def removed_subtrees(entries: DataFrame, ids: DataFrame) -> DataFrame:
     """Entries without those of the given ids (book_id, id) and without all that refines them, at any depth."""
-    spark = entries.sparkSession
-    entries.createOrReplaceTempView("_edit_entries")
-    ids.createOrReplaceTempView("_edit_ids")
-    gone = spark.sql(
-        f"""WITH RECURSIVE gone(b, n) AS (
-              SELECT e.{BOOK}, e.node_id FROM _edit_entries e JOIN _edit_ids i ON e.{BOOK} = i.{BOOK} AND e.id = i.id
-              UNION ALL
-              SELECT e.{BOOK}, e.node_id FROM gone g JOIN _edit_entries e ON e.{BOOK} = g.b AND e.parent_node_id = g.n)
-            SELECT DISTINCT b AS {BOOK}, n AS node_id FROM gone"""
-    )
-    return entries.join(gone, [BOOK, "node_id"], "left_anti")
+    levels = Levels(entries)
+    gone = levels.save(entries.join(ids.select(BOOK, "id").distinct(), [BOOK, "id"], "left_semi").select(BOOK, "node_id").distinct())
+    fresh = gone
+    while not fresh.isEmpty():
+        below = entries.join(fresh.withColumnRenamed("node_id", "parent_node_id"), [BOOK, "parent_node_id"], "left_semi").select(BOOK, "node_id").distinct()
+        fresh = levels.save(below.join(levels.all(gone), [BOOK, "node_id"], "left_anti"))
+    return entries.join(levels.all(gone), [BOOK, "node_id"], "left_anti")
 
 
 def unique_ids(wanted: DataFrame, taken: DataFrame, keys: tuple[str, ...] = (BOOK,)) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import href, mime, text
-from .common import first_of
+from .common import Levels, first_of
 
 BOOK = "book_id"
 
@@ -63,16 +63,15 @@ def fallback(items: DataFrame, column: str = "fallback") -> DataFrame:
 
 def fallback_chain(items: DataFrame) -> DataFrame:
     """book_id, id, step (from 1), fallback_id: the chain from each item, which ends where an item would come again."""
-    spark = items.sparkSession
-    items.select(F.col(BOOK).alias("b"), F.col("id").alias("i"), F.col("fallback").alias("f")).createOrReplaceTempView("_fallback_links")
-    return spark.sql(
-        f"""WITH RECURSIVE walk(b, i, step, at, seen) AS (
-              SELECT x.b, x.i, 1, y.i, array(x.i, y.i) FROM _fallback_links x JOIN _fallback_links y ON x.b = y.b AND x.f = y.i WHERE x.i <> y.i
-              UNION ALL
-              SELECT w.b, w.i, w.step + 1, n.i, concat(w.seen, array(n.i)) FROM walk w JOIN _fallback_links x ON x.b = w.b AND x.i = w.at
-                JOIN _fallback_links n ON n.b = x.b AND n.i = x.f WHERE NOT array_contains(w.seen, n.i))
-            SELECT b AS {BOOK}, i AS id, step, at AS fallback_id FROM walk"""
-    )
+    levels = Levels(items)
+    known = items.select(F.col(BOOK), F.col("id").alias("fallback"))
+    links = Levels(items).save(items.select(BOOK, "id", "fallback").join(known, [BOOK, "fallback"]).select(BOOK, F.col("id").alias("_at"), F.col("fallback").alias("_next")))
+    walk = links.filter("_at <> _next").select(BOOK, F.col("_at").alias("id"), F.lit(1).alias("step"), F.col("_next").alias("fallback_id"), F.array("_at", "_next").alias("_seen"))
+    walk = levels.save(walk)
+    while not walk.isEmpty():
+        met = walk.withColumnRenamed("fallback_id", "_at").join(links, [BOOK, "_at"]).filter(~F.array_contains("_seen", F.col("_next")))
+        walk = levels.save(met.select(BOOK, "id", (F.col("step") + 1).alias("step"), F.col("_next").alias("fallback_id"), F.concat("_seen", F.array("_next")).alias("_seen")))
+    return levels.all(walk).select(BOOK, "id", "step", "fallback_id")
 
 
 def dangling_cleared(items: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from .common import first_of
+from .common import Levels, first_of
 
 BOOK = "book_id"
 
@@ -123,14 +123,19 @@ def alternate_scripts(entries: DataFrame) -> DataFrame:
 def tree(links: DataFrame, key: str, parent: str, book: str = BOOK) -> DataFrame:
     """(book, key, depth, root) of every node that is reached from a root; nodes on a cycle and below it are not reached.
 
-    ``links`` has one row for each node; a null parent, or one that is no node, makes a root. A recursive query joins once for
-    each level."""
-    spark = links.sparkSession
-    links.select(F.col(book).alias("b"), F.col(key).alias("k"), F.col(parent).alias("p")).createOrReplaceTempView("_tree_links")
-    return spark.sql(
-        f"""WITH RECURSIVE reached(b, k, depth, root) AS (
-              SELECT c.b, c.k, 0, c.k FROM _tree_links c LEFT JOIN _tree_links q ON c.b = q.b AND c.p = q.k WHERE q.k IS NULL
-              UNION ALL
-              SELECT c.b, c.k, r.depth + 1, r.root FROM reached r JOIN _tree_links c ON c.b = r.b AND c.p = r.k)
-            SELECT b AS {book}, k AS {key}, depth, root FROM reached"""
-    )
+    ``links`` has one row for each node; a null parent, or one that is no node, makes a root. Each round doubles the length of the
+    ways that are known, so that there are as many rounds as the logarithm of the depth; it ends when a round reaches no more nodes."""
+    levels = Levels(links)
+    rows = links.select(F.col(book).alias("b"), F.col(key).alias("k"), F.col(parent).alias("p"))
+    nodes = rows.select("b", F.col("k").alias("p"), F.lit(True).alias("inner")).distinct()
+    met = rows.join(nodes, ["b", "p"], "left").withColumn("done", F.col("inner").isNull())
+    state = levels.save(met.select("b", "k", F.when(F.col("done"), F.col("k")).otherwise(F.col("p")).alias("at"), F.when(F.col("done"), 0).otherwise(1).cast("long").alias("depth"), "done"))
+    left = state.filter("not done").count()
+    while left:
+        there = state.select("b", F.col("k").alias("at"), F.col("at").alias("_at"), F.col("depth").alias("_depth"), F.col("done").alias("_done"))
+        on = state.filter("not done").drop("done").join(there, ["b", "at"]).select("b", "k", F.col("_at").alias("at"), (F.col("depth") + F.col("_depth")).alias("depth"), F.col("_done").alias("done"))
+        state = levels.save(state.filter("done").unionByName(on))
+        before, left = left, state.filter("not done").count()
+        if left == before:
+            break
+    return state.filter("done").select(F.col("b").alias(book), F.col("k").alias(key), F.col("depth").cast("int").alias("depth"), F.col("at").alias("root"))

@@ -1,7 +1,7 @@
 import pytest
 
 from bindery.functions import civil, href
-from bindery.operators import manifest, metadata, reader, rewrite, toc
+from bindery.operators import edit, manifest, metadata, reader, rewrite, toc
 from bindery.sources import epub, sink
 from bindery.sources.xml import add_text
 from bindery.streaming import ingest
@@ -164,3 +164,18 @@ def test_hrefs(spark):
     assert out[1][6] == "a b+c%zz" and out[2][5] is True and out[1][8] == "a%20b%2Bc%zz"
     pairs = spark.createDataFrame([("/a/b", "/a/b/c.x"), ("/img", "/img2/x"), ("/a/b/c", "/a/d"), ("/a", "/a"), ("/", "/x/y"), ("/a/b", "/a")], "b string, x string")
     assert [r[0] for r in pairs.select(href.relativize(F.col("b"), x)).collect()] == ["c.x", "../img2/x", "../../d", ".", "x/y", ".."]
+
+
+def test_walks_are_not_capped(spark):
+    """More than 100 levels and more than 1,000,000 rows, Spark's limits of recursive queries."""
+    links = spark.range(1_000_300).selectExpr("0 AS book_id", "id AS k", "CASE WHEN id = 0 THEN null WHEN id < 300 THEN id - 1 ELSE 0 END AS p")
+    out = metadata.tree(links, "k", "p").agg(F.count("*"), F.max("depth"), F.max("root")).first()
+    assert tuple(out) == (1_000_300, 299, 0)
+    ring = spark.createDataFrame([(0, 1, 2), (0, 2, 1), (0, 3, 2), (0, 4, None), (1, 1, 4)], "book_id int, k int, p int")
+    assert sorted(map(tuple, metadata.tree(ring, "k", "p").collect())) == [(0, 4, 0, 4), (1, 1, 0, 1)]
+    entries = spark.range(120).selectExpr("0 AS book_id", "cast(id AS string) AS id", "id AS node_id", "CASE WHEN id > 0 THEN id - 1 END AS parent_node_id")
+    ids = spark.createDataFrame([(0, "3")], "book_id int, id string")
+    assert sorted(r.node_id for r in edit.removed_subtrees(entries, ids).collect()) == [0, 1, 2]
+    items = entries.selectExpr("book_id", "id", "cast(node_id + 1 AS string) AS fallback")
+    chain = manifest.fallback_chain(items).filter("id = '0'").orderBy("step").collect()
+    assert [(r.step, r.fallback_id) for r in chain] == [(k, str(k)) for k in range(1, 120)]
