@@ -141,7 +141,7 @@ def templates(found: DataFrame, rows: DataFrame, p: Templates, scratch: Scratch)
     held = met.groupBy("_leaf", "_masked").agg(F.collect_list(F.struct("_lines", "_place", "_word", "_wild")).alias("_held"))
     held = salted_join(held, sizes, ["_leaf"], "_masked", "inner")
     needed = F.greatest(F.ceil(p.constant * F.col("_size")), F.lit(p.depth + 1)).cast("int")
-    held = held.withColumn("_least", F.get(F.sort_array("_held", False), needed - 1)["_lines"]).filter("_least is not null")
+    held = _once(held, "_least", F.get(F.sort_array("_held", False), needed - 1)["_lines"]).filter("_least is not null")
     fixed = F.sort_array(F.transform(F.filter("_held", lambda t: t["_lines"] >= F.col("_least")), lambda t: F.struct(t["_place"], t["_word"], t["_wild"])))
     held = held.select("_leaf", "_masked", fixed.alias("_fixed")).filter(F.exists("_fixed", lambda t: (t["_place"] >= p.depth) & ~t["_wild"]))
     return held.select("_leaf", "_masked", F.xxhash64("_leaf", "_fixed", F.lit("general")).alias("_general"))
