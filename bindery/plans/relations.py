@@ -168,11 +168,7 @@ def refinement_cycle(s, d):
     k = F.col("p_partkey")
     parent = F.when(k % 10 == 1, k + 2).when(k % 10 == 2, k - 1).when(k % 10 == 3, k - 1)
     links = adapters.read(s, d, "part").select(F.lit(0).alias("book_id"), k.alias("k"), parent.alias("p"))
-    cyclic = links.filter("k % 10 in (1, 2, 3)").select("k")
-    known = adapters.read(s, d, "part").select(k.alias("k"))
-    lost = known.join(metadata.tree(links, "k", "p").select("k"), "k", "left_anti")
-    # a ten that the table cuts off is no cycle; its members are reached
-    return known.join(lost.intersect(cyclic), "k", "left_anti").filter("k % 10 not in (1, 2, 3)")
+    return metadata.tree(links, "k", "p").select("k")
 
 
 @query(f"SELECT array_to_string(path, '/') AS place, label, len(path) AS depth FROM {_TREE}")

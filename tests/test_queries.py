@@ -19,3 +19,10 @@ def test_query(spark, duck, name):
         assert df.count() > 0
     else:
         assert not compare.differences(df, sql, duck)
+
+
+def test_refinement_cycle_depends_on_the_operator(spark, monkeypatch):
+    from bindery.operators import metadata
+
+    monkeypatch.setattr(metadata, "tree", lambda links, *_: links.limit(0))
+    assert catalogue.queries()["refinement_cycle"](spark, SF).isEmpty()
