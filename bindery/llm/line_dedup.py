@@ -8,29 +8,29 @@ not matter. One constant at least must lie beyond the leading tokens; any other
 ``documents`` documents or more is dropped from all but its first place (the smallest id, then the smallest position), so that
 nothing vanishes from the corpus altogether.
 
-Near copies of one document would make all its lines recur. So documents are first put into classes of near copies, and a template
-recurs if it is in documents of ``documents`` classes or more, however many copies each class has. A document's sketch is the least
-hashes of its pairs of neighbouring words; documents that share a run of the sketch are linked if, by the sketches, less than
-``distinct`` of their pairs differ, and what is linked is one class. A line that is more than half of its document would make
-documents alike by itself: for such a line the document counts by what else is in it, sketched and classed in the same way.
+Near copies of one document would make all its lines recur. So a template recurs if ``documents`` of its documents, each pair of
+them, are no near copies of one another, however many copies each of them has. Documents whose sizes lie two powers of two apart or
+more are none, which settles most templates. For the others, documents are compared by sketches, the least hashes of their pairs of
+neighbouring words: they are near copies if, by the sketches, less than ``distinct`` of their pairs differ. One document of the template
+is chosen, then one that is no near copy of it, and so on; what is chosen ``documents`` times recurs. A line that is more than half of
+its document would make documents alike by itself: for such a line the document counts by what else is in it.
 
-Counting is by pre-aggregated groups; leaves' positions are only taken apart for leaves that already recur.
+Lines are parsed once and written; what follows reads hashes, and texts of lines only for leaves that already recur. Counts are
+exact and pre-aggregated; a template's documents are dealt over several tasks.
 
 Defined results: a null text stays null, an empty one empty, with no line dropped; empty lines are never
-dropped; repeated rows count once and keep the same lines; an empty table gives an empty result; all of the input's columns are
+dropped; rows with equal id and text count once and keep the same lines, rows with one id and different texts are different documents;
+a null id comes last; an empty table gives an empty result; all of the input's columns are
 kept, whatever their names, except that an equally named output column replaces an input column.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .near_dedup import components
 from .scratch import Scratch
 from .skew import salted_join, salted_semi
 
@@ -38,14 +38,18 @@ WILDCARD = "<*>"
 #: White space but the line feed; more than one of a kind, or any other than the space, becomes one space.
 WIDE = r"[\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
 BLANKS = rf"[\x20\t\x0B-\r{WIDE[1:-1]}]{{2,}}|[\t\x0B-\r{WIDE[1:-1]}]"
-#: Values of a sketch, and of a run that two sketches have to share before they are compared.
-SKETCH, RUN = 24, 4
+#: Texts with no such character but the space. Runs of ASCII and of the rest come apart, as ranges of one kind are scanned faster.
+PLAIN = r"\A(?:[\n\x20-\x7E]++|[\x00-\x08\x0E-\x1F\x7F-\x84\x86-\x9F\xA1-\u167F\u1681-\u1FFF\u200B-\u2027\u202A-\u202E\u2030-\u205E\u2060-\u2FFF\u3001-\x{10FFFF}]++)*+\z"
+#: Values of a sketch.
+SKETCH = 32
+#: Pairs that begin with a word of 7 characters or more come first in a sketch: where they fill it, no other pair is hashed.
+ANCHOR = r"(?<![^\x20\n])[^\x20\n]{7,}+[\x20\n][^\x20\n]++"
 
 
 @dataclass(frozen=True)
 class Templates:
     """depth: leading tokens of the tree; least: tokens of a line that may be dropped;
-    general: tokens of a line with variable fields; documents: classes of documents in which a
+    general: tokens of a line with variable fields; documents: different documents in which a
     template recurs; distinct: share of word pairs in which near copies differ at most; constant: share of constant positions in a template."""
 
     depth: int = 3
@@ -63,9 +67,8 @@ def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
 
 def spaced(df: DataFrame) -> DataFrame:
     """_text with single spaces for all white space but line feeds."""
-    odd = [F.contains("_text", F.lit(x)) for x in ("  ", "\t", "\x0b", "\x0c", "\r")]
-    odd.append((F.octet_length("_text") != F.char_length("_text")) & F.col("_text").rlike(WIDE))
-    return _once(df, "_text", F.when(reduce(or_, odd), F.regexp_replace("_text", BLANKS, " ")).otherwise(F.col("_text")))
+    odd = F.contains("_text", F.lit("  ")) | ~F.col("_text").rlike(PLAIN)
+    return _once(df, "_text", F.when(odd, F.regexp_replace("_text", BLANKS, " ")).otherwise(F.col("_text")))
 
 
 def _most(line: Column) -> Column:
@@ -74,66 +77,70 @@ def _most(line: Column) -> Column:
 
 
 def lines(df: DataFrame, p: Templates) -> DataFrame:
-    """_id, _key, _at, _most, _general_too, _leaf, _masked (a hash) and _line (masked) of every line that may be dropped. Nothing is split into tokens."""
+    """_id, _key, _at, _most, _size (of the document but for a line that is most of it, as a power of two), _leaf, _masked (a hash)
+    and, of lines that may have variable fields, _line (masked) for every line that may be dropped. Nothing is split into tokens."""
     rows = df.filter("_text is not null").select("_id", "_key", "_text", F.posexplode(F.split("_text", "\n")).alias("_at", "_raw"))
-    rows = rows.withColumn("_raw", F.trim("_raw")).withColumn("_most", _most(F.col("_raw"))).drop("_text")
+    rows = rows.withColumn("_raw", F.trim("_raw")).withColumn("_most", _most(F.col("_raw")))
+    rest = F.octet_length("_text") - F.when(F.col("_most"), F.octet_length("_raw")).otherwise(0)
+    rows = rows.withColumn("_size", F.floor(F.log2(F.greatest(rest, F.lit(1)).cast("double"))).cast("int")).drop("_text")
     count = lambda line: F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "))) + 1
     rows = rows.withColumn("_n_tokens", count(F.col("_raw"))).filter((F.col("_raw") != "") & (F.col("_n_tokens") >= p.least))
     varies = (F.col("_n_tokens") >= p.general) & F.col("_raw").rlike("[0-9]")
-    masked = F.when(varies, F.regexp_replace("_raw", r"[^\x200-9]*+[0-9][^\x20]*+", WILDCARD)).otherwise(F.col("_raw"))
-    rows = rows.withColumn("_line", masked)
+    rows = _once(rows, "_line", F.when(varies, F.regexp_replace("_raw", r"[^\x200-9]*+[0-9][^\x20]*+", WILDCARD)).otherwise(F.col("_raw")))
     leaf = F.xxhash64("_n_tokens", F.substring_index("_line", " ", p.depth))
-    rows = rows.withColumn("_general_too", F.col("_n_tokens") >= p.general)
-    return rows.select("_id", "_key", "_at", "_most", "_general_too", leaf.alias("_leaf"), F.xxhash64("_line").alias("_masked"), "_line")
+    line = F.when(F.col("_n_tokens") >= p.general, F.col("_line"))
+    return rows.select("_id", "_key", "_at", "_most", "_size", leaf.alias("_leaf"), F.xxhash64("_line").alias("_masked"), line.alias("_line"))
 
 
 def sketches(df: DataFrame) -> DataFrame:
-    """_key, _most, _node (one for equal sketches) and _sketch of each document and, where _most, of it without its largest line."""
-    docs = df.filter("_text is not null").select("_key", F.lit(False).alias("_most"), "_text")
-    largest = docs.withColumn("_line", F.get(F.filter(F.transform(F.split("_text", "\n"), lambda x: F.trim(x)), _most), F.lit(0))).filter("_line is not null")
-    docs = docs.unionByName(largest.select("_key", F.lit(True).alias("_most"), F.trim(F.replace("_text", F.col("_line"), F.lit(""))).alias("_text")))
-    docs = docs.withColumn("_whole", F.xxhash64("_text"))
-    docs = _once(docs, "_words", F.split(F.replace("_text", F.lit("\n"), F.lit(" ")), " ")).drop("_text")
-    pairs = F.zip_with("_words", F.slice("_words", F.lit(2), F.size("_words")), lambda a, b: F.xxhash64(a, b))
-    docs = _once(docs, "_bound", (8.0 * SKETCH / F.size("_words") - 1) * 2.0**63)
-    low = F.filter(pairs, lambda h: h.cast("double") <= F.col("_bound"))  # only spares sorting: far more than a sketch holds
-    docs = docs.select("_key", "_most", "_whole", F.slice(F.sort_array(F.array_distinct(low)), 1, SKETCH).alias("_sketch"))
-    docs = docs.withColumn("_sketch", F.when(F.size("_sketch") > 0, F.col("_sketch")).otherwise(F.array("_whole")))
-    return docs.select("_key", "_most", F.xxhash64("_sketch").alias("_node"), "_sketch").dropDuplicates(["_key", "_most"])
-
-
-def classes(df: DataFrame, p: Templates, scratch: Scratch) -> DataFrame:
-    """_key, _most and _class as of ``sketches``; near copies have one class."""
-    docs = scratch.save(sketches(df))
-    nodes = scratch.save(docs.groupBy("_node").agg(F.first("_sketch").alias("_sketch")))
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("_sketch") - (RUN - 1), F.lit(1))), lambda i: F.slice("_sketch", i, F.lit(RUN)))
-    rows = nodes.select("_node", F.explode(runs).alias("_run")).select("_node", F.xxhash64("_run").alias("_run"))
-    shared = rows.groupBy("_run").agg(F.count("*").alias("_n"), F.min("_node").alias("_other")).filter("_n > 1").drop("_n")
-    pairs = salted_join(rows, shared, ["_run"], "_node", "inner").filter("_node <> _other").select("_node", "_other").distinct()
-    met = pairs.join(nodes, "_node").join(nodes.select(F.col("_node").alias("_other"), F.col("_sketch").alias("_there")), "_other")
-    least = F.slice(F.sort_array(F.array_union("_sketch", "_there")), 1, SKETCH)
-    both = F.size(F.array_intersect(least, F.array_intersect("_sketch", "_there")))
-    links = met.filter(both >= (1 - p.distinct) * F.size(least)).select(F.col("_node").alias("a"), F.col("_other").alias("b"))
-    comps = components(scratch, links).select(F.col("id").alias("_node"), F.col("comp").alias("_class"))
-    return docs.select("_key", "_most", "_node").join(comps, "_node", "left").select("_key", "_most", F.coalesce("_class", "_node").alias("_class"))
-
-
-def _recurring(rows: DataFrame, key: str, kinds: DataFrame, p: Templates) -> DataFrame:
-    """Keys that recur, each with its first place. Rare keys go first; a key's classes are counted in groups summed beforehand."""
-    often = rows.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") >= p.documents).select(key)
+    """_key, _most and _sketch of each document and, where _most, of it without its largest line."""
+    docs = df.filter("_text is not null").select("_key", "_text")
+    docs = docs.withColumn("_line", F.get(F.filter(F.transform(F.split("_text", "\n"), lambda x: F.trim(x)), _most), F.lit(0)))
+    one = F.struct(F.lit(False).alias("_most"), F.col("_text"))
+    other = F.struct(F.lit(True).alias("_most"), F.trim(F.replace("_text", F.col("_line"), F.lit(""))).alias("_text"))
+    docs = docs.select("_key", F.explode(F.when(F.col("_line").isNull(), F.array(one)).otherwise(F.array(one, other))).alias("_doc"))
+    docs = _once(docs.select("_key", "_doc._most", "_doc._text"), "_found", F.regexp_extract_all("_text", F.lit(ANCHOR), F.lit(0)))
+    docs = _once(docs, "_bound", (8.0 * SKETCH / F.greatest(F.size("_found"), F.lit(1)) - 1) * 2.0**63)
+    sign = F.lit(-(2**63))  # negative hashes come first
+    low = F.filter(F.transform("_found", lambda x: F.xxhash64(x).bitwiseOR(sign)), lambda h: h.cast("double") <= F.col("_bound"))  # only spares sorting: far more than a sketch holds
+    docs = _once(docs, "_low", F.sort_array(F.array_distinct(low)))
+    docs = _once(docs, "_words", F.when(F.size("_low") < SKETCH, F.split(F.replace("_text", F.lit("\n"), F.lit(" ")), " ")))
+    pairs = F.zip_with("_words", F.slice("_words", F.lit(2), F.size("_words")), lambda a, b: F.when(b.isNotNull(), F.xxhash64(a, b).bitwiseAND(F.lit(2**63 - 1))))
+    every = F.when(F.col("_words").isNull(), F.col("_low")).otherwise(F.concat("_low", F.sort_array(F.array_distinct(F.array_compact(pairs)))))
+    docs = _once(docs.select("_key", "_most", "_text", F.slice(every, 1, SKETCH).alias("_least")), "_sketch", F.when(F.size("_least") > 0, F.col("_least")).otherwise(F.array(F.xxhash64("_text"))))
+    return docs.select("_key", "_most", "_sketch").dropDuplicates(["_key", "_most"])
+
+
+def _recurring(rows: DataFrame, docs: DataFrame, p: Templates, scratch: Scratch) -> DataFrame:
+    """_template and its _first place, of templates that recur; rows has _template, _id, _key, _at, _most, _size, and docs their sketches."""
     place = F.min(F.struct(F.col("_id").isNull().alias("_null"), "_id", "_at", "_key")).alias("_first")
-    docs = salted_semi(rows, often, [key], "_key").groupBy(key, "_key").agg(place, F.max("_most").alias("_most")).join(kinds, ["_key", "_most"])
-    found = docs.groupBy(key, "_class").agg(F.min("_first").alias("_first")).groupBy(key).agg(F.count("*").alias("_kinds"), F.min("_first").alias("_first"))
-    return found.filter(F.col("_kinds") >= p.documents).select(key, "_first")
-
-
-def templates(found: DataFrame, rows: DataFrame, p: Templates, scratch: Scratch) -> DataFrame:
-    """_leaf, _masked and _general (a hash) of the lines that share a template with another line."""
-    same = rows.filter("_general_too").groupBy("_leaf", "_masked").agg(F.count("*").alias("_n"))
-    leaves = same.groupBy("_leaf").agg(F.sum("_n").alias("_n"), F.count("*").alias("_kinds")).filter((F.col("_kinds") > 1) & (F.col("_n") >= p.documents))
-    leaves = scratch.save(leaves.select("_leaf"))
-    kinds = salted_semi(found.filter("_general_too"), leaves, ["_leaf"], "_masked").groupBy("_leaf", "_masked").agg(F.first("_line").alias("_line"))
-    tokens = scratch.save(kinds.select("_leaf", "_masked", F.posexplode(F.split("_line", " ")).alias("_place", "_token")))
+    met = rows.groupBy("_template", "_key").agg(place, F.max("_most").alias("_most"), F.min("_size").alias("_size"))
+    met = scratch.save(met)
+    # sizes as bits; from the least one on, each that is two or more above the last one taken
+    sums = met.groupBy("_template").agg(F.count("*").alias("_n"), F.min("_first").alias("_first"), F.bit_or(F.expr("shiftleft(1L, _size)")).alias("_sizes"))
+    taken = F.expr("aggregate(sequence(0, 62), struct(0 AS n, -2 AS last), (acc, i) -> CASE WHEN i - acc.last >= 2 AND (shiftright(_sizes, i) & 1L) = 1L THEN struct(acc.n + 1 AS n, i AS last) ELSE acc END, acc -> acc.n)")
+    sums = scratch.save(sums.filter(F.col("_n") >= p.documents).withColumn("_settled", taken >= p.documents))
+    open_ = salted_semi(met, sums.filter("not _settled"), ["_template"], "_key").select("_template", "_key", "_most", "_size")
+    open_ = open_.join(docs, ["_key", "_most"]).withColumn("_node", F.xxhash64("_sketch"))
+    open_ = scratch.save(open_.groupBy("_template", "_node", "_size").agg(F.first("_sketch").alias("_sketch")))  # exact copies are one
+    for _ in range(p.documents - 1):
+        least = open_.groupBy("_template").agg(F.min("_node").alias("_node"))
+        chosen = open_.join(least, ["_template", "_node"], "left_semi").groupBy("_template").agg(F.min_by("_sketch", "_size").alias("_there"), F.min("_size").alias("_there_size"))
+        both = salted_join(open_, chosen, ["_template"], "_node", "inner")
+        union = F.slice(F.sort_array(F.array_union("_sketch", "_there")), 1, SKETCH)
+        shared = F.size(F.array_intersect(union, F.array_intersect("_sketch", "_there")))
+        near = (F.abs(F.col("_size") - F.col("_there_size")) < 2) & (shared >= (1 - p.distinct) * F.size(union))
+        open_ = scratch.save(both.filter(~near).select("_template", "_node", "_size", "_sketch"))
+    found = sums.filter("_settled").select("_template").unionByName(open_.select("_template").distinct())
+    return sums.join(found, "_template", "left_semi").select("_template", "_first")
+
+
+def templates(kinds: DataFrame, rows: DataFrame, p: Templates, scratch: Scratch) -> DataFrame:
+    """_leaf, _masked and _general (a hash) of the lines that share a template with another line; kinds has _leaf, _masked, _n and _general_too."""
+    leaves = kinds.filter("_general_too").groupBy("_leaf").agg(F.sum("_n").alias("_n"), F.count("*").alias("_kinds"))
+    leaves = scratch.save(leaves.filter((F.col("_kinds") > 1) & (F.col("_n") >= p.documents)).select("_leaf"))
+    lines_ = salted_semi(rows.filter("_line is not null").select("_leaf", "_masked", "_line"), leaves, ["_leaf"], "_masked").groupBy("_leaf", "_masked", "_line").agg(F.lit(0))
+    tokens = scratch.save(lines_.select("_leaf", "_masked", F.posexplode(F.split("_line", " ")).alias("_place", "_token")))
     tokens = tokens.select("_leaf", "_masked", "_place", F.xxhash64("_token").alias("_word"), (F.col("_token") == WILDCARD).alias("_wild"))
     often = tokens.groupBy("_leaf", "_place", "_word").agg(F.count("*").alias("_lines"))
     met = salted_join(tokens, often.filter("_lines > 1"), ["_leaf", "_place", "_word"], "_masked", "inner")
@@ -150,26 +157,36 @@ def templates(found: DataFrame, rows: DataFrame, p: Templates, scratch: Scratch)
 def dropped_lines(df: DataFrame, p: Templates, scratch: Scratch) -> DataFrame:
     """_key and _at of the lines that go; df has _id, _key and _text."""
     df = spaced(df)
-    found = lines(df, p)
-    rows = scratch.save(found.drop("_line"))
-    alike = scratch.save(classes(df, p, scratch))
-    general = templates(found, rows, p, scratch)
-    rows = rows.join(general, ["_leaf", "_masked"], "left").withColumn("_template", F.coalesce("_general", "_masked"))
-    rows = scratch.save(rows.select("_id", "_key", "_at", "_most", "_template"))
-    met = salted_join(rows, _recurring(rows, "_template", alike, p), ["_template"], "_key", "inner")
+    rows = scratch.save(lines(df, p))
+    docs = scratch.save(sketches(df))
+    kinds = scratch.save(rows.groupBy("_leaf", "_masked").agg(F.count("*").alias("_n"), F.count("_line").alias("_lines")).withColumn("_general_too", F.col("_lines") > 0).drop("_lines"))
+    general = templates(kinds, rows, p, scratch)
+    kinds = kinds.join(general, ["_leaf", "_masked"], "left").withColumn("_template", F.coalesce("_general", "_masked")).select("_leaf", "_masked", "_n", "_template")
+    often = kinds.groupBy("_template").agg(F.sum("_n").alias("_all")).filter(F.col("_all") >= p.documents)
+    kinds = scratch.save(kinds.join(often, "_template").select("_leaf", "_masked", "_template"))
+    rows = scratch.save(salted_join(rows.drop("_line"), kinds, ["_leaf", "_masked"], "_key", "inner").drop("_leaf", "_masked"))
+    met = salted_join(rows, _recurring(rows, docs, p, scratch), ["_template"], "_key", "inner")
     return met.filter((F.col("_key") != F.col("_first._key")) | (F.col("_at") != F.col("_first._at"))).select("_key", "_at")
 
 
+def _document(id_: Column, text: Column) -> Column:
+    """128 bits of id and text."""
+    return F.unhex(F.md5(F.concat(F.when(id_.isNull(), "-").otherwise(F.concat(F.lit("+"), id_.cast("string"))), F.lit("\0"), F.coalesce(text, F.lit("")))))
+
+
 def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: Templates = Templates()) -> DataFrame:
     """``df`` with its text without dropped lines, and n_lines and n_dropped for each row."""
     scratch = Scratch(df.sparkSession, "lines")
-    key = F.xxhash64(F.col(id_col), F.col(text_col))
+    key = _document(F.col(id_col), F.col(text_col))
     narrow = df.select(F.col(id_col).alias("_id"), key.alias("_key"), F.col(text_col).alias("_text"))
-    gone = dropped_lines(narrow, params, scratch).groupBy(F.col("_key").alias("__line_key")).agg(F.collect_set("_at").alias("__line_gone"))  # within one document
-    met = df.withColumn("__line_key", key).join(scratch.save(gone).hint("merge"), "__line_key", "left")  # the list grows with the input: no broadcast
-    kept = F.expr(f"array_join(filter(split(`{text_col}`, '\\n'), (x, i) -> not array_contains(__line_gone, i)), '\\n')")
+    gone = dropped_lines(narrow, params, scratch).groupBy(F.col("_key").alias("__line_key")).agg(F.sort_array(F.collect_set("_at")).alias("__line_at"))  # within one document
+    # one byte for each line up to the last one that goes: 1 for those, 0 for others
+    flags = F.array_join(F.expr("transform(__line_at, (x, i) -> repeat('0', x - coalesce(get(__line_at, i - 1), -1) - 1) || '1')"), "").cast("binary")
+    gone = scratch.save(gone.select("__line_key", F.size("__line_at").alias("__line_n"), flags.alias("__line_gone")))
+    met = df.withColumn("__line_key", key).join(gone.hint("merge"), "__line_key", "left")  # the list grows with the input: no broadcast
+    kept = F.expr(f"array_join(filter(split(`{text_col}`, '\\n'), (x, i) -> substring(__line_gone, i + 1, 1) <> X'31'), '\\n')")
     text = F.when(F.col("__line_gone").isNull(), F.col(text_col)).otherwise(kept)
     n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(F.split(text_col, "\n")))
-    out = met.withColumns({"n_lines": n_lines.cast("long"), "n_dropped": F.coalesce(F.size("__line_gone"), F.lit(0)).cast("long"), text_col: text})
+    out = met.withColumns({"n_lines": n_lines.cast("long"), "n_dropped": F.coalesce("__line_n", F.lit(0)).cast("long"), text_col: text})
     names = [c for c in df.columns if c not in ("n_lines", "n_dropped")]
     return out.select(*[F.col(f"`{c}`") for c in names], "n_lines", "n_dropped")
