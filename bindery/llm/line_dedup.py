@@ -15,8 +15,8 @@ neighbouring words: they are near copies if, by the sketches, less than ``distin
 is chosen, then one that is no near copy of it, and so on; what is chosen ``documents`` times recurs. A line that is more than half of
 its document would make documents alike by itself: for such a line the document counts by what else is in it.
 
-Lines are parsed once and written; what follows reads hashes, and texts of lines only for leaves that already recur. Counts are
-exact and pre-aggregated; a template's documents are dealt over several tasks.
+Lines are parsed once and written, with the documents' sketches; what follows reads hashes, and texts of lines only for leaves that
+already recur. Counts are exact and pre-aggregated; a template's documents are dealt over several tasks.
 
 Defined results: a null text stays null, an empty one empty, with no line dropped; empty lines are never
 dropped; rows with equal id and text count once and keep the same lines, rows with one id and different texts are different documents;
@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
-from .skew import salted_join, salted_semi
+from .skew import salted_join, salted_semi, weighted_join
 
 WILDCARD = "<*>"
 #: White space but the line feed; more than one of a kind, or any other than the space, becomes one space.
@@ -76,43 +76,46 @@ def _most(line: Column) -> Column:
     return 2 * F.octet_length(line) > F.octet_length("_text")
 
 
-def lines(df: DataFrame, p: Templates) -> DataFrame:
+def _sketched(df: DataFrame, text: str, name: str) -> DataFrame:
+    """With the sketch of a text, null for a null text."""
+    sign, most = F.lit(-(2**63)), F.lit(2**63 - 1)  # negative hashes come first
+    df = _once(df, "_found", F.regexp_extract_all(text, F.lit(ANCHOR), F.lit(0)))
+    df = _once(df, "_bound", (8.0 * SKETCH / F.greatest(F.size("_found"), F.lit(1)) - 1) * 2.0**63)
+    low = F.filter(F.transform("_found", lambda x: F.xxhash64(x).bitwiseOR(sign)), lambda h: h.cast("double") <= F.col("_bound"))  # only spares sorting: far more than a sketch holds
+    df = _once(df, "_low", F.sort_array(F.array_distinct(low)))
+    df = _once(df, "_words", F.when(F.size("_low") < SKETCH, F.split(F.replace(text, F.lit("\n"), F.lit(" ")), " ")))
+    pairs = F.zip_with("_words", F.slice("_words", F.lit(2), F.size("_words")), lambda a, b: F.when(b.isNotNull(), F.xxhash64(a, b).bitwiseAND(most)))
+    every = F.when(F.col("_words").isNull(), F.col("_low")).otherwise(F.concat("_low", F.sort_array(F.array_distinct(F.array_compact(pairs)))))
+    df = _once(df, "_low", F.slice(every, 1, SKETCH))
+    sketch = F.when(F.size("_low") > 0, F.col("_low")).when(F.col(text).isNotNull(), F.array(F.xxhash64(text)))
+    return _once(df, name, sketch).drop("_found", "_bound", "_low", "_words")
+
+
+def parsed(df: DataFrame, p: Templates) -> DataFrame:
     """_id, _key, _at, _most, _size (of the document but for a line that is most of it, as a power of two), _leaf, _masked (a hash)
-    and, of lines that may have variable fields, _line (masked) for every line that may be dropped. Nothing is split into tokens."""
-    rows = df.filter("_text is not null").select("_id", "_key", "_text", F.posexplode(F.split("_text", "\n")).alias("_at", "_raw"))
+    and, of lines that may have variable fields, _line (masked) and _n_tokens for every line that may be dropped (_open). Each document's
+    first line also has its _sketch and, if a line is most of it, the _rest's. No line is split into tokens."""
+    docs = df.filter("_text is not null")
+    docs = docs.withColumn("_line", F.get(F.filter(F.transform(F.split("_text", "\n"), lambda x: F.trim(x)), _most), F.lit(0)))
+    docs = docs.withColumn("_other", F.when(F.col("_line").isNotNull(), F.trim(F.replace("_text", F.col("_line"), F.lit(""))))).drop("_line")
+    docs = _sketched(_sketched(docs, "_other", "_rest").drop("_other"), "_text", "_sketch")
+    rows = docs.select("_id", "_key", "_text", "_sketch", "_rest", F.posexplode(F.split("_text", "\n")).alias("_at", "_raw"))
     rows = rows.withColumn("_raw", F.trim("_raw")).withColumn("_most", _most(F.col("_raw")))
     rest = F.octet_length("_text") - F.when(F.col("_most"), F.octet_length("_raw")).otherwise(0)
     rows = rows.withColumn("_size", F.floor(F.log2(F.greatest(rest, F.lit(1)).cast("double"))).cast("int")).drop("_text")
     count = lambda line: F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "))) + 1
-    rows = rows.withColumn("_n_tokens", count(F.col("_raw"))).filter((F.col("_raw") != "") & (F.col("_n_tokens") >= p.least))
+    rows = rows.withColumn("_n_tokens", count(F.col("_raw"))).withColumn("_open", (F.col("_raw") != "") & (F.col("_n_tokens") >= p.least))
+    rows = rows.filter("_open or _at = 0")
     varies = (F.col("_n_tokens") >= p.general) & F.col("_raw").rlike("[0-9]")
     rows = _once(rows, "_line", F.when(varies, F.regexp_replace("_raw", r"[^\x200-9]*+[0-9][^\x20]*+", WILDCARD)).otherwise(F.col("_raw")))
     leaf = F.xxhash64("_n_tokens", F.substring_index("_line", " ", p.depth))
     line = F.when(F.col("_n_tokens") >= p.general, F.col("_line"))
-    return rows.select("_id", "_key", "_at", "_most", "_size", leaf.alias("_leaf"), F.xxhash64("_line").alias("_masked"), line.alias("_line"))
-
-
-def sketches(df: DataFrame) -> DataFrame:
-    """_key, _most and _sketch of each document and, where _most, of it without its largest line."""
-    docs = df.filter("_text is not null").select("_key", "_text")
-    docs = docs.withColumn("_line", F.get(F.filter(F.transform(F.split("_text", "\n"), lambda x: F.trim(x)), _most), F.lit(0)))
-    one = F.struct(F.lit(False).alias("_most"), F.col("_text"))
-    other = F.struct(F.lit(True).alias("_most"), F.trim(F.replace("_text", F.col("_line"), F.lit(""))).alias("_text"))
-    docs = docs.select("_key", F.explode(F.when(F.col("_line").isNull(), F.array(one)).otherwise(F.array(one, other))).alias("_doc"))
-    docs = _once(docs.select("_key", "_doc._most", "_doc._text"), "_found", F.regexp_extract_all("_text", F.lit(ANCHOR), F.lit(0)))
-    docs = _once(docs, "_bound", (8.0 * SKETCH / F.greatest(F.size("_found"), F.lit(1)) - 1) * 2.0**63)
-    sign = F.lit(-(2**63))  # negative hashes come first
-    low = F.filter(F.transform("_found", lambda x: F.xxhash64(x).bitwiseOR(sign)), lambda h: h.cast("double") <= F.col("_bound"))  # only spares sorting: far more than a sketch holds
-    docs = _once(docs, "_low", F.sort_array(F.array_distinct(low)))
-    docs = _once(docs, "_words", F.when(F.size("_low") < SKETCH, F.split(F.replace("_text", F.lit("\n"), F.lit(" ")), " ")))
-    pairs = F.zip_with("_words", F.slice("_words", F.lit(2), F.size("_words")), lambda a, b: F.when(b.isNotNull(), F.xxhash64(a, b).bitwiseAND(F.lit(2**63 - 1))))
-    every = F.when(F.col("_words").isNull(), F.col("_low")).otherwise(F.concat("_low", F.sort_array(F.array_distinct(F.array_compact(pairs)))))
-    docs = _once(docs.select("_key", "_most", "_text", F.slice(every, 1, SKETCH).alias("_least")), "_sketch", F.when(F.size("_least") > 0, F.col("_least")).otherwise(F.array(F.xxhash64("_text"))))
-    return docs.select("_key", "_most", "_sketch").dropDuplicates(["_key", "_most"])
+    own = [F.when(F.col("_at") == 0, F.col(c)).alias(c) for c in ("_sketch", "_rest")]
+    return rows.select("_id", "_key", "_at", "_most", "_size", "_open", "_n_tokens", leaf.alias("_leaf"), F.xxhash64("_line").alias("_masked"), line.alias("_line"), *own)
 
 
 def _recurring(rows: DataFrame, docs: DataFrame, p: Templates, scratch: Scratch) -> DataFrame:
-    """_template and its _first place, of templates that recur; rows has _template, _id, _key, _at, _most, _size, and docs their sketches."""
+    """_template, its _first place and _n documents, of templates that recur; rows has _template, _id, _key, _at, _most, _size, and docs the sketches."""
     place = F.min(F.struct(F.col("_id").isNull().alias("_null"), "_id", "_at", "_key")).alias("_first")
     met = rows.groupBy("_template", "_key").agg(place, F.max("_most").alias("_most"), F.min("_size").alias("_size"))
     met = scratch.save(met)
@@ -121,51 +124,56 @@ def _recurring(rows: DataFrame, docs: DataFrame, p: Templates, scratch: Scratch)
     taken = F.expr("aggregate(sequence(0, 62), struct(0 AS n, -2 AS last), (acc, i) -> CASE WHEN i - acc.last >= 2 AND (shiftright(_sizes, i) & 1L) = 1L THEN struct(acc.n + 1 AS n, i AS last) ELSE acc END, acc -> acc.n)")
     sums = scratch.save(sums.filter(F.col("_n") >= p.documents).withColumn("_settled", taken >= p.documents))
     open_ = salted_semi(met, sums.filter("not _settled"), ["_template"], "_key").select("_template", "_key", "_most", "_size")
-    open_ = open_.join(docs, ["_key", "_most"]).withColumn("_node", F.xxhash64("_sketch"))
+    open_ = open_.join(docs, "_key").withColumn("_sketch", F.when(F.col("_most"), F.col("_rest")).otherwise(F.col("_sketch"))).withColumn("_node", F.xxhash64("_sketch"))
     open_ = scratch.save(open_.groupBy("_template", "_node", "_size").agg(F.first("_sketch").alias("_sketch")))  # exact copies are one
     for _ in range(p.documents - 1):
         least = open_.groupBy("_template").agg(F.min("_node").alias("_node"))
         chosen = open_.join(least, ["_template", "_node"], "left_semi").groupBy("_template").agg(F.min_by("_sketch", "_size").alias("_there"), F.min("_size").alias("_there_size"))
-        both = salted_join(open_, chosen, ["_template"], "_node", "inner")
+        both = salted_join(open_, chosen, ["_template"], "_node", "inner")  # a template's different documents
         union = F.slice(F.sort_array(F.array_union("_sketch", "_there")), 1, SKETCH)
         shared = F.size(F.array_intersect(union, F.array_intersect("_sketch", "_there")))
         near = (F.abs(F.col("_size") - F.col("_there_size")) < 2) & (shared >= (1 - p.distinct) * F.size(union))
         open_ = scratch.save(both.filter(~near).select("_template", "_node", "_size", "_sketch"))
     found = sums.filter("_settled").select("_template").unionByName(open_.select("_template").distinct())
-    return sums.join(found, "_template", "left_semi").select("_template", "_first")
+    return sums.join(found, "_template", "left_semi").select("_template", "_first", "_n")
 
 
 def templates(kinds: DataFrame, rows: DataFrame, p: Templates, scratch: Scratch) -> DataFrame:
-    """_leaf, _masked and _general (a hash) of the lines that share a template with another line; kinds has _leaf, _masked, _n and _general_too."""
+    """_leaf, _masked and _general (a hash) of the lines that share a template with another line; kinds has _leaf, _masked and _n."""
     leaves = kinds.filter("_general_too").groupBy("_leaf").agg(F.sum("_n").alias("_n"), F.count("*").alias("_kinds"))
-    leaves = scratch.save(leaves.filter((F.col("_kinds") > 1) & (F.col("_n") >= p.documents)).select("_leaf"))
-    lines_ = salted_semi(rows.filter("_line is not null").select("_leaf", "_masked", "_line"), leaves, ["_leaf"], "_masked").groupBy("_leaf", "_masked", "_line").agg(F.lit(0))
-    tokens = scratch.save(lines_.select("_leaf", "_masked", F.posexplode(F.split("_line", " ")).alias("_place", "_token")))
-    tokens = tokens.select("_leaf", "_masked", "_place", F.xxhash64("_token").alias("_word"), (F.col("_token") == WILDCARD).alias("_wild"))
-    often = tokens.groupBy("_leaf", "_place", "_word").agg(F.count("*").alias("_lines"))
-    met = salted_join(tokens, often.filter("_lines > 1"), ["_leaf", "_place", "_word"], "_masked", "inner")
-    sizes = tokens.groupBy("_leaf").agg((F.max("_place") + 1).alias("_size"))  # all lines of a leaf have as many tokens
-    held = met.groupBy("_leaf", "_masked").agg(F.collect_list(F.struct("_lines", "_place", "_word", "_wild")).alias("_held"))
-    held = salted_join(held, sizes, ["_leaf"], "_masked", "inner")
-    needed = F.greatest(F.ceil(p.constant * F.col("_size")), F.lit(p.depth + 1)).cast("int")
-    held = _once(held, "_least", F.get(F.sort_array("_held", False), needed - 1)["_lines"]).filter("_least is not null")
+    leaves = scratch.save(leaves.filter((F.col("_kinds") > 1) & (F.col("_n") >= p.documents)))
+    met = weighted_join(rows.filter("_line is not null").select("_leaf", "_masked", "_line"), leaves.select("_leaf", "_n"), ["_leaf"], "_masked", "_n", rows.count())
+    tokens = met.groupBy("_leaf", "_masked", "_line").agg(F.lit(0)).select("_leaf", "_masked", F.posexplode(F.split("_line", " ")).alias("_place", "_token"))
+    tokens = scratch.save(tokens.select("_leaf", "_masked", "_place", F.xxhash64("_token").alias("_word"), (F.col("_token") == WILDCARD).alias("_wild")))
+    often = scratch.save(tokens.groupBy("_leaf", "_place", "_word").agg(F.count("*").alias("_lines")).filter("_lines > 1"))
+    met = weighted_join(tokens, often, ["_leaf", "_place", "_word"], "_masked", "_lines", tokens.count())
+    held = met.groupBy("_leaf", "_masked").agg(F.collect_list(F.struct("_lines", "_place", "_word", "_wild")).alias("_held"))  # within one line
+    held = held.join(kinds.filter("_general_too").select("_leaf", "_masked", "_n_tokens"), ["_leaf", "_masked"])
+    needed = F.greatest(F.ceil(p.constant * F.col("_n_tokens")), F.lit(p.depth + 1)).cast("int")
+    held = _once(held.filter(F.size("_held") >= needed), "_least", F.get(F.sort_array("_held", False), needed - 1)["_lines"])
     fixed = F.sort_array(F.transform(F.filter("_held", lambda t: t["_lines"] >= F.col("_least")), lambda t: F.struct(t["_place"], t["_word"], t["_wild"])))
     held = held.select("_leaf", "_masked", fixed.alias("_fixed")).filter(F.exists("_fixed", lambda t: (t["_place"] >= p.depth) & ~t["_wild"]))
-    return held.select("_leaf", "_masked", F.xxhash64("_leaf", "_fixed", F.lit("general")).alias("_general"))
+    out = scratch.save(held.select("_leaf", "_masked", F.xxhash64("_leaf", "_fixed", F.lit("general")).alias("_general")))
+    scratch.drop(leaves, tokens, often)
+    return out
 
 
 def dropped_lines(df: DataFrame, p: Templates, scratch: Scratch) -> DataFrame:
     """_key and _at of the lines that go; df has _id, _key and _text."""
-    df = spaced(df)
-    rows = scratch.save(lines(df, p))
-    docs = scratch.save(sketches(df))
-    kinds = scratch.save(rows.groupBy("_leaf", "_masked").agg(F.count("*").alias("_n"), F.count("_line").alias("_lines")).withColumn("_general_too", F.col("_lines") > 0).drop("_lines"))
+    every = scratch.save(parsed(spaced(df), p))
+    rows = every.filter("_open").drop("_open", "_sketch", "_rest")
+    kinds = rows.groupBy("_leaf", "_masked").agg(F.count("*").alias("_n"), F.count("_line").alias("_lines"), F.first("_n_tokens").alias("_n_tokens"))
+    kinds = scratch.save(kinds.withColumn("_general_too", F.col("_lines") > 0).drop("_lines"))
     general = templates(kinds, rows, p, scratch)
-    kinds = kinds.join(general, ["_leaf", "_masked"], "left").withColumn("_template", F.coalesce("_general", "_masked")).select("_leaf", "_masked", "_n", "_template")
-    often = kinds.groupBy("_template").agg(F.sum("_n").alias("_all")).filter(F.col("_all") >= p.documents)
-    kinds = scratch.save(kinds.join(often, "_template").select("_leaf", "_masked", "_template"))
-    rows = scratch.save(salted_join(rows.drop("_line"), kinds, ["_leaf", "_masked"], "_key", "inner").drop("_leaf", "_masked"))
-    met = salted_join(rows, _recurring(rows, docs, p, scratch), ["_template"], "_key", "inner")
+    named = kinds.join(general, ["_leaf", "_masked"], "left").withColumn("_template", F.coalesce("_general", "_masked")).select("_leaf", "_masked", "_n", "_template")
+    often = named.groupBy("_template").agg(F.sum("_n").alias("_all")).filter(F.col("_all") >= p.documents).select("_template")
+    named = scratch.save(named.join(often, "_template"))
+    docs = scratch.save(every.filter("_at = 0").select("_key", "_sketch", "_rest"))
+    rows = weighted_join(rows.select("_id", "_key", "_at", "_most", "_size", "_leaf", "_masked"), named, ["_leaf", "_masked"], "_key", "_n", rows.count())
+    rows = scratch.save(rows.drop("_leaf", "_masked", "_n"))
+    scratch.drop(every, kinds, general, named)
+    found = scratch.save(_recurring(rows, docs, p, scratch))
+    met = weighted_join(rows, found, ["_template"], "_key", "_n", rows.count())
     return met.filter((F.col("_key") != F.col("_first._key")) | (F.col("_at") != F.col("_first._at"))).select("_key", "_at")
 
 
