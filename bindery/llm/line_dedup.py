@@ -38,12 +38,12 @@ WILDCARD = "<*>"
 #: White space but the line feed; more than one of a kind, or any other than the space, becomes one space.
 WIDE = r"[\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
 BLANKS = rf"[\x20\t\x0B-\r{WIDE[1:-1]}]{{2,}}|[\t\x0B-\r{WIDE[1:-1]}]"
-#: Texts with no such character but the space. Runs of ASCII and of the rest come apart, as ranges of one kind are scanned faster.
-PLAIN = r"\A(?:[\n\x20-\x7E]++|[\x00-\x08\x0E-\x1F\x7F-\x84\x86-\x9F\xA1-\u167F\u1681-\u1FFF\u200B-\u2027\u202A-\u202E\u2030-\u205E\u2060-\u2FFF\u3001-\x{10FFFF}]++)*+\z"
+#: Texts with no such character but the space, and no digit. Runs of ASCII and of the rest come apart, as ranges of one kind are scanned faster.
+PLAIN = r"\A(?:[\n\x20-\x2F\x3A-\x7E]++|[\x00-\x08\x0E-\x1F\x7F-\x84\x86-\x9F\xA1-\u167F\u1681-\u1FFF\u200B-\u2027\u202A-\u202E\u2030-\u205E\u2060-\u2FFF\u3001-\x{10FFFF}]++)*+\z"
 #: Values of a sketch.
 SKETCH = 32
-#: Pairs that begin with a word of 7 characters or more come first in a sketch: where they fill it, no other pair is hashed.
-ANCHOR = r"(?<![^\x20\n])[^\x20\n]{7,}+[\x20\n][^\x20\n]++"
+#: Pairs after a punctuation mark come first in a sketch: where they fill it, no other pair is hashed.
+ANCHOR = r"[.,;:!?][\x20\n][^\x20\n]++[\x20\n][^\x20\n]++"
 
 
 @dataclass(frozen=True)
@@ -66,9 +66,9 @@ def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
 
 
 def spaced(df: DataFrame) -> DataFrame:
-    """_text with single spaces for all white space but line feeds."""
-    odd = F.contains("_text", F.lit("  ")) | ~F.col("_text").rlike(PLAIN)
-    return _once(df, "_text", F.when(odd, F.regexp_replace("_text", BLANKS, " ")).otherwise(F.col("_text")))
+    """_text with single spaces for all white space but line feeds, and whether it may have _digits."""
+    df = _once(df, "_digits", F.contains("_text", F.lit("  ")) | ~F.col("_text").rlike(PLAIN))
+    return _once(df, "_text", F.when(F.col("_digits"), F.regexp_replace("_text", BLANKS, " ")).otherwise(F.col("_text")))
 
 
 def _most(line: Column) -> Column:
@@ -84,8 +84,8 @@ def _sketched(df: DataFrame, text: str, name: str) -> DataFrame:
     low = F.filter(F.transform("_found", lambda x: F.xxhash64(x).bitwiseOR(sign)), lambda h: h.cast("double") <= F.col("_bound"))  # only spares sorting: far more than a sketch holds
     df = _once(df, "_low", F.sort_array(F.array_distinct(low)))
     df = _once(df, "_words", F.when(F.size("_low") < SKETCH, F.split(F.replace(text, F.lit("\n"), F.lit(" ")), " ")))
-    pairs = F.zip_with("_words", F.slice("_words", F.lit(2), F.size("_words")), lambda a, b: F.when(b.isNotNull(), F.xxhash64(a, b).bitwiseAND(most)))
-    every = F.when(F.col("_words").isNull(), F.col("_low")).otherwise(F.concat("_low", F.sort_array(F.array_distinct(F.array_compact(pairs)))))
+    pairs = F.transform("_words", lambda x, i: F.xxhash64(x, F.get("_words", i + 1)).bitwiseAND(most))
+    every = F.when(F.col("_words").isNull(), F.col("_low")).otherwise(F.concat("_low", F.sort_array(F.array_distinct(pairs))))
     df = _once(df, "_low", F.slice(every, 1, SKETCH))
     sketch = F.when(F.size("_low") > 0, F.col("_low")).when(F.col(text).isNotNull(), F.array(F.xxhash64(text)))
     return _once(df, name, sketch).drop("_found", "_bound", "_low", "_words")
@@ -99,14 +99,14 @@ def parsed(df: DataFrame, p: Templates) -> DataFrame:
     docs = docs.withColumn("_line", F.get(F.filter(F.transform(F.split("_text", "\n"), lambda x: F.trim(x)), _most), F.lit(0)))
     docs = docs.withColumn("_other", F.when(F.col("_line").isNotNull(), F.trim(F.replace("_text", F.col("_line"), F.lit(""))))).drop("_line")
     docs = _sketched(_sketched(docs, "_other", "_rest").drop("_other"), "_text", "_sketch")
-    rows = docs.select("_id", "_key", "_text", "_sketch", "_rest", F.posexplode(F.split("_text", "\n")).alias("_at", "_raw"))
+    rows = docs.select("_id", "_key", "_text", "_digits", "_sketch", "_rest", F.posexplode(F.split("_text", "\n")).alias("_at", "_raw"))
     rows = rows.withColumn("_raw", F.trim("_raw")).withColumn("_most", _most(F.col("_raw")))
     rest = F.octet_length("_text") - F.when(F.col("_most"), F.octet_length("_raw")).otherwise(0)
     rows = rows.withColumn("_size", F.floor(F.log2(F.greatest(rest, F.lit(1)).cast("double"))).cast("int")).drop("_text")
     count = lambda line: F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "))) + 1
     rows = rows.withColumn("_n_tokens", count(F.col("_raw"))).withColumn("_open", (F.col("_raw") != "") & (F.col("_n_tokens") >= p.least))
     rows = rows.filter("_open or _at = 0")
-    varies = (F.col("_n_tokens") >= p.general) & F.col("_raw").rlike("[0-9]")
+    varies = F.col("_digits") & (F.col("_n_tokens") >= p.general) & F.col("_raw").rlike("[0-9]")
     rows = _once(rows, "_line", F.when(varies, F.regexp_replace("_raw", r"[^\x200-9]*+[0-9][^\x20]*+", WILDCARD)).otherwise(F.col("_raw")))
     leaf = F.xxhash64("_n_tokens", F.substring_index("_line", " ", p.depth))
     line = F.when(F.col("_n_tokens") >= p.general, F.col("_line"))
@@ -130,9 +130,9 @@ def _recurring(rows: DataFrame, docs: DataFrame, p: Templates, scratch: Scratch)
         least = open_.groupBy("_template").agg(F.min("_node").alias("_node"))
         chosen = open_.join(least, ["_template", "_node"], "left_semi").groupBy("_template").agg(F.min_by("_sketch", "_size").alias("_there"), F.min("_size").alias("_there_size"))
         both = salted_join(open_, chosen, ["_template"], "_node", "inner")  # a template's different documents
-        union = F.slice(F.sort_array(F.array_union("_sketch", "_there")), 1, SKETCH)
-        shared = F.size(F.array_intersect(union, F.array_intersect("_sketch", "_there")))
-        near = (F.abs(F.col("_size") - F.col("_there_size")) < 2) & (shared >= (1 - p.distinct) * F.size(union))
+        shared = F.size(F.array_intersect("_sketch", "_there"))
+        alike = shared >= (1 - p.distinct) * (F.size("_sketch") + F.size("_there") - shared)
+        near = (F.abs(F.col("_size") - F.col("_there_size")) < 2) & alike
         open_ = scratch.save(both.filter(~near).select("_template", "_node", "_size", "_sketch"))
     found = sums.filter("_settled").select("_template").unionByName(open_.select("_template").distinct())
     return sums.join(found, "_template", "left_semi").select("_template", "_first", "_n")
@@ -178,8 +178,8 @@ def dropped_lines(df: DataFrame, p: Templates, scratch: Scratch) -> DataFrame:
 
 
 def _document(id_: Column, text: Column) -> Column:
-    """128 bits of id and text."""
-    return F.unhex(F.md5(F.concat(F.when(id_.isNull(), "-").otherwise(F.concat(F.lit("+"), id_.cast("string"))), F.lit("\0"), F.coalesce(text, F.lit("")))))
+    """Two hashes of id and text."""
+    return F.struct(F.xxhash64(id_.isNull(), id_, text).alias("a"), F.xxhash64(F.lit("b"), text, id_).alias("b"))
 
 
 def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: Templates = Templates()) -> DataFrame:
