@@ -38,10 +38,11 @@ WILDCARD = "<*>"
 #: White space but the line feed; more than one of a kind, or any other than the space, becomes one space.
 WIDE = r"[\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
 BLANKS = rf"[\x20\t\x0B-\r{WIDE[1:-1]}]{{2,}}|[\t\x0B-\r{WIDE[1:-1]}]"
-#: Texts with no such character but the space, and no digit. Runs of ASCII and of the rest come apart, as ranges of one kind are scanned faster.
-PLAIN = r"\A(?:[\n\x20-\x2F\x3A-\x7E]++|[\x00-\x08\x0E-\x1F\x7F-\x84\x86-\x9F\xA1-\u167F\u1681-\u1FFF\u200B-\u2027\u202A-\u202E\u2030-\u205E\u2060-\u2FFF\u3001-\x{10FFFF}]++)*+\z"
+#: Texts with no such character but the space, and no digit. Characters below 256 are listed one by one: Java then looks them up in a table.
+_BELOW = "".join(rf"\x{c:02X}" for c in range(256) if not (0x09 <= c <= 0x0D or 0x30 <= c <= 0x39 or c in (0x85, 0xA0)) or c == 0x0A)
+PLAIN = rf"\A(?:[{_BELOW}]++|[\u0100-\u167F\u1681-\u1FFF\u200B-\u2027\u202A-\u202E\u2030-\u205E\u2060-\u2FFF\u3001-\x{{10FFFF}}]++)*+\z"
 #: Values of a sketch.
-SKETCH = 32
+SKETCH = 24
 #: Pairs after a punctuation mark come first in a sketch: where they fill it, no other pair is hashed.
 ANCHOR = r"[.,;:!?][\x20\n][^\x20\n]++[\x20\n][^\x20\n]++"
 
