@@ -61,6 +61,10 @@ class Templates:
     constant: float = 0.7
 
 
+def n_tokens(line: str) -> Column:
+    return F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "))) + 1
+
+
 def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
     """With a column that is computed once, however often and in whatever lambda it is used: projections do not pass a generator."""
     return df.select(*[c for c in df.columns if c != name], F.explode(F.array(value)).alias(name))
@@ -94,8 +98,8 @@ def _sketched(df: DataFrame, text: str, name: str) -> DataFrame:
 
 def parsed(df: DataFrame, p: Templates) -> DataFrame:
     """_id, _key, _at, _most, _size (of the document but for a line that is most of it, as a power of two), _leaf, _masked (a hash)
-    and, of lines that may have variable fields, _line (masked) and _n_tokens for every line that may be dropped (_open). Each document's
-    first line also has its _sketch and, if a line is most of it, the _rest's. No line is split into tokens."""
+    and, of lines that may have variable fields, _line (masked) for every line that may be dropped (_open). A leaf is only what leads
+    here; tokens are counted where it matters. Each document's first line also has its _sketch and, if a line is most of it, the _rest's."""
     docs = df.filter("_text is not null")
     docs = docs.withColumn("_line", F.get(F.filter(F.transform(F.split("_text", "\n"), lambda x: F.trim(x)), _most), F.lit(0)))
     docs = docs.withColumn("_other", F.when(F.col("_line").isNotNull(), F.trim(F.replace("_text", F.col("_line"), F.lit(""))))).drop("_line")
@@ -104,15 +108,13 @@ def parsed(df: DataFrame, p: Templates) -> DataFrame:
     rows = rows.withColumn("_raw", F.trim("_raw")).withColumn("_most", _most(F.col("_raw")))
     rest = F.octet_length("_text") - F.when(F.col("_most"), F.octet_length("_raw")).otherwise(0)
     rows = rows.withColumn("_size", F.floor(F.log2(F.greatest(rest, F.lit(1)).cast("double"))).cast("int")).drop("_text")
-    count = lambda line: F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "))) + 1
-    rows = rows.withColumn("_n_tokens", count(F.col("_raw"))).withColumn("_open", (F.col("_raw") != "") & (F.col("_n_tokens") >= p.least))
-    rows = rows.filter("_open or _at = 0")
-    varies = F.col("_digits") & (F.col("_n_tokens") >= p.general) & F.col("_raw").rlike("[0-9]")
+    rows = rows.withColumn("_open", (F.col("_raw") != "") & (n_tokens("_raw") >= p.least if p.least > 1 else F.lit(True))).filter("_open or _at = 0")
+    rows = rows.withColumn("_many", F.substring_index("_raw", " ", p.general - 1) != F.col("_raw"))
+    varies = F.col("_digits") & F.col("_many") & F.col("_raw").rlike("[0-9]")
     rows = _once(rows, "_line", F.when(varies, F.regexp_replace("_raw", r"[^\x200-9]*+[0-9][^\x20]*+", WILDCARD)).otherwise(F.col("_raw")))
-    leaf = F.xxhash64("_n_tokens", F.substring_index("_line", " ", p.depth))
-    line = F.when(F.col("_n_tokens") >= p.general, F.col("_line"))
+    leaf, line = F.xxhash64(F.substring_index("_line", " ", p.depth)), F.when(F.col("_many"), F.col("_line"))
     own = [F.when(F.col("_at") == 0, F.col(c)).alias(c) for c in ("_sketch", "_rest")]
-    return rows.select("_id", "_key", "_at", "_most", "_size", "_open", "_n_tokens", leaf.alias("_leaf"), F.xxhash64("_line").alias("_masked"), line.alias("_line"), *own)
+    return rows.select("_id", "_key", "_at", "_most", "_size", "_open", leaf.alias("_leaf"), F.xxhash64("_line").alias("_masked"), line.alias("_line"), *own)
 
 
 def _recurring(rows: DataFrame, docs: DataFrame, p: Templates, scratch: Scratch) -> DataFrame:
@@ -141,21 +143,25 @@ def _recurring(rows: DataFrame, docs: DataFrame, p: Templates, scratch: Scratch)
 
 def templates(kinds: DataFrame, rows: DataFrame, p: Templates, scratch: Scratch) -> DataFrame:
     """_leaf, _masked and _general (a hash) of the lines that share a template with another line; kinds has _leaf, _masked and _n."""
-    leaves = kinds.filter("_general_too").groupBy("_leaf").agg(F.sum("_n").alias("_n"), F.count("*").alias("_kinds"))
-    leaves = scratch.save(leaves.filter((F.col("_kinds") > 1) & (F.col("_n") >= p.documents)))
-    met = weighted_join(rows.filter("_line is not null").select("_leaf", "_masked", "_line"), leaves.select("_leaf", "_n"), ["_leaf"], "_masked", "_n", rows.count())
-    tokens = met.groupBy("_leaf", "_masked", "_line").agg(F.lit(0)).select("_leaf", "_masked", F.posexplode(F.split("_line", " ")).alias("_place", "_token"))
+    often = lambda of: of.groupBy("_leaf").agg(F.sum("_n").alias("_n"), F.count("*").alias("_kinds")).filter((F.col("_kinds") > 1) & (F.col("_n") >= p.documents))
+    leading = scratch.save(often(kinds.filter("_general_too")))
+    met = weighted_join(rows.filter("_line is not null").select("_leaf", "_masked", "_line"), leading.select("_leaf", "_n"), ["_leaf"], "_masked", "_n", rows.count())
+    met = met.groupBy("_leaf", "_masked", "_line").agg(F.count("*").alias("_n")).withColumn("_n_tokens", n_tokens("_line"))
+    lines = scratch.save(met.withColumn("_lead", F.col("_leaf")).withColumn("_leaf", F.xxhash64("_n_tokens", "_lead")))
+    leaves = scratch.save(often(lines))
+    met = weighted_join(lines.drop("_n"), leaves.select("_leaf", "_kinds"), ["_leaf"], "_masked", "_kinds", lines.count())
+    tokens = met.select("_leaf", "_masked", F.posexplode(F.split("_line", " ")).alias("_place", "_token"))
     tokens = scratch.save(tokens.select("_leaf", "_masked", "_place", F.xxhash64("_token").alias("_word"), (F.col("_token") == WILDCARD).alias("_wild")))
-    often = scratch.save(tokens.groupBy("_leaf", "_place", "_word").agg(F.count("*").alias("_lines")).filter("_lines > 1"))
-    met = weighted_join(tokens, often, ["_leaf", "_place", "_word"], "_masked", "_lines", tokens.count())
+    words = scratch.save(tokens.groupBy("_leaf", "_place", "_word").agg(F.count("*").alias("_lines")).filter("_lines > 1"))
+    met = weighted_join(tokens, words, ["_leaf", "_place", "_word"], "_masked", "_lines", tokens.count())
     held = met.groupBy("_leaf", "_masked").agg(F.collect_list(F.struct("_lines", "_place", "_word", "_wild")).alias("_held"))  # within one line
-    held = held.join(kinds.filter("_general_too").select("_leaf", "_masked", "_n_tokens"), ["_leaf", "_masked"])
+    held = held.join(lines.select("_leaf", "_masked", "_lead", "_n_tokens"), ["_leaf", "_masked"])
     needed = F.greatest(F.ceil(p.constant * F.col("_n_tokens")), F.lit(p.depth + 1)).cast("int")
     held = _once(held.filter(F.size("_held") >= needed), "_least", F.get(F.sort_array("_held", False), needed - 1)["_lines"])
     fixed = F.sort_array(F.transform(F.filter("_held", lambda t: t["_lines"] >= F.col("_least")), lambda t: F.struct(t["_place"], t["_word"], t["_wild"])))
-    held = held.select("_leaf", "_masked", fixed.alias("_fixed")).filter(F.exists("_fixed", lambda t: (t["_place"] >= p.depth) & ~t["_wild"]))
-    out = scratch.save(held.select("_leaf", "_masked", F.xxhash64("_leaf", "_fixed", F.lit("general")).alias("_general")))
-    scratch.drop(leaves, tokens, often)
+    held = held.select("_leaf", "_lead", "_masked", fixed.alias("_fixed")).filter(F.exists("_fixed", lambda t: (t["_place"] >= p.depth) & ~t["_wild"]))
+    out = scratch.save(held.select(F.col("_lead").alias("_leaf"), "_masked", F.xxhash64("_leaf", "_fixed", F.lit("general")).alias("_general")))
+    scratch.drop(leading, lines, leaves, tokens, words)
     return out
 
 
@@ -163,7 +169,7 @@ def dropped_lines(df: DataFrame, p: Templates, scratch: Scratch) -> DataFrame:
     """_key and _at of the lines that go; df has _id, _key and _text."""
     every = scratch.save(parsed(spaced(df), p))
     rows = every.filter("_open").drop("_open", "_sketch", "_rest")
-    kinds = rows.groupBy("_leaf", "_masked").agg(F.count("*").alias("_n"), F.count("_line").alias("_lines"), F.first("_n_tokens").alias("_n_tokens"))
+    kinds = rows.groupBy("_leaf", "_masked").agg(F.count("*").alias("_n"), F.count("_line").alias("_lines"))
     kinds = scratch.save(kinds.withColumn("_general_too", F.col("_lines") > 0).drop("_lines"))
     general = templates(kinds, rows, p, scratch)
     named = kinds.join(general, ["_leaf", "_masked"], "left").withColumn("_template", F.coalesce("_general", "_masked")).select("_leaf", "_masked", "_n", "_template")
