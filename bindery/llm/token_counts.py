@@ -6,7 +6,8 @@ is in a block has begun at the last end before it, which may lie any number of b
 over the blocks' last ends and numbers of ends (a few numbers for each block) stitch them.
 
 Defined results: tokens after a file's last end are a document that is not ended (``ended`` false); two adjacent ends make an empty
-document with 0 tokens; an empty file has no documents. For ``documents`` a null or empty text has 0 tokens.
+document with 0 tokens; an empty file has no documents. For ``documents`` a null or empty text has 0 tokens, and a text that spells the end-of-document token has it as ordinary
+ids, so that no text ends a document.
 """
 
 from __future__ import annotations
