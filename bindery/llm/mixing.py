@@ -9,7 +9,8 @@ cut into classes of size (powers of two), classes into cells of bounded row coun
 cells are summed before they are shuffled, so that a source with a third of all rows is no hot key.
 
 Defined results: a null text has size 0; a null source is a source, the last one; a source of size 0 has target 0 and takes
-nothing, and so do all where all sizes are 0. Repeated rows are rows. An empty table gives an empty result.
+nothing, and so do all where all sizes are 0. Repeated rows are rows. An empty table gives an empty result. Other columns are ignored by
+``mix``; ``systematic`` keeps them, and they may have any names but those that begin with ``__mix_``.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
+from .skew import weighted_join
 
 WORDS = r"[^\x20\x09-\x0D]+"
 #: Expected copies are whole numbers of 2^-24.
@@ -30,7 +32,7 @@ CELL_ROWS = 1_000
 
 
 def targets(sizes: DataFrame, weights: Sequence[float], most: float) -> DataFrame:
-    """source, source_size -> with target: weights by code point, repeating, null last; a target stops at ``most`` times its
+    """source, source_size -> with target (sources are sorted in one task, a row each: meant for up to some millions of them): weights by code point, repeating, null last; a target stops at ``most`` times its
     source's size and the excess goes to the others by weight. The table has one row for each source.
 
     With the level L, targets are min(most * size, L * weight) and sum up to all sizes. Sources in the order of
@@ -50,21 +52,21 @@ def targets(sizes: DataFrame, weights: Sequence[float], most: float) -> DataFram
 
 def systematic(df: DataFrame, id_col: str, source_col: str, size_col: str, expected_col: str, seed: int = 0) -> DataFrame:
     """Adds ``copies``. ``expected_col`` is the expected copies, fixed-point (times ONE)."""
-    rows = df.withColumn("_class", F.when(F.col(size_col) > 0, F.floor(F.log2(F.col(size_col).cast("double")))).otherwise(-1))
+    rows = df.withColumn("__mix_class", F.when(F.col(size_col) > 0, F.floor(F.log2(F.col(size_col).cast("double")))).otherwise(-1))
     key, lost = F.coalesce(source_col, F.lit("")), F.col(source_col).isNull()
-    rows = rows.withColumn("_source", key).withColumn("_null", lost)
-    group = ["_source", "_null", "_class"]
-    cells = F.ceil(F.count("*") / CELL_ROWS).cast("int").alias("_cells")
-    rows = rows.join(rows.groupBy(*group).agg(cells), group).withColumn("_cell", F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.col("_cells")).cast("int"))
-    cell = [*group, "_cell"]
-    before = Window.partitionBy("_source", "_null").orderBy("_class", "_cell").rowsBetween(Window.unboundedPreceding, -1)
-    sums = rows.groupBy(*cell).agg(F.sum(expected_col).alias("_sum")).withColumn("_base", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
-    offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), "_source")), 1, 6), 16, 10).cast("long")  # uniform in [0, ONE)
+    rows = rows.withColumn("__mix_source", key).withColumn("__mix_null", lost)
+    group = ["__mix_source", "__mix_null", "__mix_class"]
+    counts = Scratch(df.sparkSession, "classes").save(rows.groupBy(*group).agg(F.count("*").alias("__mix_rows"), F.ceil(F.count("*") / CELL_ROWS).cast("int").alias("__mix_cells")))
+    rows = weighted_join(rows, counts, group, id_col, "__mix_rows").drop("__mix_rows").withColumn("__mix_cell", F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.col("__mix_cells")).cast("int"))
+    cell = [*group, "__mix_cell"]
+    before = Window.partitionBy("__mix_source", "__mix_null").orderBy("__mix_class", "__mix_cell").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy(*cell).agg(F.sum(expected_col).alias("__mix_sum")).withColumn("__mix_base", F.coalesce(F.sum("__mix_sum").over(before), F.lit(0))).drop("__mix_sum")
+    offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), "__mix_source")), 1, 6), 16, 10).cast("long")  # uniform in [0, ONE)
     within = Window.partitionBy(*cell).orderBy(size_col, id_col).rowsBetween(Window.unboundedPreceding, 0)
-    end = F.col("_base") + F.sum(expected_col).over(within) + offset
-    rows = rows.join(sums, cell).withColumn("_end", end)
-    copies = F.shiftright("_end", BITS) - F.shiftright(F.col("_end") - F.col(expected_col), BITS)
-    return rows.withColumn("copies", copies).drop(*cell, "_cells", "_base", "_end")
+    end = F.col("__mix_base") + F.sum(expected_col).over(within) + offset
+    rows = rows.join(sums, cell).withColumn("__mix_end", end)
+    copies = F.shiftright("__mix_end", BITS) - F.shiftright(F.col("__mix_end") - F.col(expected_col), BITS)
+    return rows.withColumn("copies", copies).drop(*cell, "__mix_cells", "__mix_base", "__mix_end")
 
 
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (5, 2, 1), most: float = 3.0, seed: int = 0) -> DataFrame:
