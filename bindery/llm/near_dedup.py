@@ -11,7 +11,8 @@ within one task, and only documents with pairs that pass the posterior test leav
 
 Defined results: a null or empty text, or one of white space, has no shingles and links with nothing; with fewer words than a
 shingle has, the whole sequence is the one shingle. Rows with a null id take part in nothing: component null, kept. Repeated
-rows get equal results. An empty table gives an empty result. Other columns of the input are ignored.
+rows get equal results. Of different texts under one id, the one with the least hash stands for the id in links; a row whose own set
+equals another document's shares that one's component. An empty table gives an empty result. Other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -116,7 +118,12 @@ def band_keys(sig: np.ndarray, p: NearDedup) -> np.ndarray:
     return out
 
 
-_FEATURES = "doc_id long, n_shingles long, set_a long, set_b long, sig binary, bands array<long>"
+_FEATURES = "doc_id long, text_key long, n_shingles long, set_a long, set_b long, sig binary, bands array<long>"
+
+
+def keys_of(texts: list[bytes]) -> np.ndarray:
+    """What F.xxhash64 gives for each text."""
+    return np.array([xxhash.xxh64_intdigest(x, 42) for x in texts], np.uint64).view(np.int64)
 
 
 def _features(p: NearDedup):
@@ -140,8 +147,8 @@ def _features(p: NearDedup):
                     for i, s, k in zip(full, sig, keys, strict=True):
                         sigs[i], bands[i] = s.tobytes(), k
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, len(sets)), pa.array(size), pa.array(a), pa.array(b), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                    names=["doc_id", "n_shingles", "set_a", "set_b", "sig", "bands"],
+                    [batch.column(0).slice(first, len(sets)), pa.array(keys_of(texts), pa.int64()), pa.array(size), pa.array(a), pa.array(b), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+                    names=["doc_id", "text_key", "n_shingles", "set_a", "set_b", "sig", "bands"],
                 )
 
     return run
@@ -259,15 +266,15 @@ def _verify(p: NearDedup):
 
 def components(scratch: Scratch, edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, comp): comp is the smallest id reachable. Rounds of large-star and small-star; each is a pre-aggregated minimum
-    and a join, so that a node with very many neighbours is never gathered in one task."""
+    and a join that deals a node's links over several tasks."""
     edges = scratch.save(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct())
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = salted_join(both.filter("v > u"), low, ["u"], "v", "inner").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        met = large.join(low, "u")
+        met = salted_join(large, low, ["u"], "v", "inner")
         small = met.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(met.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         after = scratch.save(small)
         state = after.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.count_if(F.col("v") >= F.col("u"))).first()
@@ -289,7 +296,7 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
     sets = feats.filter("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"))
     sets = scratch.save(sets)
     reps = feats.join(sets, (feats.doc_id == sets.rep) & (feats.set_a == sets.set_a) & (feats.set_b == sets.set_b), "left_semi")
-    reps = scratch.save(reps.select("doc_id", "sig", "bands").dropDuplicates(["doc_id"]))
+    reps = scratch.save(reps.groupBy("doc_id").agg(F.min_by(F.struct("text_key", "sig", "bands"), "text_key").alias("r")).select("doc_id", "r.*"))
 
     rows = reps.select("doc_id", F.posexplode("bands").alias("band", "bucket"))
     sizes = rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
@@ -302,8 +309,9 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
     sig = reps.select("doc_id", "sig")
     pairs = pairs.join(sig.select(F.col("doc_id").alias("b"), F.col("sig").alias("sig_b")), "b").join(sig.select(F.col("doc_id").alias("a"), F.col("sig").alias("sig_a")), "a")
     pairs = pairs.mapInArrow(_prune(p), "a long, b long")
-    wanted = scratch.save(rows.select("doc_id").distinct())
-    texts = scratch.save(docs.filter("text is not null").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    wanted = scratch.save(rows.select("doc_id").distinct().join(reps.select("doc_id", "text_key"), "doc_id"))
+    texts = docs.filter("text is not null").withColumn("text_key", F.xxhash64("text")).join(wanted, ["doc_id", "text_key"], "left_semi")
+    texts = scratch.save(texts.drop("text_key").dropDuplicates(["doc_id"]))
 
     met = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     met = met.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
@@ -329,8 +337,8 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
         joined = comps.select(F.col("id").alias("a"), F.col("comp").alias("b")).unionByName(more)
         comps = scratch.save(components(scratch, joined))
 
-    out = feats.select("doc_id", "n_shingles", "set_a", "set_b").join(sets, ["set_a", "set_b"], "left")
+    out = salted_join(feats.select("doc_id", "n_shingles", "set_a", "set_b"), sets, ["set_a", "set_b"], "doc_id", "left")
     out = out.withColumn("rep", F.when(F.col("n_shingles") > 0, F.col("rep")).otherwise(F.col("doc_id")))
-    out = out.join(comps.withColumnRenamed("id", "rep"), "rep", "left")
+    out = salted_join(out, comps.withColumnRenamed("id", "rep"), ["rep"], "doc_id", "left")
     comp = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "rep"))
     return out.select("doc_id", "n_shingles", comp.alias("component_id"), F.coalesce(F.col("doc_id") == comp, F.lit(True)).alias("kept"))
