@@ -31,6 +31,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .once import once
 from .scratch import Scratch
 from .skew import salted_join, salted_semi, weighted_join
 
@@ -65,15 +66,10 @@ def n_tokens(line: str) -> Column:
     return F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "))) + 1
 
 
-def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
-    """With a column that is computed once, however often and in whatever lambda it is used: projections do not pass a generator."""
-    return df.select(*[c for c in df.columns if c != name], F.explode(F.array(value)).alias(name))
-
-
 def spaced(df: DataFrame) -> DataFrame:
     """_text with single spaces for all white space but line feeds, and whether it may have _digits."""
-    df = _once(df, "_digits", F.contains("_text", F.lit("  ")) | ~F.col("_text").rlike(PLAIN))
-    return _once(df, "_text", F.when(F.col("_digits"), F.regexp_replace("_text", BLANKS, " ")).otherwise(F.col("_text")))
+    df = once(df, "_digits", F.contains("_text", F.lit("  ")) | ~F.col("_text").rlike(PLAIN))
+    return once(df, "_text", F.when(F.col("_digits"), F.regexp_replace("_text", BLANKS, " ")).otherwise(F.col("_text")))
 
 
 def _most(line: Column) -> Column:
@@ -84,16 +80,16 @@ def _most(line: Column) -> Column:
 def _sketched(df: DataFrame, text: str, name: str) -> DataFrame:
     """With the sketch of a text, null for a null text."""
     sign, most = F.lit(-(2**63)), F.lit(2**63 - 1)  # negative hashes come first
-    df = _once(df, "_found", F.regexp_extract_all(text, F.lit(ANCHOR), F.lit(0)))
-    df = _once(df, "_bound", (8.0 * SKETCH / F.greatest(F.size("_found"), F.lit(1)) - 1) * 2.0**63)
+    df = once(df, "_found", F.regexp_extract_all(text, F.lit(ANCHOR), F.lit(0)))
+    df = once(df, "_bound", (8.0 * SKETCH / F.greatest(F.size("_found"), F.lit(1)) - 1) * 2.0**63)
     low = F.filter(F.transform("_found", lambda x: F.xxhash64(x).bitwiseOR(sign)), lambda h: h.cast("double") <= F.col("_bound"))  # only spares sorting: far more than a sketch holds
-    df = _once(df, "_low", F.sort_array(F.array_distinct(low)))
-    df = _once(df, "_words", F.when(F.size("_low") < SKETCH, F.split(F.replace(text, F.lit("\n"), F.lit(" ")), " ")))
+    df = once(df, "_low", F.sort_array(F.array_distinct(low)))
+    df = once(df, "_words", F.when(F.size("_low") < SKETCH, F.split(F.replace(text, F.lit("\n"), F.lit(" ")), " ")))
     pairs = F.transform("_words", lambda x, i: F.xxhash64(x, F.get("_words", i + 1)).bitwiseAND(most))
     every = F.when(F.col("_words").isNull(), F.col("_low")).otherwise(F.concat("_low", F.sort_array(F.array_distinct(pairs))))
-    df = _once(df, "_low", F.slice(every, 1, SKETCH))
+    df = once(df, "_low", F.slice(every, 1, SKETCH))
     sketch = F.when(F.size("_low") > 0, F.col("_low")).when(F.col(text).isNotNull(), F.array(F.xxhash64(text)))
-    return _once(df, name, sketch).drop("_found", "_bound", "_low", "_words")
+    return once(df, name, sketch).drop("_found", "_bound", "_low", "_words")
 
 
 def parsed(df: DataFrame, p: Templates) -> DataFrame:
@@ -111,7 +107,7 @@ def parsed(df: DataFrame, p: Templates) -> DataFrame:
     rows = rows.withColumn("_open", (F.col("_raw") != "") & (n_tokens("_raw") >= p.least if p.least > 1 else F.lit(True))).filter("_open or _at = 0")
     rows = rows.withColumn("_many", F.substring_index("_raw", " ", p.general - 1) != F.col("_raw"))
     varies = F.col("_digits") & F.col("_many") & F.col("_raw").rlike("[0-9]")
-    rows = _once(rows, "_line", F.when(varies, F.regexp_replace("_raw", r"[^\x200-9]*+[0-9][^\x20]*+", WILDCARD)).otherwise(F.col("_raw")))
+    rows = once(rows, "_line", F.when(varies, F.regexp_replace("_raw", r"[^\x200-9]*+[0-9][^\x20]*+", WILDCARD)).otherwise(F.col("_raw")))
     leaf, line = F.xxhash64(F.substring_index("_line", " ", p.depth)), F.when(F.col("_many"), F.col("_line"))
     own = [F.when(F.col("_at") == 0, F.col(c)).alias(c) for c in ("_sketch", "_rest")]
     return rows.select("_id", "_key", "_at", "_most", "_size", "_open", leaf.alias("_leaf"), F.xxhash64("_line").alias("_masked"), line.alias("_line"), *own)
@@ -157,7 +153,7 @@ def templates(kinds: DataFrame, rows: DataFrame, p: Templates, scratch: Scratch)
     held = met.groupBy("_leaf", "_masked").agg(F.collect_list(F.struct("_lines", "_place", "_word", "_wild")).alias("_held"))  # within one line
     held = held.join(lines.select("_leaf", "_masked", "_lead", "_n_tokens"), ["_leaf", "_masked"])
     needed = F.greatest(F.ceil(p.constant * F.col("_n_tokens")), F.lit(p.depth + 1)).cast("int")
-    held = _once(held.filter(F.size("_held") >= needed), "_least", F.get(F.sort_array("_held", False), needed - 1)["_lines"])
+    held = once(held.filter(F.size("_held") >= needed), "_least", F.get(F.sort_array("_held", False), needed - 1)["_lines"])
     fixed = F.sort_array(F.transform(F.filter("_held", lambda t: t["_lines"] >= F.col("_least")), lambda t: F.struct(t["_place"], t["_word"], t["_wild"])))
     held = held.select("_leaf", "_lead", "_masked", fixed.alias("_fixed")).filter(F.exists("_fixed", lambda t: (t["_place"] >= p.depth) & ~t["_wild"]))
     out = scratch.save(held.select(F.col("_lead").alias("_leaf"), "_masked", F.xxhash64("_leaf", "_fixed", F.lit("general")).alias("_general")))
