@@ -5,6 +5,10 @@ bound cannot tell their next-symbol and ending frequencies apart (recursively, s
 candidate's score is its mean log-likelihood under the best automaton less that under an automaton of ordinary strings. Base
 formats are always spans; other candidates are spans where the score exceeds the threshold, calibrated on held-out strings.
 
+Candidates are runs of token characters, and of each run with "=" or "/" inside, the parts between these too: the run goes as one
+if it passes, else each of its parts that does. All of ``CANDIDATE`` characters or more with two kinds of small letters, capitals and
+digits are scored.
+
 Credentials and ordinary strings are labelled by the seeded generator that makes them, ``EXAMPLES`` of each format.
 
 Defined results: a null text counts as empty and has no spans; null ids stay null; repeated rows get equal results; an empty table
@@ -34,8 +38,10 @@ ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:
 KEYWORD = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 LEAST = {"assign": 12, "access": 18, "hex": 16}
-#: Token-like strings that are scored: this many characters of [A-Za-z0-9+/_=.-] or more, with a letter and a digit.
-CANDIDATE = 16
+#: Token-like strings that are scored: this many characters of [A-Za-z0-9+/_=.-] or more, of two kinds of letters and digits.
+CANDIDATE = 12
+_KINDS = re.compile(r"[a-z].*[0-9A-Z]|[0-9].*[A-Za-z]|[A-Z].*[a-z0-9]", re.DOTALL)
+_PART = re.compile(r"[^=/]+")
 EXAMPLES = 300
 ALPHA = 0.05
 #: Share of held-out ordinary strings that may pass.
@@ -45,8 +51,6 @@ _HEX = np.zeros(256, bool)
 _HEX[[*b"0123456789abcdef"]] = True
 _TOKEN = np.zeros(256, bool)
 _TOKEN[[*(string.ascii_letters + string.digits + "+/_=.-").encode()]] = True
-_DIGIT = np.zeros(256, bool)
-_DIGIT[[*b"0123456789"]] = True
 
 
 def classes(text: str) -> str:
@@ -84,7 +88,7 @@ class Automaton:
     def _differ(self, a: int, n: int, b: int, m: int) -> bool:
         return n > 0 and m > 0 and abs(a / n - b / m) > self.scale * (1 / math.sqrt(n) + 1 / math.sqrt(m))
 
-    def _compatible(self, p: int, q: int, depth: int = 0) -> bool:
+    def _compatible(self, p: int, q: int) -> bool:
         a, b = self.states[p], self.states[q]
         n, m = a.total, b.total
         if self._differ(a.ends, n, b.ends, m):
@@ -93,7 +97,7 @@ class Automaton:
             (x, i), (y, j) = a.next.get(c, (-1, 0)), b.next.get(c, (-1, 0))
             if self._differ(i, n, j, m):
                 return False
-            if x >= 0 and y >= 0 and x != y and depth < 64 and not self._compatible(x, y, depth + 1):
+            if x >= 0 and y >= 0 and x != y and not self._compatible(x, y):
                 return False
         return True
 
@@ -161,6 +165,12 @@ def examples(seed: int) -> dict[str, list[str]]:
                 lambda: f"{r.randint(1990, 2030)}-{r.randint(10, 12)}-{r.randint(10, 28)}T{r.randint(10, 23)}.{r.randint(10, 59)}",
                 lambda: "=" * r.randint(8, 20) + pick(letters, 1) + pick(string.digits, 1) + "-" * r.randint(8, 20),
                 lambda: pick(letters.lower(), 1) * r.randint(14, 30) + str(r.randint(0, 9)),
+                lambda: (word() + word() + word() + word())[: r.randint(12, 24)].capitalize(),
+                lambda: "".join(word().capitalize() for _ in range(r.randint(3, 5))),
+                lambda: word() + word().capitalize() + word().capitalize(),
+                lambda: "_".join(word().upper() for _ in range(r.randint(2, 4))) + r.choice(["", "_" + str(r.randint(0, 99))]),
+                lambda: word() + pick(string.digits, r.randint(2, 4)) + "." + r.choice(["jpg", "png", "txt", "html", "csv"]),
+                lambda: word().capitalize() + "-" + word() + "-" + word().capitalize(),
             ]
         )(),
     }
@@ -226,10 +236,50 @@ def candidates(data: bytes) -> list[tuple[int, int, str]]:
     runs = _runs(_TOKEN[buf], CANDIDATE)
     if not runs:
         return []
-    digits = np.concatenate(([0], np.cumsum(_DIGIT[buf])))
-    runs = [(a, b) for a, b in runs if 0 < digits[b] - digits[a]]
     strings = [data[a:b].decode() for a, b in runs]
-    return [(a, b, s) for (a, b), s in zip(_points(data, runs), strings, strict=True) if re.search("[A-Za-z]", s)]
+    return [(a, b, s) for (a, b), s in zip(_points(data, runs), strings, strict=True) if _KINDS.search(s)]
+
+
+def parts(start: int, text: str) -> list[tuple[int, int, str]]:
+    """What a candidate has between "=" and "/"."""
+    found = [(start + m.start(), start + m.end(), m[0]) for m in _PART.finditer(text)]
+    return [x for x in found if len(x[2]) >= CANDIDATE and len(x[2]) < len(text) and _KINDS.search(x[2])]
+
+
+def likely(data: bytes, spans: list[tuple[int, int, str]], m: Model) -> list[tuple[int, int, float]]:
+    """(start, end, score) of candidates that pass and overlap no base span; spans are sorted by start."""
+    out, taken, k = [], [], 0
+    for a, b, _ in spans:  # merged, so that one pass over both lists will do
+        if taken and a <= taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], b)
+        else:
+            taken.append([a, b])
+    for a, b, s in candidates(data):
+        while k < len(taken) and taken[k][1] <= a:
+            k += 1
+        if k < len(taken) and taken[k][0] < b:
+            # a run that meets a base span may still have a part beside it
+            inside, j = [], k
+            while j < len(taken) and taken[j][0] < b:
+                inside.append(taken[j])
+                j += 1
+            options, at = [], 0
+            for x, y, part in parts(a, s):
+                while at < len(inside) and inside[at][1] <= x:
+                    at += 1
+                if at == len(inside) or inside[at][0] >= y:
+                    options.append((x, y, part))
+        else:
+            score, _ = m.score(s)
+            if score > m.threshold:
+                out.append((a, b, score))
+                continue
+            options = parts(a, s)
+        for x, y, part in options:
+            score, _ = m.score(part)
+            if score > m.threshold:
+                out.append((x, y, score))
+    return out
 
 
 def _finder(m: Model):
@@ -243,13 +293,7 @@ def _find(batches: Iterator[pa.RecordBatch], m: Model) -> Iterator[pa.RecordBatc
             base, more = [], []
             for data in texts:
                 spans = base_spans(data)
-                strings = candidates(data)
-                found = []
-                for a, b, s in strings:
-                    if not any(x < b and a < y for x, y, _ in spans):
-                        score, _ = m.score(s)
-                        if score > m.threshold:
-                            found.append({"kind": "likely", "start": a, "end": b, "score": score})
+                found = [{"kind": "likely", "start": a, "end": b, "score": score} for a, b, score in likely(data, spans, m)]
                 text = data.decode() if spans else ""
                 base.append([{"kind": k, "start": a, "end": b, "score": m.score(text[a:b])[0]} for a, b, k in spans])
                 more.append(found)
