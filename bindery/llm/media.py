@@ -5,8 +5,10 @@ differences, then zlib. Reading tests the signature, every chunk's checksum, the
 and undoes all five filters in numpy. The feature is the low-frequency block of the cosine transform of the picture, shrunk to
 32 x 32 by area means: one bit for each coefficient above their median.
 
-Defined results: null counts as the empty text, which is a picture of filling alone. Equal texts give equal values. A damaged or
-unsupported file raises ValueError.
+Defined results: null counts as the empty text, which is a picture of filling alone. Equal texts give equal values. ``decode_png``
+raises ValueError for a damaged or unsupported file; ``describe`` gives such a row (and a null one) null values of what was read and an
+``error`` that says why, and no job ends. Pictures with a palette are hashed by its colours, and alpha is no colour. Repeated rows stay
+rows, null ids stay null, an empty table gives an empty result, and other columns are ignored.
 """
 
 from __future__ import annotations
@@ -91,11 +93,11 @@ def _unfilter(lines: np.ndarray, unit: int) -> np.ndarray:
 _SAMPLES = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
 
 
-def decode_png(data: bytes) -> np.ndarray:
-    """height x width x samples of uint8; 8 bits a sample, not interlaced."""
+def decode_png(data: bytes, shown: bool = False) -> np.ndarray:
+    """height x width x samples of uint8; 8 bits a sample, not interlaced. ``shown``: colours instead of a palette's places and alpha."""
     if not data.startswith(SIGNATURE):
         raise ValueError("no PNG signature")
-    at, head, body, kind = len(SIGNATURE), None, [], b""
+    at, head, body, kind, palette = len(SIGNATURE), None, [], b"", None
     while kind != b"IEND":
         if at + 12 > len(data):
             raise ValueError("chunk cut off")
@@ -106,23 +108,33 @@ def decode_png(data: bytes) -> np.ndarray:
         if (head is None) != (kind == b"IHDR"):
             raise ValueError("IHDR is to be the first chunk, once")
         if kind == b"IHDR":
+            if len(content) != 13:
+                raise ValueError("IHDR of a wrong size")
             head = struct.unpack(">IIBBBBB", content)
         elif kind == b"IDAT":
             body.append(content)
-        elif not kind[0] & 32 and kind not in (b"PLTE", b"IEND"):
+        elif kind == b"PLTE":
+            palette = np.frombuffer(content[: len(content) // 3 * 3], np.uint8).reshape(-1, 3)
+        elif not kind[:1] or not kind[0] & 32 and kind != b"IEND":
             raise ValueError(f"unknown critical chunk {kind!r}")
         at += 12 + size
     width, height, bits, colour, packing, filters, interlaced = head
     if bits != 8 or colour not in _SAMPLES or packing or filters or interlaced or not width or not height:
         raise ValueError("unsupported picture")
     unit = _SAMPLES[colour]
+    size, unpacker = height * (1 + width * unit), zlib.decompressobj()
     try:
-        raw = zlib.decompress(b"".join(body))
+        raw = unpacker.decompress(b"".join(body), size + 1)  # never more than the picture has, whatever the stream holds
     except zlib.error as e:
         raise ValueError(str(e)) from e
-    if len(raw) != height * (1 + width * unit):
+    if len(raw) != size or not unpacker.eof:
         raise ValueError("wrong number of samples")
-    return _unfilter(np.frombuffer(raw, np.uint8).reshape(height, -1), unit).reshape(height, width, unit)
+    out = _unfilter(np.frombuffer(raw, np.uint8).reshape(height, -1), unit).reshape(height, width, unit)
+    if shown and colour == 3:
+        if palette is None or not len(palette) or out.max() >= len(palette):
+            raise ValueError("no such colour in the palette")
+        return palette[out[:, :, 0]]
+    return out[:, :, :-1] if shown and colour in (4, 6) else out
 
 
 def _shrunk(grey: np.ndarray) -> np.ndarray:
@@ -166,20 +178,28 @@ def to_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "error"]
     for batch in batches:
         out = []
         for media in batch.column(2):
+            if media.as_buffer() is None:
+                out.append((None,) * 6 + ("no picture",))
+                continue
             data = media.as_buffer().to_pybytes()
-            picture = decode_png(data)
-            back = picture.tobytes()
-            out.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(data), hashlib.sha256(data).hexdigest(), cosine_hash(picture)))
-        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+            stored = len(data), hashlib.sha256(data).hexdigest()
+            try:
+                picture = decode_png(data)
+                back = picture.tobytes()
+                colours = picture if picture.shape[2] == 1 and data[25] == 0 else decode_png(data, shown=True)
+                out.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), *stored, cosine_hash(colours), None))
+            except ValueError as e:
+                out.append((None, None, None, *stored, None, str(e)))
+        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string())
         columns = [pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=names)
 
 
 def describe(media: DataFrame) -> DataFrame:
     """Reads stored pictures back: sizes, digests and the feature of each row of ``to_media``."""
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string"
     return media.select("doc_id", "n_bytes", "media").mapInArrow(_read, schema)
