@@ -2,13 +2,14 @@
 
 Heuristic labellers vote for or against each document or abstain. Expectation-maximisation over the counts of all vote patterns
 estimates each labeller's accuracy without any true label, and with it the posterior that a document is good. A linear model over
-hashed features learns the posterior of a bounded sample (``sample`` documents, those with the least hash of id), in one task, and
+hashed features learns the posterior of a bounded sample (``sample`` documents of ``sample_bytes`` in all, those with the least hash of id), in one task, and
 scores every document; below ``threshold`` a document is rejected.
 
 Vote patterns are at most 3 to the number of labellers, at any size of the corpus.
 
 Defined results: a null text counts as empty; a text without words gets score 0 and is rejected; equal texts get equal scores;
-repeated rows stay rows; an empty table gives an empty result. Where no document votes, everything with words is kept.
+repeated rows stay rows; an empty table gives an empty result. Where no document votes, everything with words is kept. ``classify``
+ignores other columns, ``keep`` keeps all, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrow import U, mix, slices, word_hashes
@@ -27,11 +28,13 @@ from .scratch import Scratch
 
 @dataclass(frozen=True)
 class Quality:
-    """bits: log2 of the hashed features; sample: documents the scorer is fitted on; rounds: of expectation-maximisation;
+    """bits: log2 of the hashed features; sample: documents the scorer is fitted on; sample_bytes: bound of their texts, so that a larger
+    document, and what comes after the bound, is not fitted on; rounds: of expectation-maximisation;
     epochs, rate, decay: of the scorer's gradient descent; threshold: least score that is kept."""
 
     bits: int = 14
     sample: int = 8000
+    sample_bytes: int = 1 << 28
     rounds: int = 60
     epochs: int = 12
     rate: float = 0.5
@@ -155,7 +158,7 @@ def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first, texts in slices(batch.column(1)):
             w = Words(texts)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(votes(w.statistics(), w.words)), pa.array(w.words)], names=["doc_id", "votes", "n_words"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(votes(w.statistics(), w.words)), pa.array(w.words), pa.array([len(x) for x in texts], pa.int64())], names=["doc_id", "votes", "n_words", "n_bytes"])
 
 
 def digits(pattern: np.ndarray) -> np.ndarray:
@@ -275,10 +278,12 @@ def _narrow(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: Quality = Quality()) -> np.ndarray:
     """The scorer's weights: votes of all documents, posteriors, and a bounded sample's texts with their posteriors."""
     p, docs = params, _narrow(df, id_col, text_col)
-    voted = Scratch(df.sparkSession, "quality").save(docs.mapInArrow(_vote, "doc_id long, votes long, n_words long"))
+    voted = Scratch(df.sparkSession, "quality").save(docs.mapInArrow(_vote, "doc_id long, votes long, n_words long, n_bytes long"))
     counts = {r.votes: r.n for r in voted.filter("n_words > 0").groupBy("votes").agg(F.count("*").alias("n")).collect()}  # 3^8 rows at most
     weak = maximise(counts, p.rounds) if counts else WeakModel(0.5, np.full((2, len(LABELLERS), 3), 1 / 3))
-    chosen = voted.filter("n_words > 0 and doc_id is not null").select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(p.sample).select("doc_id").distinct()
+    chosen = voted.filter("n_words > 0 and doc_id is not null").select("doc_id", "n_bytes", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id", "n_bytes").limit(p.sample)
+    up_to = Window.partitionBy().orderBy("h", "doc_id", "n_bytes").rowsBetween(Window.unboundedPreceding, 0)  # p.sample rows of numbers
+    chosen = chosen.filter(F.col("n_bytes") <= p.sample_bytes // 4).withColumn("n_bytes", F.sum("n_bytes").over(up_to)).filter(F.col("n_bytes") <= p.sample_bytes).select("doc_id").distinct()
     rows = docs.join(F.broadcast(chosen), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(p.sample)  # at most p.sample ids are broadcast
     found = rows.select(F.col("text").cast("binary").alias("text")).mapInArrow(_fitter(p, weak), "weights array<double>").collect()  # one row of 2^bits + 1 numbers
     return np.array(found[0].weights) if found else np.zeros((1 << p.bits) + 1)
