@@ -6,12 +6,19 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Only used where ``spark.checkpoint.dir`` is unset, that is in local sessions and tests.
+#: Only used in local sessions without ``spark.checkpoint.dir``, as in tests.
 LOCAL_DEFAULT = "/tmp/checkpoints/bindery"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or LOCAL_DEFAULT
+    """The folder that the session names for checkpoints. On a cluster without one there is no shared folder to guess: an error."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if named:
+        return named
+    if context.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir is not set: executors need a shared folder for intermediate tables")
+    return LOCAL_DEFAULT
 
 
 class Scratch:
