@@ -32,7 +32,7 @@ def odd_rows():
     word = lambda: "".join(r.choice(list("abcdeéß"), 4))
     base = [word() for _ in range(60)]
     near = [base[:k] + [word()] + base[k + 1 :] for k in range(0, 60, 4)]
-    texts = [None, "", " \t\n", "a", "a", "A", "one two", "One two", "x" * 50_000, "a@b." + "c." * 20_000 + "d", " ".join(base), *(" ".join(x) for x in near), " ".join(base).upper(), "\n".join(["é ü " + word() * 3] * 5), "<|endoftext|> plain"]
+    texts = [None, "", " \t\n", "a", "a", "A", "one two", "One two", "x" * 50_000, "a@b." + "c." * 20_000 + "d", " ".join(base), *(" ".join(x) for x in near), " ".join(base).upper(), "\n".join(["é ü " + word() * 3] * 5), "<|endoftext|> plain", "a<|endoftext|>b <|endoftext|><|endoftext|>"]
     rows = [(k, t, "en", ["s1", "s2", None][k % 3], len(t or ""), "clash", 1, "t", 2, 3, "z") for k, t in enumerate(texts)]
     return [*rows, rows[10], (None, "no id", "en", "s1", 5, "", 0, "", 0, 0, "")]
 
@@ -406,7 +406,7 @@ def test_quality(spark, odd):
     good, bad = [r.k for r in out if r.quality == 1], [r.k for r in out if r.quality == 0]
     assert sum(good) >= 0.99 * len(good) and sum(bad) <= 0.05 * len(bad)
     rows = {r.doc_id: r for r in quality.classify(odd).collect()}
-    assert len(rows) == 30 or rows
+    assert len(rows) == len({r.doc_id for r in odd.collect()})
     assert rows[0].score == rows[1].score == rows[2].score == 0.0 and not rows[0].kept and rows[3].score == rows[4].score
     kept = quality.keep(odd)
     assert kept.columns == odd.columns and kept.count() == sum(r.kept for r in quality.classify(odd).collect())
@@ -445,7 +445,6 @@ def test_packing(request, table):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(packing.vocabulary_path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     df = request.getfixturevalue(table)
     want = collections.Counter()
     for r in df.collect():
