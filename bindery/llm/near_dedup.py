@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .arrow import U, groups, mix, slices, word_hashes
 from .scratch import Scratch
-from .skew import salted_join
+from .skew import salted_join, weighted_join
 
 
 @dataclass(frozen=True)
@@ -268,13 +268,13 @@ def components(scratch: Scratch, edges: DataFrame, a: str = "a", b: str = "b") -
     """(id, comp): comp is the smallest id reachable. Rounds of large-star and small-star; each is a pre-aggregated minimum
     and a join that deals a node's links over several tasks."""
     edges = scratch.save(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct())
-    before = None
+    before, total = None, 2 * edges.count()
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = salted_join(both.filter("v > u"), low, ["u"], "v", "inner").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        met = salted_join(large, low, ["u"], "v", "inner")
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = weighted_join(both.filter("v > u"), low, ["u"], "v", "n", total).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        met = weighted_join(large, low, ["u"], "v", "n", total)
         small = met.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(met.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         after = scratch.save(small)
         state = after.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.count_if(F.col("v") >= F.col("u"))).first()
@@ -282,7 +282,7 @@ def components(scratch: Scratch, edges: DataFrame, a: str = "a", b: str = "b") -
         edges = after
         if state == before:
             break
-        before = state
+        before, total = state, 2 * state[0]
     return edges.select(F.col("u").alias("id"), F.col("v").alias("comp")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("comp")).distinct())
 
 
@@ -293,18 +293,18 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     feats = scratch.save(docs.mapInArrow(_features(p), _FEATURES))
     # documents with equal sets: one stands for all
-    sets = feats.filter("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"))
+    sets = feats.filter("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
     sets = scratch.save(sets)
     reps = feats.join(sets, (feats.doc_id == sets.rep) & (feats.set_a == sets.set_a) & (feats.set_b == sets.set_b), "left_semi")
     reps = scratch.save(reps.groupBy("doc_id").agg(F.min_by(F.struct("text_key", "sig", "bands"), "text_key").alias("r")).select("doc_id", "r.*"))
 
     rows = reps.select("doc_id", F.posexplode("bands").alias("band", "bucket"))
-    sizes = rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    rows = scratch.save(salted_join(rows, sizes, ["bucket"], "doc_id", "inner"))
+    sizes = scratch.save(rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"))
+    rows = scratch.save(weighted_join(rows, sizes, ["bucket"], "doc_id", "n", p.bands * reps.count()))
     central = rows.groupBy("doc_id").agg(F.sum("n").alias("weight"))
-    pivots = rows.join(central, "doc_id").groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("doc_id")).alias("id"))).alias("top"))
-    pivots = scratch.save(pivots.select("bucket", (-F.col("top.id")).alias("pivot")))
-    pairs = salted_join(rows, pivots, ["bucket"], "doc_id", "inner").filter("doc_id <> pivot").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct()
+    pivots = rows.join(central, "doc_id").groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("doc_id")).alias("id"))).alias("top"), F.max("n").alias("members"))
+    pivots = scratch.save(pivots.select("bucket", (-F.col("top.id")).alias("pivot"), "members"))
+    pairs = weighted_join(rows, pivots, ["bucket"], "doc_id", "members", rows.count()).filter("doc_id <> pivot").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct()
 
     sig = reps.select("doc_id", "sig")
     pairs = pairs.join(sig.select(F.col("doc_id").alias("b"), F.col("sig").alias("sig_b")), "b").join(sig.select(F.col("doc_id").alias("a"), F.col("sig").alias("sig_a")), "a")
@@ -320,8 +320,8 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
 
     # members that the centre did not reach meet the other members
     named = rows.filter("n > 2").join(comps.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
-    main = pivots.join(comps.withColumnRenamed("id", "pivot"), "pivot", "left").select("bucket", "pivot", F.coalesce("comp", "pivot").alias("main"))
-    named = salted_join(named, main, ["bucket"], "doc_id", "inner").select("bucket", "band", "doc_id", "comp", "n", "pivot", (F.col("comp") != F.col("main")).alias("odd"))
+    main = pivots.filter("members > 2").join(comps.withColumnRenamed("id", "pivot"), "pivot", "left").select("bucket", "pivot", "members", F.coalesce("comp", "pivot").alias("main"))
+    named = weighted_join(named, main, ["bucket"], "doc_id", "members", rows.count()).select("bucket", "band", "doc_id", "comp", "n", "pivot", (F.col("comp") != F.col("main")).alias("odd"))
     named = scratch.save(named.filter("doc_id <> pivot").drop("pivot"))
     odd = named.groupBy("bucket").agg(F.count_if("odd").alias("n_odd")).filter("n_odd > 0")
     named = salted_join(named, odd, ["bucket"], "doc_id", "inner").join(sig, "doc_id")
@@ -337,8 +337,7 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
         joined = comps.select(F.col("id").alias("a"), F.col("comp").alias("b")).unionByName(more)
         comps = scratch.save(components(scratch, joined))
 
-    out = salted_join(feats.select("doc_id", "n_shingles", "set_a", "set_b"), sets, ["set_a", "set_b"], "doc_id", "left")
-    out = out.withColumn("rep", F.when(F.col("n_shingles") > 0, F.col("rep")).otherwise(F.col("doc_id")))
-    out = salted_join(out, comps.withColumnRenamed("id", "rep"), ["rep"], "doc_id", "left")
-    comp = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "rep"))
+    sets = scratch.save(sets.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("set_a", "set_b", F.coalesce("comp", "rep").alias("comp"), "n"))
+    out = weighted_join(feats.select("doc_id", "n_shingles", "set_a", "set_b"), sets, ["set_a", "set_b"], "doc_id", "n", feats.count(), "left")
+    comp = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id"))
     return out.select("doc_id", "n_shingles", comp.alias("component_id"), F.coalesce(F.col("doc_id") == comp, F.lit(True)).alias("kept"))

@@ -25,8 +25,8 @@ def salted_semi(rows: DataFrame, kept: DataFrame, keys: list[str], by: str) -> D
     return salted_join(rows, kept.select(*keys), keys, by, "left_semi")
 
 
-def weighted_join(rows: DataFrame, table: DataFrame, keys: list[str], by: str, weight: str, total: int | None = None) -> DataFrame:
-    """Inner join with a written ``table`` of one row for each key, whose ``weight`` says how many of the ``total`` rows
+def weighted_join(rows: DataFrame, table: DataFrame, keys: list[str], by: str, weight: str, total: int | None = None, how: str = "inner") -> DataFrame:
+    """Join with a ``table`` of one row for each key, whose ``weight`` says how many of the ``total`` rows
     a key has, or nearly so (total: the sum of the weights, if not given). Only hot keys are salted, so that the table is not repeated for
     the others; the set of hot keys is bounded at any size."""
     total = total if total is not None else table.agg(F.sum(weight)).first()[0] or 0
@@ -35,4 +35,4 @@ def weighted_join(rows: DataFrame, table: DataFrame, keys: list[str], by: str, w
     marked = marked.withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(by), F.lit(SALTS))).otherwise(0).cast("int")).drop("_hot")
     salts = F.when(F.col(weight) > max(FEW, HOT_SHARE * total), F.lit(SALTS - 1)).otherwise(0)
     many = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts)))
-    return marked.join(many, [*keys, "_salt"]).drop("_salt")
+    return marked.join(many, [*keys, "_salt"], how).drop("_salt")
