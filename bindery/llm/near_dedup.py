@@ -299,19 +299,19 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
     reps = scratch.save(reps.groupBy("doc_id").agg(F.min_by(F.struct("text_key", "sig", "bands"), "text_key").alias("r")).select("doc_id", "r.*"))
 
     rows = reps.select("doc_id", F.posexplode("bands").alias("band", "bucket"))
-    sizes = scratch.save(rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"))
-    rows = scratch.save(weighted_join(rows, sizes, ["bucket"], "doc_id", "n", p.bands * reps.count()))
+    sizes = rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    rows = scratch.save(salted_join(rows, sizes, ["bucket"], "doc_id", "inner"))
     central = rows.groupBy("doc_id").agg(F.sum("n").alias("weight"))
-    pivots = rows.join(central, "doc_id").groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("doc_id")).alias("id"))).alias("top"), F.max("n").alias("members"))
-    pivots = scratch.save(pivots.select("bucket", (-F.col("top.id")).alias("pivot"), "members"))
-    pairs = weighted_join(rows, pivots, ["bucket"], "doc_id", "members", rows.count()).filter("doc_id <> pivot").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct()
+    pivots = rows.join(central, "doc_id").groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("doc_id")).alias("id"))).alias("top"))
+    pivots = scratch.save(pivots.select("bucket", (-F.col("top.id")).alias("pivot")))
+    pairs = salted_join(rows, pivots, ["bucket"], "doc_id", "inner").filter("doc_id <> pivot").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct()
 
     sig = reps.select("doc_id", "sig")
     pairs = pairs.join(sig.select(F.col("doc_id").alias("b"), F.col("sig").alias("sig_b")), "b").join(sig.select(F.col("doc_id").alias("a"), F.col("sig").alias("sig_a")), "a")
     pairs = pairs.mapInArrow(_prune(p), "a long, b long")
-    wanted = scratch.save(rows.select("doc_id").distinct().join(reps.select("doc_id", "text_key"), "doc_id"))
-    texts = docs.filter("text is not null").withColumn("text_key", F.xxhash64("text")).join(wanted, ["doc_id", "text_key"], "left_semi")
-    texts = scratch.save(texts.drop("text_key").dropDuplicates(["doc_id"]))
+    wanted = scratch.save(rows.select("doc_id").distinct())
+    texts = docs.filter("text is not null").join(wanted, "doc_id", "left_semi").join(reps.select("doc_id", "text_key"), "doc_id")
+    texts = scratch.save(texts.filter(F.col("text_key") == F.xxhash64("text")).drop("text_key").dropDuplicates(["doc_id"]))
 
     met = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     met = met.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
@@ -320,8 +320,8 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
 
     # members that the centre did not reach meet the other members
     named = rows.filter("n > 2").join(comps.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
-    main = pivots.filter("members > 2").join(comps.withColumnRenamed("id", "pivot"), "pivot", "left").select("bucket", "pivot", "members", F.coalesce("comp", "pivot").alias("main"))
-    named = weighted_join(named, main, ["bucket"], "doc_id", "members", rows.count()).select("bucket", "band", "doc_id", "comp", "n", "pivot", (F.col("comp") != F.col("main")).alias("odd"))
+    main = pivots.join(comps.withColumnRenamed("id", "pivot"), "pivot", "left").select("bucket", "pivot", F.coalesce("comp", "pivot").alias("main"))
+    named = salted_join(named, main, ["bucket"], "doc_id", "inner").select("bucket", "band", "doc_id", "comp", "n", "pivot", (F.col("comp") != F.col("main")).alias("odd"))
     named = scratch.save(named.filter("doc_id <> pivot").drop("pivot"))
     odd = named.groupBy("bucket").agg(F.count_if("odd").alias("n_odd")).filter("n_odd > 0")
     named = salted_join(named, odd, ["bucket"], "doc_id", "inner").join(sig, "doc_id")
