@@ -70,6 +70,29 @@ def from_unix(seconds: Column) -> Column:
     return F.struct(d.alias("date"), t.alias("time"))
 
 
+def now() -> Column:
+    """The system's clock, UTC; one instant for a whole query."""
+    return from_unix(F.unix_timestamp(F.current_timestamp()))
+
+
+def new_date(year: Column, month: Column | None = None, day: Column | None = None) -> Column:
+    """A date of numbers, each brought into its range; a month or day that is not given is 1."""
+    at = lambda x, low, high: F.least(F.greatest(x.cast("int"), F.lit(low)), F.lit(high))
+    one = F.lit(1)
+    return F.struct(at(year, 0, 9999).alias("year"), at(one if month is None else month, 1, 12).alias("month"), at(one if day is None else day, 1, 31).alias("day"))
+
+
+def new_time(hour: Column, minute: Column, second: Column, offset: Column | None = None) -> Column:
+    """A time of numbers, each brought into its range; without an offset (minutes) it is local."""
+    at = lambda x, low, high: F.least(F.greatest(x.cast("int"), F.lit(low)), F.lit(high))
+    zone = F.lit(None).cast("int") if offset is None else F.when(offset.isNotNull(), at(offset, -720, 840))
+    return F.struct(at(hour, 0, 23).alias("hour"), at(minute, 0, 59).alias("minute"), at(second, 0, 59).alias("second"), zone.alias("offset"))
+
+
+def new(date_: Column, time_: Column) -> Column:
+    return F.struct(date_.alias("date"), time_.alias("time"))
+
+
 def version(x: Column) -> Column:
     """struct<major, minor> of the first two parts, each 0 to 65535; further parts are ignored; null where one is no number."""
     parts = F.split(trimmed(x), r"\.")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -60,6 +62,31 @@ def attribute(attributes: Column, name: str) -> Column:
     return F.get(F.filter(attributes, lambda a: a["name"] == name), F.lit(0))["value"]
 
 
+def named(pairs: Column, name: str, field: str = "value") -> Column:
+    """The value of the first pair of this name, whatever the value's field is called: attributes (value) and prefixes (uri)."""
+    return F.get(F.filter(pairs, lambda a: a["name"] == name), F.lit(0))[field]
+
+
+def has_named(pairs: Column, name: str) -> Column:
+    return F.exists(pairs, lambda a: a["name"] == name)
+
+
+def insert_named(pairs: Column, name: str, value: Column, field: str = "value") -> Column:
+    """With the pair: in the place of one of its name, else at the end."""
+    one = F.struct(F.lit(name).alias("name"), value.alias(field))
+    put = F.transform(pairs, lambda a: F.when(a["name"] == name, one).otherwise(a))
+    return F.when(has_named(pairs, name), put).otherwise(F.concat(pairs, F.array(one)))
+
+
+def retain_named(pairs: Column, keep: Callable[[Column], Column]) -> Column:
+    """The pairs for which ``keep`` holds; what it does not hold for is what ``extract`` and ``drain`` give."""
+    return F.filter(pairs, lambda a: F.coalesce(keep(a), F.lit(False)))
+
+
+def remove_named(pairs: Column, name: str) -> Column:
+    return retain_named(pairs, lambda a: a["name"] != name)
+
+
 def direction(x: Column) -> Column:
     return F.when(x.isin("ltr", "rtl"), x).otherwise("auto")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Sequence
 
@@ -48,6 +49,28 @@ def counted(books: DataFrame, df: DataFrame, key: str, name: str = "n") -> DataF
     return books.select(key).join(df.groupBy(key).agg(F.count("*").alias(name)), key, "left").withColumn(name, F.coalesce(name, F.lit(0)))
 
 
+def at(df: DataFrame, position: int | Column, name: str = "ord") -> DataFrame:
+    """The row at a position of each book; none where the book ends before it or the position is null."""
+    return df.filter(F.col(name) == position)
+
+
+def backwards(df: DataFrame, keys: Sequence[str], position: str = "ord", name: str = "back") -> DataFrame:
+    """Positions counted from the end of each key, from 0: the order of reverse iteration."""
+    return numbered(df, keys, [F.col(position).desc()], name)
+
+
+def updated(df: DataFrame, where: Column, **values: Column) -> DataFrame:
+    """Rows for which ``where`` holds with new values; others, and those where it is null, as they are."""
+    rows = df.withColumn("__hit", F.coalesce(where, F.lit(False)))
+    return rows.withColumns({k: F.when(F.col("__hit"), v).otherwise(F.col(k)) for k, v in values.items()}).drop("__hit")
+
+
+def max_suffix(df: DataFrame, keys: Sequence[str], column: str, prefix: str = "") -> DataFrame:
+    """The largest number that follows ``prefix`` at the end of an id; null where no id has this form."""
+    number = F.regexp_extract(column, ("^" + re.escape(prefix) if prefix else "") + "([0-9]+)$", 1).try_cast("long")
+    return df.groupBy(*keys).agg(F.max(number).alias("top"))
+
+
 def same_rows(a: DataFrame, b: DataFrame) -> bool:
     """Equality as bags."""
     return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
@@ -58,7 +81,11 @@ class Levels:
 
     def __init__(self, df: DataFrame) -> None:
         self.spark = df.sparkSession
-        top = self.spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints/bindery"
+        context = self.spark.sparkContext
+        top = self.spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+        if not top and context.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir is not set: executors need a shared folder for intermediate tables")
+        top = top or "/tmp/checkpoints/bindery"  # local sessions, as in tests
         self.root, self.paths = f"{top.rstrip('/')}/walk-{uuid.uuid4().hex}", []
 
     def save(self, df: DataFrame) -> DataFrame:

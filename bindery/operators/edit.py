@@ -25,6 +25,30 @@ def set_ids(items: DataFrame, spine: DataFrame, renames: DataFrame) -> tuple[Dat
     return items, renamed(spine, renames, "idref")
 
 
+def try_set_ids(items: DataFrame, spine: DataFrame, renames: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """As ``set_ids``, but a new id that another item has, or that two renames want, is no rename: the third table has each rename with
+    its error ``duplicate_item_id`` or null."""
+    taken = items.select(BOOK, F.col("id").alias("new"), F.col("id").alias("_owner"))
+    wanted = renames.groupBy(BOOK, "new").agg(F.count("*").alias("_n"))
+    judged = renames.join(taken, [BOOK, "new"], "left").join(wanted, [BOOK, "new"])
+    judged = judged.withColumn("error", F.when((F.col("_owner") != F.col("old")) | (F.col("_n") > 1), "duplicate_item_id")).select(BOOK, "old", "new", "error")
+    return *set_ids(items, spine, judged.filter("error is null")), judged
+
+
+def detached(entries: DataFrame, resources: DataFrame | None = None) -> DataFrame:
+    """Copies of entries without their book and place; items with their content, if ``resources`` are given."""
+    out = entries
+    if resources is not None:
+        out = entries.withColumn("path", href.decode(F.col("href"))).join(resources.select(BOOK, "path", "content"), [BOOK, "path"], "left").drop("path")
+    return out.drop(BOOK, "ord", "node_id", "parent_node_id", "natural_order", "root_ord")
+
+
+def bytes_copied(items: DataFrame, resources: DataFrame) -> DataFrame:
+    """Bytes of each book's items, as a copy of them writes."""
+    read = items.select(BOOK, href.decode(F.col("href")).alias("path")).distinct().join(resources.select(BOOK, "path", F.octet_length("content").alias("_n")), [BOOK, "path"])
+    return read.groupBy(BOOK).agg(F.sum("_n").cast("long").alias("bytes"))
+
+
 def set_hrefs(items: DataFrame, nodes: DataFrame, renames: DataFrame) -> tuple[DataFrame, DataFrame]:
     """New hrefs of items, whose raw form is then unknown; navigation follows and keeps its ? and # part."""
     r = renames.select(BOOK, F.col("old").alias("href"), F.col("new").alias("_new"))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import href, mime, text
+from . import rewrite
 from .common import Levels, first_of
 
 BOOK = "book_id"
@@ -39,6 +40,39 @@ def by_property(items: DataFrame, token: str) -> DataFrame:
     return items.filter(text.has_property(F.col("properties"), token))
 
 
+def by_id(items: DataFrame, ids: DataFrame) -> DataFrame:
+    """(book_id, id) requests with their items, nulls where there is none."""
+    return ids.select(BOOK, "id").join(items, [BOOK, "id"], "left")
+
+
+def read(items: DataFrame, resources: DataFrame, prefix: str | None = None, css: str | None = None) -> DataFrame:
+    """Items with their bytes and their text, rewritten if asked for; error ``invalid_resource`` where the container has no such file.
+
+    Texts are UTF-8 but for those that begin with the mark of UTF-16."""
+    asked = items.withColumn("path", href.decode(href.path(F.col("href"))))
+    out = asked.join(resources.select(BOOK, "path", F.col("content").alias("bytes")), [BOOK, "path"], "left")
+    mark = F.hex(F.substring("bytes", 1, 2))
+    decoded = F.when(mark.isin("FEFF", "FFFE"), F.decode("bytes", "UTF-16")).otherwise(F.regexp_replace(F.decode("bytes", "UTF-8"), "^\\uFEFF", ""))
+    is_text = ~(mime.is_family(F.col("media_type"), "image") | mime.is_family(F.col("media_type"), "audio") | mime.is_family(F.col("media_type"), "video") | mime.is_font(F.col("media_type")))
+    out = out.withColumn("content", F.when(is_text, decoded)).withColumn("error", F.when(F.col("bytes").isNull(), "invalid_resource"))
+    return out if prefix is None and css is None else out.withColumn("content", rewrite.rewritten(F.col("content"), F.col("path"), prefix, css))
+
+
+def resources_of(entries: DataFrame, items: DataFrame, column: str = "idref") -> DataFrame:
+    """Spine entries (by idref) or navigation entries (by href) with the key, path and media type of the resource they stand for."""
+    if column == "href":
+        met = by_href(items, entries.withColumnsRenamed({c: f"entry_{c}" for c in ("id", "ord") if c in entries.columns}))
+        named = items.select(BOOK, "ord", F.col("id"), F.col("href").alias("resource_path"), F.col("media_type").alias("resource_type"))
+        return met.join(named, [BOOK, "ord", "id"], "left").withColumnRenamed("id", "resource_id").drop("ord")
+    named = items.select(BOOK, F.col("id").alias(column), F.col("id").alias("resource_id"), F.col("href").alias("resource_path"), F.col("media_type").alias("resource_type"))
+    return entries.join(named, [BOOK, column], "left")
+
+
+def stylesheets(items: DataFrame, links: DataFrame) -> DataFrame:
+    """Items that (book_id, href) links name, in the manifest's order."""
+    return items.join(links.select(BOOK, href.path(F.col("href")).alias("href")).distinct(), [BOOK, "href"], "left_semi")
+
+
 def by_href(items: DataFrame, requests: DataFrame, column: str = "href") -> DataFrame:
     """The first item whose href or href_raw is a request's, without its ? and #. Two equi-joins: an OR would be no join on keys."""
     asked = requests.withColumn("_path", href.path(F.col(column)))

@@ -23,6 +23,37 @@ def by_property(entries: DataFrame, name: str) -> DataFrame:
     return entries.filter((F.col("property") == name) & F.col("parent_node_id").isNull())
 
 
+def by_id(entries: DataFrame, ids: DataFrame) -> DataFrame:
+    """For each (book_id, id) the first entry of that id, depth-first: groups, their entries, and below each its refinements in order.
+
+    Only entries with a wanted id are walked up to their roots, a join for each level."""
+    way = F.struct(F.col("group_ord").alias("g"), F.col("ord").alias("o"))
+    found = entries.join(ids.select(BOOK, "id").distinct(), [BOOK, "id"], "left_semi").filter("owner = 'metadata'")
+    levels = Levels(entries)
+    open_ = levels.save(found.select(BOOK, "node_id", F.col("parent_node_id").alias("_up"), F.array(way).alias("_way")))
+    done = None
+    while True:
+        top = open_.filter("_up is null").select(BOOK, "node_id", "_way")
+        done = top if done is None else done.unionByName(top)
+        rest = open_.filter("_up is not null")
+        if rest.isEmpty():
+            break
+        above = entries.select(BOOK, F.col("node_id").alias("_up"), F.col("parent_node_id").alias("_next"), way.alias("_step"))
+        open_ = levels.save(rest.join(above, [BOOK, "_up"]).select(BOOK, "node_id", F.col("_next").alias("_up"), F.concat(F.array("_step"), "_way").alias("_way")))
+    return first_of(found.join(done, [BOOK, "node_id"]), [BOOK, "id"], [F.col("_way")]).drop("_way")
+
+
+def links(entries: DataFrame) -> DataFrame:
+    """Link entries that refine nothing."""
+    return entries.filter((F.col("kind") == "link") & F.col("parent_node_id").isNull())
+
+
+def scheme(entries: DataFrame) -> DataFrame:
+    """scheme_source and scheme_code of any entry: the attribute opf:scheme without a source, else the attribute scheme and the value."""
+    old, new = text.attribute(F.col("attributes"), "opf:scheme"), text.attribute(F.col("attributes"), "scheme")
+    return entries.withColumns({"scheme_source": F.when(old.isNull(), new), "scheme_code": F.coalesce(old, F.col("value"))})
+
+
 def refinements(entries: DataFrame, name: str | None = None) -> DataFrame:
     rows = entries.filter(F.col("parent_node_id").isNotNull())
     return rows if name is None else rows.filter(F.col("property") == name)
@@ -58,6 +89,29 @@ def main_title(entries: DataFrame) -> DataFrame:
     return first_of(titles, [BOOK], [F.coalesce("_main", F.lit(1)), F.col("ord")]).drop("_main")
 
 
+#: Kinds of titles.
+TITLE_KINDS = ("main", "subtitle", "short", "collection", "edition", "expanded")
+
+
+def title_kinds(entries: DataFrame) -> DataFrame:
+    """Titles with their kind: main for the book's main title, whatever it says; else its title-type if that is known, else unknown."""
+    said = first_refinement(entries, "title-type", "value").withColumnRenamed("value", "_said")
+    main = main_title(entries).select(BOOK, "node_id", F.lit(True).alias("_main"))
+    out = by_property(entries, "dc:title").join(said, [BOOK, "node_id"], "left").join(main, [BOOK, "node_id"], "left")
+    kind = F.when(F.col("_main"), "main").when(F.lower("_said").isin(*TITLE_KINDS), F.lower("_said")).otherwise("unknown")
+    return out.withColumn("title_kind", kind).drop("_said", "_main")
+
+
+def main_role(entries: DataFrame) -> DataFrame:
+    """The first of ``roles``, null without any."""
+    return roles(entries).withColumn("main_role", F.get("roles", F.lit(0)))
+
+
+def languages(entries: DataFrame) -> DataFrame:
+    """Language entries with their scheme, which is always BCP 47."""
+    return by_property(entries, "dc:language").withColumns({"scheme_source": F.lit("BCP 47"), "scheme_code": F.col("value"), "language_kind": F.lit("bcp47")})
+
+
 def _event(name: str) -> Column:
     return text.attribute(F.col("attributes"), "opf:event") == name
 

@@ -37,15 +37,35 @@ def seek(ordered: DataFrame, requests: DataFrame, key: str = "idref") -> DataFra
     return requests.join(found, [BOOK, "position"], "left").withColumn("error", F.when(F.col(key).isNull(), "out_of_bounds"))
 
 
+def by_id(spine: DataFrame, ids: DataFrame) -> DataFrame:
+    """For each (book_id, id) the first spine entry of that id."""
+    return first_of(spine.join(ids.select(BOOK, "id").distinct(), [BOOK, "id"], "left_semi"), [BOOK, "id"], [F.col("ord")])
+
+
+def by_idref(spine: DataFrame, idrefs: DataFrame) -> DataFrame:
+    """All spine entries of the (book_id, idref) rows."""
+    return spine.join(idrefs.select(BOOK, "idref").distinct(), [BOOK, "idref"], "left_semi")
+
+
+def linearity(spine: DataFrame) -> DataFrame:
+    """all_linear and all_non_linear for each book with a spine: whether behaviours leave its order as it is."""
+    return spine.groupBy(BOOK).agg(F.bool_and("linear").alias("all_linear"), F.bool_and(~F.col("linear")).alias("all_non_linear"))
+
+
 def with_items(ordered: DataFrame, items: DataFrame) -> DataFrame:
     """Spine entries with their manifest items; error ``invalid_idref`` where there is none."""
     named = items.select(BOOK, F.col("id").alias("idref"), "href", "media_type")
     return ordered.join(named, [BOOK, "idref"], "left").withColumn("error", F.when(F.col("href").isNull(), "invalid_idref"))
 
 
-def content(ordered: DataFrame, items: DataFrame, resources: DataFrame) -> DataFrame:
-    from ..functions import href
+def current(ordered: DataFrame, cursors: DataFrame) -> DataFrame:
+    """(book_id, position) cursors with the entry there; a null position is a reader before its first read, or after a reset: no entry."""
+    return cursors.join(ordered, [BOOK, "position"], "left")
+
+
+def content(ordered: DataFrame, items: DataFrame, resources: DataFrame, prefix: str | None = None, css: str | None = None) -> DataFrame:
+    """Spine entries with their text and bytes, rewritten if asked for."""
+    from .manifest import read
 
-    met = with_items(ordered, items).withColumn("path", href.decode(F.col("href")))
-    read = resources.select(BOOK, "path", F.col("content").alias("_bytes"))
-    return met.join(read, [BOOK, "path"], "left").withColumn("content", F.decode("_bytes", "UTF-8")).drop("_bytes")
+    met = with_items(ordered, items)
+    return read(met.filter("error is null").drop("error"), resources, prefix, css).unionByName(met.filter("error is not null"), allowMissingColumns=True)

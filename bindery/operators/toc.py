@@ -42,6 +42,50 @@ def chosen(roots: DataFrame, kind: str, preferred: int = 3) -> DataFrame:
     return first_of(roots.filter((F.col("root_kind") == kind) & (rank > 0)), [BOOK], [rank, F.col("root_ord")])
 
 
+def by_kind_version(roots: DataFrame, kind: str, version: int) -> DataFrame:
+    """The roots of exactly this kind and major version."""
+    return roots.filter((F.col("root_kind") == kind) & (F.col("root_version").cast("int") == version))
+
+
+def _below(parent: Column) -> Column:
+    return (F.size("path") > F.size(parent)) & (F.slice("path", 1, F.size(parent)) == parent)
+
+
+def _moved(nodes: DataFrame, parent: Column, new_place: Column) -> DataFrame:
+    """Entries below ``parent`` whose place among its children is ``new_place``."""
+    place = F.size(parent)
+    shifted = F.concat(F.slice("path", 1, place), F.array(new_place.cast(dict(nodes.dtypes)["path"][6:-1])), F.slice("path", place + 2, F.size("path")))
+    return nodes.withColumn("path", F.when(_below(parent), shifted).otherwise(F.col("path")))
+
+
+def inserted(nodes: DataFrame, parent: Column, place: int, new: DataFrame) -> DataFrame:
+    """``new`` subtrees (their paths begin with 0, 1, ... for each new child) as children of the node at ``parent``, from ``place`` on, or at
+    the end if it has fewer children. ``nodes`` is one tree of each book."""
+    kids = nodes.filter(_below(parent) & (F.size("path") == F.size(parent) + 1)).groupBy(BOOK).agg(F.count("*").alias("_n"))
+    count = new.filter(F.size("path") == 1).groupBy(BOOK).agg(F.count("*").alias("_m"))
+    books = nodes.select(BOOK).distinct().join(kids, BOOK, "left").join(count, BOOK, "left")
+    books = books.select(BOOK, F.least(F.lit(place), F.coalesce("_n", F.lit(0))).alias("_at"), F.coalesce("_m", F.lit(0)).alias("_m"))
+    own = F.get("path", F.size(parent))
+    rows = _moved(nodes.join(books, BOOK), parent, F.when(own >= F.col("_at"), own + F.col("_m")).otherwise(own)).drop("_at", "_m")
+    kind = dict(nodes.dtypes)["path"]
+    more = new.join(books, BOOK).withColumn("path", F.concat(parent.cast(kind), F.array((F.get("path", F.lit(0)) + F.col("_at")).cast(kind[6:-1])), F.slice("path", 2, F.size("path")).cast(kind))).drop("_at", "_m")
+    return rows.unionByName(more, allowMissingColumns=True)
+
+
+def removed(nodes: DataFrame, parent: Column, place: int) -> DataFrame:
+    """Without the child at ``place`` of the node at ``parent`` and all below it; later children move up."""
+    own = F.get("path", F.size(parent))
+    kept = nodes.filter(~(_below(parent) & (own == place)))
+    return _moved(kept, parent, F.when(own > place, own - 1).otherwise(own))
+
+
+def retained(nodes: DataFrame, keep: Column, keys: tuple[str, ...] = (BOOK, "root_ord")) -> DataFrame:
+    """Without the nodes for which ``keep`` does not hold and all below them; roots stay, and places are as they were."""
+    bad = nodes.filter(~F.coalesce(keep, F.lit(False)) & (F.size("path") > 0)).select(*keys, F.col("path").alias("_top"))
+    tops = nodes.withColumn("_top", F.explode(F.transform(F.sequence(F.lit(0), F.size("path")), lambda k: F.slice("path", 1, k))))
+    return nodes.join(tops.join(bad, [*keys, "_top"], "left_semi").select(*keys, "path").distinct(), [*keys, "path"], "left_anti")
+
+
 def merged(*parts: DataFrame) -> DataFrame:
     """Roots of several documents: of an equal kind and version the later one's, at the first one's place."""
     out = parts[0].withColumn("_part", F.lit(0))

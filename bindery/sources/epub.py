@@ -1,16 +1,21 @@
-"""Corpora of ebooks: zipped or exploded books to the tables of ``schemas``, one task row for each book."""
+"""Corpora of ebooks: zipped or exploded books to the tables of ``SCHEMAS``, one task row for each book.
+
+Only the files that decoders ask for are read out of an archive. ``skip`` names sections that are not decoded at all."""
 
 from __future__ import annotations
 
 import io
 import zipfile
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.common import Levels
 from .package import Book, BookError, clean_path, decode_book
 from .xml import decode
 
@@ -24,6 +29,12 @@ SCHEMAS = {
     "spine": f"ord int, id string, idref string, linear boolean, properties string, attributes {_ATTRIBUTES}",
     "toc": f"root_kind string, root_version int, root_ord int, path array<int>, depth int, id string, label string, kind string, href string, href_raw string, attributes {_ATTRIBUTES}",
 }
+#: Sections that need not be decoded.
+SECTIONS = {"metadata", "manifest", "spine", "toc"}
+#: What a damaged archive raises.
+DAMAGED = (zipfile.BadZipFile, RuntimeError, NotImplementedError, EOFError, ValueError, zlib.error)
+#: Content of one batch of entries, about.
+BATCH_BYTES = 1 << 24
 _PARSED = "book_id string, error struct<code string, detail string>, " + ", ".join(f"{k} array<struct<{v.replace(' string', ': string').replace(' int', ': int').replace(' long', ': long').replace(' boolean', ': boolean').replace(' array', ': array')}>>" for k, v in SCHEMAS.items())
 
 
@@ -47,33 +58,54 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 
 def unzip(archives: DataFrame) -> DataFrame:
-    """(book_id, path, content) of every entry; a damaged archive has none."""
+    """(book_id, path, content) of every entry; a damaged archive has none, or those before the damage."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def made() -> pa.RecordBatch:
+            books, paths, contents = zip(*held, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(books, pa.string()), pa.array(paths, pa.string()), pa.array(contents, pa.binary())], names=["book_id", "path", "content"])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for book, data in zip(batch["book_id"], batch["content"], strict=True):
+            for book, data in zip(batch.column("book_id"), batch.column("content"), strict=True):
                 try:
-                    with zipfile.ZipFile(io.BytesIO(data)) as z:
+                    with zipfile.ZipFile(io.BytesIO(data.as_buffer() or b"")) as z:
                         for info in z.infolist():
                             if not info.is_dir():
-                                yield pd.DataFrame({"book_id": [book], "path": [clean_path(info.filename)], "content": [z.read(info)]})
-                except (zipfile.BadZipFile, RuntimeError, NotImplementedError, EOFError):
+                                content = z.read(info)
+                                held.append((book.as_py(), clean_path(info.filename), content))
+                                size += len(content)
+                                if size >= BATCH_BYTES:
+                                    yield made()
+                                    held.clear()
+                                    size = 0
+                except DAMAGED:
                     continue
+        if held:
+            yield made()
 
-    return archives.mapInPandas(run, "book_id string, path string, content binary")
+    return archives.select("book_id", "content").mapInArrow(run, "book_id string, path string, content binary")
 
 
 def read_directories(spark: SparkSession, path: str, root_of: str = r"^(.*?)/(?:META-INF|mimetype)") -> DataFrame:
     """(book_id, path, content) of exploded books: a book is the directory above META-INF."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.col("path").alias("file"), "content")
-    roots = files.select(F.regexp_extract("file", root_of, 1).alias("book_id")).filter("book_id <> ''").distinct()
-    above = files.withColumn("book_id", F.explode(F.transform(F.sequence(F.lit(1), F.size(F.split("file", "/")) - 1), lambda k: F.array_join(F.slice(F.split("file", "/"), 1, k), "/"))))
-    return above.join(roots, "book_id").select("book_id", F.expr("substring(file, length(book_id) + 1)").alias("path"), "content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    names = files.select(F.col("path").alias("file"))  # no content is read or shuffled to find the books
+    roots = names.select(F.regexp_extract("file", root_of, 1).alias("book_id")).filter("book_id <> ''").distinct()
+    above = names.withColumn("book_id", F.explode(F.transform(F.sequence(F.lit(1), F.size(F.split("file", "/")) - 1), lambda k: F.array_join(F.slice(F.split("file", "/"), 1, k), "/"))))
+    owner = above.join(roots, "book_id").groupBy("file").agg(F.max_by("book_id", F.length("book_id")).alias("book_id"))  # the innermost book
+    met = files.select(F.col("path").alias("file"), "content").join(owner, "file")
+    return met.select("book_id", F.expr("substring(file, length(book_id) + 1)").alias("path"), "content")
+
 
+def _parsed(read: Callable[[str], bytes | None], strict: bool, preferred: int, retain: bool, skip: frozenset[str]) -> tuple[Book, BookError | None]:
+    def text(path: str) -> str | None:
+        data = read(path)
+        return None if data is None else decode(data)
 
-def _parsed(content_by_path: dict[str, bytes], strict: bool, preferred: int, retain: bool) -> tuple[Book, BookError | None]:
     try:
-        return decode_book(lambda p: decode(content_by_path[p]) if p in content_by_path else None, strict, preferred, retain), None
+        return decode_book(text, strict, preferred, retain, skip), None
     except BookError as e:
         return Book(), e
     except ValueError as e:
@@ -87,22 +119,38 @@ def _row(book_id: str, book: Book, error: BookError | None) -> dict:
     }
 
 
-def _files(archive: bytes) -> dict[str, bytes]:
-    """What the decoders may need of an archive: markup, not media."""
-    with zipfile.ZipFile(io.BytesIO(archive)) as z:
-        return {clean_path(i.filename): z.read(i) for i in z.infolist() if i.filename.lower().endswith((".opf", ".xml", ".ncx", ".xhtml", ".html", ".htm"))}
+def _skipped(skip: Iterable[str]) -> frozenset[str]:
+    if unknown := set(skip) - SECTIONS:
+        raise ValueError(f"no sections: {sorted(unknown)}")
+    return frozenset(skip)
+
+
+def parse_files(files: DataFrame, strict: bool = False, preferred_toc: int = 3, retain_variants: bool = False, skip: Iterable[str] = ()) -> DataFrame:
+    """As ``parse``, of (book_id, path, content) rows. Markup alone meets in one group for each book."""
+    sections = _skipped(skip)
+    markup = files.filter(F.lower("path").rlike(r"\.(opf|xml|ncx|xhtml|html|htm)$"))
+    every = files.select("book_id").distinct()
 
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        held = {p: bytes(c) for p, c in zip(rows["path"], rows["content"], strict=True) if p is not None}
+        return pd.DataFrame([_row(rows["book_id"].iloc[0], *_parsed(held.get, strict, preferred_toc, retain_variants, sections))])
 
-def parse(archives: DataFrame, strict: bool = False, preferred_toc: int = 3, retain_variants: bool = False) -> DataFrame:
+    return every.join(markup, "book_id", "left").groupBy("book_id").applyInPandas(run, _PARSED)
+
+
+def parse(archives: DataFrame, strict: bool = False, preferred_toc: int = 3, retain_variants: bool = False, skip: Iterable[str] = ()) -> DataFrame:
     """One row for each book, its tables nested; errors are a column and stop nothing."""
+    sections = _skipped(skip)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for book_id, data in zip(batch["book_id"], batch["content"], strict=True):
                 try:
-                    rows.append(_row(book_id, *_parsed(_files(data), strict, preferred_toc, retain_variants)))
-                except (zipfile.BadZipFile, RuntimeError, NotImplementedError, EOFError) as e:
+                    with zipfile.ZipFile(io.BytesIO(data)) as z:
+                        names = {clean_path(i.filename): i for i in z.infolist()}
+                        rows.append(_row(book_id, *_parsed(lambda p, z=z, names=names: z.read(names[p]) if p in names else None, strict, preferred_toc, retain_variants, sections)))
+                except DAMAGED as e:
                     rows.append(_row(book_id, Book(), BookError("unreadable", str(e))))
             yield pd.DataFrame(rows)
 
@@ -114,12 +162,21 @@ def table(parsed: DataFrame, name: str) -> DataFrame:
     return parsed.select("book_id", F.explode(name).alias("_r")).select("book_id", "_r.*")
 
 
-def corpus(archives: DataFrame, strict: bool = False, preferred_toc: int = 3, retain_variants: bool = False) -> Corpus:
+def _tables(parsed: DataFrame, resources: DataFrame) -> Corpus:
+    parsed = Levels(parsed).save(parsed)  # books are decoded once, whatever reads their tables
+    return Corpus(parsed.select("book_id", "error"), *[table(parsed, n) for n in SCHEMAS], resources)
+
+
+def corpus(archives: DataFrame, strict: bool = False, preferred_toc: int = 3, retain_variants: bool = False, skip: Iterable[str] = ()) -> Corpus:
     """Tables of (book_id, content) rows."""
-    parsed = parse(archives, strict, preferred_toc, retain_variants)
-    return Corpus(parsed.select("book_id", "error"), *[table(parsed, n) for n in SCHEMAS], unzip(archives))
+    return _tables(parse(archives, strict, preferred_toc, retain_variants, skip), unzip(archives))
+
+
+def corpus_of_files(files: DataFrame, strict: bool = False, preferred_toc: int = 3, retain_variants: bool = False, skip: Iterable[str] = ()) -> Corpus:
+    """Tables of exploded books, (book_id, path, content) rows; no rows are an empty source, whose tables are empty."""
+    return _tables(parse_files(files, strict, preferred_toc, retain_variants, skip), files)
 
 
-def read_corpus(spark: SparkSession, path: str, **options) -> Corpus:
-    """Zipped books below ``path``; options: strict, preferred_toc, retain_variants."""
-    return corpus(read_archives(spark, path), **options)
+def read_corpus(spark: SparkSession, path: str, exploded: bool = False, **options) -> Corpus:
+    """Zipped or exploded books below ``path``; options: strict, preferred_toc, retain_variants, skip."""
+    return corpus_of_files(read_directories(spark, path), **options) if exploded else corpus(read_archives(spark, path), **options)

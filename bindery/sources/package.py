@@ -74,8 +74,8 @@ def version_family(raw: str) -> tuple[int | None, int | None, str]:
 class PackageDecoder:
     """One pass over a package document."""
 
-    def __init__(self, source: str, location: str, strict: bool = False) -> None:
-        self.strict, self.location = strict, location
+    def __init__(self, source: str, location: str, strict: bool = False, skip: frozenset[str] = frozenset()) -> None:
+        self.strict, self.location, self.skip = strict, location, skip
         self.directory = posixpath.dirname(location)
         self.book, self.stream = Book(), events(source)
         self.pending: list[dict] = []
@@ -104,16 +104,29 @@ class PackageDecoder:
                 if not self.book.package:
                     raise BookError("no_package_found")
                 self.seen.add(e.local)
-                sections[e.local](e)
+                if e.local in self.skip or e.local == "guide" and "toc" in self.skip:
+                    self.pass_over(e)
+                else:
+                    sections[e.local](e)
         if not self.book.package:
             raise BookError("no_package_found")
         if self.strict:
             for name in ("metadata", "manifest", "spine"):
                 if name not in self.seen:
                     raise BookError(f"no_{name}_found")
-            self.validate()
+            if "metadata" not in self.skip:
+                self.validate()
         return self.book
 
+    def pass_over(self, e: Element) -> None:
+        """To the end of a section that is skipped; of the spine only its own attributes are read."""
+        if e.local == "spine":
+            self.spine_attributes(e)
+        if not e.empty:
+            for inner in self.stream:
+                if inner.closing and inner.local == e.local:
+                    return
+
     def package(self, e: Element) -> None:
         raw = self.need(e.get("version"), "package[*version]")
         major, minor, family = version_family(raw)
@@ -225,9 +238,12 @@ class PackageDecoder:
             self.claim("manifest", key)
         self.book.manifest = list(items.values())
 
-    def spine(self, section: Element) -> None:
+    def spine_attributes(self, section: Element) -> None:
         direction = section.get("page-progression-direction")
         self.book.package |= {"page_direction": direction if direction in ("ltr", "rtl") else "default", "ncx_id": section.get("toc")}
+
+    def spine(self, section: Element) -> None:
+        self.spine_attributes(section)
         ids = {r["id"] for r in self.book.manifest}
         for e in self.stream:
             if e.closing and e.name == section.name:
@@ -235,7 +251,7 @@ class PackageDecoder:
             if e.closing or e.local != "itemref":
                 continue
             idref = self.need(e.get("idref"), "spine > itemref[*idref]")
-            if self.strict and "manifest" in self.seen and idref not in ids:
+            if self.strict and "manifest" in self.seen - self.skip and idref not in ids:
                 raise BookError("invalid_idref", idref)
             self.book.spine.append({"ord": len(self.book.spine), "id": e.get("id"), "idref": idref, "linear": e.get("linear") in (None, "yes"), "properties": e.get("properties") or "", "attributes": _others(e, "id", "idref", "linear", "properties")})
             self.claim("spine", e.get("id"))
@@ -361,8 +377,9 @@ def toc_rows(roots: list[tuple[str, int, dict]]) -> list[dict]:
     return out
 
 
-def decode_book(read: Callable[[str], str | None], strict: bool = False, preferred_toc: int = 3, retain: bool = False) -> Book:
-    """All tables of one book; ``read`` gives the text at a path of the container, or None."""
+def decode_book(read: Callable[[str], str | None], strict: bool = False, preferred_toc: int = 3, retain: bool = False, skip: frozenset[str] = frozenset()) -> Book:
+    """All tables of one book; ``read`` gives the text at a path of the container, or None. Sections to ``skip`` (metadata, manifest, spine,
+    toc) are not decoded and stay empty; without a manifest there are no navigation documents to find."""
     container = read("/META-INF/container.xml")
     if container is None:
         raise BookError("invalid_resource", "/META-INF/container.xml")
@@ -370,14 +387,14 @@ def decode_book(read: Callable[[str], str | None], strict: bool = False, preferr
     source = read(location)
     if source is None:
         raise BookError("invalid_resource", location)
-    decoder = PackageDecoder(source, location, strict)
+    decoder = PackageDecoder(source, location, strict, skip)
     book = decoder.run()
     roots: list[tuple[str, int, dict]] = []
     if decoder.guide:
         guide = _node()
         guide["children"] = decoder.guide
         roots.append(("landmarks", 2, guide))
-    for item in decoder.toc_documents(preferred_toc, retain):
+    for item in () if "toc" in skip or "manifest" in skip else decoder.toc_documents(preferred_toc, retain):
         text = read(unquote(item["href"]))
         if text is None:
             if strict:

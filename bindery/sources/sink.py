@@ -4,15 +4,22 @@ from __future__ import annotations
 
 import io
 import posixpath
+import re
+import uuid
 import zipfile
+from collections.abc import Callable, Sequence
 from datetime import UTC, datetime
-from urllib.parse import unquote
+from html import unescape
+from urllib.parse import quote, unquote
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.common import Levels
 from .epub import Corpus
+from .package import resolve
+from .xml import decode
 
 _ESCAPES = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&apos;"), ("\t", "&#9;"), ("\n", "&#10;"), ("\r", "&#13;"), ("\u00a0", "&#160;"))
 
@@ -92,12 +99,14 @@ def container_document(location: str) -> bytes:
     return out.bytes()
 
 
-def nav_document(rows: list[dict], location: str, title: str) -> bytes:
-    """All roots of version 3, in order."""
+def nav_document(rows: list[dict], location: str, title: str, styles: Sequence[str] = ()) -> bytes:
+    """All roots of version 3, in order; ``styles`` are hrefs of stylesheets, as they are to stand there."""
     out = Markup()
     out.add("html", [("xmlns", "http://www.w3.org/1999/xhtml"), ("xmlns:epub", "http://www.idpf.org/2007/ops")], close=False)
     out.add("head", close=False)
     out.add("title", (), title)
+    for style in styles:
+        out.add("link", [("rel", "stylesheet"), ("type", "text/css"), ("href", style)])
     out.end("head")
     out.add("body", close=False)
     directory = posixpath.dirname(location)
@@ -180,6 +189,30 @@ def ncx_document(rows: list[dict], location: str, identifier: str) -> bytes:
     return out.bytes()
 
 
+_LINK = re.compile(r"<link\b[^>]*>", re.S)
+_PAIR = re.compile(r"([^\s=<>/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)')")
+
+
+def linked_styles(markup: str) -> list[str]:
+    """hrefs of the stylesheets that a document links."""
+    out = []
+    for tag in _LINK.findall(markup):
+        pairs = {k.lower(): a or b for k, a, b in _PAIR.findall(tag)}
+        if "stylesheet" in pairs.get("rel", "").lower().split() and "href" in pairs:
+            out.append(unescape(pairs["href"]))
+    return out
+
+
+def _stamp(text: str) -> tuple[int, int, int, int, int, int]:
+    """A zip entry's time: the first date and time of a text, within what zip holds."""
+    n = [int(x) for x in re.findall("[0-9]+", text)[:6]]
+    year, month, day, *rest = [*n, *[1980, 1, 1][len(n) :]] if len(n) < 3 else n
+    hour, minute, second = (rest + [0, 0, 0])[:3]
+    if not 1980 <= year <= 2107:
+        return (1980, 1, 1, 0, 0, 0)
+    return year, min(max(month, 1), 12), min(max(day, 1), 31), min(hour, 23), min(minute, 59), min(second, 59)
+
+
 def _has_event(m: dict, name: str | None) -> bool:
     return next((v for k, v in _pairs(m["attributes"]) if k == "opf:event"), None) == name
 
@@ -229,8 +262,14 @@ def _free(name: str, used: set[str]) -> str:
     return new
 
 
-def archive(package: dict, meta: list[dict], manifest: list[dict], spine: list[dict], toc: list[dict], resources: dict[str, bytes], compression: int = 6, generate_toc: bool = True, targets: tuple[int, ...] = (2,), now: str = "", keep=lambda path: path.startswith("/META-INF/")) -> bytes:
-    """A zipped book; the mimetype is its first entry, stored. Its own version and ``targets`` say which navigation it gets: that of
+def keep_container(path: str) -> bool:
+    """Resources that no item names are written where they lie in META-INF."""
+    return path.startswith("/META-INF/")
+
+
+def archive(package: dict, meta: list[dict], manifest: list[dict], spine: list[dict], toc: list[dict], resources: dict[str, bytes], compression: int = 6, generate_toc: bool = True, targets: tuple[int, ...] = (2,), now: str = "", keep: Callable[[str], bool] = keep_container, toc_stylesheets: Sequence[str] | None = None) -> bytes:
+    """A zipped book; the mimetype is its first entry, stored; all bear the date of the last modification. A nav document keeps those
+    stylesheets of the one it replaces that are items, unless ``toc_stylesheets`` names others. Its own version and ``targets`` say which navigation it gets: that of
     version 2 in an NCX, that of version 3 in a nav document, in the items that are there or in new ones."""
     major = package["major"] or 3
     old, new = major == 2 or 2 in targets, major >= 3 or 3 in targets
@@ -250,37 +289,73 @@ def archive(package: dict, meta: list[dict], manifest: list[dict], spine: list[d
 
         if new:
             nav = next((i for i in manifest if "nav" in (i["properties"] or "").split()), None) or item("nav", "toc.xhtml", "application/xhtml+xml", "nav")
-            entries[unquote(nav["href"])] = nav_document(of(3) or of(2), nav["href"], title)
+            place, folder = unquote(nav["href"]), posixpath.dirname(nav["href"])
+            if toc_stylesheets is None:
+                known = {i["href"] for i in manifest}
+                styles = [x for x in linked_styles(decode(resources[place])) if resolve(folder, x.split("?")[0].split("#")[0]) in known] if place in resources else []
+            else:
+                styles = [_relative(folder, resolve(package["directory"], x)) for x in toc_stylesheets]
+            entries[place] = nav_document(of(3) or of(2), nav["href"], title, styles)
         if old:
             ncx = next((i for i in manifest if i["id"] == package["ncx_id"]), None) or item("ncx", "toc.ncx", "application/x-dtbncx+xml", "")
             package["ncx_id"] = ncx["id"]
             uid = next((m["value"] for m in meta if m["property"] == "dc:identifier" and m["id"] == package["unique_identifier"]), "")
             entries[unquote(ncx["href"])] = ncx_document(of(2) or of(3), ncx["href"], uid)
     entries["/META-INF/container.xml"] = container_document(package["location"])
-    entries[package["location"]] = package_document(package, completed_metadata(meta, manifest, old, new, now), manifest, spine)
+    complete = completed_metadata(meta, manifest, old, new, now)
+    entries[package["location"]] = package_document(package, complete, manifest, spine)
+    said = next((m["value"] for m in complete if m["property"] == "dcterms:modified" or m["property"] == "dc:date" and _has_event(m, "modification")), now)
+    stamp = _stamp(said or "")
     entries.pop("/mimetype", None)
     out = io.BytesIO()
     method = zipfile.ZIP_DEFLATED if compression else zipfile.ZIP_STORED
     with zipfile.ZipFile(out, "w") as z:
-        z.writestr(zipfile.ZipInfo("mimetype"), b"application/epub+zip", zipfile.ZIP_STORED)
+        z.writestr(zipfile.ZipInfo("mimetype", stamp), b"application/epub+zip", zipfile.ZIP_STORED)
         for path in sorted(entries):
-            z.writestr(zipfile.ZipInfo(path.lstrip("/")), entries[path], method, compression or None)
+            z.writestr(zipfile.ZipInfo(path.lstrip("/"), stamp), entries[path], method, compression or None)
     return out.getvalue()
 
 
-def write(corpus: Corpus, compression: int = 6, generate_toc: bool = True, targets: tuple[int, ...] = (2,), now: str | None = None) -> DataFrame:
-    """(book_id, content): an archive for each book, dated ``now`` where it has no dates. Resources and rows of a book meet in one group; a book bounds its size."""
+def write(corpus: Corpus, compression: int = 6, generate_toc: bool = True, targets: tuple[int, ...] = (2,), now: str | None = None, keep_orphans: bool | Callable[[str], bool] | None = None, toc_stylesheets: Sequence[str] | None = None) -> DataFrame:
+    """(book_id, content): an archive for each book, dated ``now`` where it has no dates. ``keep_orphans`` says which resources without an
+    item are written: all, none, those a function of the path holds for; without it those in META-INF. Resources and rows of a book meet in one group; a book bounds its size."""
     now = now or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     nest = lambda df, name: df.groupBy("book_id").agg(F.collect_list(F.struct(*[c for c in df.columns if c != "book_id"])).alias(name))
     met = corpus.package.select("book_id", F.struct(*[c for c in corpus.package.columns if c != "book_id"]).alias("package"))
     for name in ("meta", "manifest", "spine", "toc", "resources"):
         met = met.join(nest(getattr(corpus, name), name), "book_id", "left")
 
+    keep = keep_container if keep_orphans is None else keep_orphans if callable(keep_orphans) else lambda _: bool(keep_orphans)
+
     def run(batches):
         for batch in batches:
             rows = batch.to_dict("records")
             listed = lambda x: [] if x is None else list(x)
-            made = [archive(r["package"], *[listed(r[n]) for n in ("meta", "manifest", "spine", "toc")], {x["path"]: bytes(x["content"]) for x in listed(r["resources"])}, compression, generate_toc, targets, now) for r in rows]
+            made = [archive(r["package"], *[listed(r[n]) for n in ("meta", "manifest", "spine", "toc")], {x["path"]: bytes(x["content"]) for x in listed(r["resources"])}, compression, generate_toc, targets, now, keep, toc_stylesheets) for r in rows]
             yield pd.DataFrame({"book_id": [r["book_id"] for r in rows], "content": made})
 
     return met.mapInPandas(run, "book_id string, content binary")
+
+
+def save(archives: DataFrame, folder: str) -> DataFrame:
+    """Writes each archive as a file of its book's name below ``folder``, which every executor reaches (a mounted path, or a URI that Arrow
+    knows), and gives (book_id, file, bytes). A task that runs again writes the same file again, by renaming a finished one."""
+
+    def run(batches):
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+        store.create_dir(root, recursive=True)
+        for batch in batches:
+            out = []
+            for book, content in zip(batch["book_id"], batch["content"], strict=True):
+                file = f"{root.rstrip('/')}/{quote(str(book), safe='')}.epub"
+                part = f"{file}.{uuid.uuid4().hex}.part"
+                with store.open_output_stream(part) as f:
+                    f.write(bytes(content))
+                store.move(part, file)
+                out.append((book, file, len(content)))
+            yield pd.DataFrame(out, columns=["book_id", "file", "bytes"])
+
+    done = archives.select("book_id", "content").mapInPandas(run, "book_id string, file string, bytes long")
+    return Levels(archives).save(done)
