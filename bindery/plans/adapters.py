@@ -69,3 +69,27 @@ def stamps(spark: SparkSession, d: str) -> DataFrame:
     shown = lambda f: F.date_format(ts, f)
     text = F.when(k == 0, shown("yyyy-MM-dd'T'HH:mm:ss'Z'")).when(k == 1, shown("yyyy/M/d")).when(k == 2, F.concat(F.lit("c"), shown("yyyy"))).when(k == 3, shown("yyyy-MM-dd HH:mm'+05:30'")).otherwise(shown("yyyy-M-d'T'H:m:s'-0800'"))
     return read(spark, d, "events").select("event_id", text.alias("stamp"), "ts")
+
+
+def creators(spark: SparkSession, d: str) -> DataFrame:
+    """Nations are books, customers their metadata, and orders what refines a customer's entry."""
+    c, o = read(spark, d, "customer"), read(spark, d, "orders")
+    k, n = F.col("c_custkey"), F.col("o_orderkey")
+    name = lambda *names: F.array(*map(F.lit, names))
+    pair = lambda key, value, when: F.when(when, F.struct(F.lit(key).alias("name"), value.alias("value")))
+    pairs = F.array_compact(F.array(
+        pair("opf:event", F.when(k % 3 == 0, "publication").otherwise("modification"), k % 3 < 2), pair("opf:file-as", F.concat(F.lit("FA-"), k.cast("string")), k % 2 == 0), pair("opf:role", F.concat(F.lit("r"), (k % 4).cast("string")), k % 5 < 3),
+        pair("opf:authority", F.lit("A"), k % 4 == 2), pair("opf:term", k.cast("string"), k % 8 == 2), pair("opf:scheme", F.lit("S"), k % 7 == 1), pair("scheme", F.lit("T"), k % 7 < 3),
+    ))
+    roots = c.select(
+        F.col("c_nationkey").alias("book_id"), k.alias("node_id"), F.lit(None).cast("long").alias("parent_node_id"), F.lit("metadata").alias("owner"), F.concat(F.lit("id-"), k.cast("string")).alias("id"),
+        F.get(name("dc:title", "dc:date", "dc:subject", "dc:identifier", "dc:creator", "dcterms:modified", "dc:date"), (k % 7).cast("int")).alias("property"), F.col("c_name").alias("value"),
+        F.when(k % 2 == 0, F.lower("c_mktsegment")).alias("language"), F.when(k % 5 == 0, "rtl").otherwise("auto").alias("text_direction"), pairs.alias("attributes"), F.when(k % 9 == 0, "link").otherwise("dc").alias("kind"), k.alias("natural_order"),
+    )
+    below = o.join(c.select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey")
+    refining = below.select(
+        F.col("c_nationkey").alias("book_id"), (n + 1000000000).alias("node_id"), F.col("o_custkey").alias("parent_node_id"), F.lit("metadata").alias("owner"), F.concat(F.lit("id-"), (n % 90).cast("string")).alias("id"),
+        F.get(name("role", "file-as", "title-type", "authority", "term"), (n % 5).cast("int")).alias("property"), F.when(n % 5 == 2, F.when(n % 2 == 0, "Main").otherwise("subtitle")).otherwise(F.col("o_orderpriority")).alias("value"),
+        F.lit(None).cast("string").alias("language"), F.lit("auto").alias("text_direction"), F.array().cast("array<struct<name string, value string>>").alias("attributes"), F.lit("meta3").alias("kind"), (n + 1000000000).alias("natural_order"),
+    )
+    return roots.unionByName(refining).withColumn("display_seq", F.lit(None).cast("long"))

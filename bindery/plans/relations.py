@@ -62,15 +62,19 @@ def reader_len(s, d):
 
 @query("SELECT l_orderkey AS book_id, l_linenumber, l_partkey AS idref, p_name AS href, CASE WHEN p_name IS NULL THEN 'invalid_idref' END AS error FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_size > 5) ON p_partkey = l_partkey")
 def spine_manifest_join(s, d):
-    items = adapters.read(s, d, "part").filter("p_size > 5").select(F.col("p_partkey").alias("idref"), F.col("p_name").alias("href"))
-    met = adapters.spine(s, d).join(items, "idref", "left")
-    return met.select("book_id", "l_linenumber", "idref", "href", F.when(F.col("href").isNull(), "invalid_idref").alias("error"))
+    lines = adapters.spine(s, d)
+    parts = adapters.read(s, d, "part").filter("p_size > 5").select(F.col("p_partkey").alias("idref"), F.col("p_name").alias("href"), F.col("p_type").alias("media_type"))
+    items = lines.select("book_id", "idref").distinct().join(parts, "idref").withColumnRenamed("idref", "id")
+    return reader.with_items(lines, items).select("book_id", "l_linenumber", "idref", "href", "error")
 
 
 @query("SELECT l_orderkey AS book_id, l_partkey AS idref, l_linenumber FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size > 5)")
 def cleanup_spine(s, d):
-    items = adapters.read(s, d, "part").filter("p_size > 5").select(F.col("p_partkey").alias("idref"))
-    return adapters.spine(s, d).join(items, "idref", "left_semi").select("book_id", "idref", "l_linenumber")
+    lines = adapters.spine(s, d)
+    parts = adapters.read(s, d, "part").filter("p_size > 5").select(F.col("p_partkey").alias("idref"), F.col("p_name").alias("href"))
+    items = lines.select("book_id", "idref").distinct().join(parts, "idref").select("book_id", F.col("idref").alias("id"), "href", F.col("href").alias("href_raw"), F.lit(None).cast("long").alias("fallback"), F.lit(None).cast("long").alias("media_overlay"))
+    nodes = lines.select("book_id", F.lit(0).alias("root_ord"), F.array().cast("array<int>").alias("path"), F.lit(None).cast("string").alias("href")).distinct()
+    return edit.cleaned(items, lines, nodes)[1].select("book_id", "idref", "l_linenumber")
 
 
 @query(f"SELECT m.book_id, m.id, CASE WHEN f.id <> m.id THEN f.id END AS fallback_id FROM {_MANIFEST} m LEFT JOIN {_MANIFEST} f ON f.book_id = m.book_id AND f.id = m.fallback")
@@ -103,9 +107,9 @@ def manifest_by_kind(s, d):
     return manifest.by_kind(adapters.manifest(s, d), ["PROMO", "small/", "Large/Brand#11"]).select("book_id", "id")
 
 
-@query(f"SELECT book_id, id FROM {_MANIFEST} WHERE list_contains(string_split(properties, ' '), 'part')")
+@query(f"SELECT book_id, id FROM {_MANIFEST} WHERE list_contains(string_split(properties, ' '), 'widget')")
 def manifest_by_property(s, d):
-    return manifest.by_property(adapters.manifest(s, d), "part").select("book_id", "id")
+    return manifest.by_property(adapters.manifest(s, d), "widget").select("book_id", "id")
 
 
 @query(f"SELECT book_id, href || '?x#y' AS href, id FROM {_MANIFEST}")
@@ -187,7 +191,7 @@ def toc_children(s, d):
 )
 def toc_sizes(s, d):
     tree = adapters.tree(s, d)
-    root = tree.limit(1).select("book_id", "root_ord", F.array().cast("array<bigint>").alias("path"), F.lit("root").alias("label"))
+    root = s.createDataFrame([(0, 0, [], "root")], "book_id long, root_ord long, path array<long>, label string")
     out = toc.sizes(tree.unionByName(root))
     return out.select(F.array_join(F.transform("path", lambda x: x.cast("string")), "/").alias("place"), "total_len", F.col("max_depth").cast("long").alias("max_depth"))
 
@@ -227,7 +231,7 @@ def cleanup_toc(s, d):
     last = F.element_at("path", -1)
     bad = ((F.size("path") == 2) & (last % 3 == 0)) | ((F.size("path") == 3) & (last % 5 == 0))
     nodes = adapters.tree(s, d).withColumn("href", F.when(F.size("path") == 1, None).when(bad, F.lit("gone#x")).otherwise(F.lit("here#x")))
-    items = nodes.limit(1).select("book_id", F.lit("here").alias("href"), F.lit("raw").alias("href_raw"))
+    items = s.createDataFrame([(0, "here", "raw")], "book_id long, href string, href_raw string")
     return toc.cleaned(nodes, items).select(F.array_join(F.transform("path", lambda x: x.cast("string")), "/").alias("place"))
 
 
@@ -256,9 +260,9 @@ def unique_ids(s, d):
     return edit.unique_ids(rows, taken).select("book_id", "id", "ord", "new_id")
 
 
-@query("SELECT p_brand, max(TRY_CAST(regexp_extract(p_name, '([0-9]+)$', 1) AS BIGINT)) AS top FROM part GROUP BY 1")
+@query("SELECT p_type, max(CAST(substr(p_brand, 7) AS BIGINT)) AS top FROM part GROUP BY 1")
 def id_max_suffix(s, d):
-    return adapters.read(s, d, "part").groupBy("p_brand").agg(F.max(F.regexp_extract("p_name", "([0-9]+)$", 1).try_cast("long")).alias("top"))
+    return common.max_suffix(adapters.read(s, d, "part"), ["p_type"], "p_brand", "Brand#")
 
 
 @query("SELECT conv_id AS book_id, turn AS old_ord, CASE WHEN r >= 2 THEN r + 1 ELSE r END AS ord FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS r FROM conversations) UNION ALL SELECT conv_id, -1, least(2, count(*)) FROM conversations GROUP BY 1")
@@ -300,11 +304,6 @@ def rewrite_noop(s, d):
     return adapters.read(s, d, "pages").select("page_id", F.md5(rewrite.rewritten(F.col("html"), F.col("url"))).alias("digest"))
 
 
-@query(None)
-def rewrite_prefix(s, d):
-    return adapters.read(s, d, "pages").select("page_id", F.md5(rewrite.rewritten(F.col("html"), F.lit("/OPS/x.xhtml"), prefix="/read/")).alias("digest"))
-
-
 @query("SELECT page_id, ord - 1 AS ord, href FROM (SELECT page_id, unnest(hs) AS href, generate_subscripts(hs, 1) AS ord FROM (SELECT page_id, regexp_extract_all(html, 'href=\"([^\"]*)\"', 1) AS hs FROM pages))")
 def page_links(s, d):
     return adapters.links(s, d).select("page_id", F.col("ord").cast("long").alias("ord"), "href")

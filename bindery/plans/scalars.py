@@ -109,7 +109,7 @@ def attributes_get(s, d):
     return adapters.read(s, d, "events").select("event_id", text.attribute(attributes, "k").alias("k"), F.exists(attributes, lambda a: a["name"] == "z").cast("int").alias("has_z"))
 
 
-@query("SELECT p_partkey, len(string_split(lower(p_name), ' ')) AS n, lower(p_name) || ' nav' AS added, array_to_string(list_filter(string_split(lower(p_name), ' '), lambda t: t <> string_split(lower(p_name), ' ')[1]), ' ') AS rest FROM part")
+@query("SELECT p_partkey, len(string_split(lower(p_name), ' ')) AS n, lower(p_name) || ' nav' AS added, array_to_string(list_filter(string_split(lower(p_name), ' '), lambda t: t <> 'widget'), ' ') AS rest FROM part")
 def properties_tokens(s, d):
     p = F.lower("p_name")
-    return adapters.read(s, d, "part").select("p_partkey", F.size(text.properties(p)).cast("long").alias("n"), text.insert_property(p, "nav").alias("added"), F.array_join(F.filter(F.split(p, " "), lambda t: t != F.split(p, " ")[0]), " ").alias("rest"))
+    return adapters.read(s, d, "part").select("p_partkey", F.size(text.properties(p)).cast("long").alias("n"), text.insert_property(p, "nav").alias("added"), text.remove_property(p, "widget").alias("rest"))
