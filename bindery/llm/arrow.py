@@ -8,8 +8,9 @@ import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-#: The next document begins a new slice once a slice holds this many bytes of text.
-SLICE_BYTES = 1 << 20
+#: The next document begins a new slice once a slice holds this many bytes of text. The arrays made of a slice take up to
+#: a hundred times as much, in each of an executor's Python workers.
+SLICE_BYTES = 1 << 18
 
 _TABLE = np.random.Generator(np.random.PCG64(20240229)).integers(0, 2**64, 256, dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15
@@ -26,13 +27,17 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers.get("up", ())) < n:
-        size = max(1 << 21, 2 * n)
-        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 2**64))):
-            step = np.full(size, base, np.uint64)
-            step[0] = 1
-            _powers[name] = np.multiply.accumulate(step)
-    return _powers["up"], _powers["down"]
+    """Powers of the base and of its inverse, at least n of each; those for longer texts than a slice usually holds are not kept."""
+    if n <= len(_powers.get("up", ())):
+        return _powers["up"], _powers["down"]
+    out = {}
+    for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 2**64))):
+        step = np.full(max(2 * SLICE_BYTES, n), base, np.uint64)
+        step[0] = 1
+        out[name] = np.multiply.accumulate(step)
+    if n <= 2 * SLICE_BYTES:
+        _powers.update(out)
+    return out["up"], out["down"]
 
 
 def word_hashes(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -308,7 +308,7 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
 
     sig = reps.select("doc_id", "sig")
     pairs = pairs.join(sig.select(F.col("doc_id").alias("b"), F.col("sig").alias("sig_b")), "b").join(sig.select(F.col("doc_id").alias("a"), F.col("sig").alias("sig_a")), "a")
-    pairs = pairs.mapInArrow(_prune(p), "a long, b long")
+    pairs = scratch.save(pairs.mapInArrow(_prune(p), "a long, b long"))  # written, so that no task has two Python workers
     wanted = scratch.save(rows.select("doc_id").distinct())
     texts = docs.filter("text is not null").join(wanted, "doc_id", "left_semi").join(reps.select("doc_id", "text_key"), "doc_id")
     texts = scratch.save(texts.filter(F.col("text_key") == F.xxhash64("text")).drop("text_key").dropDuplicates(["doc_id"]))
