@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, media, mixing, near_dedup, packing, pii, quality, secrets, token_counts
+from . import bin_slack, cross_tokens, exact_dedup, line_dedup, media, mixing, near_dedup, packing, pii, quality, secrets, token_counts, whitening
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,10 +66,22 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bin_slack.pack(documents(spark, sf_dir))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_tokens.cross_align(documents(spark, sf_dir))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (op1_near_dedup, op2_token_counts, op3_mixing, op4_pii, op5_exact_dedup, op6_media, op7_secrets, op8_line_dedup, op9_quality, op10_packing)
+        for f in (op1_near_dedup, op2_token_counts, op3_mixing, op4_pii, op5_exact_dedup, op6_media, op7_secrets, op8_line_dedup, op9_quality, op10_packing, op11_packing, op12_alignment, op13_whitening)
     }
 
 

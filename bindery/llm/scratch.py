@@ -33,10 +33,10 @@ class Scratch:
         self.root = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self.written = 0
 
-    def save(self, df: DataFrame) -> DataFrame:
+    def save(self, df: DataFrame, compression: str | None = None) -> DataFrame:
         path = f"{self.root}/{self.written}"
         self.written += 1
-        df.write.parquet(path)
+        df.write.parquet(path, compression=compression)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path  # noqa: SLF001
         return out
