@@ -30,18 +30,22 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrow import slices
+from .arrow import U, slices, word_hashes
 from .packing import vocabulary_path
 from .scratch import Scratch
 
 VOCABULARY = "word_bpe_49k.json"
-#: Runs of characters whose ids a worker keeps; longer runs than LONG bytes are never kept.
+#: Runs and words whose ids a worker keeps; words longer than LONG are not kept.
 KNOWN, LONG = 1 << 18, 64
-#: Runs of visible ASCII, of which the pre-tokenizer's words are these.
-PLAIN, WORDS = re.compile(rb"[!-~]+"), re.compile("'(?:s|t|re|ve|m|ll|d)|[a-z]+|[0-9]|[^a-z0-9\\n]+|\\n")
+#: Visible ASCII and Latin letters that no normalisation but lower case changes (so not the capital I with a dot).
+LATIN = "\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"
+PLAIN = re.compile(f"[!-~{LATIN}]+")
+#: Fixed value: the vocabulary's words, of plain runs in lower case.
+WORDS = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[a-z{LATIN}]+|[0-9]|[^a-z0-9{LATIN}\\n]+|\\n")
 #: Rows of one (length, cell).
 CELL_ROWS = 1_000
 #: Largest tables that are sent to every task; larger ones are joined by a shuffle.
@@ -57,79 +61,102 @@ class BinSlack:
     cut: bool = True
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: visible bytes themselves, the others from U+0100 on."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: chr(b) for b in seen} | {b: chr(256 + k) for k, b in enumerate(sorted(set(range(256)).difference(seen)))}
+
+
 class Encoder:
-    """Ids of texts by the ids of their runs of characters other than ASCII white space, and of the words of these runs.
+    """Ids of texts by the ids of their runs of characters other than ASCII white space, and of the words of these runs. Runs are told
+    apart by 64-bit hashes.
 
     The library's own parts do the work: its model makes the ids of each new word, and its normaliser and pre-tokenizer find the words of
-    runs that are not plain ASCII. A run that spells a special token is given to its whole call."""
+    runs that are not plain. A run that spells a special token is given to its whole call."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.marks = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()).encode())
+        self.marks = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()))
+        self.letters = _byte_letters()
+        self.bytes = {c: b for b, c in self.letters.items()}
         self.words: dict[str, list[int]] = {"\n": [-1]}
-        self.place: dict[bytes, int] = {}
-        self._hold(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        self._hold(np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 4)
 
-    def _hold(self, first: np.ndarray, many: np.ndarray, ids: np.ndarray) -> None:
-        self.first, self.many, self.ids, self.met = first, many, ids, np.zeros(len(first), np.int64)
+    def _hold(self, keys: np.ndarray, first: np.ndarray, many: np.ndarray, met: np.ndarray, ids: np.ndarray) -> None:
+        """The runs kept: hashes in order, places of their ids, how often they were met."""
+        self.keys, self.first, self.many, self.met, self.ids = keys, first, many, met, ids
 
     def _trim(self) -> None:
         """Only what was met again stays; nothing, if that is most of it."""
         if len(self.words) > KNOWN:
             self.words = {"\n": [-1]}
-        if len(self.place) > KNOWN:
+        if len(self.keys) > KNOWN:
             keep = np.flatnonzero(self.met > 1)
             keep = keep if len(keep) <= KNOWN // 2 else keep[:0]
-            runs = list(self.place)
-            at = {k: n for n, k in enumerate(self.place.values())}
-            self.place = {runs[at[k]]: n for n, k in enumerate(keep.tolist()) if k in at}
             many = self.many[keep]
             ids = self.ids[np.repeat(self.first[keep] - np.cumsum(many) + many, many) + np.arange(many.sum())]
-            self._hold(np.cumsum(many) - many, many, ids)
+            self._hold(self.keys[keep], np.cumsum(many) - many, many, self.met[keep] * 0, ids)
+
+    def _ids(self, word: str) -> list[int]:
+        if word[0] == "\n":
+            return self.tokenizer.encode(word, add_special_tokens=False).ids
+        if not (word.isascii() and word.isprintable()):
+            word = word.encode().decode("latin-1").translate(self.letters)
+        return [t.id for t in self.tokenizer.model.tokenize(word)]
 
-    def _learn(self, runs: list[bytes]) -> None:
+    def _learn(self, keys: np.ndarray, runs: list[str]) -> None:
         """Keeps the ids of new runs. A new line stands after each run's words, as no word has one."""
-        plain = [r for r in runs if PLAIN.fullmatch(r) and not self.marks.search(r)]
-        odd = list(set(runs).difference(plain))
-        flat = WORDS.findall(b"\n".join([*plain, b""]).decode().lower())
-        for run in odd:
-            if self.marks.search(run):
-                flat.append(f"\n{run.decode()}")
-            else:
-                flat += [w for w, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(run.decode()))]
-            flat.append("\n")
-        new, tokenize = set(flat).difference(self.words), self.tokenizer.model.tokenize
+        known = [PLAIN.fullmatch(r) is not None for r in runs]
+        joined = "\n".join([*runs, ""])
+        if self.marks.search(joined) or not all(known):
+            flat: list[str] = []
+            for run, plain in zip(runs, known, strict=True):
+                if self.marks.search(run):
+                    flat.append(f"\n{run}")
+                elif plain:
+                    flat += WORDS.findall(run.lower())
+                else:  # their words are in the letters of bytes already
+                    shown = self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(run))
+                    flat += [bytes(map(self.bytes.__getitem__, w)).decode() for w, _ in shown]
+                flat.append("\n")
+        else:
+            flat = WORDS.findall(joined.lower())
+        new = set(flat).difference(self.words)
         for word in new:
-            self.words[word] = self.tokenizer.encode(word, add_special_tokens=False).ids if word[0] == "\n" else [t.id for t in tokenize(word)]
+            self.words[word] = self._ids(word)
         ids = np.fromiter(chain.from_iterable(map(self.words.__getitem__, flat)), np.int64)
         for word in new:
             if len(word) > LONG:
                 del self.words[word]
         stops = np.flatnonzero(ids < 0) - np.arange(len(runs))
         many = np.diff(np.concatenate(([0], stops)))
-        self.place.update(zip(chain(plain, odd), range(len(self.first), len(self.first) + len(runs)), strict=True))
-        self.first = np.concatenate((self.first, len(self.ids) + stops - many))
-        self.many, self.met = np.concatenate((self.many, many)), np.concatenate((self.met, np.zeros(len(runs), np.int64)))
-        self.ids = np.concatenate((self.ids, ids[ids >= 0]))
+        first = np.concatenate((self.first, len(self.ids) + stops - many))
+        keys = np.concatenate((self.keys, keys))
+        order = np.argsort(keys, kind="stable")
+        met = np.concatenate((self.met, np.zeros(len(runs), np.int64)))
+        self._hold(keys[order], first[order], np.concatenate((self.many, many))[order], met[order], np.concatenate((self.ids, ids[ids >= 0])))
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and how many each has."""
         self._trim()
-        runs = [x.split() for x in texts]
-        flat = list(chain.from_iterable(runs))
-        new = set(flat).difference(self.place)
-        self._learn(list(new))
-        at = np.fromiter(map(self.place.__getitem__, flat), np.int64, len(flat))
-        self.met += np.bincount(at, minlength=len(self.met))
+        data = b"\n".join([*texts, b""])
+        hashes, start, end = word_hashes(np.frombuffer(data, np.uint8))
+        long = np.flatnonzero(end - start > LONG)
+        hashes[long] = [xxhash.xxh64_intdigest(data[start[k] : end[k]]) for k in long]
+        key, one, run = np.unique(hashes, return_index=True, return_inverse=True)
+        at = np.searchsorted(self.keys, key)
+        new = np.flatnonzero((at == len(self.keys)) | (np.append(self.keys, U(0))[at] != key))
+        if len(new):
+            self._learn(key[new], [data[s:e].decode() for s, e in zip(start[one[new]].tolist(), end[one[new]].tolist(), strict=True)])
+            at = np.searchsorted(self.keys, key)
+        self.met[at] += np.bincount(run, minlength=len(key))
+        at = at[run]
         many = self.many[at]
         before = np.concatenate(([0], np.cumsum(many)))
         out = self.ids[np.repeat(self.first[at] - before[:-1], many) + np.arange(before[-1])]
-        ends = np.cumsum([len(r) for r in runs])
-        for r in new:
-            if len(r) > LONG:
-                del self.place[r]
+        ends = np.searchsorted(start, np.cumsum([len(x) + 1 for x in texts]))
         return out, np.diff(np.concatenate(([0], before[ends])))
 
 
