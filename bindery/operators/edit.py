@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import href
-from . import manifest, toc
+from . import manifest, names, toc
 from .common import Levels
 
 BOOK = "book_id"
@@ -78,27 +78,12 @@ def removed_subtrees(entries: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def unique_ids(wanted: DataFrame, taken: DataFrame, keys: tuple[str, ...] = (BOOK,)) -> DataFrame:
-    """wanted (book_id, ord, id): ids that neither ``taken`` nor an earlier wanted id has, by -1, -2 and so on.
-
-    One id hangs on those before it, so a book's wanted ids are folded in one group; a book bounds its size."""
-    import pandas as pd
-
-    both = wanted.select(*keys, "ord", "id").withColumn("_taken", F.lit(False)).unionByName(taken.select(*keys, F.lit(-1).alias("ord"), "id").withColumn("_taken", F.lit(True)))
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        used = set(rows.loc[rows["_taken"], "id"])
-        out = rows[~rows["_taken"]].sort_values("ord").copy()
-        made = []
-        for want in out["id"]:
-            k, new = 0, want
-            while new in used:
-                k += 1
-                new = f"{want}-{k}"
-            used.add(new)
-            made.append(new)
-        out["new_id"] = made
-        return out[[*keys, "ord", "id", "new_id"]]
-
-    kinds = dict(wanted.dtypes)
-    schema = ", ".join(f"{c} {kinds[c]}" for c in (*keys, "ord", "id")) + ", new_id string"
-    return both.groupBy(*keys).applyInPandas(fold, schema)
+    """wanted (book_id, ord, id): ids that neither ``taken`` nor an earlier wanted id has, by -1, -2 and so on."""
+    out = names.unique(wanted.select(*keys, "ord", F.col("id").alias("name")), taken.select(*keys, F.col("id").alias("name")), keys)
+    return out.select(*keys, "ord", F.col("name").alias("id"), F.col("new_name").alias("new_id"))
+
+
+def unique_hrefs(wanted: DataFrame, taken: DataFrame, keys: tuple[str, ...] = (BOOK,)) -> DataFrame:
+    """wanted (book_id, ord, href): hrefs that neither ``taken`` nor an earlier wanted href has, by numbers before the ending."""
+    out = names.unique(wanted.select(*keys, "ord", F.col("href").alias("name")), taken.select(*keys, F.col("href").alias("name")), keys, names.HREFS)
+    return out.select(*keys, "ord", F.col("name").alias("href"), F.col("new_name").alias("new_href"))

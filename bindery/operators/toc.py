@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import href
@@ -24,15 +26,53 @@ def children(nodes: DataFrame, parent: Column) -> DataFrame:
     return nodes.filter((F.size("path") == F.size(parent) + 1) & (F.slice("path", 1, F.size(parent)) == parent))
 
 
-def _ancestors(nodes: DataFrame, keys: list[str]) -> DataFrame:
-    """Each node once for itself and for each of its ancestors, as ``_top``."""
-    return nodes.select(*keys, F.size("path").alias("_size"), F.explode(F.transform(F.sequence(F.lit(0), F.size("path")), lambda k: F.slice("path", 1, k))).alias("_top"))
+def indexed(nodes: DataFrame, keys: tuple[str, ...] = (BOOK, "root_ord")) -> DataFrame:
+    """Nested sets: ``enter`` (place in preorder from 0, the root's if it is there), ``leave`` (the largest enter below a node, its own if
+    there is none) and ``depth``. What stands below a node has enters up to its leave, so that subtrees are ranges. A tree is one window over
+    two events for each node: it ends after all that begins with its path."""
+    kind = dict(nodes.dtypes)["path"][6:-1]
+    end = F.array(F.lit(2**31 - 1 if kind == "int" else 2**63 - 1).cast(kind))
+    events = nodes.withColumn("_event", F.explode(F.array(F.struct(F.col("path").alias("at"), F.lit(True).alias("opens")), F.struct(F.concat("path", end).alias("at"), F.lit(False).alias("opens")))))
+    opened = F.count_if("_event.opens").over(Window.partitionBy(*keys).orderBy("_event.at").rowsBetween(Window.unboundedPreceding, 0)) - 1
+    both = events.withColumn("_opened", opened).withColumn("_leave", F.lead("_opened").over(Window.partitionBy(*keys, "path").orderBy("_event.at")))
+    return both.filter("_event.opens").withColumnRenamed("_opened", "enter").withColumnRenamed("_leave", "leave").withColumn("depth", F.size("path")).drop("_event")
+
+
+def _below_bad(bad: Column, keys: tuple[str, ...]) -> Column:
+    """Whether a node is one for which ``bad`` holds, or below one: of those that began before it one has not ended."""
+    so_far = Window.partitionBy(*keys).orderBy("enter").rowsBetween(Window.unboundedPreceding, 0)
+    return F.coalesce(F.max(F.when(bad & (F.size("path") > 0), F.col("leave"))).over(so_far) >= F.col("enter"), F.lit(False))
+
+
+def _deepest(keys: list[str]):
+    """The greatest depth below each node of a tree, by one walk from its last node to its first."""
+
+    def run(table: pa.Table) -> pa.Table:
+        order = np.argsort(table.column("enter").to_numpy())
+        depth, enter = table.column("depth").to_numpy()[order].tolist(), table.column("enter").to_numpy()[order]
+        deepest, above, open_ = list(depth), [-1] * len(depth), []
+        for k, d in enumerate(depth):
+            while open_ and depth[open_[-1]] >= d:
+                open_.pop()
+            above[k] = open_[-1] if open_ else -1
+            open_.append(k)
+        for k in range(len(depth) - 1, -1, -1):
+            if above[k] >= 0 and deepest[above[k]] < deepest[k]:
+                deepest[above[k]] = deepest[k]
+        ids = [table.column(c).take(pa.array(order)) for c in keys]
+        return pa.table([*ids, pa.array(enter), pa.array(deepest, pa.int32())], names=[*keys, "enter", "_deep"])
+
+    return run
 
 
 def sizes(nodes: DataFrame, keys: tuple[str, ...] = (BOOK, "root_ord")) -> DataFrame:
-    """total_len (entries below) and max_depth (levels below) of every node. Rows are depth times the nodes, with map-side sums."""
-    seen = _ancestors(nodes, list(keys)).groupBy(*keys, F.col("_top").alias("path")).agg((F.count("*") - 1).alias("total_len"), F.max("_size").alias("_deep"))
-    return seen.select(*keys, "path", "total_len", (F.col("_deep") - F.size("path")).alias("max_depth"))
+    """total_len (entries below) and max_depth (levels below) of every node, from the nested sets."""
+    index = indexed(nodes.select(*keys, "path"), keys)
+    kinds = dict(index.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in (*keys, "enter")) + ", _deep int"
+    deep = index.select(*keys, "enter", "depth").groupBy(*keys).applyInArrow(_deepest(list(keys)), schema)
+    met = index.join(deep, [*keys, "enter"])
+    return met.select(*keys, "path", (F.col("leave") - F.col("enter")).alias("total_len"), (F.col("_deep") - F.col("depth")).alias("max_depth"))
 
 
 def chosen(roots: DataFrame, kind: str, preferred: int = 3) -> DataFrame:
@@ -81,9 +121,8 @@ def removed(nodes: DataFrame, parent: Column, place: int) -> DataFrame:
 
 def retained(nodes: DataFrame, keep: Column, keys: tuple[str, ...] = (BOOK, "root_ord")) -> DataFrame:
     """Without the nodes for which ``keep`` does not hold and all below them; roots stay, and places are as they were."""
-    bad = nodes.filter(~F.coalesce(keep, F.lit(False)) & (F.size("path") > 0)).select(*keys, F.col("path").alias("_top"))
-    tops = nodes.withColumn("_top", F.explode(F.transform(F.sequence(F.lit(0), F.size("path")), lambda k: F.slice("path", 1, k))))
-    return nodes.join(tops.join(bad, [*keys, "_top"], "left_semi").select(*keys, "path").distinct(), [*keys, "path"], "left_anti")
+    index = indexed(nodes.withColumn("_keep", F.coalesce(keep, F.lit(False))), keys)
+    return index.withColumn("_gone", _below_bad(~F.col("_keep"), keys)).filter("not _gone").select(*nodes.columns)
 
 
 def merged(*parts: DataFrame) -> DataFrame:
@@ -111,8 +150,4 @@ def cleaned(nodes: DataFrame, items: DataFrame) -> DataFrame:
     """Nodes whose href names no item go with all below them; roots, nodes without href and those with a scheme stay."""
     names = items.select(BOOK, F.explode(F.array_distinct(F.array("href", "href_raw"))).alias("_target")).filter("_target is not null").distinct().withColumn("_known", F.lit(True))
     met = nodes.withColumn("_target", href.path(F.col("href"))).join(names, [BOOK, "_target"], "left")
-    bad = met.filter(F.col("href").isNotNull() & ~href.has_scheme(F.col("href")) & F.col("_known").isNull() & (F.size("path") > 0))
-    bad = bad.select(BOOK, "root_ord", F.col("path").alias("_top"))
-    tops = nodes.withColumn("_top", F.explode(F.transform(F.sequence(F.lit(0), F.size("path")), lambda k: F.slice("path", 1, k))))
-    gone = tops.join(bad, [BOOK, "root_ord", "_top"], "left_semi").select(BOOK, "root_ord", "path").distinct()
-    return nodes.join(gone, [BOOK, "root_ord", "path"], "left_anti")
+    return retained(met, F.col("href").isNull() | href.has_scheme(F.col("href")) | F.col("_known").isNotNull()).select(*nodes.columns)

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..functions import civil, text
 from ..operators import common, edit, manifest, metadata, reader, rewrite, toc
-from ..operators.builder import BookBuilder, corpus
 from ..sources import epub, sink
 from . import adapters, books
 from .registry import query
@@ -256,18 +255,6 @@ def epub_round_trip(s, d):
     return out.select("book_id", "idref", F.col("ord").cast("long").alias("ord"), F.md5("bytes").alias("digest"))
 
 
-@query("SELECT CAST(r_regionkey AS VARCHAR) AS book_id, r_name AS title, CAST(n AS BIGINT) AS n_chapters FROM region JOIN (SELECT n_regionkey, count(*) AS n FROM nation GROUP BY 1) ON n_regionkey = r_regionkey")
-def epub_built(s, d):
-    """Books made by name: a region is a book (five of them, made on the driver), its nations are chapters; written and read again."""
-    from ..operators.builder import Chapter
-
-    regions, nations = adapters.read(s, d, "region").collect(), adapters.read(s, d, "nation").collect()
-    made = {str(r.r_regionkey): BookBuilder().identifier(f"urn:{r.r_regionkey}").title(r.r_name).language("en").chapter([Chapter(n.n_name, b"x") for n in nations if n.n_regionkey == r.r_regionkey]) for r in regions}
-    again = epub.corpus(sink.write(corpus(s, made), now="2024-01-02T03:04:05Z"))
-    title = metadata.main_title(metadata.ordered(again.meta)).select("book_id", F.col("value").alias("title"))
-    return title.join(again.toc.filter("size(path) = 1 and root_version = 3").groupBy("book_id").agg(F.count("*").alias("n_chapters")), "book_id")
-
-
 _PREFIXED = "SELECT page_id, md5(replace(html, '<a href=\"/', '<a href=\"/read/')) AS digest FROM pages"
 
 

@@ -9,12 +9,14 @@ import zipfile
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.href import decode as decode_href
 from ..operators.common import Levels
 from .package import Book, BookError, clean_path, decode_book
 from .xml import decode
@@ -180,3 +182,29 @@ def corpus_of_files(files: DataFrame, strict: bool = False, preferred_toc: int =
 def read_corpus(spark: SparkSession, path: str, exploded: bool = False, **options) -> Corpus:
     """Zipped or exploded books below ``path``; options: strict, preferred_toc, retain_variants, skip."""
     return corpus_of_files(read_directories(spark, path), **options) if exploded else corpus(read_archives(spark, path), **options)
+
+
+def made(chapters, books: DataFrame, content: Column, language: str = "en", directory: str = "/OEBPS") -> Corpus:
+    """Version 3 books of expanded chapters (operators.chapters): ``books`` (book_id, title), ``content`` of each item, of the manifest's columns."""
+    blank = F.lit(None).cast("string")
+    none = F.array().cast(_ATTRIBUTES)
+
+    def shaped(name: str, df: DataFrame, **values: Column) -> DataFrame:
+        want = df.sparkSession.createDataFrame([], f"book_id string, {SCHEMAS[name]}").schema
+        fill = {"attributes": none, "prefixes": F.array().cast("array<struct<name string, uri string>>"), "text_direction": F.lit("auto"), "properties": F.lit("")}
+        pick = lambda f: values.get(f.name, F.col(f.name) if f.name in df.columns else fill.get(f.name, F.lit(None)))
+        return df.select(*[pick(f).cast(f.dataType).alias(f.name) for f in want])
+
+    package = shaped("package", books, location=F.lit(f"{directory}/package.opf"), directory=F.lit(directory), version_raw=F.lit("3.0"), major=F.lit(3), minor=F.lit(0), family=F.lit("epub3"), unique_identifier=F.lit("unique-identifier"), page_direction=F.lit("default"))
+    said = F.posexplode(F.array(*[F.struct(F.lit(p).alias("property"), v.cast("string").alias("value")) for p, v in (("dc:identifier", F.col("book_id")), ("dc:title", F.col("title")), ("dc:language", F.lit(language)))])).alias("k", "m")
+    said = books.select("book_id", said).select("book_id", "k", "m.*")
+    meta = shaped("meta", said, node_id=F.col("k"), natural_order=F.col("k"), owner=F.lit("metadata"), depth=F.lit(0), kind=F.lit("dc"), id=F.when(F.col("k") == 0, "unique-identifier"))
+    kinds = (("toc", "Table of Contents", chapters.toc, F.col("path")), ("landmarks", "Landmarks", chapters.landmarks, F.array("place")))
+    trees = []
+    for k, (kind, label, nodes, path) in enumerate(kinds):
+        root = {"root_kind": F.lit(kind), "root_version": F.lit(3), "root_ord": F.lit(k)}
+        trees.append(shaped("toc", nodes.withColumn("_path", path.cast("array<int>")), **root, path=F.col("_path"), depth=F.size("_path"), id=blank))
+        trees.append(shaped("toc", nodes.select("book_id").distinct(), **root, path=F.array().cast("array<int>"), depth=F.lit(0), label=F.lit(label)))
+    toc = reduce(DataFrame.unionByName, trees)
+    resources = chapters.manifest.select("book_id", decode_href(F.col("href")).alias("path"), content.cast("binary").alias("content"))
+    return Corpus(books.select("book_id", F.lit(None).cast("struct<code string, detail string>").alias("error")), package, meta, shaped("manifest", chapters.manifest), shaped("spine", chapters.spine), toc, resources)
