@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import href, mime, text
 from . import names, toc
+from .common import Levels
 
 BOOK = "book_id"
 
@@ -39,13 +40,14 @@ def expanded(chapters: DataFrame, taken: DataFrame | None = None, directory: str
     A chapter's id comes from its title, else from the name of its href, as text.entry_id says; of equal ones the later get numbers. Without
     an href it is the id with .xhtml, with a number before the ending if an item before it, or one the book had, is there. A given
     href is taken as it is. Null paths are errors of the caller; empty tables give empty tables."""
-    rows = numbered(chapters)
+    levels = Levels(chapters)
+    rows = levels.save(numbered(chapters))  # read by all four tables
     base = F.lit(directory)
     made = rows.filter("has_content")
     wanted = made.select(BOOK, "ord", text.entry_id(F.coalesce("title", href.name(href.path(F.col("href"))), F.lit(""))).alias("name"))
     had = taken if taken is not None else chapters.select(BOOK, F.lit(None).cast("string").alias("id"), F.lit(None).cast("string").alias("href")).limit(0)
     ids = names.unique(wanted, had.select(BOOK, F.col("id").alias("name")), [BOOK]).select(BOOK, "ord", F.col("new_name").alias("id"))
-    items = made.join(ids, [BOOK, "ord"])
+    items = levels.save(made.join(ids, [BOOK, "ord"]))
 
     place = lambda raw: href.resolve(base, raw)
     given = items.filter("href is not null").select(BOOK, "ord", "id", href.encode(href.path(F.col("href"))).alias("href_raw"))
@@ -53,8 +55,8 @@ def expanded(chapters: DataFrame, taken: DataFrame | None = None, directory: str
     open_ = items.filter("href is null").select(BOOK, "ord", "id", place(F.concat("id", F.lit(".xhtml"))).alias("name"))
     claims = had.select(BOOK, F.col("href").alias("name"), F.lit(None).cast("long").alias("ord")).unionByName(given.select(BOOK, F.col("href").alias("name"), "ord"))
     free = names.unique(open_.select(BOOK, "ord", "name"), claims, [BOOK], names.HREFS).select(BOOK, "ord", F.col("new_name").alias("href"))
-    free = open_.drop("name").join(free, [BOOK, "ord"]).select(BOOK, "ord", "id", href.relativize(base, F.col("href")).alias("href_raw"), "href")
-    found = given.select(BOOK, "ord", "id", "href_raw", "href").unionByName(free)
+    free = open_.drop("name").join(free, [BOOK, "ord"]).select(BOOK, "ord", "id", F.substr("href", F.lit(len(directory.rstrip("/")) + 2)).alias("href_raw"), "href")
+    found = levels.save(given.select(BOOK, "ord", "id", "href_raw", "href").unionByName(free))
 
     order = Window.partitionBy(BOOK).orderBy("_ord")
     new_ord = (F.row_number().over(order) - 1).cast("long")

@@ -96,16 +96,22 @@ def fallback(items: DataFrame, column: str = "fallback") -> DataFrame:
 
 
 def fallback_chain(items: DataFrame) -> DataFrame:
-    """book_id, id, step (from 1), fallback_id: the chain from each item, which ends where an item would come again."""
+    """book_id, id, step (from 1), fallback_id: the chain from each item, which ends where an item would come again.
+
+    Each round puts the chain of a chain's last item behind it, so that lengths double: as many rounds as the logarithm of the longest chain. What
+    comes again is left out; all that follows it has come, too."""
     levels = Levels(items)
     known = items.select(F.col(BOOK), F.col("id").alias("fallback"))
-    links = Levels(items).save(items.select(BOOK, "id", "fallback").join(known, [BOOK, "fallback"]).select(BOOK, F.col("id").alias("_at"), F.col("fallback").alias("_next")))
-    walk = links.filter("_at <> _next").select(BOOK, F.col("_at").alias("id"), F.lit(1).alias("step"), F.col("_next").alias("fallback_id"), F.array("_at", "_next").alias("_seen"))
-    walk = levels.save(walk)
-    while not walk.isEmpty():
-        met = walk.withColumnRenamed("fallback_id", "_at").join(links, [BOOK, "_at"]).filter(~F.array_contains("_seen", F.col("_next")))
-        walk = levels.save(met.select(BOOK, "id", (F.col("step") + 1).alias("step"), F.col("_next").alias("fallback_id"), F.concat("_seen", F.array("_next")).alias("_seen")))
-    return levels.all(walk).select(BOOK, "id", "step", "fallback_id")
+    links = items.select(BOOK, "id", "fallback").join(known, [BOOK, "fallback"]).filter("id <> fallback")
+    state = levels.save(links.select(BOOK, "id", F.array("fallback").alias("way"), F.lit(False).alias("done")))
+    none = F.array().cast(dict(state.dtypes)["way"])
+    while not state.filter("not done").isEmpty():
+        ends = state.select(BOOK, F.col("id").alias("_last"), F.col("way").alias("_more"), F.col("done").alias("_done"))
+        met = state.filter("not done").withColumn("_last", F.element_at("way", -1)).join(ends, [BOOK, "_last"], "left").withColumn("_more", F.coalesce("_more", none))
+        fresh = F.array_except("_more", F.concat(F.array("id"), "way"))
+        on = met.select(BOOK, "id", F.concat("way", fresh).alias("way"), (F.coalesce("_done", F.lit(True)) | (F.size(fresh) < F.size("_more"))).alias("done"))
+        state = levels.save(state.filter("done").unionByName(on))
+    return state.select(BOOK, "id", F.posexplode("way").alias("_k", "fallback_id")).select(BOOK, "id", (F.col("_k") + 1).alias("step"), "fallback_id")
 
 
 def dangling_cleared(items: DataFrame) -> DataFrame:

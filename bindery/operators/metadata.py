@@ -25,20 +25,28 @@ def by_property(entries: DataFrame, name: str) -> DataFrame:
 
 def by_id(entries: DataFrame, ids: DataFrame) -> DataFrame:
     """For each (book_id, id) the first entry of that id, depth-first: groups, their entries, and below each its refinements in order.
+    Entries on a ring of parents, or below one, are in no tree and never found.
 
-    Only entries with a wanted id are walked up to their roots, a join for each level."""
+    Only entries with a wanted id are walked up to their roots, a join for each level. Where a round ends no walk there may be a ring:
+    then only what ``tree`` reaches goes on."""
     way = F.struct(F.col("group_ord").alias("g"), F.col("ord").alias("o"))
-    found = entries.join(ids.select(BOOK, "id").distinct(), [BOOK, "id"], "left_semi").filter("owner = 'metadata'")
     levels = Levels(entries)
+    asked = ids.select(BOOK, "id").distinct()
+    entries = levels.save(entries.filter("owner = 'metadata'"))
+    above = entries.select(BOOK, F.col("node_id").alias("_up"), F.col("parent_node_id").alias("_next"), way.alias("_step"))
+    found = entries.join(asked, [BOOK, "id"], "left_semi")
     open_ = levels.save(found.select(BOOK, "node_id", F.col("parent_node_id").alias("_up"), F.array(way).alias("_way")))
-    done = None
+    done, checked, before = None, False, None
     while True:
         top = open_.filter("_up is null").select(BOOK, "node_id", "_way")
         done = top if done is None else done.unionByName(top)
         rest = open_.filter("_up is not null")
-        if rest.isEmpty():
+        left = rest.count()
+        if not left:
             break
-        above = entries.select(BOOK, F.col("node_id").alias("_up"), F.col("parent_node_id").alias("_next"), way.alias("_step"))
+        if left == before and not checked:
+            rest, checked = rest.join(tree(entries, "node_id", "parent_node_id").select(BOOK, "node_id"), [BOOK, "node_id"], "left_semi"), True
+        before = left
         open_ = levels.save(rest.join(above, [BOOK, "_up"]).select(BOOK, "node_id", F.col("_next").alias("_up"), F.concat(F.array("_step"), "_way").alias("_way")))
     return first_of(found.join(done, [BOOK, "node_id"]), [BOOK, "id"], [F.col("_way")]).drop("_way")
 

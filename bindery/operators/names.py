@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import Levels
+
 
 @dataclass(frozen=True)
 class Style:
@@ -96,6 +98,7 @@ def unique(wanted: DataFrame, taken: DataFrame, keys: Sequence[str], style: Styl
     fold = F.col("_several") | F.coalesce("_timed", F.lit(False))
     roots = seen.join(timed, [*keys, "_root"], "left").select(*keys, "_root", "_base", F.when(~F.col("_clash"), "free").when(fold, "fold").otherwise("simple").alias("_way"))
     rows = wants.withColumn("_claim", F.lit(False)).unionByName(claims.withColumn("_claim", F.lit(True))).join(roots, [*keys, "_root"])
+    rows = Levels(wanted).save(rows)  # written once, as three ways read it
     free = rows.filter("_way = 'free' and not _claim").select(*keys, "ord", "name", F.col("name").alias("new_name"))
 
     simple = rows.filter("_way = 'simple'")

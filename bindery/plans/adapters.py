@@ -89,7 +89,7 @@ def creators(spark: SparkSession, d: str) -> DataFrame:
     below = o.join(c.select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey")
     refining = below.select(
         F.col("c_nationkey").alias("book_id"), (n + 1000000000).alias("node_id"), F.col("o_custkey").alias("parent_node_id"), F.lit("metadata").alias("owner"), F.concat(F.lit("id-"), (n % 90).cast("string")).alias("id"),
-        F.get(name("role", "file-as", "title-type", "authority", "term"), (n % 5).cast("int")).alias("property"), F.when(n % 5 == 2, F.when(n % 2 == 0, "Main").otherwise("subtitle")).otherwise(F.col("o_orderpriority")).alias("value"),
+        F.get(name("role", "file-as", "title-type", "authority", "term"), (n % 5).cast("int")).alias("property"), F.when(n % 5 == 2, F.when(n % 6 == 0, "main").when(n % 2 == 0, "Short").otherwise("subtitle")).otherwise(F.col("o_orderpriority")).alias("value"),
         F.lit(None).cast("string").alias("language"), F.lit("auto").alias("text_direction"), F.array().cast("array<struct<name string, value string>>").alias("attributes"), F.lit("meta3").alias("kind"), (n + 1000000000).alias("natural_order"),
     )
     return roots.unionByName(refining).withColumn("display_seq", F.lit(None).cast("long"))

@@ -14,7 +14,7 @@ from .relations import _MANIFEST, _ORDER, _ROOTS, _SPINE, _TALKS, _TREE
 #: Customers as entries, with what their attributes say; orders as what refines them.
 _META = """(SELECT c_nationkey AS book_id, c_custkey AS k, 'id-' || c_custkey AS id, c_name AS value, c_custkey % 7 AS p, CASE WHEN c_custkey % 2 = 0 THEN lower(c_mktsegment) END AS language, CASE WHEN c_custkey % 5 = 0 THEN 'rtl' ELSE 'auto' END AS direction,
   CASE c_custkey % 3 WHEN 0 THEN 'publication' WHEN 1 THEN 'modification' END AS event, CASE WHEN c_custkey % 2 = 0 THEN 'FA-' || c_custkey END AS fa, CASE WHEN c_custkey % 5 < 3 THEN 'r' || c_custkey % 4 END AS role FROM customer)"""
-_REFINING = "(SELECT c_nationkey AS book_id, o_custkey AS k, o_orderkey AS n, 'id-' || o_orderkey % 90 AS id, o_orderkey % 5 AS p, CASE WHEN o_orderkey % 5 = 2 THEN CASE WHEN o_orderkey % 2 = 0 THEN 'Main' ELSE 'subtitle' END ELSE o_orderpriority END AS value FROM orders JOIN customer ON c_custkey = o_custkey)"
+_REFINING = "(SELECT c_nationkey AS book_id, o_custkey AS k, o_orderkey AS n, 'id-' || o_orderkey % 90 AS id, o_orderkey % 5 AS p, CASE WHEN o_orderkey % 5 = 2 THEN CASE WHEN o_orderkey % 6 = 0 THEN 'main' WHEN o_orderkey % 2 = 0 THEN 'Short' ELSE 'subtitle' END ELSE o_orderpriority END AS value FROM orders JOIN customer ON c_custkey = o_custkey)"
 
 
 def _entries(s, d):
@@ -39,7 +39,7 @@ def meta_main_title(s, d):
     return metadata.main_title(_entries(s, d)).select("book_id", "node_id")
 
 
-@query(f"SELECT book_id, k AS node_id, CASE WHEN k = min(k) OVER (PARTITION BY book_id) THEN 'main' ELSE coalesce(said, 'unknown') END AS title_kind FROM {_TITLES}")
+@query(f"SELECT book_id, k AS node_id, CASE WHEN k = arg_min(k, struct_pack(a := CASE WHEN main THEN 0 ELSE 1 END, b := k)) OVER (PARTITION BY book_id) THEN 'main' ELSE coalesce(said, 'unknown') END AS title_kind FROM {_TITLES}")
 def meta_title_kind(s, d):
     return metadata.title_kinds(_entries(s, d)).select("book_id", "node_id", "title_kind")
 

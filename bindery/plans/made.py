@@ -1,11 +1,11 @@
-"""Queries of books that are made: chapters over tables, unique names, references from below."""
+"""Queries of books that are made: chapters over tables, unique names, references from below, logs of edits."""
 
 from __future__ import annotations
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import chapters, edit, metadata
+from ..operators import chapters, edit, log, metadata
 from ..sources import epub, sink
 from . import adapters
 from .registry import query
@@ -99,3 +99,31 @@ def epub_built(s, d):
     again = epub.corpus(sink.write(epub.made(chapters.expanded(rows), names.withColumnRenamed("n_name", "title"), F.lit(b"<p/>")), now="2024-01-02T03:04:05Z"))
     title = metadata.main_title(metadata.ordered(again.meta)).select("book_id", F.col("value").alias("title"))
     return title.join(again.toc.filter("size(path) = 1 and root_version = 3 and root_kind = 'toc'").groupBy("book_id").agg(F.count("*").alias("n_chapters")), "book_id")
+
+
+@query(
+    """WITH b AS (SELECT conv_id, list('t' || turn ORDER BY turn) AS ids FROM conversations GROUP BY 1), b1 AS (SELECT *, ids[2:] AS l FROM b), b2 AS (SELECT conv_id, ids, l[1:1] || ['new'] || l[2:] AS l FROM b1),
+    b3 AS (SELECT conv_id, ids, CASE WHEN len(ids) > 1 THEN [ids[-1]] || list_filter(l, lambda x: x <> ids[-1]) ELSE l END || ['end'] AS l FROM b2), rows AS (SELECT conv_id, unnest(l) AS id, generate_subscripts(l, 1) - 1 AS ord FROM b3)
+    SELECT r.conv_id AS book_id, r.id, r.ord, CASE r.id WHEN 'new' THEN 'y' ELSE c.role END AS role FROM rows r LEFT JOIN conversations c ON c.conv_id = r.conv_id AND 't' || c.turn = r.id"""
+)
+def edit_log(s, d):
+    """The first turn goes, a new one comes to the second place, the last one to the first, values are set, one more comes at the end."""
+    talks = adapters.read(s, d, "conversations")
+    entries = talks.select(F.col("conv_id").alias("book_id"), F.concat(F.lit("t"), F.col("turn").cast("string")).alias("id"), F.col("turn").cast("long").alias("ord"), "role")
+    ends = entries.groupBy("book_id").agg(F.min_by("id", "ord").alias("first"), F.max_by("id", "ord").alias("last"))
+    op = lambda seq, name, key, at=None, role=None: F.struct(F.lit(seq).alias("seq"), F.lit(name).alias("op"), key.alias("id"), F.lit(at).cast("long").alias("at"), F.lit(role).cast("string").alias("role"))
+    ops = (op(1, "remove", F.col("first")), op(2, "insert", F.lit("new"), 1, "x"), op(3, "move", F.col("last"), 0), op(4, "set", F.lit("new"), None, "y"), op(5, "insert", F.lit("end")), op(6, "remove", F.lit("never")))
+    return log.edited(entries, ends.select("book_id", F.explode(F.array(*ops)).alias("o")).select("book_id", "o.*"))
+
+
+@query("SELECT page_id AS book_id, '/c' AS path, md5(html) AS digest FROM pages WHERE page_id % 3 > 0 UNION ALL SELECT page_id, '/b', md5('new' || page_id) FROM pages UNION ALL SELECT page_id, '/kept', md5(url) FROM pages")
+def overlay_log(s, d):
+    """A chain of moves, over a file that is there, new content where it went through, and removals."""
+    pages = adapters.read(s, d, "pages")
+    file = lambda path, content: F.struct(F.lit(path).alias("path"), content.cast("binary").alias("content"))
+    base = pages.select(F.col("page_id").alias("book_id"), F.explode(F.array_compact(F.array(file("/a", F.col("html")), F.when(F.col("page_id") % 2 == 0, file("/b", F.lit("old"))), file("/kept", F.col("url"))))).alias("f")).select("book_id", "f.*")
+    op = lambda seq, name, path, to=None, content=None: F.struct(F.lit(seq).alias("seq"), F.lit(name).alias("op"), F.lit(path).alias("path"), F.lit(to).cast("string").alias("to"), (content if content is not None else F.lit(None)).cast("binary").alias("content"))
+    new = F.concat(F.lit("new"), F.col("page_id").cast("string"))
+    ops = F.array_compact(F.array(op(1, "move", "/a", "/b"), op(2, "move", "/b", "/c"), op(3, "put", "/b", None, new), op(4, "move", "/none", "/kept"), F.when(F.col("page_id") % 3 == 0, op(5, "remove", "/c"))))
+    edits = pages.select(F.col("page_id").alias("book_id"), F.explode(ops).alias("o")).select("book_id", "o.*")
+    return log.overlaid(base, edits).select("book_id", "path", F.md5("content").alias("digest"))
