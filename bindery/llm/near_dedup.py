@@ -170,14 +170,21 @@ def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
 
 
 def _prune(p: NearDedup):
+    """Members that pass against their pivot, whose row stands before those of its members (role 0); it may be in an earlier batch."""
     least = p.least_matches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = np.zeros((1, p.length), np.uint16)
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
-                keep = pa.array(_alive(_matrix(part.column("sig_a")) == _matrix(part.column("sig_b")), least))
-                yield pa.RecordBatch.from_arrays([part.column("a").take(keep), part.column("b").take(keep)], names=["a", "b"])
+                sig = np.concatenate((last, _matrix(part.column("sig"))))
+                role = np.concatenate(([0], part.column("role").to_numpy()))
+                pivot = np.maximum.accumulate(np.where(role == 0, np.arange(len(role)), 0))
+                last = sig[pivot[-1:]]
+                member = np.flatnonzero(role)
+                keep = pa.array(member[_alive(sig[member] == sig[pivot[member]], least)] - 1)
+                yield pa.RecordBatch.from_arrays([part.column(c).take(keep) for c in ("doc_id", "b", "chunk")], names=["a", "b", "chunk"])
 
     return run
 
@@ -248,22 +255,34 @@ def _verify_blocks(p: NearDedup):
 
 
 def _verify(p: NearDedup):
+    """Exact links of members with their pivot, whose row stands before theirs; one set is held besides the pivot's."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:  # Spark bounds a batch's bytes, and so the sets held here
-            held: dict[int, np.ndarray] = {}
+        pivot: np.ndarray | None = None
+        for batch in batches:
             good = []
-            for i, pair in enumerate(zip(*(batch.column(c).to_pylist() for c in ("a", "b")), strict=True)):
-                for doc, column in zip(pair, ("text_a", "text_b"), strict=True):
-                    if doc not in held:
-                        held[doc] = shingle_sets([batch.column(column)[i].as_buffer().to_pybytes()], p.shingle)[0]
-                if _linked(held[pair[0]], held[pair[1]], p):
+            for i, (role, text) in enumerate(zip(batch.column("role").to_pylist(), batch.column("text"), strict=True)):
+                own = shingle_sets([text.as_buffer().to_pybytes()], p.shingle)[0]
+                if role == 0:
+                    pivot = own
+                elif _linked(own, pivot, p):
                     good.append(i)
             keep = pa.array(good, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("a").take(keep), batch.column("b").take(keep)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(keep), batch.column("b").take(keep)], names=["a", "b"])
 
     return run
 
 
+def _stars(members: DataFrame) -> DataFrame:
+    """(b, chunk, doc_id, role): members ``a`` of each chunk of a pivot b, and the pivot once for each chunk."""
+    pivots = members.select("b", "chunk").distinct().select("b", "chunk", F.col("b").alias("doc_id"), F.lit(0).alias("role"))
+    return members.select("b", "chunk", F.col("a").alias("doc_id"), F.lit(1).alias("role")).unionByName(pivots)
+
+
+def _together(stars: DataFrame) -> DataFrame:
+    return stars.repartition("b", "chunk").sortWithinPartitions("b", "chunk", "role")
+
+
 def components(scratch: Scratch, edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, comp): comp is the smallest id reachable. Rounds of large-star and small-star; each is a pre-aggregated minimum
     and a join that deals a node's links over several tasks."""
@@ -305,17 +324,17 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
     pivots = rows.join(central, "doc_id").groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("doc_id")).alias("id"))).alias("top"))
     pivots = scratch.save(pivots.select("bucket", (-F.col("top.id")).alias("pivot")))
     pairs = salted_join(rows, pivots, ["bucket"], "doc_id", "inner").filter("doc_id <> pivot").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct()
-
+    # a pivot's members meet it in chunks of bounded size, each with the pivot once: no pivot is a hot key, and no text is copied for each pair
+    pairs = scratch.save(pairs)
+    stars = pairs.groupBy("b").agg(F.count("*").alias("n"))
+    chunk = F.pmod(F.xxhash64("a"), F.ceil(F.col("n") / p.block)).cast("int").alias("chunk")
+    members = weighted_join(pairs, stars, ["b"], "a", "n").select("a", "b", chunk)
     sig = reps.select("doc_id", "sig")
-    pairs = pairs.join(sig.select(F.col("doc_id").alias("b"), F.col("sig").alias("sig_b")), "b").join(sig.select(F.col("doc_id").alias("a"), F.col("sig").alias("sig_a")), "a")
-    pairs = scratch.save(pairs.mapInArrow(_prune(p), "a long, b long"))  # written, so that no task has two Python workers
+    members = scratch.save(_together(_stars(scratch.save(members)).join(sig, "doc_id")).mapInArrow(_prune(p), "a long, b long, chunk int"))
     wanted = scratch.save(rows.select("doc_id").distinct())
     texts = docs.filter("text is not null").join(wanted, "doc_id", "left_semi").join(reps.select("doc_id", "text_key"), "doc_id")
     texts = scratch.save(texts.filter(F.col("text_key") == F.xxhash64("text")).drop("text_key").dropDuplicates(["doc_id"]))
-
-    met = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    met = met.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    links = scratch.save(met.mapInArrow(_verify(p), "a long, b long"))
+    links = scratch.save(_together(_stars(members).join(texts, "doc_id")).mapInArrow(_verify(p), "a long, b long"))
     comps = scratch.save(components(scratch, links))
 
     # members that the centre did not reach meet the other members
@@ -331,7 +350,9 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
     target = named.select(*fixed, spread(blocks).alias("block"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"), F.lit(1).alias("role"))
     query = named.filter("odd").select(*fixed, F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), spread(chunks).alias("chunk"), F.lit(0).alias("role"))
     met = target.unionByName(query).repartition("bucket", "block", "chunk").sortWithinPartitions("bucket", "block", "chunk")
-    involved = met.mapInArrow(_across(p), _INVOLVED).join(texts, "doc_id").repartition("key").sortWithinPartitions("key")
+    involved = scratch.save(met.mapInArrow(_across(p), _INVOLVED))
+    times = texts.join(involved.groupBy("doc_id").agg(F.count("*").alias("n")), "doc_id")  # a query comes once for each block it meets
+    involved = weighted_join(involved, times, ["doc_id"], "key", "n").drop("n").repartition("key").sortWithinPartitions("key")
     more = scratch.save(involved.mapInArrow(_verify_blocks(p), "a long, b long"))
     if not more.isEmpty():
         joined = comps.select(F.col("id").alias("a"), F.col("comp").alias("b")).unionByName(more)
