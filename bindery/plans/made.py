@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import chapters, edit, log, metadata
+from ..operators import chapters, edit, fingerprint, log, metadata
 from ..sources import epub, sink
 from . import adapters
 from .registry import query
-from .relations import _TREE
+from .relations import _MANIFEST, _TREE
 
 #: Customers are books; their orders are chapters, without content but for every third, and lines are the chapters below, the third one untitled.
 _CHAPTERS = """(SELECT o_custkey AS book_id, [CAST(k AS BIGINT)] AS path, CASE WHEN o_orderkey % 5 > 0 THEN o_orderpriority END AS title, CAST(NULL AS VARCHAR) AS href, CASE WHEN o_orderstatus = 'F' THEN 'part' END AS kind, o_orderkey % 3 = 0 AS has_content, true AS linear
@@ -127,3 +127,28 @@ def overlay_log(s, d):
     ops = F.array_compact(F.array(op(1, "move", "/a", "/b"), op(2, "move", "/b", "/c"), op(3, "put", "/b", None, new), op(4, "move", "/none", "/kept"), F.when(F.col("page_id") % 3 == 0, op(5, "remove", "/c"))))
     edits = pages.select(F.col("page_id").alias("book_id"), F.explode(ops).alias("o")).select("book_id", "o.*")
     return log.overlaid(base, edits).select("book_id", "path", F.md5("content").alias("digest"))
+
+
+def _two_versions(s, d):
+    """Of every four books one is the same but for the order of its attributes, one has another media type, one is gone, one is as it was; new ones have come."""
+    m = adapters.manifest(s, d)
+    pairs = F.array(*[F.struct(F.lit(n).alias("name"), F.col(c).alias("value")) for n, c in (("x", "media_type"), ("y", "id"))])
+    a = m.withColumn("attributes", pairs)
+    kind, turned = F.col("book_id") % 4, F.reverse(pairs)
+    b = m.filter(kind != 3).withColumn("attributes", F.when(kind == 0, turned).otherwise(pairs)).withColumn("media_type", F.when((kind == 1) & (F.col("ord") == 3), "text/new").otherwise(F.col("media_type")))
+    more = a.filter(kind == 2).withColumn("book_id", -F.col("book_id"))
+    return a, b.unionByName(more)
+
+
+@query(f"""SELECT book_id, CASE WHEN book_id % 4 = 3 THEN 'removed' WHEN book_id % 4 = 1 AND bool_or(ord = 3) THEN 'changed' ELSE 'equal' END AS status, CASE WHEN book_id % 4 = 3 THEN 'manifest,spine' WHEN book_id % 4 = 1 AND bool_or(ord = 3) THEN 'manifest' ELSE '' END AS tables FROM {_MANIFEST} GROUP BY 1
+    UNION ALL SELECT DISTINCT -book_id, 'added', 'manifest,spine' FROM {_MANIFEST} WHERE book_id % 4 = 2""")
+def books_compared(s, d):
+    a, b = _two_versions(s, d)
+    tables = lambda m: {"manifest": m, "spine": m.select("book_id", "ord", F.col("id").alias("idref"))}
+    return fingerprint.compared(tables(a), tables(b)).select("book_id", "status", F.array_join("tables", ",").alias("tables"))
+
+
+@query(f"SELECT book_id, ord, 'changed' AS status FROM {_MANIFEST} WHERE book_id % 4 = 1 AND ord = 3 UNION ALL SELECT book_id, ord, 'removed' FROM {_MANIFEST} WHERE book_id % 4 = 3 UNION ALL SELECT -book_id, ord, 'added' FROM {_MANIFEST} WHERE book_id % 4 = 2")
+def books_changed_rows(s, d):
+    a, b = _two_versions(s, d)
+    return fingerprint.changed_rows(a, b, ("ord",))
