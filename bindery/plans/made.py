@@ -40,27 +40,25 @@ def _chapters(s, d):
     return chapters.expanded(tops.unionByName(below), taken)
 
 
-@query(f"SELECT book_id, row_number() OVER (PARTITION BY book_id ORDER BY ord) - 1 AS ord, id, '/OEBPS/' || {_HREF} AS href, {_HREF} AS href_raw FROM {_ITEMS}")
-def chapters_manifest(s, d):
-    return _chapters(s, d).manifest.select("book_id", "ord", "id", "href", "href_raw")
-
-
-@query(f"SELECT book_id, row_number() OVER (PARTITION BY book_id ORDER BY ord) - 1 AS ord, id AS idref, CAST(linear AS INTEGER) AS linear FROM {_ITEMS}")
-def chapters_spine(s, d):
-    return _chapters(s, d).spine.select("book_id", "ord", "idref", F.col("linear").cast("int").alias("linear"))
+_LISTED = f"""SELECT c.book_id, array_to_string(c.path, '/') AS place, c.title AS label, CASE WHEN i.id IS NOT NULL THEN '/OEBPS/' || {_HREF.replace("href", "i.href").replace("book_id", "c.book_id")} END AS target
+    FROM {_CHAPTERS} c LEFT JOIN {_ITEMS} i ON i.book_id = c.book_id AND i.path = c.path LEFT JOIN {_CHAPTERS} p ON p.book_id = c.book_id AND p.path = c.path[1:1] WHERE c.title IS NOT NULL AND p.title IS NOT NULL"""
+_PLACE = "CAST(row_number() OVER (PARTITION BY book_id ORDER BY {}) - 1 AS VARCHAR) AS place"
 
 
 @query(
-    f"""SELECT c.book_id, array_to_string(c.path, '/') AS place, c.title AS label, '/OEBPS/' || {_HREF.replace("href", "i.href").replace("book_id", "c.book_id")} AS href FROM {_CHAPTERS} c LEFT JOIN {_ITEMS} i ON i.book_id = c.book_id AND i.path = c.path
-    LEFT JOIN {_CHAPTERS} p ON p.book_id = c.book_id AND p.path = c.path[1:1] WHERE c.title IS NOT NULL AND p.title IS NOT NULL""".replace("'/OEBPS/' ||", "CASE WHEN i.id IS NOT NULL THEN '/OEBPS/' ||").replace(" AS href FROM", " END AS href FROM", 1)
+    f"""SELECT 'manifest' AS part, book_id, {_PLACE.format("ord")}, id AS label, '/OEBPS/' || {_HREF} AS target FROM {_ITEMS}
+    UNION ALL SELECT 'raw', book_id, {_PLACE.format("ord")}, id, {_HREF} FROM {_ITEMS}
+    UNION ALL SELECT 'spine', book_id, {_PLACE.format("ord")}, id, CAST(linear AS VARCHAR) FROM {_ITEMS}
+    UNION ALL SELECT 'toc', * FROM ({_LISTED})
+    UNION ALL SELECT 'landmarks', book_id, {_PLACE.format("path")}, title, kind FROM {_CHAPTERS} WHERE title IS NOT NULL AND kind IS NOT NULL"""
 )
-def chapters_toc(s, d):
-    return _chapters(s, d).toc.select("book_id", F.array_join(F.transform("path", lambda x: x.cast("string")), "/").alias("place"), "label", "href")
-
-
-@query(f"SELECT book_id, row_number() OVER (PARTITION BY book_id ORDER BY path) - 1 AS place, title AS label, kind FROM {_CHAPTERS} WHERE title IS NOT NULL AND kind IS NOT NULL")
-def chapters_landmarks(s, d):
-    return _chapters(s, d).landmarks.select("book_id", "place", "label", "kind")
+def chapters_expanded(s, d):
+    """All four tables of the books that orders and lines make."""
+    out = _chapters(s, d)
+    part = lambda name, df, place, label, target: df.select(F.lit(name).alias("part"), "book_id", place.cast("string").alias("place"), F.col(label).alias("label"), F.col(target).cast("string").alias("target"))
+    toc = part("toc", out.toc, F.array_join(F.transform("path", lambda x: x.cast("string")), "/"), "label", "href")
+    rows = part("manifest", out.manifest, F.col("ord"), "id", "href").unionByName(part("raw", out.manifest, F.col("ord"), "id", "href_raw"))
+    return rows.unionByName(part("spine", out.spine, F.col("ord"), "idref", "linear")).unionByName(toc).unionByName(part("landmarks", out.landmarks, F.col("place"), "label", "kind"))
 
 
 @query("""SELECT book_id, name, ord, CASE WHEN number = 0 THEN name ELSE stem || number || '.xhtml' END AS new_name FROM (SELECT *, CASE WHEN stem = 'user' THEN CASE WHEN k = 0 THEN 1 ELSE k + 2 END ELSE k END AS number FROM (
