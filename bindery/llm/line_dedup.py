@@ -8,7 +8,10 @@ not matter. One constant at least must lie beyond the leading tokens; any other
 ``documents`` documents or more is dropped from all but its first place (the smallest id, then the smallest position), so that
 nothing vanishes from the corpus altogether.
 
-Near copies of one document would make all its lines recur. So a template recurs if ``documents`` of its documents, each pair of
+With ``copies`` every document counts, copies too: a template recurs if ``documents`` different rows (by id and text) have it, an exact
+count without sketches.
+
+Without ``copies``, as near copies of one document would make all its lines recur, a template recurs if ``documents`` of its documents, each pair of
 them, are no near copies of one another, however many copies each of them has. Documents whose sizes lie two powers of two apart or
 more are none, which settles most templates. For the others, documents are compared by sketches, the least hashes of their pairs of
 neighbouring words: they are near copies if, by the sketches, less than ``distinct`` of their pairs differ. One document of the template
@@ -52,7 +55,8 @@ ANCHOR = r"[.,;:!?][\x20\n][^\x20\n]++[\x20\n][^\x20\n]++"
 class Templates:
     """depth: leading tokens of the tree; least: tokens of a line that may be dropped;
     general: tokens of a line with variable fields; documents: different documents in which a
-    template recurs; distinct: share of word pairs in which near copies differ at most; constant: share of constant positions in a template."""
+    template recurs; distinct: share of word pairs in which near copies differ at most; constant: share of constant positions in a template;
+    copies: near copies are documents of their own."""
 
     depth: int = 3
     least: int = 1
@@ -60,6 +64,7 @@ class Templates:
     documents: int = 3
     distinct: float = 0.4
     constant: float = 0.7
+    copies: bool = False
 
 
 def n_tokens(line: str) -> Column:
@@ -95,8 +100,11 @@ def _sketched(df: DataFrame, text: str, name: str) -> DataFrame:
 def parsed(df: DataFrame, p: Templates) -> DataFrame:
     """_id, _key, _at, _most, _size (of the document but for a line that is most of it, as a power of two), _leaf, _masked (a hash)
     and, of lines that may have variable fields, _line (masked) for every line that may be dropped (_open). A leaf is only what leads
-    here; tokens are counted where it matters. Each document's first line also has its _sketch and, if a line is most of it, the _rest's."""
+    here; tokens are counted where it matters. Each document's first line also has its _sketch and, if a line is most of it, the _rest's;
+    where copies are documents there are no sketches and no sizes."""
     docs = df.filter("_text is not null")
+    if p.copies:
+        return _leaves(docs.select("_id", "_key", "_digits", F.posexplode(F.split("_text", "\n")).alias("_at", "_raw")).withColumn("_raw", F.trim("_raw")).filter(_may_go(p)), p)
     docs = docs.withColumn("_line", F.get(F.filter(F.transform(F.split("_text", "\n"), lambda x: F.trim(x)), _most), F.lit(0)))
     docs = docs.withColumn("_other", F.when(F.col("_line").isNotNull(), F.trim(F.replace("_text", F.col("_line"), F.lit(""))))).drop("_line")
     docs = _sketched(_sketched(docs, "_other", "_rest").drop("_other"), "_text", "_sketch")
@@ -104,19 +112,36 @@ def parsed(df: DataFrame, p: Templates) -> DataFrame:
     rows = rows.withColumn("_raw", F.trim("_raw")).withColumn("_most", _most(F.col("_raw")))
     rest = F.octet_length("_text") - F.when(F.col("_most"), F.octet_length("_raw")).otherwise(0)
     rows = rows.withColumn("_size", F.floor(F.log2(F.greatest(rest, F.lit(1)).cast("double"))).cast("int")).drop("_text")
-    rows = rows.withColumn("_open", (F.col("_raw") != "") & (n_tokens("_raw") >= p.least if p.least > 1 else F.lit(True))).filter("_open or _at = 0")
+    own = [F.when(F.col("_at") == 0, F.col(c)).alias(c) for c in ("_sketch", "_rest")]
+    return _leaves(rows.withColumn("_open", _may_go(p)).filter("_open or _at = 0"), p, "_most", "_size", "_open", *own)
+
+
+def _may_go(p: Templates) -> Column:
+    return (F.col("_raw") != "") & (n_tokens("_raw") >= p.least if p.least > 1 else F.lit(True))
+
+
+def _leaves(rows: DataFrame, p: Templates, *more: str | Column) -> DataFrame:
     rows = rows.withColumn("_many", F.substring_index("_raw", " ", p.general - 1) != F.col("_raw"))
     varies = F.col("_digits") & F.col("_many") & F.col("_raw").rlike("[0-9]")
     rows = once(rows, "_line", F.when(varies, F.regexp_replace("_raw", r"[^\x200-9]*+[0-9][^\x20]*+", WILDCARD)).otherwise(F.col("_raw")))
     leaf, line = F.xxhash64(F.substring_index("_line", " ", p.depth)), F.when(F.col("_many"), F.col("_line"))
-    own = [F.when(F.col("_at") == 0, F.col(c)).alias(c) for c in ("_sketch", "_rest")]
-    return rows.select("_id", "_key", "_at", "_most", "_size", "_open", leaf.alias("_leaf"), F.xxhash64("_line").alias("_masked"), line.alias("_line"), *own)
+    return rows.select("_id", "_key", "_at", *more, leaf.alias("_leaf"), F.xxhash64("_line").alias("_masked"), line.alias("_line"))
+
+
+def _place() -> Column:
+    return F.struct(F.col("_id").isNull().alias("_null"), "_id", "_at", "_key")
+
+
+def _counted(rows: DataFrame, p: Templates) -> DataFrame:
+    """_template, its _first place and _n documents, of templates that recur where copies are documents. A document's lines of one template
+    are summed first; then the documents of a template, partial sums in each task."""
+    met = rows.groupBy("_template", "_key").agg(F.min(_place()).alias("_first"))
+    return met.groupBy("_template").agg(F.count("*").alias("_n"), F.min("_first").alias("_first")).filter(F.col("_n") >= p.documents)
 
 
 def _recurring(rows: DataFrame, docs: DataFrame, p: Templates, scratch: Scratch) -> DataFrame:
     """_template, its _first place and _n documents, of templates that recur; rows has _template, _id, _key, _at, _most, _size, and docs the sketches."""
-    place = F.min(F.struct(F.col("_id").isNull().alias("_null"), "_id", "_at", "_key")).alias("_first")
-    met = rows.groupBy("_template", "_key").agg(place, F.max("_most").alias("_most"), F.min("_size").alias("_size"))
+    met = rows.groupBy("_template", "_key").agg(F.min(_place()).alias("_first"), F.max("_most").alias("_most"), F.min("_size").alias("_size"))
     met = scratch.save(met)
     # sizes as bits; from the least one on, each that is two or more above the last one taken
     sums = met.groupBy("_template").agg(F.count("*").alias("_n"), F.min("_first").alias("_first"), F.bit_or(F.expr("shiftleft(1L, _size)")).alias("_sizes"))
@@ -164,18 +189,18 @@ def templates(kinds: DataFrame, rows: DataFrame, p: Templates, scratch: Scratch)
 def dropped_lines(df: DataFrame, p: Templates, scratch: Scratch) -> DataFrame:
     """_key and _at of the lines that go; df has _id, _key and _text."""
     every = scratch.save(parsed(spaced(df), p))
-    rows = every.filter("_open").drop("_open", "_sketch", "_rest")
+    rows = every if p.copies else every.filter("_open").drop("_open", "_sketch", "_rest")
     kinds = rows.groupBy("_leaf", "_masked").agg(F.count("*").alias("_n"), F.count("_line").alias("_lines"))
     kinds = scratch.save(kinds.withColumn("_general_too", F.col("_lines") > 0).drop("_lines"))
     general = templates(kinds, rows, p, scratch)
     named = kinds.join(general, ["_leaf", "_masked"], "left").withColumn("_template", F.coalesce("_general", "_masked")).select("_leaf", "_masked", "_n", "_template")
     often = named.groupBy("_template").agg(F.sum("_n").alias("_all")).filter(F.col("_all") >= p.documents).select("_template")
     named = scratch.save(named.join(often, "_template"))
-    docs = scratch.save(every.filter("_at = 0").select("_key", "_sketch", "_rest"))
-    rows = weighted_join(rows.select("_id", "_key", "_at", "_most", "_size", "_leaf", "_masked"), named, ["_leaf", "_masked"], "_key", "_n", rows.count())
+    docs = None if p.copies else scratch.save(every.filter("_at = 0").select("_key", "_sketch", "_rest"))
+    rows = weighted_join(rows.drop("_line"), named, ["_leaf", "_masked"], "_key", "_n", rows.count())
     rows = scratch.save(rows.drop("_leaf", "_masked", "_n"))
     scratch.drop(every, kinds, general, named)
-    found = scratch.save(_recurring(rows, docs, p, scratch))
+    found = scratch.save(_counted(rows, p) if docs is None else _recurring(rows, docs, p, scratch))
     met = weighted_join(rows, found, ["_template"], "_key", "_n", rows.count())
     return met.filter((F.col("_key") != F.col("_first._key")) | (F.col("_at") != F.col("_first._at"))).select("_key", "_at")
 

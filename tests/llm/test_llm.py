@@ -322,6 +322,51 @@ def test_line_dedup(spark):
         assert [x for x in out[i].text.split("\n") if x in own] == own
 
 
+def brute_templates(rows, p):
+    """What stays of each row's text (of each id and text), by the tree's rules with variable fields, where copies are documents."""
+    lines, leaves = [], collections.defaultdict(set)
+    for i, t in set(rows):
+        for at, line in enumerate(re.sub(line_dedup.BLANKS, " ", t or "").split("\n")):
+            words = line.strip(" ").split(" ")
+            many = len(words) >= p.general
+            masked = tuple("<*>" if many and re.search("[0-9]", w) else w for w in words)
+            if masked != ("",):
+                lines.append((i, t, at, masked))
+                if many:
+                    leaves[len(masked), masked[: p.depth]].add(masked)
+    template = {}
+    for leaf, kinds in leaves.items():
+        often = collections.Counter((k, w) for m in kinds for k, w in enumerate(m))
+        for m in kinds:
+            counts = sorted((often[k, w] for k, w in enumerate(m) if often[k, w] > 1), reverse=True)
+            needed = max(-int(-p.constant * len(m) // 1), p.depth + 1)
+            if len(counts) >= needed:
+                fixed = tuple((k, w) for k, w in enumerate(m) if often[k, w] >= counts[needed - 1])
+                if any(k >= p.depth and w != "<*>" for k, w in fixed):
+                    template[m] = (leaf, fixed)
+    places = collections.defaultdict(list)
+    for i, t, at, m in lines:
+        places[template.get(m, m)].append((i is None, i, at, t))
+    gone = set()
+    for met in places.values():
+        if len({(i, t) for _, i, _, t in met}) >= p.documents:
+            gone |= set(met) - {min(met, key=lambda x: (x[0], x[1] or 0, x[2]))}
+    return {(i, t): t if t is None else "\n".join(x for at, x in enumerate(t.split("\n")) if (i is None, i, at, t) not in gone) for i, t in rows}
+
+
+def test_line_dedup_where_copies_are_documents(spark, docs, odd):
+    """Every recurring template of the query's rule, digits and free fields among them, against brute force; and the odd rows."""
+    p = line_dedup.Templates(copies=True)
+    names = [f"Job {k} started by user {'abcdefgh'[k % 8] * 3} on the main queue today" for k in range(9)]
+    made = spark.createDataFrame([(k, f"own {'xyz'[k % 3] * (k + 1)}\n{n}\ncopy of a line\tthat 12 had") for k, n in enumerate(names)], "doc_id long, text string")
+    for df in (docs, odd, made):
+        rows = [(r.doc_id, r.text) for r in df.collect()]
+        want = brute_templates(rows, p)
+        out = line_dedup.line_dedup(df.selectExpr("*", "text AS _before"), params=p).collect()
+        assert len(out) == len(rows) and {(r.doc_id, r._before): r.text for r in out} == want
+    assert sum("Job" in t for t in want.values()) == sum("copy of" in t for t in want.values()) == 1
+
+
 def test_line_dedup_exact_lines(docs):
     p = line_dedup.Templates(distinct=0.0)
     rows = [(r.doc_id, r.text) for r in docs.collect()]
