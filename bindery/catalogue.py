@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import books, lookups, made, relations, scalars  # noqa: F401  they register what they define
+from .plans import books, lookups, made, relations, scalars, validated  # noqa: F401  they register what they define
 from .plans.registry import QUERIES, SQL, Query
 
 FLAGSHIP = "reader_append_non_linear"
