@@ -37,7 +37,7 @@ SECTIONS = {"metadata", "manifest", "spine", "toc"}
 DAMAGED = (zipfile.BadZipFile, RuntimeError, NotImplementedError, EOFError, ValueError, zlib.error)
 #: Content of one batch of entries, about.
 BATCH_BYTES = 1 << 24
-_PARSED = "book_id string, error struct<code string, detail string>, " + ", ".join(f"{k} array<struct<{v.replace(' string', ': string').replace(' int', ': int').replace(' long', ': long').replace(' boolean', ': boolean').replace(' array', ': array')}>>" for k, v in SCHEMAS.items())
+PARSED = "book_id string, error struct<code string, detail string>, " + ", ".join(f"{k} array<struct<{v.replace(' string', ': string').replace(' int', ': int').replace(' long', ': long').replace(' boolean', ': boolean').replace(' array', ': array')}>>" for k, v in SCHEMAS.items())
 
 
 @dataclass(frozen=True)
@@ -137,7 +137,7 @@ def parse_files(files: DataFrame, strict: bool = False, preferred_toc: int = 3,
         held = {p: bytes(c) for p, c in zip(rows["path"], rows["content"], strict=True) if p is not None}
         return pd.DataFrame([_row(rows["book_id"].iloc[0], *_parsed(held.get, strict, preferred_toc, retain_variants, sections))])
 
-    return every.join(markup, "book_id", "left").groupBy("book_id").applyInPandas(run, _PARSED)
+    return every.join(markup, "book_id", "left").groupBy("book_id").applyInPandas(run, PARSED)
 
 
 def parse(archives: DataFrame, strict: bool = False, preferred_toc: int = 3, retain_variants: bool = False, skip: Iterable[str] = ()) -> DataFrame:
@@ -156,7 +156,7 @@ def parse(archives: DataFrame, strict: bool = False, preferred_toc: int = 3, ret
                     rows.append(_row(book_id, Book(), BookError("unreadable", str(e))))
             yield pd.DataFrame(rows)
 
-    return archives.mapInPandas(run, _PARSED)
+    return archives.mapInPandas(run, PARSED)
 
 
 def table(parsed: DataFrame, name: str) -> DataFrame:
