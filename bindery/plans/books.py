@@ -8,7 +8,8 @@ import zipfile
 import pandas as pd
 from pyspark.sql import functions as F
 
-from ..sources import epub
+from ..operators.common import Levels
+from ..sources import datasource, epub
 from ..sources.sink import container_document, package_document
 from . import adapters
 from .registry import query
@@ -54,3 +55,28 @@ def epub_titles(s, d):
 @query("SELECT CAST(conv_id AS VARCHAR) AS book_id, '/OPS/t' || turn || '.xhtml' AS path, md5(text) AS digest FROM conversations")
 def epub_resources(s, d):
     return epub.unzip(archives(s, d)).filter("path like '%.xhtml'").select("book_id", "path", F.md5("content").alias("digest"))
+
+
+def stored(s, d):
+    """A folder of the archives, written through the data source."""
+    datasource.register(s)
+    made = archives(s, d)
+    folder = Levels(made).root
+    made.write.format("epub").mode("append").save(folder)
+    return folder
+
+
+def _named():
+    return F.regexp_extract("book_id", r"([^/]*)\.epub$", 1).alias("book_id")
+
+
+@query("SELECT CAST(conv_id AS VARCHAR) AS book_id, '/OPS/t' || turn || '.xhtml' AS path, md5(text) AS digest FROM conversations")
+def source_entries(s, d):
+    read = s.read.format("epub").load(stored(s, d)).filter("path like '/OPS/t%' and path like '%.xhtml'")  # both are pushed: other entries are not inflated
+    return read.select(_named(), "path", F.md5("content").alias("digest"))
+
+
+@query("SELECT CAST(conv_id AS VARCHAR) AS book_id, 't' || turn AS idref, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS ord FROM conversations WHERE CAST(conv_id AS VARCHAR) LIKE '%7'")
+def source_spine(s, d):
+    read = s.read.format("epub").option("table", "spine").load(stored(s, d)).filter("book_id like '%7.epub'")  # pushed: other files are not opened
+    return read.select(_named(), "idref", F.col("ord").cast("long").alias("ord"))
