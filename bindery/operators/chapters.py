@@ -76,10 +76,5 @@ def expanded(chapters: DataFrame, taken: DataFrame | None = None, directory: str
 
 
 def with_first_reference(nodes: DataFrame, keys: tuple[str, ...] = (BOOK, "root_ord")) -> DataFrame:
-    """``target``: a node's own href, else that of the first node below it that has one; null without any. One window over the
-    preorder: the next reference after a node is its own if it stands before the node's end."""
-    index = toc.indexed(nodes, keys)
-    after = Window.partitionBy(*keys).orderBy("enter").rowsBetween(0, Window.unboundedFollowing)
-    next_ = F.first(F.when(F.col("href").isNotNull(), F.struct("enter", "href")), ignorenulls=True).over(after)
-    out = index.withColumn("_next", next_)
-    return out.withColumn("target", F.when(F.col("_next.enter") <= F.col("leave"), F.col("_next.href"))).drop("_next")
+    """``target``: a node's own href, else that of the first node below it that has one; null without any."""
+    return toc.first_below(nodes, F.col("href"), keys).withColumnRenamed("_first", "target")

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-import numpy as np
+from collections.abc import Iterator, Sequence
+from functools import reduce
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import href
 from . import manifest
-from .common import first_of, upserted
+from .common import Levels, first_of, upserted
 
 BOOK = "book_id"
+#: Ranges of the preorder that nodes are dealt into, at least.
+CHUNKS = 64
 #: Roots for which a preferred version counts.
 PREFERRED_KINDS = ("toc", "landmarks", "page-list")
 
@@ -26,53 +30,103 @@ def children(nodes: DataFrame, parent: Column) -> DataFrame:
     return nodes.filter((F.size("path") == F.size(parent) + 1) & (F.slice("path", 1, F.size(parent)) == parent))
 
 
+def _end(nodes: DataFrame) -> Column:
+    """What stands behind all that is below a node, and before what comes after."""
+    kind = dict(nodes.dtypes)["path"][6:-1]
+    return F.concat("path", F.array(F.lit(2**31 - 1 if kind == "int" else 2**63 - 1).cast(kind)))
+
+
+def _ranged(nodes: DataFrame, keys: Sequence[str], at: str = "path") -> DataFrame:
+    """In ranges of the preorder, so that a tree of any size is dealt over many tasks."""
+    n = max(CHUNKS, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return nodes.repartitionByRange(n, *keys, at)
+
+
+def _chunked(nodes: DataFrame, keys: Sequence[str], at: str = "path") -> DataFrame:
+    """With ``_chunk``, the number of a node's range; written once, so that every reader has the same ranges."""
+    return Levels(nodes).save(_ranged(nodes, keys, at).withColumn("_chunk", F.spark_partition_id()))
+
+
+def _met(rows: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Each row with what its chunk has from the others."""
+    renamed = carry.select(*[F.col(k).alias(f"_at_{k}") for k in (*keys, "_chunk")], "_carry")
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_at_{k}")) for k in (*keys, "_chunk")])
+    return rows.join(renamed, same, "left").drop(*[f"_at_{k}" for k in (*keys, "_chunk")])
+
+
+def _so_far(keys: Sequence[str], backwards: bool = False) -> Window:
+    """The nodes of a chunk up to each, or down to each from its end."""
+    return Window.partitionBy(*keys, "_chunk").orderBy(F.col("path").desc() if backwards else F.col("path")).rowsBetween(Window.unboundedPreceding, 0)
+
+
 def indexed(nodes: DataFrame, keys: tuple[str, ...] = (BOOK, "root_ord")) -> DataFrame:
     """Nested sets: ``enter`` (place in preorder from 0, the root's if it is there), ``leave`` (the largest enter below a node, its own if
-    there is none) and ``depth``. What stands below a node has enters up to its leave, so that subtrees are ranges. A tree is one window over
-    two events for each node: it ends after all that begins with its path."""
-    kind = dict(nodes.dtypes)["path"][6:-1]
-    end = F.array(F.lit(2**31 - 1 if kind == "int" else 2**63 - 1).cast(kind))
-    events = nodes.withColumn("_event", F.explode(F.array(F.struct(F.col("path").alias("at"), F.lit(True).alias("opens")), F.struct(F.concat("path", end).alias("at"), F.lit(False).alias("opens")))))
-    opened = F.count_if("_event.opens").over(Window.partitionBy(*keys).orderBy("_event.at").rowsBetween(Window.unboundedPreceding, 0)) - 1
-    both = events.withColumn("_opened", opened).withColumn("_leave", F.lead("_opened").over(Window.partitionBy(*keys, "path").orderBy("_event.at")))
-    return both.filter("_event.opens").withColumnRenamed("_opened", "enter").withColumnRenamed("_leave", "leave").withColumn("depth", F.size("path")).drop("_event")
-
-
-def _below_bad(bad: Column, keys: tuple[str, ...]) -> Column:
-    """Whether a node is one for which ``bad`` holds, or below one: of those that began before it one has not ended."""
-    so_far = Window.partitionBy(*keys).orderBy("enter").rowsBetween(Window.unboundedPreceding, 0)
-    return F.coalesce(F.max(F.when(bad & (F.size("path") > 0), F.col("leave"))).over(so_far) >= F.col("enter"), F.lit(False))
-
-
-def _deepest(keys: list[str]):
-    """The greatest depth below each node of a tree, by one walk from its last node to its first."""
-
-    def run(table: pa.Table) -> pa.Table:
-        order = np.argsort(table.column("enter").to_numpy())
-        depth, enter = table.column("depth").to_numpy()[order].tolist(), table.column("enter").to_numpy()[order]
-        deepest, above, open_ = list(depth), [-1] * len(depth), []
-        for k, d in enumerate(depth):
-            while open_ and depth[open_[-1]] >= d:
-                open_.pop()
-            above[k] = open_[-1] if open_ else -1
-            open_.append(k)
-        for k in range(len(depth) - 1, -1, -1):
-            if above[k] >= 0 and deepest[above[k]] < deepest[k]:
-                deepest[above[k]] = deepest[k]
-        ids = [table.column(c).take(pa.array(order)) for c in keys]
-        return pa.table([*ids, pa.array(enter), pa.array(deepest, pa.int32())], names=[*keys, "enter", "_deep"])
+    there is none) and ``depth``. What stands below a node has enters up to its leave, so that subtrees are ranges. A node is two events, the
+    second one after all that begins with its path; events are counted chunk by chunk, each from what the chunks before it have."""
+    events = nodes.withColumn("_event", F.explode(F.array(F.struct(F.col("path").alias("at"), F.lit(True).alias("opens")), F.struct(_end(nodes).alias("at"), F.lit(False).alias("opens")))))
+    events = _chunked(events.withColumn("_at", F.col("_event.at")).withColumn("_opens", F.col("_event.opens")).drop("_event"), keys, "_at")
+    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carry = events.groupBy(*keys, "_chunk").agg(F.count_if("_opens").alias("_n")).select(*keys, "_chunk", F.sum("_n").over(before).alias("_carry")).filter("_carry > 0")
+    so_far = Window.partitionBy(*keys, "_chunk").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    met = _met(events, carry, keys).withColumn("_opened", F.count_if("_opens").over(so_far) + F.coalesce("_carry", F.lit(0)) - 1)
+    both = met.withColumn("_leave", F.lead("_opened").over(Window.partitionBy(*keys, "path").orderBy("_at")))
+    return both.filter("_opens").withColumnRenamed("_opened", "enter").withColumnRenamed("_leave", "leave").withColumn("depth", F.size("path")).drop("_at", "_opens", "_chunk", "_carry")
+
+
+def _measured(keys: list[str]):
+    """Entries and greatest depth below each node, of rows in preorder: only the nodes that have not ended are held. What stands above a task's
+    first node belongs to tasks before it; for these places there are rows that are not ``_own``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema, now, open_, out = None, None, [], []  # open_: path, entries below, greatest depth, whether it is a row
+
+        def close() -> None:
+            path, n, deep, own = open_.pop()
+            out.append((*now, path, n, deep, own))
+            if open_:
+                above = open_[-1]
+                above[1] += n + own
+                above[2] = max(above[2], deep)
+
+        def made() -> pa.RecordBatch:
+            columns = list(zip(*out, strict=True))
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+        for batch in batches:
+            if schema is None:
+                schema = pa.schema([*[batch.schema.field(k) for k in keys], batch.schema.field("path"), pa.field("_n", pa.int64()), pa.field("_deep", pa.int32()), pa.field("_own", pa.bool_())])
+            for *key, path in zip(*[batch.column(k).to_pylist() for k in (*keys, "path")], strict=True):
+                if key != now:
+                    while open_:
+                        close()
+                    if now is None:
+                        open_.extend([path[:k], 0, k, False] for k in range(len(path)))
+                    now = key
+                while open_ and not (len(open_[-1][0]) < len(path) and path[: len(open_[-1][0])] == open_[-1][0]):
+                    close()
+                open_.append([path, 0, len(path), True])
+                if len(out) >= 10_000:
+                    yield made()
+        while open_:
+            close()
+        if out:
+            yield made()
 
     return run
 
 
 def sizes(nodes: DataFrame, keys: tuple[str, ...] = (BOOK, "root_ord")) -> DataFrame:
-    """total_len (entries below) and max_depth (levels below) of every node, from the nested sets."""
-    index = indexed(nodes.select(*keys, "path"), keys)
-    kinds = dict(index.dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in (*keys, "enter")) + ", _deep int"
-    deep = index.select(*keys, "enter", "depth").groupBy(*keys).applyInArrow(_deepest(list(keys)), schema)
-    met = index.join(deep, [*keys, "enter"])
-    return met.select(*keys, "path", (F.col("leave") - F.col("enter")).alias("total_len"), (F.col("_deep") - F.col("depth")).alias("max_depth"))
+    """total_len (entries below) and max_depth (levels below) of every node. A range of the preorder is one walk; a tree that
+    spans ranges has from each the sums for the nodes that it stands below, at most one for each level."""
+    kinds = dict(nodes.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in (*keys, "path")) + ", _n long, _deep int, _own boolean"
+    walked = _ranged(nodes.select(*keys, "path"), keys).sortWithinPartitions(*keys, "path").mapInArrow(_measured(list(keys)), schema)
+    walked = Levels(nodes).save(walked)
+    above = walked.filter("not _own and _n > 0").groupBy(*keys, "path").agg(F.sum("_n").alias("_more"), F.max("_deep").alias("_lower"))
+    above = above.select(*[F.col(k).alias(f"_at_{k}") for k in (*keys, "path")], "_more", "_lower")
+    met = walked.filter("_own").join(above, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_at_{k}")) for k in (*keys, "path")]), "left")
+    return met.select(*keys, "path", (F.col("_n") + F.coalesce("_more", F.lit(0))).alias("total_len"), (F.greatest("_deep", "_lower") - F.size("path")).alias("max_depth"))
 
 
 def chosen(roots: DataFrame, kind: str, preferred: int = 3) -> DataFrame:
@@ -120,9 +174,26 @@ def removed(nodes: DataFrame, parent: Column, place: int) -> DataFrame:
 
 
 def retained(nodes: DataFrame, keep: Column, keys: tuple[str, ...] = (BOOK, "root_ord")) -> DataFrame:
-    """Without the nodes for which ``keep`` does not hold and all below them; roots stay, and places are as they were."""
-    index = indexed(nodes.withColumn("_keep", F.coalesce(keep, F.lit(False))), keys)
-    return index.withColumn("_gone", _below_bad(~F.col("_keep"), keys)).filter("not _gone").select(*nodes.columns)
+    """Without the nodes for which ``keep`` does not hold and all below them; roots stay, and places are as they were. A node goes
+    if of those that began before it one ends after it; a chunk begins with the last end of the chunks before it."""
+    bad = ~F.coalesce(keep, F.lit(False)) & (F.size("path") > 0)
+    rows = _chunked(nodes.withColumn("_ends", F.when(bad, _end(nodes))), keys)
+    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carry = rows.groupBy(*keys, "_chunk").agg(F.max("_ends").alias("_e")).select(*keys, "_chunk", F.max("_e").over(before).alias("_carry")).filter("_carry is not null")
+    met = _met(rows, carry, keys).withColumn("_last", F.greatest(F.max("_ends").over(_so_far(keys)), "_carry"))
+    return met.filter(F.col("_last").isNull() | (F.col("_last") <= F.col("path"))).select(*nodes.columns)
+
+
+def first_below(nodes: DataFrame, value: Column, keys: tuple[str, ...] = (BOOK, "root_ord")) -> DataFrame:
+    """``_first``: a node's own value, else that of the first node below it that has one; null without any. The next value from a node on is its
+    own or stands below it if it comes before the node's end; a chunk ends with the first value of the chunks after it."""
+    rows = _chunked(nodes.withColumn("_value", value), keys)
+    has = F.when(F.col("_value").isNotNull(), F.struct("path", "_value"))
+    later = Window.partitionBy(*keys).orderBy(F.col("_chunk").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    carry = rows.groupBy(*keys, "_chunk").agg(F.min(has).alias("_v")).select(*keys, "_chunk", F.last("_v", ignorenulls=True).over(later).alias("_carry")).filter("_carry is not null")
+    # from the last node to the first: a frame that grows at its end is summed up once, one that shrinks at its start once for each row
+    met = _met(rows, carry, keys).withColumn("_next", F.coalesce(F.last(has, ignorenulls=True).over(_so_far(keys, True)), "_carry"))
+    return met.withColumn("_first", F.when(F.col("_next.path") < _end(nodes), F.col("_next._value"))).select(*nodes.columns, "_first")
 
 
 def merged(*parts: DataFrame) -> DataFrame:
