@@ -31,3 +31,9 @@ def test_first_reference(spark, tree):
     assert {tuple(r.path) for r in out.filter("target = 'last'").collect()} == {(), (99,), (99, N - 1)}
     assert time.time() - began < 90  # pairs of nodes would be 5e9
     assert _largest_task(spark, out) < N * 0.7
+
+
+def test_retained(spark, tree):
+    out = toc.retained(tree, (F.size("path") != 1) | (F.element_at("path", -1) != 7))
+    assert out.count() == tree.filter("size(path) = 0 or path[0] <> 7").count()
+    assert _largest_task(spark, out) < N * 0.7
