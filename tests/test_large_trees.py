@@ -37,3 +37,10 @@ def test_retained(spark, tree):
     out = toc.retained(tree, (F.size("path") != 1) | (F.element_at("path", -1) != 7))
     assert out.count() == tree.filter("size(path) = 0 or path[0] <> 7").count()
     assert _largest_task(spark, out) < N * 0.7
+
+
+def test_cleaned(spark, tree):
+    nodes = tree.withColumn("href", F.when(F.col("path") == F.array(F.lit(7).cast("long")), "gone").when(F.size("path") == 2, "here"))
+    out = toc.cleaned(nodes, spark.createDataFrame([(0, "here", "raw")], "book_id int, href string, href_raw string"))
+    assert out.count() == tree.filter("size(path) = 0 or path[0] <> 7").count()
+    assert _largest_task(spark, out) < N * 0.7
