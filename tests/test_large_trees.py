@@ -44,3 +44,10 @@ def test_cleaned(spark, tree):
     out = toc.cleaned(nodes, spark.createDataFrame([(0, "here", "raw")], "book_id int, href string, href_raw string"))
     assert out.count() == tree.filter("size(path) = 0 or path[0] <> 7").count()
     assert _largest_task(spark, out) < N * 0.7
+
+
+def test_sizes(spark, tree):
+    out = toc.sizes(tree)
+    below = dict(tree.filter("size(path) = 2").groupBy(F.col("path")[0]).count().collect())
+    assert {(tuple(r.path), r.total_len, r.max_depth) for r in out.filter("total_len > 0").collect()} == {((), N - 1, 2)} | {((k,), n, 1) for k, n in below.items()}
+    assert out.count() == N and _largest_task(spark, out) < N * 0.7
