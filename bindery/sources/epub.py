@@ -15,6 +15,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions.href import decode as decode_href
 from ..operators.common import Levels
@@ -37,6 +39,8 @@ SECTIONS = {"metadata", "manifest", "spine", "toc"}
 DAMAGED = (zipfile.BadZipFile, RuntimeError, NotImplementedError, EOFError, ValueError, zlib.error)
 #: Content of one batch of entries, about.
 BATCH_BYTES = 1 << 24
+#: Books of one batch, at most.
+BATCH_BOOKS = 64
 PARSED = "book_id string, error struct<code string, detail string>, " + ", ".join(f"{k} array<struct<{v.replace(' string', ': string').replace(' int', ': int').replace(' long', ': long').replace(' boolean', ': boolean').replace(' array', ': array')}>>" for k, v in SCHEMAS.items())
 
 
@@ -59,6 +63,23 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.col("path").alias("book_id"), "content")
 
 
+def batched(books: Iterable[tuple[dict, int]], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Batches of (row, bytes): a task holds few books at a time, however many Spark hands to it at once."""
+    held, size = [], 0
+    for row, n in books:
+        held.append(row)
+        size += n
+        if size >= BATCH_BYTES or len(held) >= BATCH_BOOKS:
+            yield pa.RecordBatch.from_pylist(held, schema=schema)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_pylist(held, schema=schema)
+
+
+#: Archives as Arrow has them.
+ARCHIVES = pa.schema([("book_id", pa.string()), ("content", pa.binary())])
+
+
 def unzip(archives: DataFrame) -> DataFrame:
     """(book_id, path, content) of every entry; a damaged archive has none, or those before the damage."""
 
@@ -144,19 +165,21 @@ def parse(archives: DataFrame, strict: bool = False, preferred_toc: int = 3, ret
     """One row for each book, its tables nested; errors are a column and stop nothing."""
     sections = _skipped(skip)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    schema = to_arrow_schema(StructType.fromDDL(PARSED))
+
+    def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, int]]:
         for batch in batches:
-            rows = []
-            for book_id, data in zip(batch["book_id"], batch["content"], strict=True):
+            for book, data in zip(batch.column("book_id"), batch.column("content"), strict=True):
+                book_id = book.as_py()
                 try:
-                    with zipfile.ZipFile(io.BytesIO(data)) as z:
+                    with zipfile.ZipFile(io.BytesIO(data.as_buffer() or b"")) as z:
                         names = {clean_path(i.filename): i for i in z.infolist()}
-                        rows.append(_row(book_id, *_parsed(lambda p, z=z, names=names: z.read(names[p]) if p in names else None, strict, preferred_toc, retain_variants, sections)))
+                        row = _row(book_id, *_parsed(lambda p, z=z, names=names: z.read(names[p]) if p in names else None, strict, preferred_toc, retain_variants, sections))
                 except DAMAGED as e:
-                    rows.append(_row(book_id, Book(), BookError("unreadable", str(e))))
-            yield pd.DataFrame(rows)
+                    row = _row(book_id, Book(), BookError("unreadable", str(e)))
+                yield row, 0
 
-    return archives.mapInPandas(run, PARSED)
+    return archives.select("book_id", "content").mapInArrow(lambda batches: batched(decoded(batches), schema), PARSED)
 
 
 def table(parsed: DataFrame, name: str) -> DataFrame:
@@ -170,7 +193,8 @@ def _tables(parsed: DataFrame, resources: DataFrame) -> Corpus:
 
 
 def corpus(archives: DataFrame, strict: bool = False, preferred_toc: int = 3, retain_variants: bool = False, skip: Iterable[str] = ()) -> Corpus:
-    """Tables of (book_id, content) rows."""
+    """Tables of (book_id, content) rows. Archives are read twice, for their tables and for their entries, so that what makes them runs once before."""
+    archives = Levels(archives).save(archives.select("book_id", "content"))
     return _tables(parse(archives, strict, preferred_toc, retain_variants, skip), unzip(archives))
 
 
@@ -181,7 +205,10 @@ def corpus_of_files(files: DataFrame, strict: bool = False, preferred_toc: int =
 
 def read_corpus(spark: SparkSession, path: str, exploded: bool = False, **options) -> Corpus:
     """Zipped or exploded books below ``path``; options: strict, preferred_toc, retain_variants, skip."""
-    return corpus_of_files(read_directories(spark, path), **options) if exploded else corpus(read_archives(spark, path), **options)
+    if exploded:
+        return corpus_of_files(read_directories(spark, path), **options)
+    archives = read_archives(spark, path)  # files already
+    return _tables(parse(archives, **options), unzip(archives))
 
 
 def made(chapters, books: DataFrame, content: Column, language: str = "en", directory: str = "/OEBPS") -> Corpus:
