@@ -5,7 +5,6 @@ from __future__ import annotations
 import io
 import zipfile
 
-import pandas as pd
 from pyspark.sql import functions as F
 
 from ..operators.common import Levels
@@ -35,11 +34,14 @@ def archives(s, d):
                 z.writestr(f"OPS/t{t['turn']}.xhtml", t["text"] or "")
         return out.getvalue()
 
-    def run(batches):
+    def made(batches):
         for batch in batches:
-            yield pd.DataFrame({"book_id": batch["book_id"], "content": [make(b, list(t)) for b, t in zip(batch["book_id"], batch["turns"], strict=True)]})
+            for k in range(batch.num_rows):
+                r = batch.slice(k, 1).to_pylist()[0]
+                content = make(r["book_id"], r["turns"])
+                yield {"book_id": r["book_id"], "content": content}, len(content)
 
-    return nested.mapInPandas(run, "book_id string, content binary")
+    return nested.mapInArrow(lambda batches: epub.batched(made(batches), epub.ARCHIVES), "book_id string, content binary")
 
 
 @query("SELECT CAST(conv_id AS VARCHAR) AS book_id, 't' || turn AS idref, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS ord, CAST(role <> 'system' AS INTEGER) AS linear FROM conversations")
