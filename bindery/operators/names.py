@@ -10,10 +10,10 @@ in between, hang on the order of all their names; they are folded, each root by
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,25 +55,29 @@ IDS, HREFS = Style(), Style("", True)
 
 
 def _folder(style: Style, keys: Sequence[str]):
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["ord", "_claim"], ascending=[True, False], kind="stable")
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by root, place and claims first; what is held is a root's."""
+        now: list | None = None
         used: set[str] = set()
         next_: dict[str, int] = {}
-        made = []
-        for want, claim in zip(rows["name"], rows["_claim"], strict=True):
-            if claim:
-                used.add(want)
-                continue
-            cut = want.rfind(".") if style.ending and "." in want else len(want)
-            k, new = next_.get(want, 0), want
-            while (new := want if not k else f"{want[:cut]}{style.sign}{k}{want[cut:]}") in used:
-                k += 1
-            next_[want] = k  # what is used stays used
-            used.add(new)
-            made.append(new)
-        out = rows[~rows["_claim"]].copy()
-        out["new_name"] = made
-        return out[[*keys, "ord", "name", "new_name"]]
+        for batch in batches:
+            kept, made = [], []
+            for i, (*key, want, claim) in enumerate(zip(*[batch.column(k).to_pylist() for k in (*keys, "_root", "name", "_claim")], strict=True)):
+                if key != now:
+                    now, used, next_ = key, set(), {}
+                if claim:
+                    used.add(want)
+                    continue
+                cut = want.rfind(".") if style.ending and "." in want else len(want)
+                k, new = next_.get(want, 0), want
+                while (new := want if not k else f"{want[:cut]}{style.sign}{k}{want[cut:]}") in used:
+                    k += 1
+                next_[want] = k  # what is used stays used
+                used.add(new)
+                kept.append(i)
+                made.append(new)
+            rows = batch.take(pa.array(kept, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*[rows.column(k) for k in (*keys, "ord", "name")], pa.array(made, pa.string())], names=[*keys, "ord", "name", "new_name"])
 
     return fold
 
@@ -115,6 +119,6 @@ def unique(wanted: DataFrame, taken: DataFrame, keys: Sequence[str], style: Styl
     kinds = dict(wanted.dtypes)
     schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", ord long, name string, new_name string"
     hard = rows.filter("_way = 'fold'").select(*keys, "_root", F.coalesce("ord", F.lit(-(1 << 62))).alias("ord"), "name", "_claim")
-    hard = hard.groupBy(*keys, "_root").applyInPandas(_folder(style, keys), schema)
+    hard = hard.repartition(*keys, "_root").sortWithinPartitions(*keys, "_root", "ord", F.desc("_claim")).mapInArrow(_folder(style, keys), schema)
     out = free.unionByName(easy).unionByName(hard).withColumn("ord", F.col("ord").cast(place))
     return out.unionByName(none)
