@@ -41,37 +41,44 @@ def expanded(chapters: DataFrame, taken: DataFrame | None = None, directory: str
     an href it is the id with .xhtml, with a number before the ending if an item before it, or one the book had, is there. A given
     href is taken as it is. Null paths are errors of the caller; empty tables give empty tables."""
     levels = Levels(chapters)
-    rows = levels.save(numbered(chapters))  # read by all four tables
+    # one window has all numbers of a book's tables; what it has once goes along with the items, so that no table is joined for it again
+    so_far = Window.partitionBy(BOOK).orderBy("path").rowsBetween(Window.unboundedPreceding, 0)
+    count = lambda which: F.count_if(which).over(so_far) - 1
+    hides = F.when(F.col("title").isNull() & (F.size("path") > 0), toc.end(chapters))
+    rows = numbered(chapters).withColumns({
+        "_item": count(F.col("has_content")), "_place": count(F.col("title").isNotNull() & F.col("kind").isNotNull()), "_listed": F.coalesce(F.max(hides).over(so_far) <= F.col("path"), F.lit(True)),
+    })
+    along = ["linear", "path", "title", "kind", "_item", "_place", "_listed"]
+    rows = levels.save(rows.select(BOOK, "ord", "href", "has_content", *along))  # read by all four tables
     base = F.lit(directory)
-    made = rows.filter("has_content")
+    made = rows.filter("has_content").drop("has_content")
     wanted = made.select(BOOK, "ord", text.entry_id(F.coalesce("title", href.name(href.path(F.col("href"))), F.lit(""))).alias("name"))
     had = taken if taken is not None else chapters.select(BOOK, F.lit(None).cast("string").alias("id"), F.lit(None).cast("string").alias("href")).limit(0)
     ids = names.unique(wanted, had.select(BOOK, F.col("id").alias("name")), [BOOK]).select(BOOK, "ord", F.col("new_name").alias("id"))
     items = levels.save(made.join(ids, [BOOK, "ord"]))
 
     place = lambda raw: href.resolve(base, raw)
-    given = items.filter("href is not null").select(BOOK, "ord", "id", href.encode(href.path(F.col("href"))).alias("href_raw"))
+    said = items.filter("href is not null").withColumnRenamed("href", "_said")
+    given = said.select(BOOK, "ord", "id", href.encode(href.path(F.col("_said"))).alias("href_raw"), "_said", *along)
     given = given.withColumn("href", place(F.col("href_raw")))
-    open_ = items.filter("href is null").select(BOOK, "ord", "id", place(F.concat("id", F.lit(".xhtml"))).alias("name"))
+    open_ = items.filter("href is null").select(BOOK, "ord", "id", place(F.concat("id", F.lit(".xhtml"))).alias("name"), *along)
     claims = had.select(BOOK, F.col("href").alias("name"), F.lit(None).cast("long").alias("ord")).unionByName(given.select(BOOK, F.col("href").alias("name"), "ord"))
     free = names.unique(open_.select(BOOK, "ord", "name"), claims, [BOOK], names.HREFS).select(BOOK, "ord", F.col("new_name").alias("href"))
-    free = open_.drop("name").join(free, [BOOK, "ord"]).select(BOOK, "ord", "id", F.substr("href", F.lit(len(directory.rstrip("/")) + 2)).alias("href_raw"), "href")
-    found = levels.save(given.select(BOOK, "ord", "id", "href_raw", "href").unionByName(free))
+    free = open_.drop("name").join(free, [BOOK, "ord"]).withColumn("href_raw", F.substr("href", F.lit(len(directory.rstrip("/")) + 2))).withColumn("_said", F.lit(None).cast("string"))
+    found = levels.save(given.unionByName(free))
 
-    order = Window.partitionBy(BOOK).orderBy("_ord")
-    new_ord = (F.row_number().over(order) - 1).cast("long")
-    items = found.withColumnRenamed("ord", "_ord").join(made.select(BOOK, F.col("ord").alias("_ord"), "linear"), [BOOK, "_ord"]).withColumn("ord", new_ord)
-    manifest = items.select(BOOK, "ord", "id", "href", "href_raw", F.lit(mime.XHTML).alias("media_type"))
-    spine = items.select(BOOK, "ord", F.col("id").alias("idref"), F.coalesce("linear", F.lit(True)).alias("linear"))
+    manifest = found.select(BOOK, F.col("_item").alias("ord"), "id", "href", "href_raw", F.lit(mime.XHTML).alias("media_type"))
+    spine = found.select(BOOK, F.col("_item").alias("ord"), F.col("id").alias("idref"), F.coalesce("linear", F.lit(True)).alias("linear"))
 
     # an entry of a chapter with content leads to it, others to what they say
-    own = found.select(BOOK, "ord", F.col("href").alias("_href"), F.col("href_raw").alias("_raw"))
-    nodes = rows.join(own, [BOOK, "ord"], "left")
-    raw = F.when(F.col("href").isNotNull(), href.encode("href")).otherwise(F.col("_raw"))
-    nodes = nodes.select(BOOK, "ord", "path", F.col("title").alias("label"), "kind", raw.alias("href_raw"), F.when(F.col("href").isNotNull(), place(raw)).otherwise(F.col("_href")).alias("href"))
-    listed = toc.retained(nodes.withColumn("root_ord", F.lit(0)), F.col("label").isNotNull()).drop("root_ord")
-    marks = nodes.filter("label is not null and kind is not null")
-    marks = marks.withColumn("place", (F.row_number().over(Window.partitionBy(BOOK).orderBy("ord")) - 1).cast("long")).drop("path")
+    none = F.lit(None).cast("string")
+    empty = rows.filter(~F.coalesce("has_content", F.lit(False))).withColumnRenamed("href", "_said").withColumns({"href": none, "href_raw": none})
+    of = [BOOK, "ord", "path", "title", "kind", "_said", "href", "href_raw", "_place", "_listed"]
+    nodes = found.select(*of).unionByName(empty.select(*of))
+    raw = F.when(F.col("_said").isNotNull(), href.encode("_said")).otherwise(F.col("href_raw"))
+    nodes = nodes.select(BOOK, "ord", "path", F.col("title").alias("label"), "kind", raw.alias("href_raw"), F.when(F.col("_said").isNotNull(), place(raw)).otherwise(F.col("href")).alias("href"), "_place", "_listed")
+    listed = nodes.filter("_listed").drop("_listed", "_place")
+    marks = nodes.filter("label is not null and kind is not null").drop("path", "_listed").withColumnRenamed("_place", "place")
     return Expanded(manifest, spine, listed, marks)
 
 

@@ -30,7 +30,7 @@ def children(nodes: DataFrame, parent: Column) -> DataFrame:
     return nodes.filter((F.size("path") == F.size(parent) + 1) & (F.slice("path", 1, F.size(parent)) == parent))
 
 
-def _end(nodes: DataFrame) -> Column:
+def end(nodes: DataFrame) -> Column:
     """What stands behind all that is below a node, and before what comes after."""
     kind = dict(nodes.dtypes)["path"][6:-1]
     return F.concat("path", F.array(F.lit(2**31 - 1 if kind == "int" else 2**63 - 1).cast(kind)))
@@ -63,7 +63,7 @@ def indexed(nodes: DataFrame, keys: tuple[str, ...] = (BOOK, "root_ord")) -> Dat
     """Nested sets: ``enter`` (place in preorder from 0, the root's if it is there), ``leave`` (the largest enter below a node, its own if
     there is none) and ``depth``. What stands below a node has enters up to its leave, so that subtrees are ranges. A node is two events, the
     second one after all that begins with its path; events are counted chunk by chunk, each from what the chunks before it have."""
-    events = nodes.withColumn("_event", F.explode(F.array(F.struct(F.col("path").alias("at"), F.lit(True).alias("opens")), F.struct(_end(nodes).alias("at"), F.lit(False).alias("opens")))))
+    events = nodes.withColumn("_event", F.explode(F.array(F.struct(F.col("path").alias("at"), F.lit(True).alias("opens")), F.struct(end(nodes).alias("at"), F.lit(False).alias("opens")))))
     events = _chunked(events.withColumn("_at", F.col("_event.at")).withColumn("_opens", F.col("_event.opens")).drop("_event"), keys, "_at")
     before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     carry = events.groupBy(*keys, "_chunk").agg(F.count_if("_opens").alias("_n")).select(*keys, "_chunk", F.sum("_n").over(before).alias("_carry")).filter("_carry > 0")
@@ -177,7 +177,7 @@ def retained(nodes: DataFrame, keep: Column, keys: tuple[str, ...] = (BOOK, "roo
     """Without the nodes for which ``keep`` does not hold and all below them; roots stay, and places are as they were. A node goes
     if of those that began before it one ends after it; a chunk begins with the last end of the chunks before it."""
     bad = ~F.coalesce(keep, F.lit(False)) & (F.size("path") > 0)
-    rows = _chunked(nodes.withColumn("_ends", F.when(bad, _end(nodes))), keys)
+    rows = _chunked(nodes.withColumn("_ends", F.when(bad, end(nodes))), keys)
     before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     carry = rows.groupBy(*keys, "_chunk").agg(F.max("_ends").alias("_e")).select(*keys, "_chunk", F.max("_e").over(before).alias("_carry")).filter("_carry is not null")
     met = _met(rows, carry, keys).withColumn("_last", F.greatest(F.max("_ends").over(_so_far(keys)), "_carry"))
@@ -193,7 +193,7 @@ def first_below(nodes: DataFrame, value: Column, keys: tuple[str, ...] = (BOOK,
     carry = rows.groupBy(*keys, "_chunk").agg(F.min(has).alias("_v")).select(*keys, "_chunk", F.last("_v", ignorenulls=True).over(later).alias("_carry")).filter("_carry is not null")
     # from the last node to the first: a frame that grows at its end is summed up once, one that shrinks at its start once for each row
     met = _met(rows, carry, keys).withColumn("_next", F.coalesce(F.last(has, ignorenulls=True).over(_so_far(keys, True)), "_carry"))
-    return met.withColumn("_first", F.when(F.col("_next.path") < _end(nodes), F.col("_next._value"))).select(*nodes.columns, "_first")
+    return met.withColumn("_first", F.when(F.col("_next.path") < end(nodes), F.col("_next._value"))).select(*nodes.columns, "_first")
 
 
 def merged(*parts: DataFrame) -> DataFrame:
