@@ -1,8 +1,9 @@
 """Constraints of strict books as one report over tables, and claims of refinements whose parents are items.
 
 A book's rules are of two kinds. What a row breaks by itself is told row by row, without a shuffle. What has to be there, an entry for a
-reference as much as a title for a book, is a use of a key within the book; uses of every rule meet the definitions of every table in
-one anti-join. Definitions are made distinct before they are shuffled, so that a book with many rows of a kind sends one.
+reference as much as a title for a book, is a use of a key within the book, the empty key for what needs no name; each rule is a bit. Uses of
+every rule meet the definitions of every table in one join: a key has one row with the bits of all that it serves, and a row that uses a
+key one with the bits of all that it needs. Definitions are merged before they are shuffled, so that a book with many rows of a kind sends one.
 
 Defined results: null and empty attributes are missing ones; rows that are equal break a rule each; empty tables break no rule but
 those of the packages that are there; other columns do not matter.
@@ -15,6 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import Levels
 from .metadata import BOOK, tree
 
 #: Where a reader of a package meets a rule, in its order.
@@ -22,6 +24,12 @@ PACKAGE, METADATA, MANIFEST, SPINE, SECTIONS, REQUIRED, NAVIGATION, TOC = range(
 #: What a reference may have without being encoded.
 UNENCODED = r"[^A-Za-z0-9_.~%/:#?=&-]"
 REPORT = (BOOK, "stage", "ord", "code", "detail")
+#: Rules of what has to be there, with their stages; a rule's bit is its place.
+NEEDED = {
+    "no_metadata_found": SECTIONS, "no_manifest_found": SECTIONS, "no_spine_found": SECTIONS, "missing_title": REQUIRED, "missing_language": REQUIRED, "invalid_unique_identifier": REQUIRED,
+    "invalid_ncx_reference": NAVIGATION, "no_xhtml_toc_reference": NAVIGATION, "invalid_refines": METADATA, "invalid_idref": SPINE, "no_toc_found": TOC,
+}
+BIT = {code: 1 << k for k, code in enumerate(NEEDED)}
 
 
 def _blank(c: str) -> Column:
@@ -31,19 +39,23 @@ def _blank(c: str) -> Column:
 def _told(rows: DataFrame, stage: int, order: Column, *rules: tuple[Column, str, Column]) -> DataFrame:
     """What rows break by themselves: (condition, code, detail)."""
     found = F.array_compact(F.array(*[F.when(c, F.struct(F.lit(code).alias("code"), F.coalesce(d, F.lit("")).alias("detail"))) for c, code, d in rules]))
-    return rows.select(BOOK, F.lit(stage).alias("stage"), order.cast("long").alias("ord"), F.explode(found).alias("_v")).select(BOOK, "stage", "ord", "_v.code", "_v.detail")
+    faulty = rows.filter(reduce(Column.__or__, [c for c, *_ in rules]))
+    return faulty.select(BOOK, F.lit(stage).alias("stage"), order.cast("long").alias("ord"), F.explode(found).alias("_v")).select(BOOK, "stage", "ord", "_v.code", "_v.detail")
 
 
-def _uses(rows: DataFrame, order: Column, *rules: tuple[Column, int, str, Column, str]) -> DataFrame:
-    """What rows need: (condition, stage, space, key, code)."""
-    found = F.array_compact(F.array(*[F.when(c, F.struct(F.lit(stage).alias("stage"), F.lit(space).alias("space"), k.alias("key"), F.lit(code).alias("code"))) for c, stage, space, k, code in rules]))
-    return rows.select(BOOK, order.cast("long").alias("ord"), F.explode(found).alias("_v")).select(BOOK, "ord", "_v.*")
+def _bits(*rules: tuple[Column, str]) -> Column:
+    """The bits of the rules whose condition holds."""
+    return reduce(Column.bitwiseOR, [F.when(c, BIT[code]).otherwise(0) for c, code in rules])
 
 
-def _defined(rows: DataFrame, *rules: tuple[Column, str, Column]) -> DataFrame:
-    """What rows are there for: (condition, space, key)."""
-    found = F.array_compact(F.array(*[F.when(c, F.struct(F.lit(space).alias("space"), k.alias("key"))) for c, space, k in rules]))
-    return rows.select(BOOK, F.explode(found).alias("_v")).select(BOOK, "_v.*")
+def _uses(rows: DataFrame, order: Column, *keys: tuple[Column, Column]) -> DataFrame:
+    """What rows need: (key, bits) by (key, bits), so that all is plain columns."""
+    return _union(*[rows.select(BOOK, order.cast("long").alias("ord"), key.alias("_key"), bits.alias("_bits")).filter("_bits <> 0") for key, bits in keys])
+
+
+def _defined(rows: DataFrame, *keys: tuple[Column, Column]) -> DataFrame:
+    """What rows are there for."""
+    return _uses(rows, F.lit(0), *keys).drop("ord")
 
 
 def _union(*frames: DataFrame) -> DataFrame:
@@ -51,10 +63,13 @@ def _union(*frames: DataFrame) -> DataFrame:
 
 
 def _cycles(meta: DataFrame) -> DataFrame:
-    """Entries on a cycle of parents, or below one."""
+    """Entries on a cycle of parents, or below one. Keys cannot fall all the way round a cycle, so that only books with an entry whose parent's
+    key is not below its own are walked."""
     below = meta.filter("parent_node_id is not null")
+    suspects = below.filter("parent_node_id >= node_id").select(BOOK).distinct()
+    below = Levels(meta).save(below.select(BOOK, "node_id", "parent_node_id", "natural_order", F.coalesce("id", "refines").alias("id")).join(suspects, BOOK, "left_semi"))
     reached = tree(below, "node_id", "parent_node_id").select(BOOK, "node_id")
-    return _told(below.join(reached, [BOOK, "node_id"], "left_anti"), METADATA, F.col("natural_order"), (F.lit(True), "cyclic_meta", F.coalesce("id", "refines")))
+    return _told(below.join(reached.hint("merge"), [BOOK, "node_id"], "left_anti"), METADATA, F.col("natural_order"), (F.lit(True), "cyclic_meta", F.col("id")))
 
 
 def violations(package: DataFrame, meta: DataFrame, manifest: DataFrame, spine: DataFrame, toc: DataFrame) -> DataFrame:
@@ -69,6 +84,7 @@ def violations(package: DataFrame, meta: DataFrame, manifest: DataFrame, spine:
     top = F.col("parent_node_id").isNull()
     root, leaf = F.size("path") == 0, F.size("path") > 0
     dangling = top & ~_blank("refines")
+    named, nav = ~_blank("id"), F.contains("properties", F.lit("nav")) & F.array_contains(F.split("properties", r"\s+"), "nav")
     again = F.row_number().over(Window.partitionBy(BOOK, "id").orderBy("ord")) > 1
     told = _union(
         _told(
@@ -82,33 +98,39 @@ def violations(package: DataFrame, meta: DataFrame, manifest: DataFrame, spine:
         ),
         _cycles(meta),
         _told(
-            manifest.withColumn("_again", again), MANIFEST, F.col("ord"), (_blank("id"), "missing_attribute", F.lit("manifest > item[*id]")), (_blank("href_raw"), "missing_attribute", F.lit("manifest > item[*href]")),
-            (_blank("media_type"), "missing_attribute", F.lit("manifest > item[*media-type]")), (F.col("href_raw").rlike(UNENCODED), "unencoded_href", F.col("href_raw")), (F.col("_again") & ~_blank("id"), "duplicate_item_id", F.col("id")),
+            manifest, MANIFEST, F.col("ord"), (_blank("id"), "missing_attribute", F.lit("manifest > item[*id]")), (_blank("href_raw"), "missing_attribute", F.lit("manifest > item[*href]")),
+            (_blank("media_type"), "missing_attribute", F.lit("manifest > item[*media-type]")), (F.col("href_raw").rlike(UNENCODED), "unencoded_href", F.col("href_raw")),
         ),
+        _told(manifest.filter(named).select(BOOK, "id", "ord").withColumn("_again", again).filter("_again"), MANIFEST, F.col("ord"), (yes, "duplicate_item_id", F.col("id"))),
         _told(spine, SPINE, F.col("ord"), (_blank("idref"), "missing_attribute", F.lit("spine > itemref[*idref]"))),
         _told(toc, TOC, F.col("root_ord"), (leaf & _blank("href") & _blank("label"), "missing_attribute", F.lit("toc > entry[*href]"))),
     )
+    item = _bits((named, "invalid_idref"), (named, "invalid_ncx_reference"), (named, "invalid_refines"))
+    owned = top & _blank("refines")
+    identifier = owned & (F.col("property") == "dc:identifier")
     uses = _union(
         _uses(
-            package, F.lit(0), *[(yes, SECTIONS, "section", F.lit(x), f"no_{x}_found") for x in ("metadata", "manifest", "spine")], *[(yes, REQUIRED, "root", F.lit(f"dc:{x}"), f"missing_{x}") for x in ("title", "language")],
-            (~_blank("unique_identifier"), REQUIRED, "identifier", F.col("unique_identifier"), "invalid_unique_identifier"), (~_blank("ncx_id"), NAVIGATION, "item", F.col("ncx_id"), "invalid_ncx_reference"),
-            (F.col("family") == "epub3", NAVIGATION, "navigation", none, "no_xhtml_toc_reference"),
+            package, F.lit(0), (none, _bits(*[(yes, f"no_{x}_found") for x in ("metadata", "manifest", "spine")], (yes, "missing_title"), (yes, "missing_language"), (F.col("family") == "epub3", "no_xhtml_toc_reference"))),
+            (F.col("unique_identifier"), _bits((~_blank("unique_identifier"), "invalid_unique_identifier"))), (F.col("ncx_id"), _bits((~_blank("ncx_id"), "invalid_ncx_reference"))),
         ),
-        _uses(meta, F.col("natural_order"), (dangling, METADATA, "refined", F.col("refines"), "invalid_refines")),
-        _uses(spine, F.col("ord"), (~_blank("idref"), SPINE, "item", F.col("idref"), "invalid_idref")),
-        _uses(toc.filter("root_ord = 0"), F.lit(0), (root, TOC, "toc", none, "no_toc_found")),
+        _uses(meta, F.col("natural_order"), (F.col("refines"), _bits((dangling, "invalid_refines")))),
+        _uses(spine, F.col("ord"), (F.col("idref"), _bits((~_blank("idref"), "invalid_idref")))),
+        _uses(toc.filter("root_ord = 0"), F.lit(0), (none, _bits((root, "no_toc_found")))),
     )
-    named, nav = ~_blank("id"), F.array_contains(F.split("properties", r"\s+"), "nav")
-    owned = top & _blank("refines")
     definitions = _union(
-        _defined(package, (~_blank("ncx_id"), "navigation", none)),
-        _defined(meta, (yes, "section", F.lit("metadata")), (owned & F.col("property").isin("dc:title", "dc:language"), "root", F.col("property")), (owned & named & (F.col("property") == "dc:identifier"), "identifier", F.col("id")), (named, "refined", F.col("id"))),
-        _defined(manifest, (yes, "section", F.lit("manifest")), (named, "item", F.col("id")), (named, "refined", F.col("id")), (nav, "navigation", none)),
-        _defined(spine, (yes, "section", F.lit("spine")), (named, "refined", F.col("id"))),
-        _defined(toc, (root & (F.col("root_kind") == "toc"), "toc", none)),
-    ).distinct()
-    missing = uses.join(definitions, [BOOK, "space", "key"], "left_anti")
-    missing = missing.select(BOOK, "stage", "ord", "code", F.when(F.col("space").isin("item", "identifier", "refined"), F.col("key")).otherwise(none).alias("detail"))
+        _defined(package, (none, _bits((~_blank("ncx_id"), "no_xhtml_toc_reference")))),
+        _defined(
+            meta, (none, _bits((yes, "no_metadata_found"), (owned & (F.col("property") == "dc:title"), "missing_title"), (owned & (F.col("property") == "dc:language"), "missing_language"))),
+            (F.col("id"), _bits((named, "invalid_refines"), (named & identifier, "invalid_unique_identifier"))),
+        ),
+        _defined(manifest, (none, _bits((yes, "no_manifest_found"), (nav, "no_xhtml_toc_reference"))), (F.col("id"), item)),
+        _defined(spine, (none, _bits((yes, "no_spine_found"))), (F.col("id"), _bits((named, "invalid_refines")))),
+        _defined(toc, (none, _bits((root & (F.col("root_kind") == "toc"), "no_toc_found")))),
+    ).groupBy(BOOK, "_key").agg(F.bit_or("_bits").alias("_has"))
+    lacking = F.col("_bits").bitwiseAND(F.bitwise_not(F.coalesce("_has", F.lit(0))))
+    met = uses.join(definitions.hint("merge"), [BOOK, "_key"], "left").withColumn("_lacks", lacking).filter("_lacks <> 0")
+    codes = F.array_compact(F.array(*[F.when(F.col("_lacks").bitwiseAND(BIT[code]) != 0, F.struct(F.lit(stage).alias("stage"), F.lit(code).alias("code"))) for code, stage in NEEDED.items()]))
+    missing = met.select(BOOK, "ord", "_key", F.explode(codes).alias("_v")).select(BOOK, "_v.stage", "ord", "_v.code", F.col("_key").alias("detail"))
     return told.select(*REPORT).unionByName(missing)
 
 

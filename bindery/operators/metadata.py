@@ -186,18 +186,21 @@ def tree(links: DataFrame, key: str, parent: str, book: str = BOOK) -> DataFrame
     """(book, key, depth, root) of every node that is reached from a root; nodes on a cycle and below it are not reached.
 
     ``links`` has one row for each node; a null parent, or one that is no node, makes a root. Each round doubles the length of the
-    ways that are known, so that there are as many rounds as the logarithm of the depth; it ends when a round reaches no more nodes."""
+    ways that are known, so that there are as many rounds as the logarithm of the depth; it ends when a round reaches no more nodes.
+    What has been reached is written once, and only the rest goes on."""
     levels = Levels(links)
     rows = links.select(F.col(book).alias("b"), F.col(key).alias("k"), F.col(parent).alias("p"))
-    nodes = rows.select("b", F.col("k").alias("p"), F.lit(True).alias("inner")).distinct()
-    met = rows.join(nodes, ["b", "p"], "left").withColumn("done", F.col("inner").isNull())
-    state = levels.save(met.select("b", "k", F.when(F.col("done"), F.col("k")).otherwise(F.col("p")).alias("at"), F.when(F.col("done"), 0).otherwise(1).cast("long").alias("depth"), "done"))
-    left = state.filter("not done").count()
+    above = rows.groupBy("b", F.col("k").alias("p")).agg(F.bool_and(F.col("p").isNull()).alias("top"))
+    met = rows.filter("p is not null").join(above.hint("merge"), ["b", "p"], "left").select("b", "k", F.when(F.col("top").isNull(), F.col("k")).otherwise(F.col("p")).alias("at"), F.when(F.col("top").isNull(), 0).otherwise(1).cast("long").alias("depth"), F.coalesce("top", F.lit(True)).alias("done"))
+    state = levels.save(rows.filter("p is null").select("b", "k", F.col("k").alias("at"), F.lit(0).cast("long").alias("depth"), F.lit(True).alias("done")).unionByName(met))
+    reached, rest = state.filter("done"), state.filter("not done")
+    left = rest.count()
     while left:
-        there = state.select("b", F.col("k").alias("at"), F.col("at").alias("_at"), F.col("depth").alias("_depth"), F.col("done").alias("_done"))
-        on = state.filter("not done").drop("done").join(there, ["b", "at"]).select("b", "k", F.col("_at").alias("at"), (F.col("depth") + F.col("_depth")).alias("depth"), F.col("_done").alias("done"))
-        state = levels.save(state.filter("done").unionByName(on))
-        before, left = left, state.filter("not done").count()
+        there = reached.unionByName(rest).select("b", F.col("k").alias("at"), F.col("at").alias("_at"), F.col("depth").alias("_depth"), F.col("done").alias("_done"))
+        on = rest.drop("done").join(there.hint("merge"), ["b", "at"]).select("b", "k", F.col("_at").alias("at"), (F.col("depth") + F.col("_depth")).alias("depth"), F.col("_done").alias("done"))
+        state = levels.save(on)
+        reached, rest = reached.unionByName(state.filter("done")), state.filter("not done")
+        before, left = left, rest.count()
         if left == before:
             break
-    return state.filter("done").select(F.col("b").alias(book), F.col("k").alias(key), F.col("depth").cast("int").alias("depth"), F.col("at").alias("root"))
+    return reached.select(F.col("b").alias(book), F.col("k").alias(key), F.col("depth").cast("int").alias("depth"), F.col("at").alias("root"))

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import constraints
+from ..operators.common import Levels
 from . import adapters
 from .registry import query
 
@@ -42,18 +43,19 @@ def _tables(s, d):
     key = F.col("o_orderkey")
     books = adapters.read(s, d, "orders").select(key.alias("book_id"), (key % 25).alias("d"), (key % 50).alias("e"))
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
-    key = F.col("l_orderkey")
-    lines = adapters.read(s, d, "lineitem").select(key.alias("book_id"), (key % 25).alias("d"), (key % 50).alias("e"), "l_partkey", "l_suppkey", (F.row_number().over(order) - 1).alias("j"))
+    lines = adapters.read(s, d, "lineitem").select(F.col("l_orderkey").alias("book_id"), (F.row_number().over(order) - 1).alias("j"))
+    lines = Levels(lines).save(lines).withColumns({"d": F.col("book_id") % 25, "e": F.col("book_id") % 50})  # many scans, one sort
     prefixes = "CASE WHEN d = 7 THEN array(named_struct('name', 'a', 'uri', 'urn:a'), named_struct('name', 'b', 'uri', '')) ELSE array() END AS prefixes"
     package = books.selectExpr("book_id", f"{_VERSION} AS version_raw", f"{_FAMILY} AS family", f"{_UID} AS unique_identifier", f"{_NCX} AS ncx_id", prefixes)
-    fields = "natural_order kind property id refines parent value".split()
-    rows = [f"CASE WHEN d <> 13 AND {when} THEN named_struct({', '.join(f'{n!r}, ' + (f'CAST({v} AS {t})') for n, v, t in zip(fields, values, ('long', 'string', 'string', 'string', 'string', 'long', 'string')))}) END" for *values, when in _META]
-    meta = books.selectExpr("book_id", f"explode(array_compact(array({', '.join(rows)}))) AS m").select("book_id", "m.*")
-    meta = meta.withColumn("node_id", F.col("natural_order")).withColumnRenamed("parent", "parent_node_id")
+    meta = books.withColumn("natural_order", F.explode(F.array([F.lit(int(n)).cast("long") for n, *_ in _META])))
+    case = lambda k, cast: f"CAST(CASE natural_order {' '.join(f'WHEN {row[0]} THEN {row[k]}' for row in _META)} END AS {cast})"
+    fields = [f"{case(k, cast)} AS {name}" for k, (name, cast) in enumerate({"kind": "string", "property": "string", "id": "string", "refines": "string", "parent_node_id": "long", "value": "string"}.items(), 1)]
+    meta = meta.filter(f"d <> 13 AND {case(7, 'boolean')}").selectExpr("book_id", "natural_order", "natural_order AS node_id", *fields)
     manifest = lines.filter("d <> 19").selectExpr("book_id", "j AS ord", f"{_ITEM_ID} AS id", f"{_HREF} AS href_raw", f"{_TYPE} AS media_type", f"{_PROPERTIES} AS properties")
     spine = lines.filter("d <> 21").selectExpr("book_id", "j AS ord", f"{_REF_ID} AS id", f"{_IDREF} AS idref")
-    root = lines.filter("j = 0").selectExpr("book_id", f"{_ROOT} AS root_kind", "0 AS root_ord", f"explode(array(named_struct('path', CAST(array() AS array<int>), 'href', CAST(NULL AS string), 'label', ''), named_struct('path', array(0), 'href', {_TOC_HREF}, 'label', {_TOC_LABEL}))) AS n")
-    return package, meta, manifest, spine, root.select("book_id", "root_kind", "root_ord", "n.*")
+    root = lines.filter("j = 0").withColumn("k", F.explode(F.array(F.lit(0), F.lit(1))))
+    toc = root.selectExpr("book_id", f"{_ROOT} AS root_kind", "0 AS root_ord", "CASE k WHEN 0 THEN CAST(array() AS array<int>) ELSE array(0) END AS path", f"CASE k WHEN 1 THEN {_TOC_HREF} END AS href", f"CASE k WHEN 1 THEN {_TOC_LABEL} ELSE '' END AS label")
+    return package, meta, manifest, spine, toc
 
 
 _WITH = f"""WITH o AS (SELECT o_orderkey AS book_id, o_orderkey % 25 AS d, o_orderkey % 50 AS e FROM orders), l AS {_LINES},
