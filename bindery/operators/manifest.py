@@ -63,7 +63,7 @@ def resources_of(entries: DataFrame, items: DataFrame, column: str = "idref") ->
     if column == "href":
         met = by_href(items, entries.withColumnsRenamed({c: f"entry_{c}" for c in ("id", "ord") if c in entries.columns}))
         named = items.select(BOOK, "ord", F.col("id"), F.col("href").alias("resource_path"), F.col("media_type").alias("resource_type"))
-        return met.join(named, [BOOK, "ord", "id"], "left").withColumnRenamed("id", "resource_id").drop("ord")
+        return met.join(named.hint("merge"), [BOOK, "ord", "id"], "left").withColumnRenamed("id", "resource_id").drop("ord")
     named = items.select(BOOK, F.col("id").alias(column), F.col("id").alias("resource_id"), F.col("href").alias("resource_path"), F.col("media_type").alias("resource_type"))
     return entries.join(named, [BOOK, column], "left")
 
@@ -74,10 +74,13 @@ def stylesheets(items: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def by_href(items: DataFrame, requests: DataFrame, column: str = "href") -> DataFrame:
-    """The first item whose href or href_raw is a request's, without its ? and #. Two equi-joins: an OR would be no join on keys."""
+    """The first item whose href or href_raw is a request's, without its ? and #. Two equi-joins: an OR would be no join on keys.
+
+    Names are dealt out before the first of each is looked for, and nothing is sent to all tasks: a small file can hold many items."""
     asked = requests.withColumn("_path", href.path(F.col(column)))
     names = items.select(BOOK, "ord", "id", F.explode(F.array_distinct(F.array("href", "href_raw"))).alias("_path"))
-    return asked.join(first_of(names.filter("_path is not null"), [BOOK, "_path"], [F.col("ord")]), [BOOK, "_path"], "left").drop("_path")
+    names = names.filter("_path is not null").hint("rebalance", BOOK, "_path", "ord")
+    return asked.join(first_of(names, [BOOK, "_path"], [F.col("ord")]).hint("merge"), [BOOK, "_path"], "left").drop("_path")
 
 
 def cover(items: DataFrame, entries: DataFrame) -> DataFrame:
