@@ -145,11 +145,11 @@ def claimed(pending: DataFrame, manifest: DataFrame, spine: DataFrame) -> DataFr
     ``pending`` has book_id, node_id, parent_node_id and refines; a tree of them belongs to who takes its root. An id is taken once, by
     the first item that has it in document order, else by the first itemref; later ones of that id go without. What nobody takes is left out, and so
     is what hangs on a cycle."""
-    claimers = manifest.select(BOOK, "id", F.lit("manifest").alias("owner"), F.col("ord").cast("long").alias("ord")).unionByName(spine.select(BOOK, "id", F.lit("spine").alias("owner"), F.col("ord").cast("long").alias("ord")))
-    # 'manifest' sorts before 'spine'
-    taken = claimers.filter(~_blank("id")).groupBy(BOOK, F.col("id").alias("refines")).agg(F.min(F.struct("owner", "ord")).alias("_by"))
+    claimers = manifest.select(BOOK, "id", F.col("ord").cast("long").alias("_item"), F.lit(None).cast("long").alias("_ref")).unionByName(spine.select(BOOK, "id", F.lit(None).cast("long").alias("_item"), F.col("ord").cast("long").alias("_ref")))
+    taken = claimers.filter(~_blank("id")).groupBy(BOOK, F.col("id").alias("refines")).agg(F.min("_item").alias("_item"), F.min("_ref").alias("_ref"))
+    tops = pending.filter("parent_node_id is null").select(BOOK, F.col("node_id").alias("root"), "refines").join(taken.hint("merge"), [BOOK, "refines"])
+    owner = F.when(F.col("_item").isNotNull(), "manifest").otherwise("spine")
+    owners = tops.select(BOOK, "root", owner.alias("owner"), F.col("refines").alias("owner_key"), F.coalesce("_item", "_ref").alias("owner_ord"))
     roots = tree(pending.select(BOOK, "node_id", "parent_node_id"), "node_id", "parent_node_id").select(BOOK, "node_id", "root")
-    tops = pending.filter("parent_node_id is null").select(BOOK, F.col("node_id").alias("root"), "refines").join(taken, [BOOK, "refines"])
-    owners = tops.select(BOOK, "root", F.col("_by.owner").alias("owner"), F.col("refines").alias("owner_key"), F.col("_by.ord").alias("owner_ord"))
     columns = [c for c in pending.columns if c not in ("owner", "owner_key", "owner_ord")]
-    return pending.select(*columns).join(roots.join(owners, [BOOK, "root"]).drop("root"), [BOOK, "node_id"])
+    return pending.select(*columns).join(roots.join(owners.hint("merge"), [BOOK, "root"]).drop("root").hint("merge"), [BOOK, "node_id"])

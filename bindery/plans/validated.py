@@ -115,6 +115,7 @@ def meta_claims(s, d):
     """Refinements of no entry, three in a chain, taken by the first item with their root's id, else by the first itemref."""
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
     lines = adapters.read(s, d, "lineitem").select(F.col("l_orderkey").alias("book_id"), "l_partkey", "l_suppkey", (F.row_number().over(order) - 1).cast("long").alias("j"))
+    lines = Levels(lines).save(lines)  # many scans, one sort
     pending = lines.selectExpr("book_id", "j AS node_id", "CASE WHEN j % 3 > 0 THEN j - 1 END AS parent_node_id", "CASE WHEN j % 3 = 0 THEN concat('k', l_suppkey % 8) ELSE concat('n', j - 1) END AS refines")
     items = lines.filter("j % 2 = 0").selectExpr("book_id", "concat('k', l_partkey % 5) AS id", "j AS ord")
     refs = lines.selectExpr("book_id", "concat('k', (l_partkey + l_suppkey) % 7) AS id", "j AS ord")

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from bindery.operators import constraints
+from bindery.operators import common, constraints, metadata
 from bindery.plans.registry import QUERIES
 
 SMALL = "/root/testdata/sf0.001"
@@ -31,3 +31,19 @@ def test_only_books_that_can_have_cycles_are_walked(spark, monkeypatch):
     found = constraints._cycles(meta).collect()
     assert {(r.book_id, r.ord, r.code, r.detail) for r in found} == {(7, k, "cyclic_meta", f"n{k}") for k in range(5)}
     assert walked == [5]
+
+
+def test_claims_read_numbered_lines(spark):
+    plan = _plan(QUERIES["meta_claims"](spark, SMALL))
+    assert "lineitem.parquet" not in plan and "Broadcast" not in plan
+
+
+@pytest.mark.parametrize("depth, tables", [(1, 1), (2, 2), (4, 3), (9, 5)])
+def test_walks_begin_below_roots(spark, monkeypatch, depth, tables):
+    """A table for the start, in which children of roots are done, and one for each doubling; what is done is not written again."""
+    written, save = [], common.Levels.save
+    monkeypatch.setattr(common.Levels, "save", lambda self, df: written.append(0) or save(self, df))
+    links = spark.range(20 * (depth + 1)).select(F.floor(F.col("id") / (depth + 1)).alias("book_id"), (F.col("id") % (depth + 1)).alias("k"))
+    out = metadata.tree(links.withColumn("p", F.when(F.col("k") > 0, F.col("k") - 1)), "k", "p")
+    assert {tuple(r) for r in out.collect()} == {(b, k, k, 0) for b in range(20) for k in range(depth + 1)}
+    assert len(written) == tables
