@@ -13,7 +13,7 @@ def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["epub_validate"])
+@pytest.mark.parametrize("name", ["epub_validate", "epub_validate_first"])
 def test_lines_are_sorted_once(spark, name):
     """Items, itemrefs and entries are read from lines that were numbered before; what has to be there is one join, not on distinct triples."""
     plan = _plan(QUERIES[name](spark, SMALL))
