@@ -10,6 +10,7 @@ from ..operators.common import Levels
 from . import adapters
 from .registry import query
 
+_RUN = 1000  # lines that one array numbers
 _LINES = "(SELECT l_orderkey AS book_id, l_orderkey % 25 AS d, l_orderkey % 50 AS e, l_partkey, l_suppkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) - 1 AS j FROM lineitem)"
 #: The defect d of a book, as expressions that both engines read.
 _VERSION = "CASE d WHEN 1 THEN '' WHEN 2 THEN 'three' WHEN 3 THEN '2.0' WHEN 4 THEN '2.0' ELSE '3.0' END"
@@ -40,11 +41,14 @@ _META = [
 
 
 def _tables(s, d):
-    key = F.col("o_orderkey")
-    books = adapters.read(s, d, "orders").select(key.alias("book_id"), (key % 25).alias("d"), (key % 50).alias("e"))
-    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
-    lines = adapters.read(s, d, "lineitem").select(F.col("l_orderkey").alias("book_id"), (F.row_number().over(order) - 1).alias("j"))
-    lines = Levels(lines).save(lines).withColumns({"d": F.col("book_id") % 25, "e": F.col("book_id") % 50})  # many scans, one sort
+    # Books are dealt out while they are one row each; what they are made into stays where it is.
+    parts, defect = int(s.conf.get("spark.sql.shuffle.partitions")), {"d": F.col("book_id") % 25, "e": F.col("book_id") % 50}
+    books = adapters.read(s, d, "orders").select(F.col("o_orderkey").alias("book_id")).repartition(parts, "book_id").withColumns(defect)
+    # Lines of an order differ by their number alone, and numbers are 0 to n - 1 in any order, so that lines are counted, not sorted; counts are dealt out by runs.
+    counts = adapters.read(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("book_id")).agg(F.count("*").alias("n"))
+    counts = Levels(counts).save(counts).repartition(parts, "book_id").withColumns(defect)  # many scans, one count
+    runs = counts.withColumn("at", F.explode(F.expr(f"sequence(0L, n - 1, {_RUN}L)")))
+    lines = runs.select("book_id", "d", "e", F.explode(F.expr(f"sequence(int(at), int(least(at + {_RUN - 1}, n - 1)))")).alias("j"))
     prefixes = "CASE WHEN d = 7 THEN array(named_struct('name', 'a', 'uri', 'urn:a'), named_struct('name', 'b', 'uri', '')) ELSE array() END AS prefixes"
     package = books.selectExpr("book_id", f"{_VERSION} AS version_raw", f"{_FAMILY} AS family", f"{_UID} AS unique_identifier", f"{_NCX} AS ncx_id", prefixes)
     meta = books.withColumn("natural_order", F.explode(F.array([F.lit(int(n)).cast("long") for n, *_ in _META])))
@@ -53,7 +57,7 @@ def _tables(s, d):
     meta = meta.filter(f"d <> 13 AND {case(7, 'boolean')}").selectExpr("book_id", "natural_order", "natural_order AS node_id", *fields)
     manifest = lines.filter("d <> 19").selectExpr("book_id", "j AS ord", f"{_ITEM_ID} AS id", f"{_HREF} AS href_raw", f"{_TYPE} AS media_type", f"{_PROPERTIES} AS properties")
     spine = lines.filter("d <> 21").selectExpr("book_id", "j AS ord", f"{_REF_ID} AS id", f"{_IDREF} AS idref")
-    root = lines.filter("j = 0").withColumn("k", F.explode(F.array(F.lit(0), F.lit(1))))
+    root = counts.withColumn("k", F.explode(F.array(F.lit(0), F.lit(1))))
     toc = root.selectExpr("book_id", f"{_ROOT} AS root_kind", "0 AS root_ord", "CASE k WHEN 0 THEN CAST(array() AS array<int>) ELSE array(0) END AS path", f"CASE k WHEN 1 THEN {_TOC_HREF} END AS href", f"CASE k WHEN 1 THEN {_TOC_LABEL} ELSE '' END AS label")
     return package, meta, manifest, spine, toc
 
