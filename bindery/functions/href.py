@@ -1,11 +1,9 @@
-"""References within a book: parts, percent-encoding, normalisation and resolution. Native expressions but for ``encode``."""
+"""References within a book: parts, percent-encoding, normalisation and resolution, all native expressions."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 def path(x: Column) -> Column:
     """Before the first ? or #."""
@@ -52,12 +50,12 @@ def decode(x: Column) -> Column:
     return F.url_decode(F.replace(F.regexp_replace(x, "%(?![0-9A-Fa-f]{2})", "%25"), F.lit("+"), F.lit("%2B")))
 
 
-@F.pandas_udf(StringType())
-def encode(x: pd.Series) -> pd.Series:
+def encode(x: Column) -> Column:
     """Percent-encoding of all but letters, digits and what separates or already escapes; never escapes twice."""
-    from urllib.parse import quote
-
-    return x.map(lambda s: None if s is None else quote(s, safe="%./:#?-_~=&"))
+    out = F.url_encode(x)  # it leaves letters, digits and -_.* and makes a space a plus
+    for made, kept in (("+", "%20"), ("*", "%2A"), ("%2F", "/"), ("%3A", ":"), ("%23", "#"), ("%3F", "?"), ("%7E", "~"), ("%3D", "="), ("%26", "&"), ("%25", "%")):
+        out = F.replace(out, F.lit(made), F.lit(kept))
+    return F.when(x.rlike(r"^[A-Za-z0-9%./:#?_~=&-]*\z"), x).otherwise(out)
 
 
 def segments(x: Column) -> Column:
@@ -72,7 +70,9 @@ def segments(x: Column) -> Column:
 
 
 def normalize(x: Column) -> Column:
-    return F.concat(F.when(F.startswith(x, F.lit("/")), "/").otherwise(""), F.array_join(segments(x), "/"))
+    """A path without segments that are empty or dots stays as it is."""
+    walked = F.concat(F.when(F.startswith(x, F.lit("/")), "/").otherwise(""), F.array_join(segments(x), "/"))
+    return F.when(x.rlike(r"//|(^|/)\.{1,2}(/|$)|/$|^$"), walked).otherwise(x)
 
 
 def resolve(base: Column, x: Column) -> Column:

@@ -19,13 +19,13 @@ def trimmed(x: Column) -> Column:
 
 def slug(x: Column) -> Column:
     """Small ASCII letters and digits with single dashes between."""
-    return F.regexp_replace(F.regexp_replace(F.translate(x, _UPPER, _LOWER), "[^a-z0-9]+", "-"), "^-|-$", "")
+    return F.btrim(F.regexp_replace(F.translate(x, _UPPER, _LOWER), "[^a-z0-9]+", "-"), F.lit("-"))
 
 
 def entry_id(x: Column) -> Column:
     """A slug of at most 50 characters that may serve as an XML id."""
-    short = F.regexp_replace(F.left(slug(x), F.lit(50)), "-$", "")
-    return F.when(short == "", "entry").when(short.rlike("^[0-9]"), F.concat(F.lit("_"), short)).otherwise(short)
+    short = F.rtrim(F.left(slug(x), F.lit(50)), F.lit("-"))
+    return F.regexp_replace(F.regexp_replace(short, "^$", "entry"), "^([0-9])", "_$1")  # each step once, not once for each branch
 
 
 def xml_escape(x: Column) -> Column:

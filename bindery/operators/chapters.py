@@ -28,9 +28,12 @@ class Expanded:
     landmarks: DataFrame
 
 
-def numbered(chapters: DataFrame) -> DataFrame:
-    """With ``ord``, the place of each chapter depth first: arrays of places are ordered like that."""
-    return chapters.withColumn("ord", F.row_number().over(Window.partitionBy(BOOK).orderBy("path")).cast("long") - 1)
+def _folder(directory: str) -> str:
+    """What hrefs.resolve puts before a name in the directory."""
+    kept: list[str] = []
+    for part in directory.split("/"):
+        kept = kept[:-1] if part == ".." else kept if part in ("", ".") else [*kept, part]
+    return ("/" if f"{directory}/".startswith("/") else "") + "".join(f"{part}/" for part in kept)
 
 
 def expanded(chapters: DataFrame, taken: DataFrame | None = None, directory: str = "/OEBPS") -> Expanded:
@@ -41,42 +44,60 @@ def expanded(chapters: DataFrame, taken: DataFrame | None = None, directory: str
     an href it is the id with .xhtml, with a number before the ending if an item before it, or one the book had, is there. A given
     href is taken as it is. Null paths are errors of the caller; empty tables give empty tables."""
     levels = Levels(chapters)
-    # one window has all numbers of a book's tables; what it has once goes along with the items, so that no table is joined for it again
-    so_far = Window.partitionBy(BOOK).orderBy("path").rowsBetween(Window.unboundedPreceding, 0)
+    folder = _folder(directory)
+    place = lambda raw: href.resolve(F.lit(directory), raw)
+    said, given = F.col("_said"), F.col("has_content") & F.col("_said").isNotNull()
+    # of hrefs that are taken only those count that an id may make; no other is met
+    meets = lambda full: F.when(F.startswith(full, F.lit(folder)) & F.substr(full, F.lit(len(folder) + 1)).rlike(r"^[a-z0-9_-]+\.xhtml$"), full)
+    rows = chapters.select(BOOK, "path", "title", F.col("href").alias("_said"), "kind", F.coalesce("has_content", F.lit(False)).alias("has_content"), "linear", F.lit(False).alias("_claim"))
+    # one after the other, so that each is computed once
+    rows = rows.withColumn("_path", href.path(said)).withColumn("_raw", href.encode(F.col("_path"))).withColumn("_full", place(F.col("_raw"))).drop("_path")
+    rows = rows.withColumns({"name": F.when(F.col("has_content"), text.entry_id(F.coalesce("title", href.name(said), F.lit("")))), "_meets": F.when(given, meets(F.col("_full")))})
+    if taken is not None:
+        of = F.col(BOOK).cast(dict(chapters.dtypes)[BOOK]).alias(BOOK)
+        rows = rows.unionByName(taken.select(of, F.col("id").alias("name"), meets(F.col("href")).alias("_meets"), F.lit(True).alias("_claim")), allowMissingColumns=True)
+
+    # books are dealt out once: one window has all numbers of a book's tables, what a book had comes first there, as it has no path; the windows
+    # of the ids stand on the same rows, which carry all that the tables need
+    book = Window.partitionBy(BOOK)
+    so_far = book.orderBy("path").rowsBetween(Window.unboundedPreceding, 0)
     count = lambda which: F.count_if(which).over(so_far) - 1
     hides = F.when(F.col("title").isNull() & (F.size("path") > 0), toc.end(chapters))
-    rows = numbered(chapters).withColumns({
-        "_item": count(F.col("has_content")), "_place": count(F.col("title").isNotNull() & F.col("kind").isNotNull()), "_listed": F.coalesce(F.max(hides).over(so_far) <= F.col("path"), F.lit(True)),
+    rows = rows.withColumns({
+        "ord": F.when(~F.col("_claim"), count(~F.col("_claim"))), "_item": count(F.col("has_content")), "_place": count(F.col("title").isNotNull() & F.col("kind").isNotNull()),
+        "_listed": F.coalesce(F.max(hides).over(so_far) <= F.col("path"), F.lit(True)), "_nth": F.count("_meets").over(so_far),
     })
-    along = ["linear", "path", "title", "kind", "_item", "_place", "_listed"]
-    rows = levels.save(rows.select(BOOK, "ord", "href", "has_content", *along))  # read by all four tables
-    base = F.lit(directory)
-    made = rows.filter("has_content").drop("has_content")
-    wanted = made.select(BOOK, "ord", text.entry_id(F.coalesce("title", href.name(href.path(F.col("href"))), F.lit(""))).alias("name"))
-    had = taken if taken is not None else chapters.select(BOOK, F.lit(None).cast("string").alias("id"), F.lit(None).cast("string").alias("href")).limit(0)
-    ids = names.unique(wanted, had.select(BOOK, F.col("id").alias("name")), [BOOK]).select(BOOK, "ord", F.col("new_name").alias("id"))
-    items = levels.save(made.join(ids, [BOOK, "ord"]))
-
-    place = lambda raw: href.resolve(base, raw)
-    said = items.filter("href is not null").withColumnRenamed("href", "_said")
-    given = said.select(BOOK, "ord", "id", href.encode(href.path(F.col("_said"))).alias("href_raw"), "_said", *along)
-    given = given.withColumn("href", place(F.col("href_raw")))
-    open_ = items.filter("href is null").select(BOOK, "ord", "id", place(F.concat("id", F.lit(".xhtml"))).alias("name"), *along)
-    claims = had.select(BOOK, F.col("href").alias("name"), F.lit(None).cast("long").alias("ord")).unionByName(given.select(BOOK, F.col("href").alias("name"), "ord"))
-    free = names.unique(open_.select(BOOK, "ord", "name"), claims, [BOOK], names.HREFS).select(BOOK, "ord", F.col("new_name").alias("href"))
-    free = open_.drop("name").join(free, [BOOK, "ord"]).withColumn("href_raw", F.substr("href", F.lit(len(directory.rstrip("/")) + 2))).withColumn("_said", F.lit(None).cast("string"))
-    found = levels.save(given.unionByName(free))
+    met = F.when(F.col("_nth") <= names.FEW, names.HREFS.root(F.col("_meets")))
+    rows = rows.withColumns({"_met": F.collect_set(met).over(book), "_many": F.max("_nth").over(book) > names.FEW}).drop("_nth")
+
+    # hrefs that ids make differ as the ids do; those of which one may be taken, or that hang on such a one, are told apart
+    own = F.concat(F.lit(folder), "id", F.lit(".xhtml"))
+    open_ = F.col("has_content") & said.isNull()
+    held = F.col("_many") | ((F.size("_met") > 0) & F.array_contains("_met", names.HREFS.root(own)))
+
+    def placed(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumn("id", F.col("new_name"))
+        return rows.withColumns({"href": F.when(given, F.col("_full")).when(open_, own), "href_raw": F.when(given, F.col("_raw")).when(open_, F.concat("id", F.lit(".xhtml"))), "_held": F.coalesce(open_ & held, F.lit(False))})
+
+    rows = levels.save(placed(names.told(rows, [BOOK])).withColumn("_met", F.when(F.col("_way").isNotNull(), F.col("_met"))))
+    columns = [BOOK, "ord", "path", "title", "kind", "linear", "has_content", "id", "href", "href_raw", "_said", "_raw", "_full", "_item", "_place", "_listed", "_held"]
+    nodes, more = rows.filter("_way is null").select(*columns), names.rest(rows, [BOOK])
+    nodes = nodes.unionByName(levels.save(placed(more).select(*columns))) if more is not None else nodes
+    taken_hrefs = rows.filter("not _claim and _meets is not null").select(BOOK, F.col("_meets").alias("name"), "ord")
+    if taken is not None:
+        taken_hrefs = taken_hrefs.unionByName(taken.select(of, meets(F.col("href")).alias("name")), allowMissingColumns=True)
+    free = names.unique(nodes.filter("_held").withColumnRenamed("href", "name"), taken_hrefs, [BOOK], names.HREFS)
+    free = free.withColumns({"href": F.col("new_name"), "href_raw": F.substr("new_name", F.lit(len(folder) + 1))})
+    nodes = nodes.filter("not _held").unionByName(levels.save(free.select(*columns)))
+    found = nodes.filter("has_content")
 
     manifest = found.select(BOOK, F.col("_item").alias("ord"), "id", "href", "href_raw", F.lit(mime.XHTML).alias("media_type"))
     spine = found.select(BOOK, F.col("_item").alias("ord"), F.col("id").alias("idref"), F.coalesce("linear", F.lit(True)).alias("linear"))
 
-    # an entry of a chapter with content leads to it, others to what they say
-    none = F.lit(None).cast("string")
-    empty = rows.filter(~F.coalesce("has_content", F.lit(False))).withColumnRenamed("href", "_said").withColumns({"href": none, "href_raw": none})
-    of = [BOOK, "ord", "path", "title", "kind", "_said", "href", "href_raw", "_place", "_listed"]
-    nodes = found.select(*of).unionByName(empty.select(*of))
-    raw = F.when(F.col("_said").isNotNull(), href.encode("_said")).otherwise(F.col("href_raw"))
-    nodes = nodes.select(BOOK, "ord", "path", F.col("title").alias("label"), "kind", raw.alias("href_raw"), F.when(F.col("_said").isNotNull(), place(raw)).otherwise(F.col("href")).alias("href"), "_place", "_listed")
+    # an entry leads to what its chapter says, else to its content
+    plain = ~F.contains(said, F.lit("?")) & ~F.contains(said, F.lit("#"))
+    nodes = nodes.withColumns({"href_raw": F.when(said.isNull(), F.col("href_raw")).when(plain, F.col("_raw")).otherwise(href.encode(said)), "_full": F.when(plain, F.col("_full"))})
+    nodes = nodes.select(BOOK, "ord", "path", F.col("title").alias("label"), "kind", "href_raw", F.when(said.isNull(), F.col("href")).otherwise(F.coalesce("_full", place(F.col("href_raw")))).alias("href"), "_place", "_listed")
     listed = nodes.filter("_listed").drop("_listed", "_place")
     marks = nodes.filter("label is not null and kind is not null").drop("path", "_listed").withColumnRenamed("_place", "place")
     return Expanded(manifest, spine, listed, marks)
