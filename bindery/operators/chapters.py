@@ -46,13 +46,13 @@ def expanded(chapters: DataFrame, taken: DataFrame | None = None, directory: str
     levels = Levels(chapters)
     folder = _folder(directory)
     place = lambda raw: href.resolve(F.lit(directory), raw)
-    said, given = F.col("_said"), F.col("has_content") & F.col("_said").isNotNull()
+    said, raw, given = F.col("_said"), F.col("_raw"), F.col("has_content") & F.col("_raw").isNotNull()
     # of hrefs that are taken only those count that an id may make; no other is met
     meets = lambda full: F.when(F.startswith(full, F.lit(folder)) & F.substr(full, F.lit(len(folder) + 1)).rlike(r"^[a-z0-9_-]+\.xhtml$"), full)
     rows = chapters.select(BOOK, "path", "title", F.col("href").alias("_said"), "kind", F.coalesce("has_content", F.lit(False)).alias("has_content"), "linear", F.lit(False).alias("_claim"))
     # one after the other, so that each is computed once
-    rows = rows.withColumn("_path", href.path(said)).withColumn("_raw", href.encode(F.col("_path"))).withColumn("_full", place(F.col("_raw"))).drop("_path")
-    rows = rows.withColumns({"name": F.when(F.col("has_content"), text.entry_id(F.coalesce("title", href.name(said), F.lit("")))), "_meets": F.when(given, meets(F.col("_full")))})
+    rows = rows.withColumn("_path", href.path(said)).withColumn("_raw", href.encode(F.col("_path"))).withColumn("_full", place(raw))
+    rows = rows.withColumns({"name": F.when(F.col("has_content"), text.entry_id(F.coalesce("title", href.name(F.col("_path")), F.lit("")))), "_meets": F.when(given, meets(F.col("_full"))), "_said": F.when(said != F.col("_path"), said)}).drop("_path")
     if taken is not None:
         of = F.col(BOOK).cast(dict(chapters.dtypes)[BOOK]).alias(BOOK)
         rows = rows.unionByName(taken.select(of, F.col("id").alias("name"), meets(F.col("href")).alias("_meets"), F.lit(True).alias("_claim")), allowMissingColumns=True)
@@ -72,32 +72,32 @@ def expanded(chapters: DataFrame, taken: DataFrame | None = None, directory: str
 
     # hrefs that ids make differ as the ids do; those of which one may be taken, or that hang on such a one, are told apart
     own = F.concat(F.lit(folder), "id", F.lit(".xhtml"))
-    open_ = F.col("has_content") & said.isNull()
+    open_ = F.col("has_content") & raw.isNull()
     held = F.col("_many") | ((F.size("_met") > 0) & F.array_contains("_met", names.HREFS.root(own)))
+    placed = lambda rows: rows.withColumn("id", F.col("new_name")).withColumn("_held", F.coalesce(open_ & held, F.lit(False))).drop("new_name")
+    linked = lambda rows: rows.withColumns({"href": F.when(given, F.col("_full")).when(open_, own), "href_raw": F.when(given, raw).when(open_, F.concat("id", F.lit(".xhtml")))})
 
-    def placed(rows: DataFrame) -> DataFrame:
-        rows = rows.withColumn("id", F.col("new_name"))
-        return rows.withColumns({"href": F.when(given, F.col("_full")).when(open_, own), "href_raw": F.when(given, F.col("_raw")).when(open_, F.concat("id", F.lit(".xhtml"))), "_held": F.coalesce(open_ & held, F.lit(False))})
-
-    rows = levels.save(placed(names.told(rows, [BOOK])).withColumn("_met", F.when(F.col("_way").isNotNull(), F.col("_met"))))
-    columns = [BOOK, "ord", "path", "title", "kind", "linear", "has_content", "id", "href", "href_raw", "_said", "_raw", "_full", "_item", "_place", "_listed", "_held"]
+    # what is told of each row by others is written only where the id is not settled
+    rows = placed(names.told(rows, [BOOK]))
+    rows = levels.save(rows.withColumns({c: F.when(F.col("_way").isNotNull(), F.col(c)) for c in ("name", "_root", "_base", "_met")}))
+    columns = [BOOK, "ord", "path", "title", "kind", "linear", "has_content", "id", "_said", "_raw", "_full", "_item", "_place", "_listed", "_held"]
     nodes, more = rows.filter("_way is null").select(*columns), names.rest(rows, [BOOK])
-    nodes = nodes.unionByName(levels.save(placed(more).select(*columns))) if more is not None else nodes
+    nodes = linked(nodes.unionByName(levels.save(placed(more).select(*columns))) if more is not None else nodes)
     taken_hrefs = rows.filter("not _claim and _meets is not null").select(BOOK, F.col("_meets").alias("name"), "ord")
     if taken is not None:
         taken_hrefs = taken_hrefs.unionByName(taken.select(of, meets(F.col("href")).alias("name")), allowMissingColumns=True)
     free = names.unique(nodes.filter("_held").withColumnRenamed("href", "name"), taken_hrefs, [BOOK], names.HREFS)
     free = free.withColumns({"href": F.col("new_name"), "href_raw": F.substr("new_name", F.lit(len(folder) + 1))})
-    nodes = nodes.filter("not _held").unionByName(levels.save(free.select(*columns)))
+    nodes = nodes.filter("not _held").unionByName(levels.save(free.select(*nodes.columns)))
     found = nodes.filter("has_content")
 
     manifest = found.select(BOOK, F.col("_item").alias("ord"), "id", "href", "href_raw", F.lit(mime.XHTML).alias("media_type"))
     spine = found.select(BOOK, F.col("_item").alias("ord"), F.col("id").alias("idref"), F.coalesce("linear", F.lit(True)).alias("linear"))
 
     # an entry leads to what its chapter says, else to its content
-    plain = ~F.contains(said, F.lit("?")) & ~F.contains(said, F.lit("#"))
-    nodes = nodes.withColumns({"href_raw": F.when(said.isNull(), F.col("href_raw")).when(plain, F.col("_raw")).otherwise(href.encode(said)), "_full": F.when(plain, F.col("_full"))})
-    nodes = nodes.select(BOOK, "ord", "path", F.col("title").alias("label"), "kind", "href_raw", F.when(said.isNull(), F.col("href")).otherwise(F.coalesce("_full", place(F.col("href_raw")))).alias("href"), "_place", "_listed")
+    link = href.encode(said)
+    nodes = nodes.withColumns({"href": F.when(said.isNotNull(), place(link)).when(raw.isNotNull(), F.col("_full")).otherwise(F.col("href")), "href_raw": F.when(said.isNotNull(), link).otherwise(F.coalesce("_raw", "href_raw"))})
+    nodes = nodes.select(BOOK, "ord", "path", F.col("title").alias("label"), "kind", "href_raw", "href", "_place", "_listed")
     listed = nodes.filter("_listed").drop("_listed", "_place")
     marks = nodes.filter("label is not null and kind is not null").drop("path", "_listed").withColumnRenamed("_place", "place")
     return Expanded(manifest, spine, listed, marks)

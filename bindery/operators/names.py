@@ -99,14 +99,14 @@ def told(rows: DataFrame, keys: Sequence[str], style: Style = IDS) -> DataFrame:
     wish = F.when(~claim, F.col("name"))
     rows = rows.withColumns({
         "_base": F.min(wish).over(root), "_top": F.max(wish).over(root), "_clash": F.coalesce(F.bool_or("_hit").over(root), F.lit(False)), "_timed": F.bool_or(claim & F.col("ord").isNotNull()).over(root), "_claims": F.max("_nth").over(root),
+        "_taken": F.collect_set(F.when(claim & (F.col("_nth") <= FEW), F.col("name"))).over(root),
     })
     way = F.when(F.col("_clash"), F.when((F.col("_base") < F.col("_top")) | F.col("_timed"), "fold").when(F.col("_claims") > FEW, "gaps"))
-    rows = rows.withColumn("_way", way)
-    gap = F.when(claim & F.col("_clash") & F.col("_way").isNull(), style.number(F.col("name"), F.col("_base")))
-    rows = rows.withColumn("_gaps", F.collect_set(gap).over(root)).filter(~claim | F.col("_way").isNotNull())
-    passed = F.aggregate(F.array_sort("_gaps"), F.col("_rank"), lambda at, n: at + F.when(n <= at, F.lit(1).cast("long")).otherwise(F.lit(0).cast("long")))
-    number = F.when(F.size("_gaps") == 0, F.col("_rank")).otherwise(passed)
-    new = F.when(F.col("_way").isNull(), F.when(F.col("_clash"), style.made(F.col("name"), number)).otherwise(F.col("name")))
+    rows = rows.withColumn("_way", way).filter(~claim | F.col("_way").isNotNull())
+    gaps = F.array_sort(F.filter(F.transform("_taken", lambda n: style.number(n, F.col("_base"))), lambda n: n.isNotNull()))
+    passed = F.aggregate(gaps, F.col("_rank"), lambda at, n: F.when(n <= at, at + 1).otherwise(at))
+    rows = rows.withColumn("_number", F.when(F.col("_clash") & F.col("_way").isNull(), F.when(F.size("_taken") == 0, F.col("_rank")).otherwise(passed)))
+    new = F.when(F.col("_way").isNull(), F.when(F.col("_clash"), style.made(F.col("name"), F.col("_number"))).otherwise(F.col("name")))
     return rows.select(*columns, "_root", "_base", "_way", new.alias("new_name"))
 
 
